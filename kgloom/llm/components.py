@@ -1,0 +1,38 @@
+"""Connected components over DataFrames of edges, without GraphFrames and without the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kgloom.llm.common import materialize
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``(node, component)`` for every node of ``edges(a, b)``; a component is named by its least node.
+
+    Min-label propagation with pointer jumping: every round takes the least label among the
+    neighbours, then the label of that label, so stars end in two rounds and chains in a
+    logarithmic number.  Each round is written to the shared folder; only one counter reaches the
+    driver.  Sums and minima are combined before each shuffle, so a hub costs no more than its edges.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialize(both.where("a <> b").distinct(), "edges")
+    labels = materialize(
+        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")),
+        "labels",
+    )
+    for _ in range(max_rounds):
+        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
+        nearer = labels.join(seen, labels.node == seen.a, "left").select(
+            "node", "component", F.least("component", F.coalesce("near", "component")).alias("to")
+        )
+        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("up"))
+        step = nearer.join(jump, "to", "left").select(
+            "node", F.least("to", F.coalesce("up", "to")).alias("component"), (F.least("to", F.coalesce("up", "to")) < F.col("component")).alias("moved")
+        )
+        step = materialize(step, "labels")
+        labels = step.select("node", "component")
+        if step.where("moved").limit(1).count() == 0:
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
