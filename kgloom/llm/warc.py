@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 MAGIC = b"\x1f\x8b\x08"
 _HEADER_LIMIT = 1 << 16
 _CHUNK = 1 << 20
+MAX_TASKS = 20_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 MANIFEST = "path string, bytes long, records long"
 RECORDS = "page_id long, target_uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, path string, offset long"
@@ -188,8 +189,8 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 16 << 20, stric
         "path string, modificationTime timestamp, length long, content binary"
     ).load(path).select("path", "length")
     ranges = files.where("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranges = ranges.repartition(parts, "path", "start")
+    # A task for each range, up to MAX_TASKS: the rows are too small for their size to tell how much work they are.
+    ranges = ranges.repartition(max(1, min(MAX_TASKS, ranges.count())), "path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64()]
