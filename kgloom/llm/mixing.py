@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import md5_fraction
+from kgloom.llm.common import materialize, md5_fraction
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -76,18 +76,39 @@ def mix_sources(
     copies.  Repeated rows are documents of their own and reruns agree up to which of two equal rows is which.  Existing
     columns of the new names are replaced.
     """
+    return _mixed(docs.drop(*NEW), id_col, text_col, source_col, weights, share, cap, seed, whole=True)
+
+
+def mix_sizes(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    share: float = SHARE,
+    cap: float = CAP,
+    seed: int = 17,
+) -> DataFrame:
+    """What ``mix_sources`` decides, with ``id_col`` and the new columns only: texts are read once."""
+    return _mixed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, weights, share, cap, seed, whole=False)
+
+
+NEW = ("size", "source_size", "target", "copies", "taken")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, cap: float, seed: int, whole: bool) -> DataFrame:
     salts = max(MIN_SALTS, -(-docs.count() // CELL_ROWS))
     order = md5_fraction(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = (
-        docs.drop("size", "source_size", "target", "copies", "taken")
-        .withColumn("size", word_count(F.col(text_col)))
+        docs.withColumn("size", word_count(F.col(text_col)))
         .withColumns({"_key": source_key(F.col(source_col)), "_order": order})
         .withColumns({"_class": F.length(F.bin("size")), "_salt": F.col("_order") % salts})
     )
     cell = ["_key", "_class", "_salt"]
     inside = Window.partitionBy(*cell).orderBy("size", "_order", id_col)
-    ranked = rows.withColumn("_rank", F.row_number().over(inside))
-    cells = rows.groupBy(*cell).agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
+    narrow = materialize(rows.select(id_col, *cell, "size", "_order"), "sizes")
+    ranked = narrow.withColumn("_rank", F.row_number().over(inside))
+    cells = narrow.groupBy(*cell).agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
     targets = source_targets(cells.groupBy("_key").agg(F.sum("_words").alias("source_size")), weights, share, cap)
     along = Window.partitionBy("_key", "_large").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
@@ -107,7 +128,8 @@ def mix_sources(
     owed = F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), (F.col("target") - F.coalesce("_got", F.lit(0))) / F.greatest("_left", F.lit(1))))
     rest = rest.select("_key", F.lit(False).alias("_large"), owed.alias("_owed"))
     cells = cells.join(rest, ["_key", "_large"], "left").withColumn("_each", F.coalesce("_owed", "_each"))
-    rows = ranked.join(cells.select(*cell, "source_size", "target", "_base", "_each", "_offset"), cell)
+    rows = rows.withColumn("_rank", F.row_number().over(inside)) if whole else ranked
+    rows = rows.join(cells.select(*cell, "source_size", "target", "_base", "_each", "_offset"), cell)
     rows = rows.withColumn("copies", copies(F.col("_each"))).withColumn("taken", F.col("copies") * F.col("size"))
     return rows.drop("_key", "_order", "_class", "_salt", "_base", "_rank", "_each", "_offset")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kgloom.llm.ann import nearest_neighbours
 from kgloom.llm.common import held_out, read_table, scratch_path
 from kgloom.llm.language import fit_languages, identify_languages
-from kgloom.llm.mixing import MIX_SQL, mix_sources
+from kgloom.llm.mixing import MIX_SQL, mix_sizes
 from kgloom.llm.near_dup import near_duplicates
 from kgloom.llm.packing import pack_documents
 from kgloom.llm.pii import pseudonymize
@@ -31,7 +31,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sizes(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
