@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from kgloom.plans import text_queries
+
+_MODULES = (text_queries,)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
+FLAGSHIP = "text_normalize"
