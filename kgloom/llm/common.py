@@ -1,49 +1,14 @@
-"""Shared plumbing of the training-data operators: tables, scratch space, hot-key-safe helpers."""
+"""Small helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_SCRATCH: list[str] = []
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` when the session names one.  Otherwise the warehouse on a cluster, and
-    a folder of this process (removed at exit) on ``local[*]``, where only one machine exists.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="kgloom-"))
-        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[0], True)
-    return f"file://{_LOCAL_SCRATCH[0]}"
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/kgloom-{label}-{uuid.uuid4().hex}"
-
+from kgloom.sources.scratch import materialize, scratch_path, shared_root
+from kgloom.sources.tables import table as read_table
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["held_out", "materialize", "md5_fraction", "read_table", "scratch_path", "shared_root", "write_bytes"]
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
