@@ -8,7 +8,22 @@ from pyspark.sql import functions as F
 from kgloom.sources.scratch import materialize, scratch_path, shared_root
 from kgloom.sources.tables import table as read_table
 
-__all__ = ["held_out", "materialize", "md5_fraction", "read_table", "scratch_path", "shared_root", "write_bytes"]
+__all__ = ["held_out", "materialize", "md5_fraction", "read_table", "scratch_path", "shared_root", "small_batches", "write_bytes"]
+
+
+#: Rows and bytes of an Arrow batch at most, for batches of whole texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session's Python operators; tighter settings of the session stay.
+
+    Texts are long: the default of 10,000 rows holds tens of megabytes several times over, in the JVM's buffers and in each worker.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgloom.llm.common import held_out, md5_fraction
+from kgloom.llm.common import held_out, md5_fraction, small_batches
 from kgloom.llm.textbytes import SLICE_BYTES, slices, utf8
 
 TABLE_BITS = 16
@@ -81,6 +81,7 @@ def fit_languages(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAG
     About ``sample_per_language`` documents of each language are used, chosen by a hash of the id.
     Only gram counts (at most 2**16 for a language) come to the driver.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
@@ -155,6 +156,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, text_col: s
     and so does any text without a model.  Existing columns of these names are replaced; whole texts of any length
     are read, in pieces.
     """
+    small_batches(docs.sparkSession)
     new = ["lang_pred", "score", "languages"]
     kept = docs.drop(*new)
     fields = [*kept.schema.fields, T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType()), T.StructField(new[2], T.ArrayType(T.StringType()))]

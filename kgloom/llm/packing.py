@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import materialize, md5_fraction
+from kgloom.llm.common import materialize, md5_fraction, small_batches
 from kgloom.llm.mixing import source_key
 
 SEQ_LEN = 1024
@@ -149,6 +149,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, seq_len:
     A null or empty text is its separator alone.  Repeated rows are packed each; null sources are one
     queue; a null doc_id stays null.  An empty table gives no piece.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     tokens = materialize(tokenize(rows, path), "tokens")

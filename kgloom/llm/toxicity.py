@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import held_out, materialize, md5_fraction
+from kgloom.llm.common import held_out, materialize, md5_fraction, small_batches
 from kgloom.llm.textbytes import slices, span_hashes, utf8
 
 #: The model is fitted on at most so many labelled rows of each class.
@@ -154,6 +154,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAM
     Without labels of both classes the model scores every text near 0.  Lexicon counts and the votes of
     the sample come to the driver; both are bounded by the parameters.
     """
+    small_batches(docs.sparkSession)
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_class = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
@@ -207,6 +208,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAM
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row; a null text is scored as an empty one."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import materialize
+from kgloom.llm.common import materialize, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 _HEADER_LIMIT = 1 << 16
@@ -71,6 +71,7 @@ def write_warc(
     Line ends in a url are percent-encoded.  Each task writes files of its own and moves them into place when they
     are whole, so a repeated task replaces its own files.
     """
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
@@ -185,6 +186,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 16 << 20, stric
     A response has its payload, whose length and digest are computed from it and must agree with the header; a revisit has
     those of its header and no payload.  ``strict``: bytes between two records raise an error, else they are skipped.
     """
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").schema(
         "path string, modificationTime timestamp, length long, content binary"
     ).load(path).select("path", "length")
