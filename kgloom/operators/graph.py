@@ -15,6 +15,12 @@ def first_by(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
+def last_by(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+    """The last row of each key."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
+
+
 def valid_entities(entities: DataFrame) -> DataFrame:
     return entities.where(F.col("id").isNotNull() & F.col("type").isNotNull())
 
