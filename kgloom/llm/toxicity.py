@@ -171,9 +171,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAM
     words = rows.select("doc_id", "toxic", word.alias("word"))
     stems = [words.where(F.length("word") > k).select("doc_id", "toxic", F.concat(F.substring("word", 1, k), F.lit("*")).alias("word")).distinct() for k in PREFIXES]
     seen = words.unionByName(stems[0]).unionByName(stems[1]).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("all"))
+    seen = materialize(seen, "lexicon")
+    # A word must stand out of chance among all words that were tried: the likelihood ratio of its share against the classes' own.
+    share, t, rest = n[1] / (n[0] + n[1]), F.col("t"), F.col("all") - F.col("t")
+    gain = 2 * (t * F.log(t / (F.col("all") * share)) + F.when(rest > 0, rest * F.log(rest / (F.col("all") * (1 - share)))).otherwise(0.0))
     rate1, rate0 = F.col("t") / n[1], (F.col("all") - F.col("t") + 0.5) / n[0]
     picked = (
-        seen.where((F.col("t") >= 4) & (rate1 > 8 * rate0))
+        seen.where((t >= 4) & (rate1 > 8 * rate0) & (gain >= 2 * np.log(max(2, seen.count()))))
         .where(~F.col("word").endswith("*") | (F.col("t") >= 50 * (F.col("all") - F.col("t"))))  # a beginning must be pure
         .select("word", (rate1 / rate0).alias("ratio"), rate1.alias("rate1"), rate0.alias("rate0"), "t")
         .orderBy(F.desc(F.col("t") * F.log(F.col("ratio"))), "word")
