@@ -45,10 +45,14 @@ def register_client(name: str, make: Callable[[], Client]) -> None:
     CLIENTS[name] = make
 
 
-def client(name: str) -> Client:
+def maker(name: str) -> Callable[[], Client]:
     if name not in CLIENTS:
         raise ValueError(f"no client {name!r}; there are {sorted(CLIENTS)}")
-    return CLIENTS[name]()
+    return CLIENTS[name]
+
+
+def client(name: str) -> Client:
+    return maker(name)()
 
 
 def first_pages_text(pages: DataFrame, n: int = 4) -> DataFrame:
@@ -99,10 +103,10 @@ def parse_summary(reply: Column) -> Column:
 
 def ask(rows: DataFrame, name: str, prompt: str = "prompt", reply: str = "reply", temperature: float = 0.1) -> DataFrame:
     """Each row with the reply to its prompt and an ``error``; the client is made once in each task."""
-    names = rows.columns
+    names, make = rows.columns, maker(name)  # the maker itself goes to the tasks; their processes know no registry
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = client(name)
+        model = make()
         for b in batches:
             replies, errors = [], []
             for p in b.column(names.index(prompt)).to_pylist():

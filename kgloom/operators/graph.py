@@ -31,7 +31,8 @@ def clean_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:
     rels = relations.withColumn("type", F.coalesce("type", F.lit("")))
     # Repeats go before the joins: the rows to shuffle get fewer first.
     once = first_by(rels, ["source", "target", "type"])
-    return once.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    kept = once.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return kept.select(*relations.columns)
 
 
 def ordered_index(df: DataFrame, order: str, name: str, bucket: int = BUCKET) -> DataFrame:

@@ -48,7 +48,8 @@ def merge_relations(relations: DataFrame, id_map: DataFrame, valid: DataFrame) -
     rels = rels.withColumns({"source": F.coalesce("_s", "source"), "target": F.coalesce("_t", "target")}).drop("_s", "_t")
     once = first_by(rels, ["source", "target", "type"])
     ids = valid.select("id")
-    return once.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    kept = once.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return kept.select(*relations.columns)
 
 
 def provenance(attributes: DataFrame, entity: str, doc: str = "doc") -> DataFrame:
