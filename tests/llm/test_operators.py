@@ -88,6 +88,29 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_groups(rows)
 
 
+def test_near_duplicates_hidden_in_a_bucket(spark):
+    """A bucket's least text differs from two others that are similar: the join by prefixes finds them, and only them."""
+    import pyarrow as pa
+
+    from kgloom.llm.near_dup import RARITY_BITS, _hidden_pairs, prefixes
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    other = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = {1: other, 2: base, 3: np.append(base[:185], other[:5]), 4: np.append(base[:60], other[:50]), 5: base[:190]}
+    items = spark.createDataFrame([(i, bytearray(np.sort(x).tobytes())) for i, x in sets.items()], "doc_id long, items binary")
+    crowded = spark.createDataFrame([(i, 0, 7) for i in sets], "class_id long, band int, h long")
+    groups = spark.createDataFrame([(2, 2), (5, 2)], "node long, component long")
+    pairs = {tuple(r) for r in _hidden_pairs(crowded, items, groups, 0.8).collect()}
+    assert {(2, 3), (3, 5)} <= pairs and (2, 5) not in pairs
+    assert _hidden_pairs(crowded.where("class_id in (2, 5)"), items, groups, 0.8) is None
+    rarity = rng.integers(0, 9, 1 << RARITY_BITS)
+    for n in range(1, 60):  # two sets at the threshold always share a shingle of their prefixes
+        x, gone = base[:n], int(rng.integers(0, n // 5 + 1))
+        rows, first, sizes = prefixes(pa.array([np.sort(x).tobytes(), np.sort(rng.permutation(x)[gone:]).tobytes()]), rarity, 0.8)
+        assert sizes.tolist() == [n, n - gone] and set(first[rows == 0]) & set(first[rows == 1])
+
+
 def test_near_duplicates_on_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = queries.op1_near_dup(spark, SF).collect()
