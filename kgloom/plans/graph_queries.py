@@ -42,7 +42,7 @@ def attributes(entities: DataFrame) -> DataFrame:
 
 
 def _small(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Regions, nations and suppliers only."""
+    """Regions, nations and suppliers only, as the SQL of these queries has it; ``*_whole`` are the same over the whole star graph."""
     e = _ent(spark, sf).where(F.substring("id", 1, 1).isin("r", "n", "s"))
     r = _rel(spark, sf).where(F.col("source").rlike("^[ns]") & F.col("target").rlike("^[rn]"))
     return e, r
@@ -106,6 +106,10 @@ def graph_wcc(spark, sf):
     return E.weak_components(*E.simple_graph(*_small(spark, sf)))
 
 
+def graph_wcc_whole(spark, sf):
+    return E.weak_components(*_graph(spark, sf))
+
+
 def graph_diameter(spark, sf):
     return E.diameter(*E.simple_graph(*_small(spark, sf)))
 
@@ -144,12 +148,19 @@ def entity_coverage(spark, sf):
     return E.entity_coverage(_graph(spark, sf)[0], ONTOLOGY.frames(spark))
 
 
-def overall_score(spark, sf):
-    e, r = _small(spark, sf)
+def _score(spark, e: DataFrame, r: DataFrame) -> DataFrame:
     s = E.evaluate(e, r, attributes(e), ONTOLOGY.frames(spark))["score"]
     return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
 
 
+def overall_score(spark, sf):
+    return _score(spark, *_small(spark, sf))
+
+
+def overall_score_whole(spark, sf):
+    return _score(spark, _ent(spark, sf), _rel(spark, sf))
+
+
 def _parts(spark, sf) -> DataFrame:
     """Parts as entities of pages, a page for each brand."""
     p = table(spark, sf, "part")
@@ -284,18 +295,32 @@ def export_links(spark, sf):
     return k.select("request_id", "key", "sourceId", "targetId", "type")
 
 
-def export_meta(spark, sf):
-    e, r = _small(spark, sf)
+def _meta(e: DataFrame, r: DataFrame) -> DataFrame:
     m = X.meta(X.nodes(e, ATTRS, 1, "meta1", "Star"), X.links(e, r, ATTRS, 1, "meta1", "Star"), 1, "meta1", "Star", "star.json")
     return m.select("request_id", "title", "id", "file_local_path", F.size("actor_references").cast("long").alias("actors"), F.size("link_references").cast("long").alias("links"))
 
 
-def export_files(spark, sf):
-    e, r = _small(spark, sf)
+def export_meta(spark, sf):
+    return _meta(*_small(spark, sf))
+
+
+def export_meta_whole(spark, sf):
+    return _meta(_ent(spark, sf), _rel(spark, sf))
+
+
+def _files(e: DataFrame, r: DataFrame) -> DataFrame:
     f = X.file_records(X.nodes(e, ATTRS, 1, "meta1", "Star"), X.links(e, r, ATTRS, 1, "meta1", "Star"))
     return f.select("folder", "name")
 
 
+def export_files(spark, sf):
+    return _files(*_small(spark, sf))
+
+
+def export_files_whole(spark, sf):
+    return _files(_ent(spark, sf), _rel(spark, sf))
+
+
 def vis_nodes(spark, sf):
     return V.vis_nodes(_ent(spark, sf).select("id", "type", *ATTRS))
 
@@ -304,12 +329,19 @@ def vis_edges(spark, sf):
     return V.vis_edges(_ent(spark, sf), _rel(spark, sf))
 
 
-def vis_comparison(spark, sf):
-    e = _ent(spark, sf).where(F.substring("id", 1, 1).isin("r", "n", "s"))
+def _comparison(spark, sf, e: DataFrame) -> DataFrame:
     ends = _rel(spark, sf).select(F.explode(F.array("source", "target")).alias("id"), "doc").distinct()
     return V.comparison_nodes(e, ends.join(e.select("id"), "id", "left_semi"))
 
 
+def vis_comparison(spark, sf):
+    return _comparison(spark, sf, _small(spark, sf)[0])
+
+
+def vis_comparison_whole(spark, sf):
+    return _comparison(spark, sf, _ent(spark, sf))
+
+
 def two_hop(spark, sf):
     return G.neighbourhood(_rel(spark, sf), _ent(spark, sf).where("id = 's1'"), 2)
 
@@ -336,7 +368,7 @@ def classify_cascade(spark, sf):
 
 
 def graph_json(spark, sf):
-    e, r = _small(spark, sf)
+    e, r = _ent(spark, sf), _rel(spark, sf)
     out = graph_documents(e, G.clean_relations(e, r), "doc", ("name", "locationName"))
     return out.select("doc", F.length("value").alias("size"))
 
@@ -349,7 +381,7 @@ QUERIES = {
         entity_coverage, overall_score, merge_exact_parts, merge_relations, merge_statistics, match_strategies, provenance_attributes, provenance_relations, metric_company_lookup,
         match_person_tokens, fuzzy_match_first, merge_fuzzy_fold, merge_strategy_fold, merge_project_fold, stream_fold, diag_summary, diag_by_type, diag_patterns, diag_unexpected, diag_lost,
         diag_recommendations, diag_key_details, export_nodes, export_links, export_meta, export_files, vis_nodes, vis_edges, vis_comparison, two_hop, property_filter, select_nodes,
-        extract_graphs, classify_cascade, graph_json,
+        extract_graphs, classify_cascade, graph_json, graph_wcc_whole, overall_score_whole, export_meta_whole, export_files_whole, vis_comparison_whole,
     )
 }
 
