@@ -111,6 +111,16 @@ def test_near_duplicates_hidden_in_a_bucket(spark):
         assert sizes.tolist() == [n, n - gone] and set(first[rows == 0]) & set(first[rows == 1])
 
 
+def test_near_duplicates_with_a_repeated_footer(spark):
+    """Copies whose footer repeats are as near as sets as any (100 of 120 shingles), and none is lost."""
+    rows = []
+    for i in range(300):
+        body, footer = [f"w{i}x{j}" for j in range(104)], [f"f{i}x{j}" for j in range(16)]
+        rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(body + footer * 20))]
+    got = {r.doc_id: r.group_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(300) if got[2 * i + 1] != 2 * i] == []
+
+
 def test_near_duplicates_on_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = queries.op1_near_dup(spark, SF).collect()
