@@ -15,7 +15,7 @@ from kgloom.llm.pii import pseudonymize
 from kgloom.llm.topk import TOPK_SQL, top_k_search
 from kgloom.llm.toxicity import fit_toxicity, score_toxicity
 from kgloom.llm.url_filter import URL_SQL, filter_urls
-from kgloom.llm.warc import WARC_SQL, read_warc, write_warc
+from kgloom.llm.warc import WARC_SQL, read_warc, verified, write_warc
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    write_warc(read_table(spark, sf_dir, "pages"), path)
-    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    manifest = write_warc(read_table(spark, sf_dir, "pages"), path)
+    records = read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path")
+    return verified(records, manifest).drop("path")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

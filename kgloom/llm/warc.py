@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from kgloom.llm.common import materialize, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
-_HEADER_LIMIT = 1 << 16
 _CHUNK = 1 << 20
 MAX_TASKS = 20_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -128,13 +127,12 @@ def _inflate(f, at: int, size: int) -> tuple[bytes, int] | None:
         while not z.eof and pos < size:
             chunk = f.read(min(_CHUNK if checked else 1 << 12, size - pos))
             pos += len(chunk)
+            seen = len(got)
             got += z.decompress(chunk)
             if not checked and len(got) >= 5:
                 if got[:5] != b"WARC/":
                     return None
-                checked = b"\r\n\r\n" in got[:_HEADER_LIMIT]
-                if not checked and len(got) > _HEADER_LIMIT:
-                    return None
+                checked = got.find(b"\r\n\r\n", max(0, seen - 3)) >= 0
     except zlib.error:
         return None
     if not z.eof:
@@ -220,6 +218,17 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 16 << 20, stric
     return ranges.mapInArrow(read, RECORDS)
 
 
+def verified(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``records``, which have a ``path``, as they were read once; an error if a file has not as many as ``manifest`` says."""
+    records = materialize(records, "warc-records")
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    read = records.groupBy(name).agg(F.count("*").alias("read"))
+    wrong = manifest.select(name, "records").join(read, "name", "full").where(~F.col("records").eqNullSafe(F.col("read"))).head(5)
+    if wrong:
+        raise ValueError("records written and read differ: " + ", ".join(f"{r['name']} {r['records']} and {r['read']}" for r in wrong))
+    return records
+
+
 _B32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {15 - 5 * k}) & 31)::INT + 1, 1)" for g in range(8) for k in range(4)
 )

@@ -21,7 +21,7 @@ from kgloom.llm.pii import pseudonymize
 from kgloom.llm.topk import search_block, top_k_search
 from kgloom.llm.toxicity import fit_toxicity, score_toxicity
 from kgloom.llm.url_filter import DigestIndex, filter_urls, index_bytes
-from kgloom.llm.warc import MAGIC, encode_record, read_range, read_warc, write_warc
+from kgloom.llm.warc import MAGIC, encode_record, read_range, read_warc, verified, write_warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -421,6 +421,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert write_warc(df.where("false"), empty).count() == 0
 
 
+def test_warc_long_urls(spark, tmp_path):
+    """A header of 100 KB is read where a range begins with it and inside a range."""
+    rng = random.Random(10)
+    urls = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(100_000)) for _ in range(3)]
+    parts = [encode_record(i, u, b"x", "", None, "d", 1) for i, u in enumerate(["u", urls[0], "u", urls[1], urls[2], "u"])]
+    f = tmp_path / "a.warc.gz"
+    f.write_bytes(b"".join(parts))
+    starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+    for cuts in ([0], [0, starts[1]], [0, starts[1] - 5, starts[3], starts[4] + 9], [*range(0, f.stat().st_size, 5000)]):
+        ends = [*cuts[1:], f.stat().st_size]
+        got = [(o, h["warc-target-uri"]) for a, b in zip(cuts, ends, strict=True) for o, h, _ in read_range(str(f), a, b)]
+        assert got == list(zip(starts, ["u", urls[0], "u", urls[1], urls[2], "u"], strict=True))
+    path = f"file://{tmp_path}/w"
+    df = spark.createDataFrame([(i, u, "x" * i) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    manifest = write_warc(df, path)
+    assert {r.target_uri for r in verified(read_warc(spark, path, split_bytes=3000), manifest).collect()} == set(urls)
+    with pytest.raises(ValueError, match="differ"):
+        verified(read_warc(spark, path).where("page_id <> 1"), manifest)
+
+
 def test_warc_ranges_own_each_record_once(tmp_path):
     rng = random.Random(9)
     parts = [encode_record(i, "u", bytes(rng.randrange(256) for _ in range(rng.randint(0, 400))) + MAGIC * 20, "X" * 32, None, "d", 1) for i in range(30)]
