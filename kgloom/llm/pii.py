@@ -12,6 +12,8 @@ A text without a digit, ``@``, ``=``, ``:`` or the head of an access key is pass
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,22 @@ ROUNDS = 8
 KEY = "kgloom-demo-key"
 #: Dates from 1900-01-01 on, this many days; SIDE * SIDE is the least square above.
 FIRST_DATE, DAYS, SIDE = "1900-01-01", 73049, 271
+#: The other dates of the years 1 to 9999, numbered on over the gap: days before FIRST_DATE, days in all, and the least square's side.
+EARLY, FAR_DAYS, FAR_SIDE = 693595, 3579010, 1892
+#: Characters of an IBAN by country; other codes are taken as far as they go.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    spaced = f"(?: [A-Z0-9]{{4}}){{{groups}}}" + (f" [A-Z0-9]{{{rest}}}" if rest else "")
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?:[A-Z0-9]{{{length - 4}}}|{spaced})\b"
+
+
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What each kind looks like.  The first that fits a place is taken.
@@ -26,7 +44,7 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\"?\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'<>]{6,}",
     "aws": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "iban": r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
+    "iban": r"\b(?=[A-Z]{2}\d{2})(?:" + "|".join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items()) + r"|[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b)",
     "ipv4": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-]|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}([-.])\d{3}\3\d{4})(?!\d)",
@@ -108,8 +126,16 @@ def _ipv4(value: Column, key: str) -> Column:
     return F.array_join(feistel(octets, F.array(*[F.lit(256)] * 4), key, "ipv4").cast("array<string>"), ".")
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _date(value: Column, key: str) -> Column:
-    """Year first, or else month/day with a slash and day.month otherwise, or the other way where only that is valid."""
+    """Year first, or else month/day with a slash and day.month otherwise, or the other way where only that is valid.
+
+    Dates from 1900 to 2099 are permuted among themselves, and so are the others of the years 1 to 9999.
+    """
     sep = F.regexp_extract(value, "[-/.]", 0)
     part = F.split(value, "[-/.]")
     first, second, third = (F.element_at(part, i) for i in (1, 2, 3))
@@ -119,17 +145,26 @@ def _date(value: Column, key: str) -> Column:
     use_us = us.isNotNull() & ((sep == "/") | eu.isNull())
     n = F.datediff(F.when(year_first, iso).when(use_us, us).otherwise(eu), F.lit(FIRST_DATE).cast("date"))
 
-    def walk(x: Column) -> Column:
-        two = F.array(F.floor(x / SIDE).cast("int"), (x % SIDE).cast("int"))
-        out = feistel(two, F.array(F.lit(SIDE), F.lit(SIDE)), key, "date")
-        return F.aggregate(out, F.lit(0), lambda s, y: s * SIDE + y)
-
-    # Out of the calendar once in 190 steps: 8 of them are never all needed in practice; what is left stays unchanged.
-    moved = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(-1), lambda s, i: F.when(i == 1, walk(n)).when(s >= DAYS, walk(s)).otherwise(s))
-    new = F.date_add(F.lit(FIRST_DATE).cast("date"), moved)
-    y, m, d = F.date_format(new, "yyyy"), F.lpad(F.month(new).cast("string"), 2, "0"), F.lpad(F.dayofmonth(new).cast("string"), 2, "0")
-    shown = F.when(year_first, F.array_join(F.array(y, m, d), "|")).when(use_us, F.array_join(F.array(m, d, y), "|")).otherwise(F.array_join(F.array(d, m, y), "|"))
-    return F.when(n.between(0, DAYS - 1) & (moved < DAYS), F.replace(shown, F.lit("|"), sep))
+    def moved(place: Column, days: int, side: int) -> Column:
+        def walk(x: Column) -> Column:
+            two = F.array(F.floor(x / side).cast("int"), (x % side).cast("int"))
+            out = feistel(two, F.array(F.lit(side), F.lit(side)), key, "date")
+            return F.aggregate(out, F.lit(0), lambda s, y: s * side + y)
+
+        # Out of the calendar once in 190 steps or less: 8 of them are never all needed in practice; what is left stays unchanged.
+        steps = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(-1), lambda s, i: F.when(i == 1, walk(place)).when(s >= days, walk(s)).otherwise(s))
+        return _once(steps, lambda x: F.when(x < days, x))
+
+    def other(n: Column) -> Column:
+        far = moved(F.when(n < 0, n + EARLY).otherwise(n - DAYS + EARLY), FAR_DAYS, FAR_SIDE)
+        return F.when(n.between(0, DAYS - 1), moved(n, DAYS, SIDE)).when(n >= -EARLY, _once(far, lambda x: F.when(x < EARLY, x - EARLY).otherwise(x - EARLY + DAYS)))
+
+    def shown(new: Column) -> Column:
+        y, m, d = F.date_format(new, "yyyy"), F.lpad(F.month(new).cast("string"), 2, "0"), F.lpad(F.dayofmonth(new).cast("string"), 2, "0")
+        order = F.when(year_first, F.array(y, m, d)).when(use_us, F.array(m, d, y)).otherwise(F.array(d, m, y))
+        return F.when(new.isNotNull(), F.array_join(order, "|"))
+
+    return F.replace(_once(F.date_add(F.lit(FIRST_DATE).cast("date"), _once(n, other)), shown), F.lit("|"), sep)
 
 
 def _tail(value: Column, head: str, key: str, kind: str) -> Column:

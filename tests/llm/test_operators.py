@@ -389,6 +389,30 @@ def test_pii_keeps_formats_and_links(spark):
     assert pseudonymize(df.where("false")).count() == 0
 
 
+def test_pii_ibans_before_other_tokens(spark):
+    ibans = ["BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "EE38 2200 2210 2014 5685", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606"]
+    rows = [(i * 10 + j, v, t) for i, v in enumerate(ibans) for j, t in enumerate(["", " EUR", " USD 2024", " 2024-05-17", " A 1"])]
+    df = spark.createDataFrame([(i, f"pay {v}{t} now") for i, v, t in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_pseudonyms) for r in pseudonymize(df).collect()}
+    for i, v, t in rows:
+        new, n = got[i]
+        moved = new.removeprefix("pay ")[: len(v)].replace(" ", "")
+        assert v not in new and new[:6] == f"pay {v[:2]}" and int("".join(str(int(c, 36)) for c in moved[4:] + moved[:4])) % 97 == 1
+        assert n == 2 if t.startswith(" 2024-") else n == 1 and new[4 + len(v) :] == f"{t} now"
+
+
+def test_pii_dates_of_all_years(spark):
+    first = "date_add(DATE'0001-01-01', CAST(id * 1217 AS INT))"
+    df = spark.range(3001).selectExpr("id AS doc_id", f"concat('on ', date_format({first}, 'yyyy-MM-dd')) AS text")
+    old, new = {r.doc_id: r.text for r in df.collect()}, pseudonymize(df).collect()
+    assert [old[r.doc_id] for r in new if r.n_pseudonyms != 1] == [] and len({r.text for r in new}) == 3001
+    recent = lambda t: "on 1900" <= t < "on 2100"
+    assert all(recent(r.text) == recent(old[r.doc_id]) for r in new) and max(old.values()) > "on 9990"
+    odd = spark.createDataFrame([(1, "31.12.1899 1/1/2100"), (2, "0000-01-01 1850-02-30")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_pseudonyms) for r in pseudonymize(odd).collect()}
+    assert got[1][1] == 2 and got[2] == ("0000-01-01 1850-02-30", 0)
+
+
 def test_pii_is_a_permutation(spark):
     n = 3000
     df = spark.range(n).select(F.col("id").alias("doc_id"), F.format_string("x %03d-%02d-%04d", 100 + F.col("id") % 500, 1 + F.col("id") % 90, 1 + F.col("id") % 9000).alias("text"))
