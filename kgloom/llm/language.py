@@ -114,8 +114,13 @@ def _segment_likelihoods(data: np.ndarray, offsets: np.ndarray, log_p: np.ndarra
     return np.add.reduceat(like, padded[:-1][docs] + rank * SEGMENT_BYTES, axis=0) / GRAM, docs
 
 
-def infer_mixtures(like: np.ndarray, docs: np.ndarray, n_docs: int, rounds: int = 8, max_languages: int = 3, penalty: float = 2.0):
-    """Proportions (n_docs, languages) of the chosen set of each document; every document has a segment."""
+def infer_mixtures(like: np.ndarray, docs: np.ndarray, n_docs: int, rounds: int = 8, max_languages: int | None = None, penalty: float = 2.0):
+    """Proportions (n_docs, languages) of the chosen set of each document; every document has a segment.
+
+    Sets grow a language at a time, up to ``max_languages`` (all learned ones by default), for the documents where a
+    set of that size can still win: as the likelihood is concave in the proportions, its slope bounds that of any set.
+    Two sets of each size are tried: the largest proportions among all languages, and the set before with the steepest language.
+    """
     n_langs = like.shape[1]
     first = np.searchsorted(docs, np.arange(n_docs))
     n_segments = np.diff(np.append(first, len(docs)))
@@ -123,28 +128,42 @@ def infer_mixtures(like: np.ndarray, docs: np.ndarray, n_docs: int, rounds: int
     p = np.exp((like - top).astype(np.float64))
     base = np.add.reduceat(top[:, 0].astype(np.float64), first)
 
-    def run(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def run(allowed: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Proportions, likelihoods and slopes of the documents ``of`` (ascending)."""
+        rows = np.flatnonzero(np.isin(docs, of)) if len(of) < n_docs else np.arange(len(docs))
+        own, at, start = p[rows], np.searchsorted(of, docs[rows]), np.cumsum(n_segments[of]) - n_segments[of]
         theta = allowed / allowed.sum(axis=1, keepdims=True)
         for _ in range(rounds):
-            r = theta[docs] * p
+            r = theta[at] * own
             r /= r.sum(axis=1, keepdims=True) + 1e-300
-            theta = np.add.reduceat(r, first, axis=0)
+            theta = np.add.reduceat(r, start, axis=0)
             theta /= theta.sum(axis=1, keepdims=True) + 1e-300
-        mass = (theta[docs] * p).sum(axis=1)
-        return theta, base + np.add.reduceat(np.log(mass + 1e-300), first)
+        mass = (theta[at] * own).sum(axis=1) + 1e-300
+        return theta, base[of] + np.add.reduceat(np.log(mass), start), np.add.reduceat(own / mass[:, None], start, axis=0)
 
-    order = np.argsort(-run(np.ones((n_docs, n_langs)))[0], axis=1, kind="stable")
+    free, likely, slope = run(np.ones((n_docs, n_langs)), np.arange(n_docs))
+    bound = likely + slope.max(axis=1) - n_segments
+    order = np.argsort(-free, axis=1, kind="stable")
     alone = np.add.reduceat(like.astype(np.float64), first, axis=0)
     best = np.zeros((n_docs, n_langs))
     best[np.arange(n_docs), alone.argmax(axis=1)] = 1
     best_score = alone.max(axis=1) - penalty * np.log1p(n_segments)
-    for k in range(2, min(max_languages, n_langs) + 1):
-        allowed = np.zeros((n_docs, n_langs))
-        np.put_along_axis(allowed, order[:, :k], 1, axis=1)
-        theta, score = run(allowed)
-        score -= penalty * k * np.log1p(n_segments)
-        better = score > best_score
-        best[better], best_score[better] = theta[better], score[better]
+    grown = best.copy()
+    mass = np.maximum(p[np.arange(len(docs)), alone.argmax(axis=1)[docs]], 1e-300)
+    steep = np.add.reduceat(p / mass[:, None], first, axis=0)
+    for k in range(2, min(max_languages or n_langs, n_langs) + 1):
+        of = np.flatnonzero(bound - penalty * k * np.log1p(n_segments) > best_score)
+        if not len(of):
+            break
+        prefix = np.zeros((len(of), n_langs))
+        np.put_along_axis(prefix, order[of, :k], 1, axis=1)
+        grown[of, np.where(grown[of] > 0, -np.inf, steep[of]).argmax(axis=1)] = 1
+        for allowed in (prefix, grown[of]):
+            theta, score, slope = run(allowed, of)
+            score -= penalty * k * np.log1p(n_segments[of])
+            better = score > best_score[of]
+            best[of[better]], best_score[of[better]] = theta[better], score[better]
+        steep[of] = slope
     return best
 
 
@@ -153,7 +172,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, text_col: s
 
     ``languages`` lists the chosen set as ``code:proportion``, largest first; ``lang_pred`` is the first
     and ``score`` its proportion.  A text that is null or has no letter gets ``und``, 0 and an empty list,
-    and so does any text without a model.  Existing columns of these names are replaced; whole texts of any length
+    and so does any text without a model.  A set may hold as many languages as were learned.  Existing columns of these names are replaced; whole texts of any length
     are read, in pieces.
     """
     small_batches(docs.sparkSession)

@@ -358,6 +358,15 @@ def test_mixture_inference_by_hand():
     assert LanguageModel(["a"], np.zeros((1, 1))).languages == ["a"]
 
 
+def test_mixture_of_four_and_six():
+    for k, of in ((4, 4), (4, 6), (6, 6)):
+        p = np.full((of, of), 0.02)
+        np.fill_diagonal(p, 0.9)
+        like = np.log(np.vstack([np.repeat(p[:k], 40, axis=0), np.repeat(p[:1], 9, axis=0)]))
+        shares = infer_mixtures(like, np.repeat([0, 1], [40 * k, 9]), 2)
+        assert np.allclose(shares[0], [1 / k] * k + [0] * (of - k), atol=0.03) and shares[1].tolist() == [1] + [0] * (of - 1)
+
+
 # ---- personal data ----------------------------------------------------------------------------------------------
 
 
