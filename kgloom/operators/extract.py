@@ -31,13 +31,25 @@ class RuleClient:
         import re
 
         text = prompt.rsplit("TEXT:", 1)[-1]
-        names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", text)))[:20]
+        names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", text)))
         entities = [{"id": f"e{i}", "type": "kg:Company", "name": n} for i, n in enumerate(names, 1)]
         rels = [{"source": f"e{i}", "target": f"e{i + 1}", "type": "kg:mentionedWith"} for i in range(1, len(names))]
         return "```json\n" + json.dumps({"entities": entities, "relationships": rels}) + "\n```"
 
 
-CLIENTS: dict[str, Callable[[], Client]] = {"rules": RuleClient}
+class KeywordClient:
+    """A deterministic client for classification prompts: the category that the text names first, in any case; null for none."""
+
+    def complete(self, prompt: str, temperature: float = 0.1) -> str | None:
+        import re
+
+        head, _, text = prompt.partition("TEXT:")
+        categories = re.search(r"Categories: (.*?)\. Answer", head).group(1).split(", ")
+        found = re.search(r"\b(?:" + "|".join(map(re.escape, categories)) + r")\b", text, re.IGNORECASE)
+        return found and found.group(0).lower()
+
+
+CLIENTS: dict[str, Callable[[], Client]] = {"rules": RuleClient, "keywords": KeywordClient}
 
 
 def register_client(name: str, make: Callable[[], Client]) -> None:

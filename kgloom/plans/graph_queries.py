@@ -363,8 +363,9 @@ def extract_graphs(spark, sf):
 
 
 def classify_cascade(spark, sf):
+    """Documents by the category that their first lines name, or else the whole text."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
-    return EX.classify([docs.select("doc", F.substring("text", 1, 40).alias("text")), docs], "rules", ["company", "report"])
+    return EX.classify([docs.select("doc", F.substring_index("text", "\n", 1).alias("text")), docs], "keywords", ["company", "report"])
 
 
 def graph_json(spark, sf):

@@ -174,6 +174,16 @@ def test_extraction(spark):
         X.client("none")
 
 
+def test_clients_read_whole_texts(spark):
+    names = [f"Name{c}{d}" for c in "abcdef" for d in "abcdef"]
+    reply = json.loads(X.RuleClient().complete("TEXT:" + " ".join(names)).removeprefix("```json\n").removesuffix("\n```"))
+    assert [e["name"] for e in reply["entities"]] == names and len(reply["relationships"]) == len(names) - 1
+    first = [("1", "The Annual Report of 2024"), ("2", "Title"), ("3", "Nothing")]
+    whole = [("1", "a company"), ("2", "Title\n" + "x " * 100 + "by the company."), ("3", "Nothing at all")]
+    got = X.classify([spark.createDataFrame(x, "doc string, text string") for x in (first, whole)], "keywords", ["company", "report"])
+    assert {r.doc: (r.category, r.step) for r in got.collect()} == {"1": ("report", 0), "2": ("company", 1), "3": (X.UNKNOWN_TYPE, 0)}
+
+
 def test_replies(spark):
     df = spark.createDataFrame([('"Report"\nbecause',), ("a long contract here",), (None,), ("?",)], "r string")
     assert [r[0] for r in df.select(X.parse_category(F.col("r"), ["report", "contract"])).collect()] == ["report", "contract", "unknown_document_type", "unknown_document_type"]
