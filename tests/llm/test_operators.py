@@ -15,7 +15,7 @@ from kgloom.llm import queries
 from kgloom.llm.ann import nearest_neighbours
 from kgloom.llm.language import LanguageModel, fit_languages, identify_languages, infer_mixtures
 from kgloom.llm.mixing import emit_copies, mix_sizes, mix_sources
-from kgloom.llm.near_dup import keep_one_of_each, near_duplicates, prob_minhash
+from kgloom.llm.near_dup import RARITY_BITS, exact_links, keep_one_of_each, near_duplicates, prefixes, prob_minhash
 from kgloom.llm.packing import Rota, default_tokenizer, load_encoder, pack_documents
 from kgloom.llm.pii import pseudonymize
 from kgloom.llm.topk import search_block, top_k_search
@@ -88,27 +88,36 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_groups(rows)
 
 
-def test_near_duplicates_hidden_in_a_bucket(spark):
-    """A bucket's least text differs from two others that are similar: the join by prefixes finds them, and only them."""
-    import pyarrow as pa
+def test_near_duplicates_hidden_in_buckets(spark):
+    """Many texts a little below the threshold from each other, with some links among them, fill the buckets."""
+    rng = random.Random(5)
+    body, rows = words(rng, 220).split(), []
+    for _ in range(250):
+        copy = list(body)
+        for _ in range(5):
+            copy[rng.randrange(len(copy))] = "zz" + str(rng.randrange(10**6))
+        rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = {tuple(r) for r in exact_links(df).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    assert links == {(i, j) for j in sets for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    group = {r.doc_id: r.group_id for r in near_duplicates(df).collect()}
+    true = brute_groups(rows)
+    assert len(set(true.values())) > 20
+    assert all(true[i] == true[g] for i, g in group.items())
+    assert sum(group[i] == group[j] for i, j in links) >= 0.99 * len(links)
 
-    from kgloom.llm.near_dup import RARITY_BITS, _hidden_pairs, prefixes
+
+def test_prefixes_share_a_shingle():
+    import pyarrow as pa
 
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-    other = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
-    sets = {1: other, 2: base, 3: np.append(base[:185], other[:5]), 4: np.append(base[:60], other[:50]), 5: base[:190]}
-    items = spark.createDataFrame([(i, bytearray(np.sort(x).tobytes())) for i, x in sets.items()], "doc_id long, items binary")
-    crowded = spark.createDataFrame([(i, 0, 7) for i in sets], "class_id long, band int, h long")
-    groups = spark.createDataFrame([(2, 2), (5, 2)], "node long, component long")
-    pairs = {tuple(r) for r in _hidden_pairs(crowded, items, groups, 0.8).collect()}
-    assert {(2, 3), (3, 5)} <= pairs and (2, 5) not in pairs
-    assert _hidden_pairs(crowded.where("class_id in (2, 5)"), items, groups, 0.8) is None
     rarity = rng.integers(0, 9, 1 << RARITY_BITS)
     for n in range(1, 60):  # two sets at the threshold always share a shingle of their prefixes
         x, gone = base[:n], int(rng.integers(0, n // 5 + 1))
-        rows, first, sizes = prefixes(pa.array([np.sort(x).tobytes(), np.sort(rng.permutation(x)[gone:]).tobytes()]), rarity, 0.8)
-        assert sizes.tolist() == [n, n - gone] and set(first[rows == 0]) & set(first[rows == 1])
+        rows, first, _, _ = prefixes(pa.array([np.sort(x).tobytes(), np.sort(rng.permutation(x)[gone:]).tobytes()]), rarity, 0.8)
+        assert set(first[rows == 0].tolist()) & set(first[rows == 1].tolist())
 
 
 def test_near_duplicates_with_a_repeated_footer(spark):
