@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.sources.scratch import materialize, scratch_path, shared_root
 from kgloom.sources.tables import table as read_table
 
-__all__ = ["held_out", "materialize", "md5_fraction", "read_table", "scratch_path", "shared_root", "small_batches", "write_bytes"]
+__all__ = ["held_out", "materialize", "md5_fraction", "read_table", "scratch_path", "shared_root", "small_batches", "spare_name", "write_bytes"]
 
 
 #: Rows and bytes of an Arrow batch at most, for batches of whole texts.
@@ -26,6 +26,15 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """A column name like ``_name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Write one small file through Hadoop's file system API (any scheme Spark knows)."""
     jvm = spark.sparkContext._jvm
