@@ -11,6 +11,7 @@ from kgloom.llm.mixing import emit_copies, mix_sources
 from kgloom.llm.near_dup import keep_one_of_each
 from kgloom.llm.packing import pack_documents
 from kgloom.llm.pii import pseudonymize
+from kgloom.llm.queries import demo_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -39,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for personal data; ``n_chars`` follows the new text."""
-    return _columns(pseudonymize(_columns(docs)).withColumn("n_chars", F.length("text").cast("long")))
+    return _columns(pseudonymize(_columns(docs), key=demo_key(spark)).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
