@@ -25,6 +25,10 @@ SEGMENT_BYTES = 48
 GRAM = 4
 #: Expected number of training documents of each language; the model is fitted on at most about so many.
 SAMPLE_PER_LANGUAGE = 2000
+#: Share of the background common to all languages in a gram's likelihood.
+BACKGROUND = 0.02
+#: Languages by which the best set of a size is tried to grow.
+TRIED = 4
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -75,7 +79,18 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "place", "n"])
 
 
-def fit_languages(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, smoothing: float = 0.5) -> LanguageModel | None:
+def log_likelihoods(counts: np.ndarray, background: float = BACKGROUND) -> np.ndarray:
+    """Log-likelihoods of grams (places, languages): each language's own shares, mixed with a background common to all.
+
+    The background is the mean of the languages' shares and of an even one.  A gram that no text of a language holds is as likely
+    in every such language, however much text each was learned from.
+    """
+    own = counts / np.maximum(counts.sum(axis=0), 1)
+    common = (own.mean(axis=1) + 1 / len(counts)) / 2
+    return np.log((1 - background) * own + background * common[:, None]).astype(np.float32)
+
+
+def fit_languages(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, background: float = BACKGROUND) -> LanguageModel | None:
     """Learn from ``(doc_id, text, lang)`` with a text and a lang, but for held-out rows; None if there are none.
 
     About ``sample_per_language`` documents of each language are used, chosen by a hash of the id.
@@ -98,8 +113,7 @@ def fit_languages(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAG
     languages = sorted(sizes)
     counts = np.zeros((1 << TABLE_BITS, len(languages)))
     counts[rows["place"], rows["lang"].map(languages.index).astype(int)] = rows["n"]
-    log_p = np.log((counts + smoothing) / (counts.sum(axis=0) + smoothing * len(counts)))
-    return LanguageModel(languages, log_p.astype(np.float32))
+    return LanguageModel(languages, log_likelihoods(counts, background))
 
 
 def _segment_likelihoods(data: np.ndarray, offsets: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +133,8 @@ def infer_mixtures(like: np.ndarray, docs: np.ndarray, n_docs: int, rounds: int
 
     Sets grow a language at a time, up to ``max_languages`` (all learned ones by default), for the documents where a
     set of that size can still win: as the likelihood is concave in the proportions, its slope bounds that of any set.
-    Two sets of each size are tried: the largest proportions among all languages, and the set before with the steepest language.
+    Sets of each size that are tried: the largest proportions among all languages, and the best set before with each of the ``TRIED`` languages
+    in whose direction the likelihood rises most steeply.
     """
     n_langs = like.shape[1]
     first = np.searchsorted(docs, np.arange(n_docs))
@@ -157,13 +172,20 @@ def infer_mixtures(like: np.ndarray, docs: np.ndarray, n_docs: int, rounds: int
             break
         prefix = np.zeros((len(of), n_langs))
         np.put_along_axis(prefix, order[of, :k], 1, axis=1)
-        grown[of, np.where(grown[of] > 0, -np.inf, steep[of]).argmax(axis=1)] = 1
-        for allowed in (prefix, grown[of]):
+        steepest = np.argsort(-np.where(grown[of] > 0, -np.inf, steep[of]), axis=1, kind="stable")
+        tried = [prefix]
+        for place in range(min(TRIED, n_langs - k + 1)):
+            tried.append(grown[of].copy())
+            tried[-1][np.arange(len(of)), steepest[:, place]] = 1
+        top_score = np.full(len(of), -np.inf)
+        for at, allowed in enumerate(tried):
             theta, score, slope = run(allowed, of)
             score -= penalty * k * np.log1p(n_segments[of])
             better = score > best_score[of]
             best[of[better]], best_score[of[better]] = theta[better], score[better]
-        steep[of] = slope
+            if at:
+                up = score > top_score
+                grown[of[up]], steep[of[up]], top_score[up] = allowed[up], slope[up], score[up]
     return best
 
 

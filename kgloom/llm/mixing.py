@@ -76,7 +76,7 @@ def mix_sources(
     copies.  Repeated rows are documents of their own and reruns agree up to which of two equal rows is which.  Existing
     columns of the new names are replaced.
     """
-    return _mixed(docs.drop(*NEW), id_col, text_col, source_col, weights, share, cap, seed, whole=True)
+    return _mixed(docs, id_col, text_col, source_col, weights, share, cap, seed, whole=True)
 
 
 def mix_sizes(
@@ -90,7 +90,7 @@ def mix_sizes(
     seed: int = 17,
 ) -> DataFrame:
     """What ``mix_sources`` decides, with ``id_col`` and the new columns only: texts are read once."""
-    return _mixed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, weights, share, cap, seed, whole=False)
+    return _mixed(docs, id_col, text_col, source_col, weights, share, cap, seed, whole=False)
 
 
 NEW = ("size", "source_size", "target", "copies", "taken")
@@ -98,15 +98,16 @@ NEW = ("size", "source_size", "target", "copies", "taken")
 
 def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, cap: float, seed: int, whole: bool) -> DataFrame:
     salts = max(MIN_SALTS, -(-docs.count() // CELL_ROWS))
-    order = md5_fraction(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    # The columns of ``docs`` travel in one struct, so none of their names can clash with those used here.
+    own = F.struct(*[F.col(f"`{c}`") for c in (docs.drop(*NEW).columns if whole else [id_col])]).alias("_own")
     rows = (
-        docs.withColumn("size", word_count(F.col(text_col)))
-        .withColumns({"_key": source_key(F.col(source_col)), "_order": order})
+        docs.select(own, F.col(id_col).alias("_id"), source_key(F.col(source_col)).alias("_key"), word_count(F.col(text_col)).alias("size"))
+        .withColumn("_order", md5_fraction(F.coalesce(F.col("_id").cast("string"), F.lit(""))))
         .withColumns({"_class": F.length(F.bin("size")), "_salt": F.col("_order") % salts})
     )
     cell = ["_key", "_class", "_salt"]
-    inside = Window.partitionBy(*cell).orderBy("size", "_order", id_col)
-    narrow = materialize(rows.select(id_col, *cell, "size", "_order"), "sizes")
+    inside = Window.partitionBy(*cell).orderBy("size", "_order", "_id")
+    narrow = materialize(rows.select(*([] if whole else ["_own"]), "_id", *cell, "size", "_order"), "sizes")
     ranked = narrow.withColumn("_rank", F.row_number().over(inside))
     cells = narrow.groupBy(*cell).agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
     targets = source_targets(cells.groupBy("_key").agg(F.sum("_words").alias("source_size")), weights, share, cap)
@@ -131,7 +132,7 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     rows = rows.withColumn("_rank", F.row_number().over(inside)) if whole else ranked
     rows = rows.join(cells.select(*cell, "source_size", "target", "_base", "_each", "_offset"), cell)
     rows = rows.withColumn("copies", copies(F.col("_each"))).withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.drop("_key", "_order", "_class", "_salt", "_base", "_rank", "_each", "_offset")
+    return rows.select("_own.*", *NEW)
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:

@@ -3,20 +3,24 @@
 Each source is a queue of documents; a window is ``window_sequences`` sequences.  By deficit round-robin every
 source sends its quota to each window; what rounding leaves of a quota is a deficit that the next windows
 pay, and as a queue's running sum is taken over all partitions, it is carried across partitions too.  Quotas
-are the sources' shares of all tokens, so all queues run dry together and every window holds the mixture
-of the whole, to within one token of a source.
+follow the target proportions among the sources that still have tokens.  By default these are the sources' shares of all tokens, so
+all queues run dry together and every window holds the mixture of the whole, to within one token of a source.
 
-In closed form: source s has sent A_s(w) = floor(w * window * T_s / T) tokens before window w, of T_s; the
+In closed form: at the time v a source has sent min(T_s, w_s * v) of its T_s tokens, w_s being its target; the sum X(v) of all
+grows by pieces, a piece ending where a source runs dry.  Before window w it has sent the floor of that at X(v) = w * window.  The
 windows, their sources in turn, make one gapless stream that is cut every ``seq_len`` tokens, so only
 the last sequence has padding.  A document's place follows from the tokens before it in its queue and
-from the totals of the queues alone.  Shorter windows mix more finely and cut documents more often.
+from the totals of the queues alone.  Shorter windows mix more finely and cut documents more often.  The table of queues, a number for
+each source, is held by every task.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +36,6 @@ WINDOW_SEQUENCES = 16
 SEPARATOR = 0
 CELL_ROWS = 100_000
 MIN_SALTS = 16
-#: More sources than this share queues, by a hash; so the table of queues that every task holds is bounded.
-MAX_QUEUES = 4096
 
 
 def default_tokenizer() -> str:
@@ -100,10 +102,7 @@ def queue_places(sized: DataFrame) -> tuple[DataFrame, list[str], list[int]]:
     by cells (queue, salt), so a queue with most of all rows isn't one task's work.
     """
     key = source_key(F.col("source"))
-    count, sources = sized.agg(F.count("*"), F.approx_count_distinct(key)).first()
-    if sources > MAX_QUEUES:
-        key = F.concat(F.lit("h"), F.pmod(F.xxhash64(key), F.lit(MAX_QUEUES)).cast("string"))
-    salts = max(MIN_SALTS, -(-count // CELL_ROWS))
+    salts = max(MIN_SALTS, -(-sized.count() // CELL_ROWS))
     h = md5_fraction(F.coalesce(F.col("doc_id"), F.lit(-1)))
     rows = sized.select("uid", key.alias("queue"), h.alias("h"), (h % salts).alias("salt"), "n")
     cells = rows.groupBy("queue", "salt").agg(F.sum("n").alias("m"))
@@ -116,37 +115,69 @@ def queue_places(sized: DataFrame) -> tuple[DataFrame, list[str], list[int]]:
 
 
 class Rota:
-    """Where the tokens of each queue go: windows of ``window`` tokens, the queues in turn."""
-
-    def __init__(self, totals: list[int], window: int):
-        self.total, self.window, self.sizes = sum(totals), window, totals
-        small = self.total < 1 << 31  # products fit in 64 bits
+    """Where the tokens of each queue go: windows of ``window`` tokens, the queues in turn by ``weights`` (their totals by default)."""
+
+    def __init__(self, totals: list[int], window: int, weights: list[int] | None = None):
+        self.total, self.window, self.sizes, self.weights = sum(totals), window, totals, weights or totals
+        # Queues in the order in which they run dry: then (as fractions), and before each: tokens of the dry ones and weights of the others.
+        order = sorted(range(len(totals)), key=lambda q: Fraction(totals[q], self.weights[q]))
+        self.dry, self.gone, self.left, self.sent = [], [], [], []
+        gone, left = 0, sum(self.weights)
+        for q in order:
+            then = Fraction(totals[q], self.weights[q])
+            if not self.dry or then > self.dry[-1]:
+                self.dry.append(then)
+                self.gone.append(gone)
+                self.left.append(left)
+                self.sent.append(gone + left * then)
+            gone, left = gone + totals[q], left - self.weights[q]
+        small = max([self.total, *self.weights]) * max([self.total, sum(self.weights)]) < 1 << 62  # products fit in 64 bits
         self.array = np.array(totals, np.int64 if small else object)
-        self.at = lru_cache(maxsize=4096)(self._at)
+        self.weight = np.array(self.weights, np.int64 if small else object)
+        self.at = lru_cache(maxsize=max(16, (1 << 22) // max(1, len(totals))))(self._at)
+
+    def _sent(self, tokens: int) -> np.ndarray:
+        """What each queue has sent when all have sent ``tokens``."""
+        if tokens >= self.total:
+            return self.array
+        k = bisect_left(self.sent, tokens)
+        return np.minimum(self.weight * (tokens - self.gone[k]) // self.left[k], self.array)
 
     def _at(self, w: int) -> tuple[list[int], list[int], list[int]]:
         """Before window w: tokens sent by each queue; then the ends of their runs; and where the runs begin in the stream."""
-        sent = np.minimum(w * self.window * self.array // self.total, self.array)
-        then = np.minimum((w + 1) * self.window * self.array // self.total, self.array)
+        sent, then = self._sent(w * self.window), self._sent((w + 1) * self.window)
         begin = sent.sum() + np.cumsum(then - sent) - (then - sent)
         return sent.tolist(), then.tolist(), begin.tolist()
 
     def runs(self, queue: int, before: int, n: int):
         """(start, length, position) of the document's runs; ``start`` counts from its first token."""
-        start, per = 0, self.window * self.sizes[queue]
+        start, weight = 0, self.weights[queue]
         while start < n:
             c = before + start
-            w = -(-(c + 1) * self.total // per) - 1  # the last window whose A is at most c
+            k = bisect_left(self.dry, Fraction(c + 1, weight))
+            w = -(-(self.gone[k] * weight + self.left[k] * (c + 1)) // (self.window * weight)) - 1  # the last window before which at most c are sent
             sent, then, begin = self.at(w)
             length = min(n - start, then[queue] - c)
             yield start, length, begin[queue] + c - sent[queue]
             start += length
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = SEQ_LEN, window_sequences: int = WINDOW_SEQUENCES) -> DataFrame:
+def _weights(queues: list[str], totals: list[int], targets: dict[str | None, float] | None) -> list[int]:
+    if targets is None:
+        return totals
+    of = {"b" if source is None else f"a{source}": share for source, share in targets.items()}
+    if missing := [q for q in queues if not of.get(q, 0) > 0]:
+        raise ValueError(f"targets need a share above 0 for each source; not so: {missing[:5]}")
+    return [max(1, round(of[q] / sum(of.values()) * (1 << 30))) for q in queues]
+
+
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = SEQ_LEN, window_sequences: int = WINDOW_SEQUENCES, targets: dict[str | None, float] | None = None
+) -> DataFrame:
     """The pieces of all documents: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    A null or empty text is its separator alone.  Repeated rows are packed each; null sources are one
+    ``targets`` are the sources' proportions of each window's tokens, among those that have tokens left; by default their shares of
+    all.  All documents are packed whatever the targets.  A null or empty text is its separator alone.  Repeated rows are packed each; null sources are one
     queue; a null doc_id stays null.  An empty table gives no piece.
     """
     small_batches(docs.sparkSession)
@@ -154,11 +185,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, seq_len:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     tokens = materialize(tokenize(rows, path), "tokens")
     places, queues, totals = queue_places(tokens.select("uid", "doc_id", "source", "n"))
-    number = {q: i for i, q in enumerate(queues)}
+    number, weights = {q: i for i, q in enumerate(queues)}, _weights(queues, totals, targets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        rota = Rota(totals, seq_len * window_sequences)
+        rota = Rota(totals, seq_len * window_sequences, weights)
         for b in batches:
             cols: list[list] = [[] for _ in names]
             for doc, n, packed, queue, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):

@@ -61,7 +61,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     manifest = write_warc(read_table(spark, sf_dir, "pages"), path)
-    records = read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path")
+    records = read_warc(spark, path, manifest=manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path")
     return verified(records, manifest).drop("path")
 
 

@@ -1,10 +1,10 @@
 """Operator 5: toxicity by weak supervision.
 
 Many voters look at a text: each lexicon word, each word beginning, and a few patterns of writing.
-The lexicon is induced from labelled rows.  A generative label model then estimates, by
-expectation-maximisation on votes alone, how often each voter fires on either class and, from the
-conditional covariance of votes, which voters repeat each other; correlated voters share one
-voice.  Its posteriors are the targets of a linear (logistic) classifier that scores every text.
+The lexicon is induced from labelled rows, and so is where the label model starts.  That generative model then estimates, by
+expectation-maximisation on the votes of labelled and unlabelled rows alike, the share of toxic rows,
+how often each voter fires on either class and, from the conditional covariance of votes, which voters repeat each other; correlated voters share one
+voice.  A label, where there is one, is one more voter, of a fixed accuracy below 1; the rates seen on labelled rows stay as a weak prior.  Its posteriors are the targets of a linear (logistic) classifier that scores every text.
 """
 
 from __future__ import annotations
@@ -22,6 +22,12 @@ from kgloom.llm.textbytes import slices, span_hashes, utf8
 
 #: The model is fitted on at most so many labelled rows of each class.
 SAMPLE_PER_CLASS = 8000
+#: The label model also sees the votes of about so many rows without a label at most.
+SAMPLE_UNLABELLED = 8000
+#: Rows that the rates seen on labelled rows count for in the label model.
+STRENGTH = 50.0
+#: How often a label is taken to be right.
+LABEL_ACCURACY = 0.98
 MAX_LEXICON = 400
 PREFIXES = (4, 5)
 PATTERNS = ("exclaims", "shouts", "short", "clean")
@@ -102,28 +108,35 @@ def votes(model: ToxicityModel, lower: pa.Array, capitals: np.ndarray) -> tuple[
     return fired // voters, fired % voters
 
 
-def label_model(v: np.ndarray, prior: float, expected1: np.ndarray, expected0: np.ndarray, strength: float = 2000.0, rounds: int = 25) -> np.ndarray:
-    """Posterior of class 1 for each row of the votes ``v`` (rows, voters; 0/1).
+def label_model(
+    v: np.ndarray, weight: np.ndarray, prior: float, expected1: np.ndarray, expected0: np.ndarray, strength: float = STRENGTH, rounds: int = 40, told: np.ndarray | float = 0.0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of class 1 for each row of the votes ``v`` (rows, voters; 0/1) of weight ``weight``, and each voter's voice.
 
-    Accuracies are each voter's rates of firing on both classes, estimated by EM on the votes with
-    ``expected1`` and ``expected0`` as prior rates that count as ``strength`` rows.  A voter's voice is divided
+    The share of class 1 and each voter's rates of firing on both classes are estimated by EM on the votes alone; ``prior``,
+    ``expected1`` and ``expected0`` are where it starts, and the rates also count as ``strength`` rows.  ``told`` are the log-odds that a row's label, a voter of
+known accuracy that most rows lack, adds.  A voter's voice is divided
     by the sum of its correlations, given the class, above 0.6.
     """
+    weight = weight * (len(v) / weight.sum())
     n = len(v)
-    voice, r1, r0 = np.ones(v.shape[1]), expected1, expected0
+    voice, r1, r0, share = np.ones(v.shape[1]), expected1, expected0, prior
     for step in range(rounds):
-        odds = v @ (voice * np.log(np.clip(r1, 1e-5, 1 - 1e-5) / np.clip(r0, 1e-5, 1 - 1e-5))) + np.log(prior / (1 - prior))
-        fired = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        mass = fired.sum()
-        r1 = (v.T @ fired + strength * expected1) / (mass + strength)
-        r0 = (v.T @ (1 - fired) + strength * expected0) / (n - mass + strength)
-        if step in (5, 15):
-            rest = v - np.outer(fired, r1) - np.outer(1 - fired, r0)
-            sd = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            rho = np.abs(rest.T @ rest) / n / np.outer(sd, sd)
+        fires, rests = (np.log(np.clip(a, 1e-5, 1 - 1e-5) / np.clip(b, 1e-5, 1 - 1e-5)) for a, b in ((r1, r0), (1 - r1, 1 - r0)))
+        odds = v @ (voice * (fires - rests)) + (voice * rests).sum() + np.log(share / (1 - share)) + told
+        toxic = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        mass = float((weight * toxic).sum())
+        share = float(np.clip((mass + strength * prior) / (n + strength), 1e-4, 0.5))
+        r1 = (v.T @ (weight * toxic) + strength * expected1) / (mass + strength)
+        r0 = (v.T @ (weight * (1 - toxic)) + strength * expected0) / (n - mass + strength)
+        if step in (0, 5, 15, 25):
+            rest = v - np.outer(toxic, r1) - np.outer(1 - toxic, r0)
+            cov = (rest * weight[:, None]).T @ rest / n
+            sd = np.sqrt(np.diag(cov)) + 0.01  # a voter that the class explains wholly repeats none
+            rho = np.abs(cov / np.outer(sd, sd))
             np.fill_diagonal(rho, 1)
             voice = 1 / np.where(rho > 0.6, rho, 0).sum(axis=0)
-    return fired
+    return toxic, voice
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-6, rounds: int = 60) -> np.ndarray:
@@ -148,8 +161,9 @@ def _prepared(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, F.lower(text).alias("text"), (F.length(text) - capitals).alias("capitals"))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, max_lexicon: int = MAX_LEXICON) -> ToxicityModel:
-    """Learn from ``labels(doc_id, toxic)`` of rows that aren't held out, at most ``sample_per_class`` of each class.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, max_lexicon: int = MAX_LEXICON, unlabelled: int = SAMPLE_UNLABELLED) -> ToxicityModel:
+    """Learn from ``labels(doc_id, toxic)`` of rows that aren't held out, at most ``sample_per_class`` of each class, and from the
+    texts of about ``unlabelled`` rows at most that have no label and aren't held out.
 
     Without labels of both classes the model scores every text near 0.  Lexicon counts and the votes of
     the sample come to the driver; both are bounded by the parameters.
@@ -195,17 +209,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAM
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(voter.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["toxic", "fired"])
 
-    got = rows.select("toxic", "text", "capitals").mapInArrow(look, "toxic int, fired array<int>").toPandas()
+    free = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rate = min(1.0, unlabelled / max(1, free.count()))
+    # By another digest than the sample of the labelled ones; a row that has a label after all is dropped by its id.
+    free = free.where(md5_fraction(F.concat(F.lit("free"), F.col("doc_id").cast("string"))) < rate * float(1 << 32))
+    free = _prepared(free.join(usable.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti"))
+    everything = rows.select("toxic", "text", "capitals").unionByName(free.select(F.lit(None).cast("int").alias("toxic"), "text", "capitals"))
+    got = everything.mapInArrow(look, "toxic int, fired array<int>").toPandas()
     v = np.zeros((len(got), width))
     for k, fired in enumerate(got["fired"]):
         v[k, fired] = 1
-    truth = got["toxic"].to_numpy()
+    truth = got["toxic"].to_numpy(float)
     shape1, shape0 = ((v[truth == c].sum(axis=0)[-len(PATTERNS) :] + 0.5) / (n[c] + 1) for c in (1, 0))
     expected1 = np.concatenate([picked["rate1"].to_numpy(float), shape1])
     expected0 = np.concatenate([picked["rate0"].to_numpy(float), shape0])
-    posterior = label_model(v, float(np.clip(truth.mean(), 0.02, 0.98)), expected1, expected0)
-    real = by_class[1] / (by_class[0] + by_class[1])  # the sample holds as many of each class; scores follow the real share
-    weight = np.where(truth == 1, real / max(1, truth.sum()), (1 - real) / max(1, (1 - truth).sum()))
+    real = by_class[1] / (by_class[0] + by_class[1])  # the sample holds as many of each class; rows count by the real share
+    labelled = np.where(truth == 1, real / max(1, (truth == 1).sum()), (1 - real) / max(1, (truth == 0).sum()))
+    blank = np.isnan(truth)
+    weight = np.where(blank, 1 / max(1, len(truth)), labelled * (~blank).sum() / max(1, len(truth)))
+    posterior, _ = label_model(v, weight, float(np.clip(real, 0.001, 0.5)), expected1, expected0, told=np.where(blank, 0, (2 * np.nan_to_num(truth) - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))))
     w = _logistic(v, posterior, weight)
     return ToxicityModel(model.entries, w[:-1], float(w[-1]))
 

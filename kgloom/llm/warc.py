@@ -67,8 +67,8 @@ def write_warc(
     Of records with equal payloads of at least ``min_bytes`` bytes, those with the smallest page_id are
     responses and the others revisit it; smaller payloads are always responses.  A null html is an empty payload, a null page_id
     sorts last and, where no equal payload has an id, is a response; repeated rows with the smallest id are all responses.
-    Line ends in a url are percent-encoded.  Each task writes files of its own and moves them into place when they
-    are whole, so a repeated task replaces its own files.
+    Line ends in a url are percent-encoded.  Each attempt of a task writes files of its own names; the manifest holds those of the attempts that
+    counted, so files that a lost or repeated attempt left behind are in no manifest: read with it (``read_warc``).
     """
     small_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -84,14 +84,14 @@ def write_warc(
         from pyspark import TaskContext
 
         ctx, fs, out, done = TaskContext.get(), None, None, []
-        stem = f"{path}/part-{ctx.partitionId():06d}"
+        stem = f"{path}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
         try:
             for b in batches:
                 for page_id, url, body, digest, refers in zip(*(b.column(i) for i in range(5)), strict=True):
                     if out is None:
                         name = f"{stem}-{len(done):04d}.warc.gz"
                         fs, to = _open(name)
-                        temp = f"{to}.{ctx.taskAttemptId()}.tmp"
+                        temp = f"{to}.tmp"
                         if fs.type_name == "local":
                             fs.create_dir(to.rpartition("/")[0], recursive=True)
                         out, size, count = fs.open_output_stream(temp), 0, 0
@@ -178,16 +178,19 @@ def _next_magic(f, pos: int, end: int) -> int:
     return end
 
 
-def read_warc(spark: SparkSession, path: str, split_bytes: int = 16 << 20, strict: bool = True) -> DataFrame:
-    """The records of all ``*.warc.gz`` files below ``path`` (columns RECORDS).
+def read_warc(spark: SparkSession, path: str, split_bytes: int = 16 << 20, strict: bool = True, manifest: DataFrame | None = None) -> DataFrame:
+    """The records of the files of ``manifest``, or else of all ``*.warc.gz`` files below ``path`` (columns RECORDS).
 
     A response has its payload, whose length and digest are computed from it and must agree with the header; a revisit has
     those of its header and no payload.  ``strict``: bytes between two records raise an error, else they are skipped.
     """
     small_batches(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").schema(
-        "path string, modificationTime timestamp, length long, content binary"
-    ).load(path).select("path", "length")
+    if manifest is not None:
+        files = manifest.select("path", F.col("bytes").alias("length"))
+    else:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").schema(
+            "path string, modificationTime timestamp, length long, content binary"
+        ).load(path).select("path", "length")
     ranges = files.where("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     # A task for each range, up to MAX_TASKS: the rows are too small for their size to tell how much work they are.
     ranges = ranges.repartition(max(1, min(MAX_TASKS, ranges.count())), "path", "start")

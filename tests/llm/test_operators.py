@@ -23,7 +23,7 @@ from kgloom.llm.near_dup import RARITY_BITS, exact_links, keep_one_of_each, near
 from kgloom.llm.packing import Rota, default_tokenizer, load_encoder, pack_documents
 from kgloom.llm.pii import ANY, KEY_SETTING, pseudonymize
 from kgloom.llm.topk import search_block, top_k_search
-from kgloom.llm.toxicity import fit_toxicity, score_toxicity
+from kgloom.llm.toxicity import fit_toxicity, label_model, score_toxicity
 from kgloom.llm.url_filter import DigestIndex, filter_urls, index_bytes
 from kgloom.llm.warc import MAGIC, encode_record, read_range, read_warc, verified, write_warc
 
@@ -302,6 +302,10 @@ def test_mix_awkward(spark, awkward):
     copies = emit_copies(got)
     assert "_copy" not in copies.columns and copies.count() == got.agg(F.sum("copies")).first()[0]
     assert mix_sources(awkward.where("false")).count() == 0
+    clash = awkward.withColumns({c: F.concat(F.lit("own"), "doc_id") for c in ("_key", "_order", "_class", "_salt", "_base", "_rank", "_each", "_offset", "_own", "_id")})
+    rows = mix_sources(clash).collect()
+    assert all(r[c] == (None if r.doc_id is None else f"own{r.doc_id}") for r in rows for c in ("_key", "_order", "_rank", "_own", "_id"))
+    assert sorted(emit_copies(mix_sources(clash)).columns) == sorted(set(clash.columns) - {"size", "copies"})
     assert mix_sources(awkward.where("doc_id in (1, 2)")).agg(F.sum("taken")).first()[0] == 0
 
 
@@ -314,6 +318,22 @@ def test_toxicity_held_out(spark):
     toxic, clean = [r.score for r in got if r.toxic == 1], [r.score for r in got if r.toxic == 0]
     auc = np.mean([(t > c) + 0.5 * (t == c) for t in toxic for c in clean])
     assert auc > 0.75 and np.mean([r.predicted for r in got if r.toxic == 0]) < 0.05
+    assert np.mean([r.predicted for r in got if r.toxic == 1]) > 0.6
+
+
+def test_label_model_learns_rates_and_copies():
+    """Rates and the share of class 1 come from votes alone, from a wrong start; a voter that is repeated counts once."""
+    rng = np.random.default_rng(4)
+    y = rng.random(6000) < 0.1
+    r1, r0 = np.array([0.8, 0.7, 0.6, 0.75, 0.5]), np.array([0.05, 0.1, 0.02, 0.08, 0.01])
+    v = (rng.random((6000, 5)) < np.where(y[:, None], r1, r0)).astype(float)
+    noise = (rng.random((6000, 1)) < np.where(y[:, None], 0.35, 0.2)).astype(float)
+    v = np.hstack([v, np.repeat(noise, 4, axis=1)])  # a poor voter and three copies of it
+    start1, start0 = np.array([0.5] * 5 + [0.3] * 4), np.array([0.15] * 5 + [0.25] * 4)
+    got, voice = label_model(v, np.ones(6000), 0.3, start1, start0)
+    assert np.allclose(voice[5:], 0.25, atol=0.02) and (voice[:5] > 0.9).all()
+    assert abs(got.mean() - y.mean()) < 0.02 and ((got > 0.5) == y).mean() > 0.98
+    assert np.abs((v * got[:, None]).sum(axis=0)[:5] / got.sum() - r1).max() < 0.06
 
 
 def test_toxicity_learns_planted_words(spark):
@@ -364,6 +384,40 @@ def test_language_awkward(spark, awkward):
     assert {r.lang_pred for r in identify_languages(awkward, None).collect()} == {"und"}
 
 
+def test_language_with_little_text_draws_no_strangers(spark):
+    """Grams that no language holds speak for none, however little text one of them was learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = fit_languages(docs.unionByName(spark.createDataFrame([(10**6 + 1, "zz", "xx"), (10**6 + 2, "zz", "xx")], "doc_id long, text string, lang string")))
+    assert "xx" in model.languages
+    rng = random.Random(2)
+    asked = [(1, "\u0431\u044b\u0441\u0442\u0440\u0430\u044f \u043b\u0438\u0441\u0430 \u0438 \u0441\u043e\u0431\u0430\u043a\u0430 " * 5), (2, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059 " * 5), (3, "".join(rng.choice("qxzwkj ") for _ in range(300))), (4, "zz")]
+    got = {r.doc_id: r.lang_pred for r in identify_languages(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert "xx" not in (got[1], got[2], got[3]) and got[4] == "xx"
+
+
+def test_mixture_sets_against_all_sets():
+    """The set chosen has the best penalised likelihood of all sets of four languages, or all but."""
+    rng, gaps = np.random.default_rng(9), []
+    for _ in range(60):
+        n, of = int(rng.integers(1, 40)), 4
+        like = -rng.gamma(2.0, float(rng.choice([0.3, 2, 8])), (n, of))
+        chosen = infer_mixtures(like, np.zeros(n, np.int64), 1, rounds=60)[0]
+
+        def value(theta):
+            return np.log(np.exp(like) @ theta + 1e-300).sum() - 2.0 * (theta > 0).sum() * np.log1p(n)
+
+        best = -np.inf
+        for mask in range(1, 1 << of):
+            theta = np.array([float(mask >> k & 1) for k in range(of)])
+            theta /= theta.sum()
+            for _ in range(300):
+                r = theta * np.exp(like)
+                theta = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+            best = max(best, np.log(np.exp(like) @ theta).sum() - 2.0 * bin(mask).count("1") * np.log1p(n))
+        gaps.append(best - value(chosen))
+    assert max(gaps) < 1 and np.mean(np.array(gaps) < 0.05) > 0.9
+
+
 def test_mixture_inference_by_hand():
     like = np.log(np.array([[0.9, 0.1], [0.9, 0.1], [0.1, 0.9], [0.9, 0.1]]))
     shares = infer_mixtures(np.repeat(like, 30, axis=0), np.repeat([0, 0, 0, 1], 30), 2, rounds=50, penalty=0.5)
@@ -584,6 +638,9 @@ def test_warc_round_trip(spark, tmp_path):
                     assert own[i].payload == (html or "").encode()
         assert own[500].refers_to == own[501].refers_to == 3 and own[3].record_type == "response" and own[503].refers_to == min(i for i, _, h in rows if i is not None and not h)
         assert {(r.record_type, r.refers_to) for r in got if r.page_id is None} == {("revisit", 3), ("response", None)}
+    manifest = write_warc(df, f"file://{tmp_path}/m")
+    (tmp_path / "m" / "part-000000-999-0000.warc.gz").write_bytes(encode_record(9, "u", b"left behind", "", None, "d", 1))
+    assert read_warc(spark, f"file://{tmp_path}/m").count() == len(rows) + 1 and read_warc(spark, f"file://{tmp_path}/m", manifest=manifest).count() == len(rows)
     empty = f"file://{tmp_path}/empty"
     assert write_warc(df.where("false"), empty).count() == 0
 
@@ -664,6 +721,45 @@ def test_rota_covers_queues():
     assert places == list(range(1082))
 
 
+def test_rota_follows_targets():
+    """Against a rota that deals token by token: windows hold the targets until a queue runs dry, then those of the rest."""
+    for sizes, weights, window in (([300, 500, 200], [3, 1, 2], 60), ([5, 1000, 77], [1, 1, 1], 64), ([40, 40], [7, 3], 10)):
+        rota = Rota(sizes, window, weights)
+        places = {}
+        for q, n in enumerate(sizes):
+            for start, length, p in rota.runs(q, 0, n):
+                places |= {p + i: (q, start + i) for i in range(length)}
+        assert sorted(places) == list(range(sum(sizes)))
+        sent = [0.0] * len(sizes)
+        for w in range(-(-sum(sizes) // window)):
+            due = min(window, sum(sizes) - w * window)
+            while due > 1e-9:  # equal times until the window is full or a queue is dry
+                live = [q for q, n in enumerate(sizes) if n - sent[q] > 1e-9]
+                step = min([due / sum(weights[q] for q in live), *((sizes[q] - sent[q]) / weights[q] for q in live)])
+                for q in live:
+                    sent[q] += step * weights[q]
+                due -= step * sum(weights[q] for q in live)
+            got = [sum(places[p][0] == q for p in range(min((w + 1) * window, sum(sizes)))) for q in range(len(sizes))]
+            assert all(abs(g - x) <= len(sizes) for g, x in zip(got, sent, strict=True))
+        for q in range(len(sizes)):  # each queue in order
+            own = [at for p, (of, at) in sorted(places.items()) if of == q]
+            assert own == sorted(own)
+
+
+def test_packing_targets_and_many_sources(spark):
+    rows = [(i, "word " * 40, f"s{i % 3}" if i % 3 else None) for i in range(90)]
+    df = docs_frame(spark, rows)
+    got = pack_documents(df, seq_len=64, window_sequences=4, targets={None: 2.0, "s1": 1.0, "s2": 1.0}).collect()
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+    first = [r for r in got if r.sequence_id < 4]
+    assert abs(sum(r.length for r in first if r.doc_id % 3 == 0) - 128) <= 3
+    with pytest.raises(ValueError, match="share above 0"):
+        pack_documents(df, targets={"s1": 1.0})
+    many = docs_frame(spark, [(i, "a b", f"q{i}") for i in range(5000)])
+    got = pack_documents(many).collect()
+    assert sorted((r.sequence_id, r.offset) for r in got)[0] == (0, 0) and sum(r.length for r in got) == sum(r.doc_tokens for r in {r.doc_id: r for r in got}.values())
+
+
 def test_encoder_follows_the_file():
     from tokenizers import Tokenizer
 
