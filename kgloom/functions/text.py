@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -117,13 +119,14 @@ def summary(found: Column, limit: int = 200) -> Column:
 
 
 def length_bound(a: Column, b: Column) -> Column:
-    """The highest similarity that lengths allow."""
-    la, lb = F.length(a), F.length(b)
+    """The highest similarity that lengths allow; cases don't count, as they don't in ``ratio``."""
+    la, lb = F.length(F.lower(a)), F.length(F.lower(b))
     return F.when((la > 0) & (lb > 0), 2.0 * F.least(la, lb) / (la + lb)).otherwise(0.0)
 
 
 def multiset_bound(a: Column, b: Column) -> Column:
-    """The highest similarity that the characters allow, in any order."""
+    """The highest similarity that the characters allow, in any order and case."""
+    a, b = F.lower(a), F.lower(b)
     # Characters are numbered within their kind, so that the intersection of sets is one of multisets.
     def numbered(x: Column) -> Column:
         chars = F.array_sort(F.split(x, ""))
@@ -138,6 +141,27 @@ def ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a.lower(), b.lower()).ratio() if a and b else 0.0
 
 
+@lru_cache(maxsize=1 << 16)
+def _letters(text: str) -> Counter:
+    return Counter(text)
+
+
+def alike(a: str | None, b: str | None, least: float) -> bool:
+    """``ratio(a, b) >= least``, computed only where the lengths and the characters allow it."""
+    if not a or not b:
+        return least <= 0
+    a, b = a.lower(), b.lower()
+    whole = len(a) + len(b)
+    if 2.0 * min(len(a), len(b)) / whole < least:
+        return False
+    if a == b:
+        return least <= 1
+    few, many = sorted((_letters(a), _letters(b)), key=len)
+    if 2.0 * sum(min(n, many[c]) for c, n in few.items()) / whole < least:
+        return False
+    return SequenceMatcher(None, a, b).ratio() >= least
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """``ratio`` of (new, candidate), by batches; each distinct pair of a batch is compared once."""

@@ -35,13 +35,28 @@ class ChunkConfig:
 
 
 def header_titles(text: Column, headers: tuple[str, ...] = HEADERS) -> Column:
-    """All headers of a text as (level, title), level by level."""
-    found = []
+    """All headers of a text as (level, title) by position, those of one place by level; a title is the whole match."""
+    total = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+
+    def placed(level: int, pattern: str) -> Column:
+        whole, gaps = F.regexp_extract_all(text, F.lit(f"(?md){pattern}"), F.lit(0)), F.split(text, f"(?md){pattern}", -1)
+        at = lambda i: total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(whole, F.lit(1), i))
+        return F.transform(whole, lambda t, i: F.struct(at(i).alias("at"), F.lit(level).alias("level"), strip(t).alias("title")))
+
+    found = [placed(level, pattern) for level, pattern in enumerate(headers, 1)]
+    return F.transform(F.array_sort(F.concat(*found)), lambda h: F.struct(h["level"].alias("level"), h["title"].alias("title")))
+
+
+def last_header(text: Column, headers: tuple[str, ...] = HEADERS) -> Column:
+    """The last of ``header_titles``, or null."""
+    last = []
     for level, pattern in enumerate(headers, 1):
-        group = 2 if pattern.count("(") - pattern.count("(?") > 1 else 1
-        titles = F.regexp_extract_all(text, F.lit(f"(?md){pattern}"), F.lit(group))
-        found.append(F.transform(titles, lambda t, n=level: F.struct(F.lit(n).alias("level"), strip(t).alias("title"))))
-    return F.concat(*found)
+        whole, gaps = F.regexp_extract_all(text, F.lit(f"(?md){pattern}"), F.lit(0)), F.split(text, f"(?md){pattern}", -1)
+        match = F.element_at(whole, -1)
+        at = F.length(text) - F.length(F.element_at(gaps, -1)) - F.length(match)
+        last.append(F.when(F.size(whole) > 0, F.struct(at.alias("at"), F.lit(level).alias("level"), strip(match).alias("title"))))
+    best = F.array_max(F.array(*last))
+    return F.when(best.isNotNull(), F.struct(best["level"].alias("level"), best["title"].alias("title")))
 
 
 def sections(pages: DataFrame, config: ChunkConfig = ChunkConfig(), lossless: bool = False, header: Column | None = None) -> DataFrame:
@@ -52,8 +67,7 @@ def sections(pages: DataFrame, config: ChunkConfig = ChunkConfig(), lossless: bo
     (level, title), or null, instead of the patterns.
     """
     if header is None:
-        titles = header_titles(F.col("text"), config.headers)
-        header = F.when(F.size(titles) > 0, F.element_at(titles, -1))
+        header = last_header(F.col("text"), config.headers)
     order = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     rows = pages.withColumn("header", header).withColumn("section", F.sum(F.col("header").isNotNull().cast("int")).over(order))
     rows = rows.withColumn("last", F.max("section").over(Window.partitionBy("doc"))).where((F.col("section") > 0) | (F.col("last") == 0) | F.lit(lossless))

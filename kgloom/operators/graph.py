@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 1 << 16
+from kgloom.sources.scratch import materialize
 
 
 def first_by(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
-    """The first row of each key: one hash aggregate with partial minima, no sort."""
+    """The first row of each key: one aggregate with partial minima before the shuffle (by sort, as its structs vary in size)."""
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
     return picked.select(*keys, "_row.*").select(*df.columns)
@@ -35,17 +35,20 @@ def clean_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return kept.select(*relations.columns)
 
 
-def ordered_index(df: DataFrame, order: str, name: str, bucket: int = BUCKET) -> DataFrame:
-    """Number rows 1, 2, ... in the order of a long column, without one task that holds all.
+def ordered_index(df: DataFrame, order: str | list[str], name: str, parts: int | None = None) -> DataFrame:
+    """Number rows 1, 2, ... in the order of the columns ``order``, without one task that holds all.
 
-    Buckets of the order's values are numbered inside; the rows of earlier buckets are added from their counts.
+    Rows are dealt by ranges of the order and numbered inside each; the rows of earlier ranges are added from their counts, of which there is one
+    for each partition.  The ranges are written first, so a lost executor can't number them anew.
     """
-    rows = df.withColumn("_b", F.floor(F.col(order) / bucket))
+    keys = [order] if isinstance(order, str) else order
+    dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    rows = materialize(dealt.sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumns({"_b": F.shiftright("_m", 33), "_m": F.col("_m").bitwiseAND((1 << 33) - 1)})
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
     counts = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = rows.withColumn(name, F.row_number().over(Window.partitionBy("_b").orderBy(order)))
-    return rows.join(counts, "_b").withColumn(name, F.col(name) + F.col("_before")).drop("_b", "_before")
+    return rows.join(F.broadcast(counts), "_b").withColumn(name, F.col("_m") + 1 + F.col("_before")).drop("_b", "_m", "_before")
 
 
 def renumber(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:

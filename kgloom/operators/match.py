@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.functions.text import NAME_FIELD, length_bound, multiset_bound, ratio, similarity
+from kgloom.functions.text import NAME_FIELD, alike, length_bound, multiset_bound, similarity
 
 
 @dataclass(frozen=True)
@@ -109,9 +110,13 @@ def plain(value: Any) -> Any:
     return value[0]["value"] if isinstance(value, list) and value and isinstance(value[0], dict) and "value" in value[0] else value
 
 
+@lru_cache(maxsize=1 << 16)
+def _normal(text: str) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"[^\w\s.-]", " ", text.lower())).strip()
+
+
 def normal(value: Any) -> str:
-    text = re.sub(r"[^\w\s.-]", " ", str(value).lower()) if value not in (None, "") else ""
-    return re.sub(r"\s+", " ", text).strip()
+    return _normal(str(value)) if value not in (None, "") else ""
 
 
 def entity_name(entity: dict, kind: str) -> str:
@@ -139,19 +144,19 @@ def matches(new: dict, old: dict, rules: Rules) -> bool:
             return False
     for k, least in rule.alike:
         x, y = plain(new.get(k)), plain(old.get(k))
-        if x and y and ratio(str(x), str(y)) < least:
+        if x and y and not alike(str(x), str(y), least):
             return False
     for k in rule.keys:
         if normal(plain(new.get(k))) != normal(plain(old.get(k))):
             return False
     if rule.aliases:
-        return any(ratio(x, y) >= rule.threshold for x in [a, *_aliases(new)] if x for y in [b, *_aliases(old)] if y)
+        return any(alike(x, y, rule.threshold) for x in [a, *_aliases(new)] if x for y in [b, *_aliases(old)] if y)
     if not a or not b:
         return False
     p, q = a.split(), b.split()
     if rule.ends and len(p) > 1 and len(q) > 1 and p[0] == q[0] and p[-1] == q[-1]:
         return True
-    return ratio(a, b) >= rule.threshold
+    return alike(a, b, rule.threshold)
 
 
 def find_match(new: dict, candidates: list[dict], rules: Rules) -> dict | None:
@@ -163,16 +168,16 @@ def fuzzy_first_match(new: DataFrame, candidates: DataFrame, threshold: float, b
     """``(id, match_id, score)``: for each of ``new(id, name, ord)`` the first of ``candidates(id, name, ord)`` at least ``threshold`` alike.
 
     Names meet by length class (similar names have similar lengths) and the given block columns; bounds by length and by
-    characters drop pairs on the JVM's side before the similarity is computed.  Each distinct pair of names
+    characters, which as the similarity don't tell cases apart, drop pairs on the JVM's side before the similarity is computed.  Each distinct pair of names
     is compared once.
     """
     block = block or []
     step = F.lit(2.0 / threshold - 1.0)  # lengths of similar names differ by at most this factor
-    band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / F.log(step + 1e-9)).cast("int")
+    band = lambda c: F.floor(F.log(F.greatest(F.length(F.lower(c)), F.lit(1)).cast("double")) / F.log(step + 1e-9)).cast("int")
     a = new.select(*block, F.col("name").alias("a")).where("a <> ''").distinct().withColumn("band", F.explode(F.array(*[band("a") + i for i in (-1, 0, 1)])))
     b = candidates.select(*block, F.col("name").alias("b")).where("b <> ''").distinct().withColumn("band", band("b"))
     pairs = a.join(b, [*block, "band"]).where(length_bound(F.col("a"), F.col("b")) >= threshold)
-    pairs = pairs.where((F.col("a") == F.col("b")) | (multiset_bound(F.col("a"), F.col("b")) >= threshold))
+    pairs = pairs.where((F.lower("a") == F.lower("b")) | (multiset_bound(F.col("a"), F.col("b")) >= threshold))
     pairs = pairs.withColumn("score", similarity("a", "b")).where(F.col("score") >= threshold - 1e-12).drop("band")
     first = candidates.groupBy(*block, F.col("name").alias("b")).agg(F.min_by("id", "ord").alias("match_id"), F.min("ord").alias("match_ord"))
     best = pairs.join(first, [*block, "b"]).groupBy(*block, F.col("a").alias("name")).agg(F.min_by(F.struct("match_id", "score"), "match_ord").alias("m"))

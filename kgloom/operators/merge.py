@@ -114,12 +114,17 @@ def fold_entities(rows: list[dict], rules: Rules, provenance_of: Callable[[dict]
     ``start``: entities merged before.  With ``provenance_of`` values become lists of {value, source_doc_id}, and ids of newcomers get ``_projdup``.
     """
     kept = list(start or [])
+    # Where types must match, only entities of the type are looked at; a merged entity keeps its kind.
+    kind = rules.kind if rules.same_type else lambda e: ""
+    by_kind: dict[str, list[dict]] = {}
+    for e in kept:
+        by_kind.setdefault(kind(e), []).append(e)
     taken = {e["id"] for e in kept}
     ids: dict[tuple, str] = {}
     for row in rows:
         where = row.pop("_at", None)
         old = str(row["id"])
-        match = find_match(row, kept, rules)
+        match = find_match(row, by_kind.get(kind(row), []), rules)
         if match is None:
             new, n = old, 0
             while new in taken:
@@ -132,6 +137,7 @@ def fold_entities(rows: list[dict], rules: Rules, provenance_of: Callable[[dict]
                 if where is not None:
                     match["_source_page"] = str(where)
             kept.append(match)
+            by_kind.setdefault(kind(match), []).append(match)
         elif not provenance_of:
             match |= {k: merged_value(k, match.get(k), v) for k, v in row.items() if k != "id"}
         elif len(row["type"]) > len(match["type"]):
@@ -150,31 +156,49 @@ def fold_entities(rows: list[dict], rules: Rules, provenance_of: Callable[[dict]
     return kept, ids
 
 
-def merge_fold(entities: DataFrame, group: str, rules: Rules, at: str = "page", attrs: str = "attrs_json") -> DataFrame:
-    """The exact fold: ``entities(group, ord, page, id, type, attrs_json)`` to merged rows ``(group, ord, id, type, n, attrs_json)``.
+#: A fold's rows: merged entities, whose ``old_id`` is null, and (at, old_id) -> id of each row that went in, whose ``ord`` is null.
+FOLDED = "ord long, id string, type string, n long, attrs_json string, at string, old_id string, first_at string, first_ord long"
 
-    Names grow while merging, so the order matters and a group (a document) is folded in one task; documents are
-    folded side by side.  Use ``merge_exact`` where groups are too large for one task.
+
+def folded(entities: DataFrame, group: str, rules: Rules, at: str, attrs: str = "attrs_json", documents: bool = False, order: tuple[str, ...] = ("ord",), renumber: bool = False) -> DataFrame:
+    """``(group, FOLDED)``: the entities of each group merged in ``order``, and where each id of each ``at`` went.
+
+    ``documents``: with provenance, ``at`` being the document.  ``renumber``: ids of merged entities are e1, e2, ... within the group.  ``first_at`` and
+    ``first_ord`` are those of an entity's first row.  Rows without a type are left out.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        rows = [{**json.loads(a or "{}"), "id": i, "type": t, "_at": p} for i, t, p, a in zip(pdf["id"], pdf["type"], pdf[at], pdf[attrs], strict=True) if t]
-        kept, _ = fold_entities(rows, rules)
-        out = [(pdf[group].iloc[0], n, e.pop("id"), e.pop("type"), e.pop("_n"), json.dumps(e, ensure_ascii=False, sort_keys=True)) for n, e in enumerate(kept)]
-        return pd.DataFrame(out, columns=[group, "ord", "id", "type", "n", "attrs_json"])
+        pdf = pdf[pdf["type"].fillna("") != ""].sort_values(list(order))
+        rows = [{**json.loads(a or "{}"), "id": i, "type": t, "_at": p} for i, t, p, a in zip(pdf["id"], pdf["type"], pdf[at], pdf[attrs], strict=True)]
+        kept, ids = fold_entities(rows, rules, (lambda row: row["_at"]) if documents else None)
+        new = {e["id"]: f"e{n}" if renumber else e["id"] for n, e in enumerate(kept, 1)}
+        first: dict[str, tuple] = {}
+        for p, i, o in zip(pdf[at], pdf["id"], pdf["ord"], strict=True):
+            first.setdefault(ids[(p, str(i))], (str(p), int(o)))
+        out = []
+        for n, e in enumerate(kept):
+            i, t, count = e.pop("id"), e.pop("type"), e.pop("_n")
+            out.append((n, new[i], t, count, json.dumps(e, ensure_ascii=False, sort_keys=True), None, None, *first.get(i, (None, None))))
+        out += [(None, new[i], None, None, None, str(p), old, None, None) for (p, old), i in ids.items()]
+        frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in FOLDED.split(", ")])
+        for c in ("ord", "n", "first_ord"):
+            frame[c] = frame[c].astype("Int64")
+        frame.insert(0, group, pdf[group].iloc[0])
+        return frame
+
+    columns = list(dict.fromkeys([group, *order, "ord", at, "id", "type", attrs]))
+    return entities.select(*columns).where("type <> ''").groupBy(group).applyInPandas(fold, f"{group} string, {FOLDED}")
+
+
+def merge_fold(entities: DataFrame, group: str, rules: Rules, at: str = "page", attrs: str = "attrs_json") -> DataFrame:
+    """The exact fold: ``entities(group, ord, page, id, type, attrs_json)`` to merged rows ``(group, ord, id, type, n, attrs_json)``.
 
-    return entities.select(group, "ord", at, "id", "type", attrs).groupBy(group).applyInPandas(fold, f"{group} string, ord long, id string, type string, n long, attrs_json string")
+    Names grow while merging, so the order matters and a group (a document) is folded in one task; documents are
+    folded side by side.  Use ``merge_exact`` where groups are too large for one task, and ``folded`` to know where each id went.
+    """
+    return folded(entities, group, rules, at, attrs).where("old_id is null").select(group, "ord", "id", "type", "n", "attrs_json")
 
 
 def merge_documents_fold(entities: DataFrame, project: str, rules: Rules, doc: str = "doc", attrs: str = "attrs_json") -> DataFrame:
     """The fold over documents with provenance: rows ``(project, ord, id, type, n, attrs_json)``."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        rows = [{**json.loads(a or "{}"), "id": i, "type": t, "_at": d} for i, t, d, a in zip(pdf["id"], pdf["type"], pdf[doc], pdf[attrs], strict=True) if t]
-        kept, _ = fold_entities(rows, rules, lambda row: row["_at"])
-        out = [(pdf[project].iloc[0], n, e.pop("id"), e.pop("type"), e.pop("_n"), json.dumps(e, ensure_ascii=False, sort_keys=True)) for n, e in enumerate(kept)]
-        return pd.DataFrame(out, columns=[project, "ord", "id", "type", "n", "attrs_json"])
-
-    return entities.select(project, "ord", doc, "id", "type", attrs).groupBy(project).applyInPandas(fold, f"{project} string, ord long, id string, type string, n long, attrs_json string")
+    return folded(entities, project, rules, doc, attrs, documents=True).where("old_id is null").select(project, "ord", "id", "type", "n", "attrs_json")

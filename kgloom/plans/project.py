@@ -53,38 +53,45 @@ def page_graphs(pages: DataFrame, project: Project) -> DataFrame:
 
 
 def document_graphs(graphs: DataFrame, project: Project) -> tuple[DataFrame, DataFrame]:
-    """Merged entities ``(doc, ord, id, type, n, attrs_json)`` of each document, and its relations by name.
+    """Merged entities ``(doc, ord, id, type, n, attrs_json)`` of each document, and its relations, cleaned and renumbered.
 
-    Relations follow their ends by (type, name), the first of a name in the document.
+    The fold says where each id of each page went, and relations follow it; those without both ends, and repeated ones, are left out.
     """
-    ents = X.graph_entities(graphs)
-    merged = materialize(ME.merge_fold(ents, "doc", project.page_rules()), "documents")
-    name = lambda df: df.withColumn("name", F.lower(F.get_json_object("attrs_json", "$.name")))
-    target = name(merged).groupBy("doc", "type", "name").agg(F.min_by("id", "ord").alias("new_id"))
-    ids = name(ents).join(target, ["doc", "type", "name"]).select("doc", "page", "id", "new_id")
-    rels = X.graph_relations(graphs)
+    found = X.graph_entities(graphs).withColumn("page", F.col("page").cast("string"))
+    rows = materialize(ME.folded(found, "doc", project.page_rules(), "page", renumber=True), "documents")
+    ids = rows.where("old_id is not null").select("doc", F.col("at").alias("page"), "old_id", "id")
+    rels = X.graph_relations(graphs).withColumn("page", F.col("page").cast("string"))
     for end in ("source", "target"):
-        rels = rels.join(ids.withColumnsRenamed({"id": end, "new_id": f"new_{end}"}), ["doc", "page", end])
+        rels = rels.join(ids.withColumnsRenamed({"old_id": end, "id": f"new_{end}"}), ["doc", "page", end])
     rels = rels.select("doc", "ord", F.col("new_source").alias("source"), F.col("new_target").alias("target"), "type")
-    return merged, G.first_by(rels, ["doc", "source", "target", "type"])
+    return rows.where("old_id is null").select("doc", "ord", "id", "type", "n", "attrs_json"), G.first_by(rels, ["doc", "source", "target", "type"])
 
 
-def project_graph(merged: DataFrame, rels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One graph with provenance from all documents: entities and relations."""
-    numbered = merged.select(F.lit("project").alias("project"), "doc", F.struct("doc", "ord").alias("key"), "id", "type", "attrs_json")
-    ordered = numbered.withColumn("ord", F.xxhash64("doc").bitwiseAND(0x7FFFFFFF) * 1_000_000_000 + F.col("key.ord")).drop("key")
-    ents = materialize(ME.merge_documents_fold(ordered, "project", project_rules()), "project")
-    name = lambda path: F.lower(F.get_json_object("attrs_json", path))
-    target = ents.groupBy("type", name("$.name[0].value").alias("name")).agg(F.min_by("id", "ord").alias("new_id"))
-    ids = merged.select("doc", "id", "type", name("$.name").alias("name")).join(target, ["type", "name"]).select("doc", "id", "new_id")
+def project_graph(merged: DataFrame, rels: DataFrame, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
+    """One graph with provenance from all documents, in the order of their names: entities and relations, cleaned and renumbered.
+
+    Where types must match, as they do by default, entities of different types never meet, so each type is folded in a task of its own.  A type
+    with most of all entities is one task's work: the fold is ordered and its matches can't be known before it.
+    """
+    rules = rules or project_rules()
+    kind = F.lower(F.substring_index("type", ":", -1)) if rules.same_type else F.lit("all")
+    rows = materialize(ME.folded(merged.withColumn("kind", kind), "kind", rules, "doc", documents=True, order=("doc", "ord")), "project")
+    kept = rows.where("old_id is null").drop("at", "old_id", "ord")
+    numbered = G.ordered_index(kept, ["first_at", "first_ord", "kind"], "_i").withColumns({"new_id": F.concat(F.lit("e"), F.col("_i").cast("string")), "ord": F.col("_i") - 1})
+    numbered = materialize(numbered, "numbered")
+    ids = rows.where("old_id is not null").select("kind", F.col("at").alias("doc"), "old_id", "id")
+    ids = ids.join(numbered.select("kind", "id", "new_id"), ["kind", "id"]).select("doc", "old_id", "new_id")
     for end in ("source", "target"):
-        rels = rels.join(ids.withColumnsRenamed({"id": end, "new_id": f"new_{end}"}), ["doc", end])
-    moved = rels.select(F.col("new_source").alias("source"), F.col("new_target").alias("target"), "type", "doc", "ord")
-    return ents, ME.relation_documents(moved)
+        rels = rels.join(ids.withColumnsRenamed({"old_id": end, "new_id": f"new_{end}"}), ["doc", end])
+    moved = rels.select(F.col("new_source").alias("source"), F.col("new_target").alias("target"), "type", "doc", F.struct("doc", "ord").alias("ord"))
+    return numbered.select(F.lit("project").alias("project"), "ord", F.col("new_id").alias("id"), "type", "n", "attrs_json"), ME.relation_documents(moved)
 
 
 def run(spark: SparkSession, pages: DataFrame, out: str, project: Project | None = None, page_limit: int = 5000) -> dict[str, DataFrame]:
-    """Everything for ``pages(doc, page, text)``: frames by name, and files below ``out``."""
+    """Everything for ``pages(doc, page, text)``: frames by name, and files below ``out``.
+
+    The drawn page is one HTML file, made by the driver: above ``page_limit`` entities none is written, and ``page`` is missing among the frames.
+    """
     project = project or Project()
     graphs = page_graphs(pages, project)
     merged, rels = document_graphs(graphs, project)
@@ -101,7 +108,8 @@ def run(spark: SparkSession, pages: DataFrame, out: str, project: Project | None
     drawn = ents.select("id", "type", F.get_json_object("attrs_json", "$.name[0].value").alias("name"))
     if drawn.count() <= page_limit:
         page = V.html_page(V.vis_nodes(drawn), V.vis_edges(drawn, links), "Project graph", page_limit)
-        spark.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/page")
+        result["page"] = spark.createDataFrame([(page,)], "value string")
+        result["page"].coalesce(1).write.mode("overwrite").text(f"{out}/page")
     return result
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import given
@@ -76,3 +77,12 @@ def test_ontology(tmp_path):
     path.write_text("entities: []\nrelationships: []\n")
     with pytest.raises(ValueError, match="not an ontology"):
         Ontology.load(str(path))
+
+
+def test_alike_is_the_ratio():
+    rng = random.Random(4)
+    texts = ["", *("".join(rng.choice("abAB c") for _ in range(rng.randint(1, 12))) for _ in range(150))]
+    for a in texts:
+        for b in rng.sample(texts, 20):
+            for least in (0.5, 0.75, 0.8, 1.0):
+                assert T.alike(a, b, least) == (T.ratio(a, b) >= least)

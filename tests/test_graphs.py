@@ -1,9 +1,11 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from kgloom.functions.text import ratio
 from kgloom.operators import chunk as C
 from kgloom.operators import evaluate as E
 from kgloom.operators import extract as X
@@ -29,7 +31,7 @@ def test_clean_and_renumber(spark):
 
 def test_ordered_index_over_buckets(spark):
     df = spark.createDataFrame([(i * 37 % 1000,) for i in range(500)], "ord long").distinct()
-    got = sorted((r.ord, r.n) for r in G.ordered_index(df, "ord", "n", bucket=64).collect())
+    got = sorted((r.ord, r.n) for r in G.ordered_index(df, "ord", "n", parts=7).collect())
     assert [n for _, n in got] == list(range(1, len(got) + 1))
 
 
@@ -214,3 +216,25 @@ def test_page(spark):
     e = spark.createDataFrame([("a", "p:Company", "</script>Acme", 1)], "id string, type string, name string, ord long")
     page = V.html_page(V.vis_nodes(e), V.vis_edges(e, spark.createDataFrame([], "source string, target string, type string, ord long")), "t")
     assert "<\\/script>Acme" in page
+
+
+def test_fuzzy_match_tells_no_cases_apart(spark):
+    """Against brute force over names in mixed case: no pair is lost by the bounds, and the first match wins."""
+    rng = random.Random(7)
+    base = ["Acme Corp", "acme corp", "Zeta Group", "Omega Holding AG", "Omega Holdings"]
+    names = base + ["".join(rng.choice((c.upper(), c.lower(), c + "s")) for c in rng.choice(base)) for _ in range(60)]
+    a = spark.createDataFrame([(f"a{i}", n, i) for i, n in enumerate(names)], "id string, name string, ord long")
+    b = spark.createDataFrame([(f"b{i}", n, i) for i, n in enumerate(names[::-1])], "id string, name string, ord long")
+    got = {r.id: r.match_id for r in M.fuzzy_first_match(a, b, 0.8).collect()}
+    assert got == {f"a{i}": next(f"b{j}" for j, y in enumerate(names[::-1]) if ratio(x, y) >= 0.8 - 1e-12) for i, x in enumerate(names)}
+
+
+def test_headers_by_position(spark):
+    """Against the same patterns in Python: whole titles in the order of the text, and the last one opens a page's section."""
+    text = "Opening\n1.2 Title Case here. more\nINTRODUCTION\nbody of words.\n2 Second part\nNext Heading\nlast line of text, no header\n"
+    df = spark.createDataFrame([("d", 1, text), ("d", 2, "no header, here"), ("d", 3, "CLOSING WORDS\n3. Three! x")], "doc string, page int, text string")
+    for r in df.select("text", C.header_titles(F.col("text")).alias("all"), C.last_header(F.col("text")).alias("last")).collect():
+        found = sorted((m.start(), n, m.group().strip()) for n, p in enumerate(C.HEADERS, 1) for m in re.finditer(p, r.text, re.MULTILINE))
+        assert [(h.level, h.title) for h in r["all"]] == [(n, t) for _, n, t in found]
+        assert (r["last"] and (r["last"].level, r["last"].title)) == (found[-1][1:] if found else None)
+    assert [(r.title, r.start_page, r.end_page) for r in C.sections(df).orderBy("start_page").collect()][0][1:] == (1, 2)

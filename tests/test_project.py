@@ -4,7 +4,10 @@ import pytest
 
 from kgloom.__main__ import main, parser
 from kgloom.plans.ontology_demo import ONTOLOGY
-from kgloom.plans.project import Project, run
+from kgloom.operators.extract import register_client
+from kgloom.operators.match import project_rules
+from kgloom.operators.merge import fold_entities
+from kgloom.plans.project import Project, document_graphs, page_graphs, project_graph, run
 
 
 @pytest.mark.parametrize("units", ["pages", "chunks"])
@@ -18,6 +21,51 @@ def test_project(spark, tmp_path, units):
     assert spark.read.json(f"{tmp_path}/out/entities").count() == 2 and "Acme" in spark.read.text(f"{tmp_path}/out/page", wholetext=True).first()[0]
 
 
+def page_of(*entities, relations=()):
+    return json.dumps({"entities": [dict(zip(("id", "type", field), (i, f"kg:{t}", v), strict=True)) for i, t, field, v in entities], "relationships": [dict(zip(("source", "target", "type"), r, strict=True)) for r in relations]})
+
+
+def test_relations_follow_merged_entities(spark):
+    """Ends keep their relation where a variant of a name wins and where a type isn't named by ``name``; all is renumbered."""
+
+    class PeopleClient:
+        """Each page's graph stands in its text."""
+
+        def complete(self, prompt, temperature=0.1):
+            text = prompt.rsplit("TEXT:", 1)[-1].strip()
+            return text[text.find("{") : text.rfind("}") + 1]
+
+    register_client("people", PeopleClient)
+    pages = [
+        ("d1", 1, page_of(("a", "Company", "name", "Acme Holding"), ("p", "Person", "fullName", "Ann Lee"), relations=[("a", "p", "kg:employs"), ("a", "zz", "kg:employs")])),
+        ("d1", 2, page_of(("a", "Company", "name", "Acme Holdings"), ("b", "Person", "fullName", "Bob Ray"), relations=[("a", "b", "kg:employs"), ("a", "b", "kg:employs")])),
+        ("d2", 1, page_of(("x", "Company", "name", "ACME Holdings"), ("y", "Person", "fullName", "Ann Lee"), ("z", "Company", "name", "Zeta"), relations=[("x", "y", "kg:employs"), ("z", "x", "kg:owns")])),
+    ]
+    graphs = page_graphs(spark.createDataFrame(pages, "doc string, page int, text string"), Project(client="people"))
+    merged, rels = document_graphs(graphs, Project(client="people"))
+    assert sorted((r.doc, r.id) for r in merged.collect()) == [("d1", "e1"), ("d1", "e2"), ("d1", "e3"), ("d2", "e1"), ("d2", "e2"), ("d2", "e3")]
+    assert sorted((r.doc, r.source, r.target) for r in rels.collect()) == [("d1", "e1", "e2"), ("d1", "e1", "e3"), ("d2", "e1", "e2"), ("d2", "e3", "e1")]
+    ents, links = project_graph(merged, rels)
+    name = {r.id: next(v[0]["value"] for k, v in json.loads(r.attrs_json).items() if k in ("name", "fullName")) for r in ents.collect()}
+    assert name == {"e1": "Acme Holdings", "e2": "Ann Lee", "e3": "Bob Ray", "e4": "Zeta"}
+    assert sorted((name[r.source], name[r.target], r.type, list(r.docs)) for r in links.collect()) == [
+        ("Acme Holdings", "Ann Lee", "kg:employs", ["d1", "d2"]), ("Acme Holdings", "Bob Ray", "kg:employs", ["d1"]), ("Zeta", "Acme Holdings", "kg:owns", ["d2"]),
+    ]
+
+
+def test_project_graph_against_one_fold(spark):
+    """Types folded side by side give what one fold over everything gives."""
+    names = ["Acme Holding", "Acme Holdings", "ACME HOLDING", "Zeta", "Zetta", "Omega One", "Omega", "Omega Two"]
+    rows = [(f"d{i % 5}", i, f"e{i}", f"kg:{'Company' if i % 3 else 'Location'}", 1, json.dumps({"name": names[i * 7 % 8]})) for i in range(60)]
+    merged = spark.createDataFrame(rows, "doc string, ord long, id string, type string, n long, attrs_json string")
+    ents, _ = project_graph(merged, spark.createDataFrame([], "doc string, ord long, source string, target string, type string"))
+    ordered = [{**json.loads(r[5]), "id": r[2], "type": r[3], "_at": r[0]} for r in sorted(rows, key=lambda r: (r[0], r[1]))]
+    kept, _ = fold_entities(ordered, project_rules(), lambda row: row["_at"])
+    want = [{k: v for k, v in e.items() if k not in ("id", "_n")} for e in kept]
+    got = [{**json.loads(r.attrs_json), "type": r.type} for r in ents.orderBy("ord").collect()]
+    assert got == want and len(want) > 4
+
+
 def test_rules_are_checked():
     with pytest.raises(ValueError, match="threshold or strategy"):
         Project(rules="no").page_rules()
