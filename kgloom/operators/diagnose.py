@@ -96,6 +96,7 @@ def lost_entities(before: DataFrame, after: DataFrame) -> DataFrame:
     words = lambda df, name: df.select("*", F.explode(F.array_distinct(F.split(name, " "))).alias("word"))
     near = words(gone.select("name", "type").distinct(), "name").join(words(b.withColumnRenamed("name", "other"), "other"), ["type", "word"])
     near = near.where(F.col("other").contains(F.col("name")) | F.col("name").contains(F.col("other"))).select("name", "type").distinct().withColumn("near", F.lit(True))
+    # The texts of reasons.
     reason = (
         F.when(F.col("near"), "Merged with similar name entity")
         .when(F.col("type").contains("context"), "Context entity inappropriately merged or filtered")
@@ -110,3 +111,39 @@ def recommendations(total: DataFrame, types: DataFrame, unexpected: DataFrame) -
     rows = rows.unionByName(types.where(F.col("type").contains("context") & (F.col("loss_percentage") > 20)).select(F.lit("context_loss").alias("code"), F.col("type").alias("subject")))
     rows = rows.unionByName(unexpected.limit(1).select(F.lit("unexpected_merges").alias("code"), F.lit("").alias("subject")))
     return rows.unionByName(types.where("loss_percentage > 70").select(F.lit("type_loss").alias("code"), F.col("type").alias("subject")))
+
+
+def report(before: DataFrame, after: DataFrame, lost: int = 10, unexpected: int = 5) -> DataFrame:
+    """``(section, n, line)``, a report to read: totals, types by loss, the first ``lost`` lost entities and the ``unexpected`` merges that took most."""
+
+    def numbered(rows: DataFrame, section: str, order: list, limit: int | None, line: Column) -> DataFrame:
+        if limit is not None:
+            rows = rows.orderBy(*order).limit(limit)  # the top rows of each task meet, not all
+        rows = rows.withColumn("n", F.row_number().over(Window.orderBy(*order)))  # a row a type, or ``limit`` rows
+        return rows.select(F.lit(section).alias("section"), F.col("n").cast("long").alias("n"), line.alias("line"))
+
+    change = F.concat(F.col("original").cast("string"), F.lit(" -> "), F.col("final").cast("string"))
+    gone = lost_entities(before, after).join(before.groupBy("id").agg(F.min("ord").alias("ord")), "id")
+    parts = [
+        summary(before, after).select(F.lit("1 total").alias("section"), F.lit(1).cast("long").alias("n"), change.alias("line")),
+        numbered(by_type(before, after), "2 types", [F.desc("lost"), "type"], None, F.concat("type", F.lit(": "), change)),
+        numbered(gone, "3 lost", ["ord", "id"], lost, F.concat("name", F.lit(" ("), "type", F.lit(", page "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit("): "), "reason")),
+        numbered(unexpected_merges(before, after), "4 unexpected", [F.desc(F.col("original") - F.col("final")), "name", "type"], unexpected, F.concat("name", F.lit(" ("), "type", F.lit("): "), change, F.lit(", differs in "), "differences")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def print_report(rows: DataFrame) -> str:
+    """The report as text, printed.  It has a line for each type and at most ``lost + unexpected + 1`` others, so the driver may hold it."""
+    text, last = [], None
+    for r in rows.orderBy("section", "n").collect():
+        if r["section"] != last:
+            last = r["section"]
+            text.append(last.split(" ", 1)[1].upper())
+        text.append(f"  {r['n']}. {r['line']}")
+    out = "\n".join(text)
+    print(out)
+    return out

@@ -43,32 +43,66 @@ def weak_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def diameter(vertices: DataFrame, edges: DataFrame, max_nodes: int = 5000) -> DataFrame:
-    """``(diameter)`` of the largest weak component (the first by id of equals), by breadth-first search from all its nodes at once.
-
-    All pairs of its nodes are held, so components of over ``max_nodes`` nodes are refused.
-    """
-    labels = materialize(weak_components(vertices, edges), "components")
-    best = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    row = best.first()
-    if row is None:
-        raise ValueError("the graph is empty")
-    if row["n"] > max_nodes:
-        raise ValueError(f"the largest component has {row['n']} nodes, over {max_nodes}")
-    nodes = labels.where(F.col("component") == row["component"]).select("id")
-    pairs = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    pairs = materialize(pairs.join(nodes.withColumnRenamed("id", "source"), "source", "left_semi"), "pairs")
-    seen = materialize(nodes.select(F.col("id").alias("root"), "id", F.lit(0).alias("d")), "seen")
-    front, step = seen, 0
+def _distances(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(root, id, d)``: steps from each of ``roots(id)`` to all it reaches over ``pairs(source, target)``, breadth first, a level at a time."""
+    seen = front = materialize(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("d")), "seen")
+    step = 0
     while True:
         step += 1
         reached = front.join(pairs, front.id == pairs.source).select("root", F.col("target").alias("id")).distinct()
         front = materialize(reached.join(seen, ["root", "id"], "left_anti").withColumn("d", F.lit(step)), "front")
         if not front.limit(1).count():
-            return seen.agg(F.max("d").alias("diameter"))
+            return seen
         seen = seen.unionByName(front)
 
 
+def diameter(vertices: DataFrame, edges: DataFrame, max_pairs: int = 20_000_000) -> DataFrame:
+    """``(diameter)`` of the largest weak component (the first by id of equals), exact at any size; 0 for no vertices.
+
+    Of leaves at one node two are kept, as all are equally far from the rest.  Two searches give a lower bound and a node in the middle; twice a
+    level's distance from there bounds all pairs within it, so eccentricities are computed from the outermost level inwards until the bounds
+    meet.  Roots of a level go in batches of at most about ``max_pairs`` (root, node) rows, which bounds memory, not the work: a graph whose
+    bounds meet late costs up to all pairs.
+    """
+    labels = materialize(weak_components(vertices, edges), "components")
+    row = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").first()
+    if row is None:
+        return vertices.sparkSession.createDataFrame([(0,)], "diameter int")
+    nodes = labels.where(F.col("component") == row["component"]).select("id")
+    pairs = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct()
+    pairs = materialize(pairs.join(nodes.withColumnRenamed("id", "source"), "source", "left_semi"), "pairs")
+    leaves = pairs.groupBy("source").agg(F.count("*").alias("degree"), F.min("target").alias("at")).where("degree = 1")
+    first = leaves.groupBy("at").agg(F.min("source").alias("one"))
+    rest = leaves.join(first, "at").where(F.col("source") != F.col("one"))
+    second = rest.groupBy("at").agg(F.min("source").alias("two"))
+    dropped = materialize(rest.join(second, "at").where(F.col("source") != F.col("two")).select(F.col("source").alias("id")), "leaves")
+    nodes = materialize(nodes.join(dropped, "id", "left_anti"), "nodes")
+    for end in ("source", "target"):
+        pairs = pairs.join(dropped.withColumnRenamed("id", end), end, "left_anti")
+    pairs = materialize(pairs.select("source", "target"), "pairs")
+    count = nodes.count()
+
+    def farthest(d: DataFrame) -> tuple[str, int]:
+        far = d.agg(F.min_by(F.struct("id", "d"), F.struct(-F.col("d"), "id")).alias("x")).first()["x"]
+        return far["id"], far["d"]
+
+    a, _ = farthest(_distances(nodes.orderBy("id").limit(1), pairs))
+    from_a = _distances(nodes.where(F.col("id") == a), pairs)
+    b, low = farthest(from_a)
+    from_b = _distances(nodes.where(F.col("id") == b), pairs)
+    middle = from_a.where(F.col("d") == low // 2).join(from_b.where(F.col("d") == low - low // 2), "id").select("id").orderBy("id").limit(1)
+    levels = materialize(_distances(materialize(middle, "middle"), pairs).select("id", "d"), "levels")
+    level = levels.agg(F.max("d")).first()[0]
+    while 2 * level > low:
+        roots = levels.where(F.col("d") == level)
+        batches = -(-roots.count() * count // max_pairs)
+        for i in range(batches):
+            part = roots.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i)
+            low = max(low, _distances(part, pairs).agg(F.max("d")).first()[0] or 0)
+        level -= 1
+    return vertices.sparkSession.createDataFrame([(low,)], "diameter int")
+
+
 def compliance_parts(vertices: DataFrame, edges: DataFrame, attributes: DataFrame, onto: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Flags to average: for entities, relations, ends of declared relations, and attributes ``(id, type, key)``."""
     names = F.broadcast(onto["entity"].select(F.col("name").alias("type"), F.lit(True).alias("known")))

@@ -41,13 +41,6 @@ def attributes(entities: DataFrame) -> DataFrame:
     return rows.select("id", "type", "p.key", "p.value", "doc", "ord")
 
 
-def _small(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Regions, nations and suppliers only, as the SQL of these queries has it; ``*_whole`` are the same over the whole star graph."""
-    e = _ent(spark, sf).where(F.substring("id", 1, 1).isin("r", "n", "s"))
-    r = _rel(spark, sf).where(F.col("source").rlike("^[ns]") & F.col("target").rlike("^[rn]"))
-    return e, r
-
-
 def kg_clean(spark, sf):
     return G.clean_relations(_ent(spark, sf), _rel(spark, sf)).select("source", "target", "type", "ord")
 
@@ -103,15 +96,11 @@ def graph_basic_metrics(spark, sf):
 
 
 def graph_wcc(spark, sf):
-    return E.weak_components(*E.simple_graph(*_small(spark, sf)))
-
-
-def graph_wcc_whole(spark, sf):
     return E.weak_components(*_graph(spark, sf))
 
 
 def graph_diameter(spark, sf):
-    return E.diameter(*E.simple_graph(*_small(spark, sf)))
+    return E.diameter(*_graph(spark, sf))
 
 
 def graph_node_types(spark, sf):
@@ -148,19 +137,12 @@ def entity_coverage(spark, sf):
     return E.entity_coverage(_graph(spark, sf)[0], ONTOLOGY.frames(spark))
 
 
-def _score(spark, e: DataFrame, r: DataFrame) -> DataFrame:
+def overall_score(spark, sf):
+    e, r = _ent(spark, sf), _rel(spark, sf)
     s = E.evaluate(e, r, attributes(e), ONTOLOGY.frames(spark))["score"]
     return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
 
 
-def overall_score(spark, sf):
-    return _score(spark, *_small(spark, sf))
-
-
-def overall_score_whole(spark, sf):
-    return _score(spark, _ent(spark, sf), _rel(spark, sf))
-
-
 def _parts(spark, sf) -> DataFrame:
     """Parts as entities of pages, a page for each brand."""
     p = table(spark, sf, "part")
@@ -280,6 +262,10 @@ def diag_recommendations(spark, sf):
     return D.recommendations(D.summary(b, a), D.by_type(b, a), D.unexpected_merges(b, a))
 
 
+def diag_report(spark, sf):
+    return D.report(*_before_after(spark, sf))
+
+
 def diag_key_details(spark, sf):
     b = _parts(spark, sf)
     return b.select("id", F.array_join(F.array_sort(F.map_keys(D.key_details(b))), ",").alias("details"))
@@ -295,32 +281,18 @@ def export_links(spark, sf):
     return k.select("request_id", "key", "sourceId", "targetId", "type")
 
 
-def _meta(e: DataFrame, r: DataFrame) -> DataFrame:
+def export_meta(spark, sf):
+    e, r = _ent(spark, sf), _rel(spark, sf)
     m = X.meta(X.nodes(e, ATTRS, 1, "meta1", "Star"), X.links(e, r, ATTRS, 1, "meta1", "Star"), 1, "meta1", "Star", "star.json")
     return m.select("request_id", "title", "id", "file_local_path", F.size("actor_references").cast("long").alias("actors"), F.size("link_references").cast("long").alias("links"))
 
 
-def export_meta(spark, sf):
-    return _meta(*_small(spark, sf))
-
-
-def export_meta_whole(spark, sf):
-    return _meta(_ent(spark, sf), _rel(spark, sf))
-
-
-def _files(e: DataFrame, r: DataFrame) -> DataFrame:
+def export_files(spark, sf):
+    e, r = _ent(spark, sf), _rel(spark, sf)
     f = X.file_records(X.nodes(e, ATTRS, 1, "meta1", "Star"), X.links(e, r, ATTRS, 1, "meta1", "Star"))
     return f.select("folder", "name")
 
 
-def export_files(spark, sf):
-    return _files(*_small(spark, sf))
-
-
-def export_files_whole(spark, sf):
-    return _files(_ent(spark, sf), _rel(spark, sf))
-
-
 def vis_nodes(spark, sf):
     return V.vis_nodes(_ent(spark, sf).select("id", "type", *ATTRS))
 
@@ -329,19 +301,12 @@ def vis_edges(spark, sf):
     return V.vis_edges(_ent(spark, sf), _rel(spark, sf))
 
 
-def _comparison(spark, sf, e: DataFrame) -> DataFrame:
+def vis_comparison(spark, sf):
+    e = _ent(spark, sf)
     ends = _rel(spark, sf).select(F.explode(F.array("source", "target")).alias("id"), "doc").distinct()
     return V.comparison_nodes(e, ends.join(e.select("id"), "id", "left_semi"))
 
 
-def vis_comparison(spark, sf):
-    return _comparison(spark, sf, _small(spark, sf)[0])
-
-
-def vis_comparison_whole(spark, sf):
-    return _comparison(spark, sf, _ent(spark, sf))
-
-
 def two_hop(spark, sf):
     return G.neighbourhood(_rel(spark, sf), _ent(spark, sf).where("id = 's1'"), 2)
 
@@ -382,7 +347,7 @@ QUERIES = {
         entity_coverage, overall_score, merge_exact_parts, merge_relations, merge_statistics, match_strategies, provenance_attributes, provenance_relations, metric_company_lookup,
         match_person_tokens, fuzzy_match_first, merge_fuzzy_fold, merge_strategy_fold, merge_project_fold, stream_fold, diag_summary, diag_by_type, diag_patterns, diag_unexpected, diag_lost,
         diag_recommendations, diag_key_details, export_nodes, export_links, export_meta, export_files, vis_nodes, vis_edges, vis_comparison, two_hop, property_filter, select_nodes,
-        extract_graphs, classify_cascade, graph_json, graph_wcc_whole, overall_score_whole, export_meta_whole, export_files_whole, vis_comparison_whole,
+        extract_graphs, classify_cascade, graph_json, diag_report,
     )
 }
 
@@ -393,9 +358,6 @@ _BARE = "split_part(type, ':', -1)"
 _CLEAN = ", cr AS (SELECT source, target, type, min(ord) AS ord FROM rel WHERE source IN (SELECT id FROM ent) AND target IN (SELECT id FROM ent) GROUP BY source, target, type)"
 _NUM = ", ne AS (SELECT id AS old_id, 'e' || row_number() OVER (ORDER BY ord) AS id, type FROM ent)"
 _GR = f", eg AS (SELECT source, target, max_by({_BARE}, ord) AS type FROM rel GROUP BY source, target), vx AS (SELECT coalesce(e.id, x.id) AS id, {_BARE.replace('type', 'e.type')} AS type FROM (SELECT source AS id FROM eg UNION SELECT target FROM eg) x FULL JOIN ent e ON e.id = x.id)"
-_SMALL_E = "SELECT * FROM ent0 WHERE id[1] IN ('r', 'n', 's')"
-_SMALL_R = "SELECT * FROM rel0 WHERE source[1] IN ('n', 's') AND target[1] IN ('r', 'n')"
-_SS = _S.replace("WITH ent AS", "WITH ent0 AS").replace("rel AS", "rel0 AS", 1) + f", ent AS ({_SMALL_E}), rel AS ({_SMALL_R})"
 _ATT = ", att AS (" + " UNION ALL ".join(f"SELECT id, {_BARE} AS type, '{a}' AS key, {a}::VARCHAR AS value FROM ent WHERE {a} IS NOT NULL" for a in ATTRS) + ")"
 _COMP = """, c1 AS (SELECT avg((type IS NOT NULL AND type IN (SELECT name FROM oe))::INT) AS x FROM vx), c2 AS (SELECT avg((type IN (SELECT name FROM orl))::INT) AS x FROM eg),
 ends AS (SELECT eg.*, (EXISTS (SELECT 1 FROM od WHERE relation = eg.type AND od.type = a.type) AND EXISTS (SELECT 1 FROM og WHERE relation = eg.type AND og.type = b.type)) AS ok
@@ -404,9 +366,14 @@ c3 AS (SELECT (SELECT count(*) FROM ends WHERE ok) / (SELECT greatest(count(*),
 _COMPLETE = """, want AS (SELECT entity, count(*) AS n FROM oa GROUP BY entity), have AS (SELECT id, count(DISTINCT key) AS n FROM att JOIN oa ON entity = att.type AND attr = key GROUP BY id),
 cm AS (SELECT avg((coalesce(have.n, 0) >= coalesce(want.n, 0))::INT) AS x FROM vx LEFT JOIN want ON entity = type LEFT JOIN have ON have.id = vx.id)"""
 _COMPANY = ", co AS (SELECT id FROM vx WHERE type = 'Company'), ca AS (SELECT (SELECT count(*) FROM (SELECT source AS id FROM eg UNION ALL SELECT target FROM eg) e WHERE id IN (SELECT id FROM co)) / (SELECT greatest(count(*), 1) FROM co) AS x)"
-_WCC = """, und AS (SELECT source AS a, target AS b FROM eg UNION SELECT target, source FROM eg), reach(id, other) AS (SELECT id, id FROM vx UNION SELECT reach.id, b FROM reach JOIN und ON a = other)"""
+#: Least labels go one step a round: enough for components whose nodes are at most that far from their least one.
+_ROUNDS = 16
+_WCC = (
+    ", und AS MATERIALIZED (SELECT source AS a, target AS b FROM eg UNION SELECT target, source FROM eg), l0 AS MATERIALIZED (SELECT id, id AS other FROM vx)"
+    + "".join(f", l{i + 1} AS MATERIALIZED (SELECT id, min(other) AS other FROM (SELECT * FROM l{i} UNION ALL SELECT b, other FROM und JOIN l{i} ON a = id) GROUP BY id)" for i in range(_ROUNDS))
+    + f", reach AS (SELECT * FROM l{_ROUNDS})"
+)
 _BASIC = """, bs AS (SELECT (SELECT count(*) FROM vx) AS nodes, (SELECT count(*) FROM eg) AS edges, (SELECT count(*) FROM vx WHERE id NOT IN (SELECT source FROM eg) AND id NOT IN (SELECT target FROM eg)) AS iso)"""
-_RECURSIVE = _SS.replace("WITH ", "WITH RECURSIVE ", 1)
 _NORM = r"trim(regexp_replace(regexp_replace(lower(p_name), '[^\p{L}\p{N}_\s.-]', ' ', 'g'), '\s+', ' ', 'g'))"
 _PARTS = f"WITH pt AS (SELECT 'p' || p_partkey AS id, p_partkey AS ord, p_brand AS page, p_name AS name, p_type AS kind, p_retailprice AS amount, (p_size % 3)::VARCHAR AS fp, {_NORM} AS k FROM part), mg AS (SELECT k, min_by(id, ord) AS id, min(ord) AS first_ord, count(*) AS n, max_by(name, (length(name), -ord)) AS name, max_by(kind, (length(kind), -ord)) AS kind, coalesce(min_by(amount, ord) FILTER (WHERE amount <> 0), min_by(amount, ord)) AS amount FROM pt GROUP BY k)"
 _DIAG = _PARTS + ", af AS (SELECT * FROM mg WHERE first_ord % 7 <> 0), b AS (SELECT *, trim(lower(name)) AS label FROM pt), a AS (SELECT *, trim(lower(name)) AS label FROM af)"
@@ -437,10 +404,7 @@ ORACLES = {
     "onto_constraints": f"{_S}{ONTO_SQL} SELECT name AS relation, (SELECT string_agg(type, '|' ORDER BY type) FROM od WHERE relation = name) AS domain, (SELECT string_agg(type, '|' ORDER BY type) FROM og WHERE relation = name) AS range FROM orl",
     "onto_attributes": "SELECT * FROM (VALUES ('name', 'string'), ('segment', 'string')) AS t(attr, type)",
     "graph_basic_metrics": f"{_S}{_GR}{_BASIC} SELECT nodes, edges, round(edges / (nodes::DOUBLE * (nodes - 1)), 9) AS density, round(2.0::DOUBLE * edges / nodes, 6) AS avg_degree, round(iso / nodes, 6) AS isolated_ratio FROM bs",
-    "graph_wcc": f"{_RECURSIVE}{_GR}{_WCC} SELECT id, min(other) AS component FROM reach GROUP BY id",
-    "graph_diameter": f"""{_RECURSIVE}{_GR}{_WCC}, comp AS (SELECT id, min(other) AS c FROM reach GROUP BY id), best AS (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1),
-walk(root, id, d) AS (SELECT id, id, 0 FROM comp WHERE c = (SELECT c FROM best) UNION SELECT root, b, d + 1 FROM walk JOIN und ON a = id WHERE d < 12), dist AS (SELECT root, id, min(d) AS d FROM walk GROUP BY root, id)
-SELECT max(d)::INT AS diameter FROM dist""",
+    "graph_wcc": f"{_S}{_GR}{_WCC} SELECT id, min(other) AS component FROM reach GROUP BY id",
     "graph_node_types": f"{_S}{_GR} SELECT coalesce(type, 'unknown') AS type, count(*) AS n FROM vx GROUP BY ALL",
     "relation_distribution": f"{_S}{_GR} SELECT type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM eg GROUP BY type",
     "compliance": f"{_S}{ONTO_SQL}{_GR}{_ATT}{_COMP} SELECT round(c1.x, 6) AS entity_validity, round(c2.x, 6) AS relation_validity, round(c3.x, 6) AS domain_range_validity, round(c4.x, 6) AS attribute_validity, round((c1.x + c2.x + c3.x + c4.x) / 4, 6) AS overall_compliance FROM c1, c2, c3, c4",
@@ -448,9 +412,9 @@ SELECT max(d)::INT AS diameter FROM dist""",
     "attribute_completeness": f"{_S}{ONTO_SQL}{_GR}{_ATT}{_COMPLETE} SELECT round(x, 6) AS completeness FROM cm",
     "company_metrics": f"{_S}{_GR}{_COMPANY} SELECT false AS financial_available, round(x, 6) AS avg_company_relations FROM ca",
     "entity_coverage": f"{_S}{ONTO_SQL}{_GR} SELECT name AS type, (SELECT count(*) FROM vx WHERE vx.type = name) > 0 AS present, (SELECT count(*) FROM vx WHERE vx.type = name) AS n FROM oe",
-    "overall_score": f"""{_RECURSIVE}{ONTO_SQL}{_GR}{_ATT}{_COMP}{_COMPLETE}{_COMPANY}{_BASIC}{_WCC}, cc AS (SELECT count(DISTINCT c) AS n FROM (SELECT id, min(other) AS c FROM reach GROUP BY id)),
+    "overall_score": f"""{_S}{ONTO_SQL}{_GR}{_ATT}{_COMP}{_COMPLETE}{_COMPANY}{_BASIC}{_WCC}, cc AS (SELECT count(DISTINCT c) AS n FROM (SELECT id, min(other) AS c FROM reach GROUP BY id)),
 p AS (SELECT (c1.x + c2.x + c3.x + c4.x) / 4 AS overall_compliance, 0.3::DOUBLE * (1 - iso / nodes) + 0.3::DOUBLE * cm.x + 0.2::DOUBLE * least(1.0::DOUBLE, ca.x / 10) AS quality,
-  (SELECT avg((name IN (SELECT type FROM vx))::INT) FROM oe) AS coverage, 0.3::DOUBLE * least(1.0::DOUBLE, 100 * edges / (nodes::DOUBLE * (nodes - 1))) + 0.4::DOUBLE * least(1.0::DOUBLE, 2.0::DOUBLE * edges / nodes / 5) + 0.3::DOUBLE / n AS shape, n AS components
+  (SELECT avg((name IN (SELECT type FROM vx WHERE type IS NOT NULL))::INT) FROM oe) AS coverage, 0.3::DOUBLE * least(1.0::DOUBLE, 100 * edges / (nodes::DOUBLE * (nodes - 1))) + 0.4::DOUBLE * least(1.0::DOUBLE, 2.0::DOUBLE * edges / nodes / 5) + 0.3::DOUBLE / n AS shape, n AS components
   FROM c1, c2, c3, c4, cm, ca, bs, cc)
 SELECT round(overall_compliance, 6) AS overall_compliance, round(quality, 6) AS quality, round(coverage, 6) AS coverage, round(shape, 6) AS shape, components,
   round(0.4::DOUBLE * overall_compliance + 0.3::DOUBLE * quality + 0.2::DOUBLE * coverage + 0.1::DOUBLE * shape, 6) AS score FROM p""",
@@ -468,18 +432,24 @@ SELECT round(overall_compliance, 6) AS overall_compliance, round(quality, 6) AS
     "diag_unexpected": f"{_GROUPS}, x AS (SELECT *, concat_ws(',', CASE WHEN da > 1 THEN 'amount' END, CASE WHEN df > 1 THEN 'fiscalPeriod' END, CASE WHEN pages > 1 THEN 'page' END) AS differences FROM m) SELECT label AS name, 'productorservice' AS type, original, final, differences FROM x WHERE differences <> ''",
     "diag_lost": f"{_DIAG}, g AS (SELECT * FROM b WHERE label NOT IN (SELECT label FROM a)) SELECT id, label AS name, 'productorservice' AS type, page, CASE WHEN EXISTS (SELECT 1 FROM a WHERE contains(a.label, g.label) OR contains(g.label, a.label)) THEN 'Merged with similar name entity' ELSE 'Unknown - possibly filtered during validation' END AS reason FROM g",
     "diag_recommendations": f"{_GROUPS}, t AS (SELECT 100.0::DOUBLE * ((SELECT count(*) FROM b) - (SELECT count(*) FROM a)) / (SELECT count(*) FROM b) AS loss) SELECT 'overall_loss' AS code, '' AS subject FROM t WHERE loss > 50 UNION ALL SELECT 'type_loss', 'productorservice' FROM t WHERE loss > 70 UNION ALL (SELECT 'unexpected_merges', '' FROM m WHERE da > 1 OR df > 1 OR pages > 1 LIMIT 1)",
+    "diag_report": f"""{_GROUPS}, c AS (SELECT (SELECT count(*) FROM b) AS original, (SELECT count(*) FROM a) AS final),
+x AS (SELECT *, concat_ws(',', CASE WHEN da > 1 THEN 'amount' END, CASE WHEN df > 1 THEN 'fiscalPeriod' END, CASE WHEN pages > 1 THEN 'page' END) AS differences FROM m),
+un AS (SELECT *, row_number() OVER (ORDER BY original - final DESC, label) AS n FROM x WHERE differences <> ''), gone AS (SELECT *, row_number() OVER (ORDER BY ord, id) AS n FROM b WHERE label NOT IN (SELECT label FROM a))
+SELECT '1 total' AS section, 1::BIGINT AS n, original || ' -> ' || final AS line FROM c UNION ALL SELECT '2 types', 1, 'productorservice: ' || original || ' -> ' || final FROM c
+UNION ALL SELECT '3 lost', n, label || ' (productorservice, page ' || page || '): ' || CASE WHEN EXISTS (SELECT 1 FROM a WHERE contains(a.label, gone.label) OR contains(gone.label, a.label)) THEN 'Merged with similar name entity' ELSE 'Unknown - possibly filtered during validation' END FROM gone WHERE n <= 10
+UNION ALL SELECT '4 unexpected', n, label || ' (productorservice): ' || original || ' -> ' || final || ', differs in ' || differences FROM un WHERE n <= 5""",
     "diag_key_details": "SELECT 'p' || p_partkey AS id, CASE WHEN p_retailprice IS NULL THEN '' ELSE 'amount,' END || 'fiscalPeriod' AS details FROM part",
     "export_nodes": rf"""{_S}{_LAB}, d AS (SELECT *, {_DESC} AS de, split_part(type, ':', -1) AS b FROM lb)
 SELECT 1 AS request_id, node_id AS id, label, lower(b[1] || regexp_replace(b[2:], '([A-Z])', '_\1', 'g')) AS category, CASE WHEN de <> '' THEN de || '.' ELSE label || ' (Type: ' || b || ').' END AS description, 'meta1.meta.json' AS file_name FROM d""",
     "export_links": f"{_S}{_LAB} {_LINKS}",
-    "export_meta": "WITH c AS (SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) AS actors, 2 * (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) AS links) SELECT 1 AS request_id, 'Star' AS title, 'meta1' AS id, 'star.json' AS file_local_path, actors, links FROM c",
-    "export_files": f"""{_SS}{_LAB}, k AS ({_LINKS}) SELECT 'index2' AS folder, 'actor-' || regexp_replace(node_id, '[<>:"/\\\\|?*]', '_', 'g') || '.node.json' AS name FROM lb UNION ALL SELECT 'index3', key || '.link.json' FROM k""",
+    "export_meta": f"{_S} SELECT 1 AS request_id, 'Star' AS title, 'meta1' AS id, 'star.json' AS file_local_path, (SELECT count(*) FROM ent) AS actors, (SELECT count(*) FROM rel) AS links",
+    "export_files": f"""{_S}{_LAB}, k AS ({_LINKS}) SELECT 'index2' AS folder, 'actor-' || regexp_replace(node_id, '[<>:"/\\\\|?*]', '_', 'g') || '.node.json' AS name FROM lb UNION ALL SELECT 'index3', key || '.link.json' FROM k""",
     "vis_nodes": f"""{_S} SELECT id, substr({_VLABEL}, 1, 50) AS label, {_COLOR} AS color, 15 AS size,
   concat_ws('<br>', '<b>ID:</b> ' || id, '<b>Type:</b> ' || type, '<b>name:</b> ' || name, '<b>metricName:</b> ' || metricName, '<b>contextName:</b> ' || contextName, '<b>metricValue:</b> ' || metricValue) AS title FROM ent""",
     "vis_edges": f'{_S} SELECT source AS "from", target AS "to", {_BARE} AS label FROM rel WHERE source IN (SELECT id FROM ent) AND target IN (SELECT id FROM ent)',
-    "vis_comparison": f"""{_S}, me AS (SELECT DISTINCT id, doc FROM (SELECT source AS id, doc FROM rel UNION SELECT target, doc FROM rel) WHERE id[1] IN ('r', 'n', 's')), mf AS (SELECT me.* FROM me JOIN ent USING (id)),
+    "vis_comparison": f"""{_S}, me AS (SELECT DISTINCT id, doc FROM (SELECT source AS id, doc FROM rel UNION SELECT target, doc FROM rel)), mf AS (SELECT me.* FROM me JOIN ent USING (id)),
 dn AS (SELECT doc, (row_number() OVER (ORDER BY doc) - 1) % 7 AS n FROM (SELECT DISTINCT doc FROM mf)), pr AS (SELECT id, count(*) AS k, min(doc) AS doc FROM mf GROUP BY id)
-SELECT e.id, CASE WHEN k = 1 THEN {_CMP}[n + 1] ELSE '{V.SHARED_COLOR}' END AS color, (15 + 3 * coalesce(k, 0))::INT AS size FROM (SELECT id FROM ent WHERE id[1] IN ('r', 'n', 's')) e LEFT JOIN pr USING (id) LEFT JOIN dn ON dn.doc = pr.doc""",
+SELECT e.id, CASE WHEN k = 1 THEN {_CMP}[n + 1] ELSE '{V.SHARED_COLOR}' END AS color, (15 + 3 * coalesce(k, 0))::INT AS size FROM (SELECT id FROM ent) e LEFT JOIN pr USING (id) LEFT JOIN dn ON dn.doc = pr.doc""",
     "two_hop": f"""{_S}, u AS (SELECT source AS a, target AS b FROM rel UNION SELECT target, source FROM rel), h1 AS (SELECT DISTINCT b AS id FROM u WHERE a = 's1'), h2 AS (SELECT DISTINCT b AS id FROM u WHERE a IN (SELECT id FROM h1))
 SELECT id, min(hop)::INT AS hop FROM (SELECT 's1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id""",
     "property_filter": f"{_S} SELECT source AS id FROM rel WHERE type = 'kg:soldIn' UNION SELECT target FROM rel WHERE type = 'kg:soldIn'",
