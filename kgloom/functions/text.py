@@ -84,6 +84,20 @@ def format_attribute(key: str, value: Column) -> Column:
     return F.when(F.length(text) > 0, F.concat(F.lit(f"{display_name(key)}: "), text))
 
 
+def attribute_text(df: DataFrame, name: str) -> Column:
+    """An attribute as text: of a provenance list the first value, other lists joined, null for an empty list, a map or a struct."""
+    kind, col = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StructType):
+            if "value" not in kind.elementType.names:
+                return F.lit(None).cast("string")
+            return F.get(col, F.lit(0))["value"].cast("string")
+        return F.when(F.size(col) > 0, F.array_join(col.cast("array<string>"), ", "))
+    if isinstance(kind, (T.MapType, T.StructType)):
+        return F.lit(None).cast("string")
+    return col.cast("string")
+
+
 def composite_id(id_: Column, label: Column) -> Column:
     part = F.regexp_replace(F.regexp_replace(label, "\\s+", "_"), f"[^{WORD}-]", "")
     return F.concat(id_, F.lit("_"), F.when(part == "", "nolabel").otherwise(part))

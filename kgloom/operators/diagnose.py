@@ -15,6 +15,9 @@ TEMPORAL = ("fiscalPeriod", "dateOrYear", "kpiDateOrPeriod")
 OTHER = ("metricUnit", "currency", "location", "contextType")
 DIFFERING = ("metricValue", "percentageValue", "amount", "fiscalPeriod", "dateOrYear")
 
+#: All attributes that a diagnosis looks at.
+FIELDS = (*NAME_FIELDS, *NUMERIC, *TEMPORAL, *OTHER)
+
 
 def entity_name(df: DataFrame) -> Column:
     fields = [F.nullif(F.col(f).cast("string"), F.lit("")) for f in NAME_FIELDS if f in df.columns]

@@ -66,9 +66,12 @@ def description(attributes: tuple[str, ...], prefix: str) -> Column:
     return F.when(joined != "", F.concat(joined, F.lit("."))).otherwise(F.concat(F.col("label"), F.lit(" (Type: "), strip_prefix(F.col("type"), prefix), F.lit(").")))
 
 
-def nodes(entities: DataFrame, attributes: tuple[str, ...], request_id: int, file_id: str, title: str, prefix: str = "kg:") -> DataFrame:
+def nodes(entities: DataFrame, attributes: tuple[str, ...], request_id: int, file_id: str, title: str, prefix: str = "kg:", categories: dict[str, str] | None = None) -> DataFrame:
+    """``categories``: an ontology's own categories by bare type; other types get the snake case of theirs."""
     rows = with_labels(entities, attributes)
     category = F.when(category_from_type(F.col("type")) == "unknown", F.col("type")).otherwise(category_from_type(F.col("type")))
+    if categories:
+        category = F.coalesce(F.create_map(*[F.lit(x) for p in categories.items() for x in p])[F.substring_index("type", ":", -1)], category)
     sources = F.array(F.struct(F.lit(file_id).alias("FileId"), F.lit(f"{file_id}.meta.json").alias("FileName"), F.lit(title).alias("Title"), F.lit(request_id).alias("sourceint1")))
     return rows.select(F.lit(request_id).alias("request_id"), F.col("node_id").alias("id"), "label", strip_prefix(category, prefix).alias("category"), description(attributes, prefix).alias("description"), sources.alias("sources"))
 

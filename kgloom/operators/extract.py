@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,15 +20,15 @@ CLASSIFY_CHARS, CLASSIFY_IMAGE_CHARS, SUMMARY_CHARS = 15000, 8000, 20000
 
 
 class Client(Protocol):
-    """A language model: null for a failed call."""
+    """A language model: null for a failed call.  Images are only passed where a row has some."""
 
-    def complete(self, prompt: str, temperature: float = 0.1) -> str | None: ...
+    def complete(self, prompt: str, temperature: float = 0.1, images: list[bytes] | tuple[bytes, ...] = ()) -> str | None: ...
 
 
 class RuleClient:
     """A deterministic client without a network: capitalised words as entities of one graph, joined in a chain."""
 
-    def complete(self, prompt: str, temperature: float = 0.1) -> str | None:
+    def complete(self, prompt: str, temperature: float = 0.1, images: list[bytes] | tuple[bytes, ...] = ()) -> str | None:
         import re
 
         text = prompt.rsplit("TEXT:", 1)[-1]
@@ -40,7 +41,7 @@ class RuleClient:
 class KeywordClient:
     """A deterministic client for classification prompts: the category that the text names first, in any case; null for none."""
 
-    def complete(self, prompt: str, temperature: float = 0.1) -> str | None:
+    def complete(self, prompt: str, temperature: float = 0.1, images: list[bytes] | tuple[bytes, ...] = ()) -> str | None:
         import re
 
         head, _, text = prompt.partition("TEXT:")
@@ -88,6 +89,11 @@ def classification_prompt(text: Column, categories: list[str], source: str = "te
     return F.concat(F.lit(head), F.substring(F.coalesce(text, F.lit("")), 1, limit))
 
 
+def image_classification_prompt(text: Column, categories: list[str]) -> Column:
+    """The prompt that goes with images of first pages; texts are shorter here."""
+    return F.concat(F.lit("The first pages are attached as images.\n"), classification_prompt(text, categories, "images", CLASSIFY_IMAGE_CHARS))
+
+
 def summary_prompt(text: Column, limit: int = SUMMARY_CHARS) -> Column:
     head = 'Summarise this document and name its main entity. Answer with JSON: {"summary": "...", "main_entity": "..."}\nTEXT:'
     return F.concat(F.lit(head), F.substring(F.coalesce(text, F.lit("")), 1, limit))
@@ -113,22 +119,28 @@ def parse_summary(reply: Column) -> Column:
     return F.when(got["summary"].isNotNull(), got).otherwise(F.struct(reply.alias("summary"), F.lit(None).cast("string").alias("main_entity")))
 
 
-def ask(rows: DataFrame, name: str, prompt: str = "prompt", reply: str = "reply", temperature: float = 0.1) -> DataFrame:
-    """Each row with the reply to its prompt and an ``error``; the client is made once in each task."""
+def _reply(model: Client, prompt: str | None, temperature: float, images: list[bytes] | None) -> tuple[str | None, str | None]:
+    """(reply, error): a failed call is data, not a failed job."""
+    try:
+        if not prompt:
+            return None, None
+        images = [i for i in images or () if i]
+        return (model.complete(prompt, temperature, images=images) if images else model.complete(prompt, temperature)), None
+    except Exception as e:  # noqa: BLE001
+        return None, f"{type(e).__name__}: {e}"
+
+
+def ask(rows: DataFrame, name: str, prompt: str = "prompt", reply: str = "reply", temperature: float = 0.1, images: str | None = None) -> DataFrame:
+    """Each row with the reply to its prompt and an ``error``; the client is made once in each task.  ``images``: a column of arrays of binaries."""
     names, make = rows.columns, maker(name)  # the maker itself goes to the tasks; their processes know no registry
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for b in batches:
-            replies, errors = [], []
-            for p in b.column(names.index(prompt)).to_pylist():
-                try:
-                    replies.append(model.complete(p, temperature) if p else None)
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  a failed call is data, not a failed job
-                    replies.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], [*names, reply, "error"])
+            prompts = b.column(names.index(prompt)).to_pylist()
+            pictures = b.column(names.index(images)).to_pylist() if images else [None] * len(prompts)
+            got = [_reply(model, p, temperature, i) for p, i in zip(prompts, pictures, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for r, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], [*names, reply, "error"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), f"{reply} string", "error string"])
     return rows.mapInArrow(call, schema)
@@ -137,12 +149,15 @@ def ask(rows: DataFrame, name: str, prompt: str = "prompt", reply: str = "reply"
 def classify(steps: list[DataFrame], name: str, categories: list[str]) -> DataFrame:
     """``(doc, category, step)``: documents go to the next step only while they have no category.
 
-    ``steps``: frames ``(doc, text)``, such as contents, first pages and images' captions.  Each is written once, so no call is repeated.
+    ``steps``: frames ``(doc, text)``, such as contents and first pages, or with ``images`` too.  Each is written once, so no call is repeated.
     """
     done = None
     for i, step in enumerate(steps):
         todo = step if done is None else step.join(done.where(F.col("category") != UNKNOWN_TYPE).select("doc"), "doc", "left_anti")
-        got = ask(todo.select("doc", classification_prompt(F.col("text"), categories).alias("prompt")), name)
+        if "images" in step.columns:
+            got = ask(todo.select("doc", "images", image_classification_prompt(F.col("text"), categories).alias("prompt")), name, images="images")
+        else:
+            got = ask(todo.select("doc", classification_prompt(F.col("text"), categories).alias("prompt")), name)
         got = materialize(got.select("doc", parse_category(F.col("reply"), categories).alias("category"), F.lit(i).alias("step")), "classified")
         done = got if done is None else done.unionByName(got)
     return done.groupBy("doc").agg(F.min_by("category", F.struct(F.col("category") == UNKNOWN_TYPE, "step")).alias("category"), F.min_by("step", F.struct(F.col("category") == UNKNOWN_TYPE, "step")).alias("step"))
@@ -153,38 +168,93 @@ def with_context(docs: DataFrame, ontology_text: str | None) -> DataFrame:
     return docs.withColumn("ontology", F.lit(ontology_text or ""))
 
 
-def extraction_prompt(text: Column, ontology: Column, category: Column, main_entity: Column, previous: Column | None = None, section: Column | None = None) -> Column:
+def extraction_prompt(
+    text: Column, ontology: Column, category: Column, main_entity: Column, previous: Column | None = None, section: Column | None = None, before: Column | None = None, position: Column | None = None, image: bool = False
+) -> Column:
+    """``before`` and ``position``: the summary of the chunk before, and the share of the document that lies before the chunk."""
     parts = [
         F.lit('Extract a knowledge graph as JSON {"entities": [{"id", "type", ...}], "relationships": [{"source", "target", "type"}]}.\n'),
+        F.lit("The page is attached as an image; read tables, charts and logos in it too.\n" if image else ""),
         F.when(F.length(ontology) > 0, F.concat(F.lit("Ontology:\n"), ontology, F.lit("\n"))).otherwise(""),
         F.when(category == "financial_teaser", F.lit("Keep every figure with its currency, unit and period.\n")).otherwise(""),
-        F.when(F.length(main_entity) > 0, F.concat(F.lit("Main entity: "), main_entity, F.lit("\n"))).otherwise(""),
     ]
-    if section is not None:
-        parts.append(F.when(F.length(section) > 0, F.concat(F.lit("Section: "), section, F.lit("\n"))).otherwise(""))
-    if previous is not None:
-        parts.append(F.when(F.length(previous) > 0, F.concat(F.lit("Graph so far: "), previous, F.lit("\n"))).otherwise(""))
+    shown = None if position is None else F.concat(F.round(100 * position).cast("int").cast("string"), F.lit(" % of the document"))
+    for title, value in (("Main entity", main_entity), ("Section", section), ("Text before", before), ("Position", shown), ("Graph so far", previous)):
+        if value is not None:
+            parts.append(F.when(F.length(value) > 0, F.concat(F.lit(f"{title}: "), value, F.lit("\n"))).otherwise(""))
     return F.concat(*[F.coalesce(p, F.lit("")) for p in parts], F.lit("TEXT:"), F.coalesce(text, F.lit("")))
 
 
 GRAPH = "struct<entities:array<map<string,string>>,relationships:array<map<string,string>>>"
+#: Stands in a prompt where the graph of the units before goes.
+PREVIOUS = "\0graph\0"
 
 
-def extract_graphs(units: DataFrame, name: str, prompt: Column) -> DataFrame:
-    """``(doc, page, graph_json, n_entities, n_relationships, error)`` for units with a text; written once, so calls aren't repeated.
-
-    A blank unit, a failed call or a reply without JSON is an empty graph.
-    """
-    rows = units.where(F.length(F.trim("text")) > 0).select("doc", "page", prompt.alias("prompt"))
-    got = ask(rows, name).select("doc", "page", unfence(F.col("reply")).alias("graph_json"), "error")
-    parsed = F.from_json("graph_json", GRAPH)
-    got = got.withColumn("parsed", parsed)
+def counted(graphs: DataFrame) -> DataFrame:
+    """``(doc, page, graph_json, n_entities, n_relationships, error)``, written once, so calls aren't repeated."""
+    got = graphs.withColumn("parsed", F.from_json("graph_json", GRAPH))
     return materialize(
         got.select("doc", "page", "graph_json", F.coalesce(F.size("parsed.entities"), F.lit(0)).alias("n_entities"), F.coalesce(F.size("parsed.relationships"), F.lit(0)).alias("n_relationships"), "error"),
         "graphs",
     )
 
 
+def extract_graphs(units: DataFrame, name: str, prompt: Column, image: str | None = None, image_prompt: Column | None = None) -> DataFrame:
+    """``(doc, page, graph_json, n_entities, n_relationships, error)`` for units with a text; written once, so calls aren't repeated.
+
+    A blank unit, a failed call or a reply without JSON is an empty graph.  ``image``: a binary column, sent with ``image_prompt``, for blank
+    texts too; units without an image fall back to ``prompt``.
+    """
+    filled = F.length(F.trim("text")) > 0
+    if image is None:
+        got = ask(units.where(filled).select("doc", "page", prompt.alias("prompt")), name)
+    else:
+        seen = F.col(image).isNotNull()
+        rows = units.where(filled | seen).select("doc", "page", F.when(seen, F.array(image)).alias("images"), F.when(seen, prompt if image_prompt is None else image_prompt).otherwise(prompt).alias("prompt"))
+        got = ask(rows, name, images="images")
+    return counted(got.select("doc", "page", unfence(F.col("reply")).alias("graph_json"), "error"))
+
+
+def iterative_graphs(units: DataFrame, name: str, prompt: Column, temperature: float = 0.1) -> DataFrame:
+    """The rows of ``extract_graphs``, where ``PREVIOUS`` in a prompt becomes the graph after the document's units before.
+
+    Each reply is the whole graph so far, so a document's last row with a graph is its graph (``last_graphs``); a reply without entities is
+    recorded and doesn't replace the graph.  Units of a document wait for each other by nature; documents run side by side.
+    """
+    make = maker(name)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        model, graph, out = make(), "", []
+        for doc, page, text in pdf.sort_values("page")[["doc", "page", "prompt"]].itertuples(index=False):
+            line = f"Graph so far: {PREVIOUS}\n"
+            reply, error = _reply(model, text.replace(line, line.replace(PREVIOUS, graph) if graph else "", 1), temperature, None)
+            try:
+                reply = _bare_reply(reply)
+                found = json.loads(reply) if reply else {}
+                if isinstance(found, dict) and found.get("entities"):
+                    graph = json.dumps(found, ensure_ascii=False)
+            except ValueError:
+                pass  # no JSON: an empty graph
+            out.append((doc, page, reply, error))
+        return pd.DataFrame(out, columns=["doc", "page", "graph_json", "error"])
+
+    rows = units.where(F.length(F.trim("text")) > 0).select("doc", "page", prompt.alias("prompt"))
+    return counted(rows.groupBy("doc").applyInPandas(run, "doc string, page int, graph_json string, error string"))
+
+
+def _bare_reply(reply: str | None) -> str | None:
+    """``unfence`` of one reply."""
+    import re
+
+    return reply and re.sub(r"\s*```$", "", re.sub(r"^```(?:json|JSON)?\s*", "", reply.strip())).strip()
+
+
+def last_graphs(graphs: DataFrame) -> DataFrame:
+    """The last graph with entities of each document, for iterative extraction."""
+    cols = [c for c in graphs.columns if c != "doc"]
+    return graphs.where("n_entities > 0").groupBy("doc").agg(F.max_by(F.struct(*cols), "page").alias("g")).select("doc", *[f"g.{c}" for c in cols])
+
+
 def graph_entities(graphs: DataFrame) -> DataFrame:
     """``(doc, page, ord, id, type, attrs_json)`` of graphs; attributes keep their JSON types."""
     raw = F.from_json("graph_json", "struct<entities:array<string>>")["entities"]

@@ -21,6 +21,7 @@ class Ontology:
     entities: dict[str, dict[str, str]] = field(default_factory=dict)
     relations: dict[str, tuple[list[str], list[str]]] = field(default_factory=dict)
     descriptions: dict[str, str] = field(default_factory=dict)
+    categories: dict[str, str] = field(default_factory=dict)
     prefix: str = "kg:"
 
     @classmethod
@@ -35,6 +36,8 @@ class Ontology:
                 out.entities[bare(name)] = {k: str(v) for k, v in attrs.items()}
                 if (body or {}).get("description"):
                     out.descriptions[bare(name)] = body["description"]
+                if (body or {}).get("category"):
+                    out.categories[bare(name)] = body["category"]
                 if ":" in name:
                     out.prefix = name.rsplit(":", 1)[0] + ":"
         for item in raw.get("relations") or []:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,7 @@ LABELS = {
     "Person": ("fullName", "name"), "Position": ("titleName", "name"), "Location": ("locationName", "name"), "Shareholder": ("shareholderName", "name"),
     "HistoricalEvent": ("eventName", "name"), "MarketContext": ("segmentName", "name"), "ProductOrService": ("productName", "name"),
 }
+#: Which attributes hold values and periods, what tooltips show, and the colours of documents.
 VALUES = ("valueString", "kpiValueString", "metricValue", "headcountValue")
 PERIODS = ("DateOrPeriod", "kpiDateOrPeriod", "dateOrYear", "fiscalPeriod")
 TOOLTIP = ("name", "fullName", "metricName", "kpiName", "contextName", "valueString", "metricValue", "description")
@@ -64,12 +66,18 @@ def node_label(df: DataFrame) -> Column:
 
 
 def tooltip(df: DataFrame) -> Column:
+    """Lines of a node: id, type, documents (``docs``), short attributes, and where values come from (``provenance``: attribute to a list of value and document)."""
     parts = [F.concat(F.lit("<b>ID:</b> "), F.col("id")), F.concat(F.lit("<b>Type:</b> "), F.col("type"))]
+    if "docs" in df.columns:
+        parts.append(F.when(F.size("docs") > 0, F.concat(F.lit("<b>Sources:</b> "), F.array_join("docs", ", "))))
     for f in TOOLTIP:
         if f in df.columns:
             v = F.nullif(F.col(f).cast("string"), F.lit(""))
             parts.append(F.when(F.length(v) < 100, F.concat(F.lit(f"<b>{f}:</b> "), v)))
-    return F.concat_ws("<br>", *parts)
+    if "provenance" in df.columns:
+        line = lambda k, v: F.concat(F.lit("<b>"), k, F.lit("</b> from "), F.array_join(F.array_distinct(F.transform(v, lambda x: x["source_doc_id"])), ", "))
+        parts.append(F.array_join(F.transform(F.array_sort(F.map_keys("provenance")), lambda k: line(k, F.col("provenance")[k])), "<br>"))
+    return F.concat_ws("<br>", *[F.nullif(p, F.lit("")) for p in parts])
 
 
 def color(col: Column) -> Column:
@@ -98,16 +106,26 @@ def comparison_nodes(entities: DataFrame, members: DataFrame) -> DataFrame:
     return rows.select("id", F.when(count == 1, own).otherwise(SHARED_COLOR).alias("color"), (15 + 3 * count).alias("size"))
 
 
-def html_page(nodes: DataFrame, edges: DataFrame, title: str, limit: int = 5000) -> str:
-    """A page that draws the graph on a canvas without other files.  A page is for people: more than ``limit`` nodes are refused."""
+def comparison_legend(members: DataFrame) -> list[tuple[str, str]]:
+    """``(document, colour)`` as ``comparison_nodes`` colours, for a page that people read: a row for each document of ``members``."""
+    docs = [r["doc"] for r in members.select("doc").distinct().orderBy("doc").collect()]
+    return [*((d, PALETTE[i % len(PALETTE)]) for i, d in enumerate(docs)), ("several documents", SHARED_COLOR)]
+
+
+def html_page(nodes: DataFrame, edges: DataFrame, title: str, limit: int = 5000, legend: list[tuple[str, str]] | None = None) -> str:
+    """A page that draws the graph on a canvas without other files.  A page is for people: more than ``limit`` nodes, or ten times as many edges, are refused."""
     rows = nodes.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"a page of over {limit} nodes can't be drawn")
-    data = json.dumps({"nodes": [r.asDict() for r in rows], "edges": [r.asDict() for r in edges.collect()]}, ensure_ascii=False).replace("</", "<\\/")
+    lines = edges.limit(10 * limit + 1).collect()
+    if len(lines) > 10 * limit:
+        raise ValueError(f"a page of over {10 * limit} edges can't be drawn")
+    data = json.dumps({"nodes": [r.asDict() for r in rows], "edges": [r.asDict() for r in lines]}, ensure_ascii=False).replace("</", "<\\/")
     draw = """
 const c=document.querySelector('canvas'),x=c.getContext('2d'),p={};c.width=innerWidth;c.height=innerHeight;
 G.nodes.forEach((n,i)=>{const a=i*2.39996,r=14*Math.sqrt(i);p[n.id]=[c.width/2+r*Math.cos(a),c.height/2+r*Math.sin(a)]});
 x.strokeStyle='#bbb';G.edges.forEach(e=>{if(p[e.from]&&p[e.to]){x.beginPath();x.moveTo(...p[e.from]);x.lineTo(...p[e.to]);x.stroke()}});
 G.nodes.forEach(n=>{x.fillStyle=n.color;x.beginPath();x.arc(...p[n.id],n.size/3,0,7);x.fill();x.fillStyle='#222';x.fillText(n.label||n.id,p[n.id][0]+8,p[n.id][1])});
 """
-    return f"<!doctype html><meta charset=utf-8><title>{title}</title><canvas></canvas><script>const G={data};{draw}</script>"
+    key = "".join(f"<li><b style='color:{c}'>&#9679;</b> {html.escape(d)}</li>" for d, c in legend or [])
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title>{key and f'<ul>{key}</ul>'}<canvas></canvas><script>const G={data};{draw}</script>"

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.operators import chunk as C
+from kgloom.operators import diagnose as D
 from kgloom.operators import evaluate as E
+from kgloom.operators import export as EXP
 from kgloom.operators import extract as X
 from kgloom.operators import graph as G
 from kgloom.operators import merge as ME
@@ -21,7 +23,10 @@ from kgloom.sources.scratch import materialize
 
 @dataclass
 class Project:
-    """``units``: pages or chunks.  ``rules``: ``threshold`` or ``strategy`` for the page merge."""
+    """``units``: pages or chunks.  ``rules``: ``threshold`` or ``strategy`` for the page merge.  ``construction``: ``parallel``, or ``iterative``,
+    where each unit's prompt holds the graph of the units before and the last graph is the document's.  ``diagnostics``, ``export`` and ``dumps``
+    add the merge report, the export files and the graph of each unit to what ``run`` writes.
+    """
 
     client: str = "rules"
     categories: tuple[str, ...] = ("report", "contract", "financial_teaser")
@@ -29,27 +34,84 @@ class Project:
     units: str = "pages"
     chunks: C.ChunkConfig = field(default_factory=C.ChunkConfig)
     rules: str = "threshold"
+    construction: str = "parallel"
+    diagnostics: bool = False
+    export: bool = False
+    dumps: bool = False
+    model: str = "rules"
+    provider: str = "local"
+
+    def __post_init__(self):
+        for name, known in (("units", ("pages", "chunks")), ("rules", ("threshold", "strategy")), ("construction", ("parallel", "iterative"))):
+            if getattr(self, name) not in known:
+                raise ValueError(f"{name} are {' or '.join(known)}, not {getattr(self, name)!r}")
 
     def page_rules(self) -> Rules:
-        if self.rules not in ("threshold", "strategy"):
-            raise ValueError(f"rules are threshold or strategy, not {self.rules!r}")
         return page_rules() if self.rules == "threshold" else strategy_rules()
 
 
-def page_graphs(pages: DataFrame, project: Project) -> DataFrame:
-    """Graphs of all units of ``pages(doc, page, text)``; model calls of all documents run side by side, each once."""
+def page_graphs(pages: DataFrame, project: Project, contents: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """Graphs of all units of ``pages(doc, page, text)``; model calls of all documents run side by side, each once.
+
+    Documents are classified by their table of contents (``contents(doc, ord, level, title, page)``), if that names no category by their first
+    pages, and then by the images of those (``images(doc, page, image)``).  Pages with an image are sent with it.
+    """
     categories = list(project.categories)
-    kinds = X.classify([X.first_pages_text(pages, 4)], project.client, categories)
+    steps = [] if contents is None else [X.toc_text(contents)]
+    steps.append(X.first_pages_text(pages, 4))
+    if images is not None:
+        steps.append(files.first_images(images, 4).join(X.first_pages_text(pages, 4), "doc", "left"))
+    kinds = X.classify(steps, project.client, categories)
     sums = X.ask(X.first_pages_text(pages, 10).select("doc", X.summary_prompt(F.col("text")).alias("prompt")), project.client)
-    context = materialize(sums.select("doc", X.parse_summary(F.col("reply")).alias("s")).join(kinds, "doc", "left"), "context")
-    units = pages.withColumn("section", F.lit(None).cast("string"))
+    sums = sums.select("doc", X.parse_summary(F.col("reply")).alias("s")).select("doc", "s.summary", "s.main_entity")
+    context = materialize(X.with_context(sums.join(kinds, "doc", "full_outer"), project.ontology.prompt() if project.ontology else None), "context")
+    none = F.lit(None)
     if project.units == "chunks":
         found = C.chunk_documents(pages, project.chunks)
-        units = found.select("doc", F.regexp_extract("id", r"\d+", 0).cast("int").alias("page"), "text", F.col("section_context").alias("section"))
+        units = found.select("doc", F.regexp_extract("id", r"\d+", 0).cast("int").alias("page"), "text", F.col("section_context").alias("section"), F.col("previous_chunk_summary").alias("before"), F.col("document_position").alias("position"))
+    else:
+        units = pages.select("doc", "page", "text", none.cast("string").alias("section"), none.cast("string").alias("before"), none.cast("double").alias("position"))
     rows = units.join(context, "doc", "left")
-    text = F.lit(project.ontology.prompt() if project.ontology else "")
-    prompt = X.extraction_prompt(F.col("text"), text, F.col("category"), F.col("s.main_entity"), section=F.col("section"))
-    return X.extract_graphs(rows, project.client, prompt)
+
+    def prompt(previous: str | None = None, image: bool = False):
+        return X.extraction_prompt(
+            F.col("text"), F.coalesce("ontology", F.lit("")), F.col("category"), F.col("main_entity"), None if previous is None else F.lit(previous), F.col("section"), F.col("before"), F.col("position"), image
+        )
+
+    if project.construction == "iterative":
+        return X.iterative_graphs(rows, project.client, prompt(X.PREVIOUS))
+    if images is not None and project.units == "pages":
+        rows = rows.join(images.select("doc", "page", "image"), ["doc", "page"], "left")
+        return X.extract_graphs(rows, project.client, prompt(), "image", prompt(image=True))
+    return X.extract_graphs(rows, project.client, prompt())
+
+
+def unit_entities(graphs: DataFrame) -> DataFrame:
+    """``(id, type, ord, page, attributes ...)`` of the entities of units, as ``diagnose`` takes them."""
+    rows = X.graph_entities(graphs)
+    return rows.select("id", "type", F.struct("doc", "ord").alias("ord"), F.concat_ws("/", "doc", F.col("page").cast("string")).alias("page"), *[F.get_json_object("attrs_json", f"$.{f}").alias(f) for f in D.FIELDS])
+
+
+def project_entities(ents: DataFrame) -> DataFrame:
+    """The same of a project graph, whose attributes are provenance lists: their first values."""
+    return ents.select("id", "type", "ord", *[F.get_json_object("attrs_json", f"$.{f}[0].value").alias(f) for f in D.FIELDS])
+
+
+def export_files(ents: DataFrame, links: DataFrame, out: str, project: Project, max_keys: int = 1000) -> None:
+    """Meta, nodes and links of a project graph, each as one JSON array.  Every attribute becomes a column here: over ``max_keys`` of them are refused."""
+    values = F.map_filter(F.from_json("attrs_json", "map<string,string>"), lambda k, v: ~k.startswith("_"))
+    keys = [r["k"] for r in ents.select(F.explode(F.map_keys(values)).alias("k")).distinct().limit(max_keys + 1).collect()]
+    if len(keys) > max_keys:
+        raise ValueError(f"over {max_keys} attributes can't be exported")
+    keys = tuple(sorted(k for k in keys if k not in ("id", "type", "ord")))
+    flat = ents.select("id", "type", "ord", *[F.get_json_object(values[k], "$[0].value").alias(k) for k in keys])
+    rels = links.withColumn("ord", F.xxhash64("source", "target", "type"))
+    base, onto = files.file_base("project", project.model, project.provider, project.construction), project.ontology
+    node_rows = materialize(EXP.nodes(flat, keys, 1, base, "Project graph", onto.prefix if onto else "kg:", onto.categories if onto else None), "nodes")
+    link_rows = materialize(EXP.links(flat, rels, keys, 1, base, "Project graph"), "links")
+    files.write_json_array(node_rows, f"{out}/{base}_nodes.json", ["id"])
+    files.write_json_array(link_rows, f"{out}/{base}_links.json", ["key"])
+    files.write_json_array(EXP.meta(node_rows, link_rows, 1, base, "Project graph", f"{base}.json"), f"{out}/{base}_meta.json", ["id"])
 
 
 def document_graphs(graphs: DataFrame, project: Project) -> tuple[DataFrame, DataFrame]:
@@ -87,14 +149,17 @@ def project_graph(merged: DataFrame, rels: DataFrame, rules: Rules | None = None
     return numbered.select(F.lit("project").alias("project"), "ord", F.col("new_id").alias("id"), "type", "n", "attrs_json"), ME.relation_documents(moved)
 
 
-def run(spark: SparkSession, pages: DataFrame, out: str, project: Project | None = None, page_limit: int = 5000) -> dict[str, DataFrame]:
+def run(spark: SparkSession, pages: DataFrame, out: str, project: Project | None = None, page_limit: int = 5000, contents: DataFrame | None = None, images: DataFrame | None = None) -> dict[str, DataFrame]:
     """Everything for ``pages(doc, page, text)``: frames by name, and files below ``out``.
 
-    The drawn page is one HTML file, made by the driver: above ``page_limit`` entities none is written, and ``page`` is missing among the frames.
+    Drawn pages are HTML files for people, made by the driver: above ``page_limit`` entities none is written, and ``page`` and ``comparison`` are
+    missing among the frames.  ``comparison``, of several documents only, colours nodes by document.
     """
     project = project or Project()
-    graphs = page_graphs(pages, project)
-    merged, rels = document_graphs(graphs, project)
+    graphs = page_graphs(pages, project, contents, images)
+    if project.dumps:
+        files.dump_graphs(graphs, f"{out}/units", "chunk" if project.units == "chunks" else "page")
+    merged, rels = document_graphs(X.last_graphs(graphs) if project.construction == "iterative" else graphs, project)
     ents, links = project_graph(merged, rels)
     ents.write.mode("overwrite").json(f"{out}/entities")
     links.write.mode("overwrite").json(f"{out}/relations")
@@ -105,11 +170,26 @@ def run(spark: SparkSession, pages: DataFrame, out: str, project: Project | None
         scores = E.evaluate(ents.select("id", "type", "ord"), links.withColumn("ord", F.lit(0)), keys, onto)
         result |= {f"metric_{k}" if k != "score" else k: v for k, v in scores.items()}
         result["score"].write.mode("overwrite").json(f"{out}/evaluation")
-    drawn = ents.select("id", "type", F.get_json_object("attrs_json", "$.name[0].value").alias("name"))
-    if drawn.count() <= page_limit:
-        page = V.html_page(V.vis_nodes(drawn), V.vis_edges(drawn, links), "Project graph", page_limit)
-        result["page"] = spark.createDataFrame([(page,)], "value string")
-        result["page"].coalesce(1).write.mode("overwrite").text(f"{out}/page")
+    if project.diagnostics:
+        result["report"] = materialize(D.report(unit_entities(graphs), project_entities(ents)), "report")
+        result["report"].coalesce(1).write.mode("overwrite").json(f"{out}/diagnostics")
+        D.print_report(result["report"])
+    if project.export:
+        export_files(ents, links, files.url(f"{out}/export"), project)
+    if ents.count() <= page_limit:
+        docs = F.from_json(F.get_json_object("attrs_json", "$._source_document_ids"), "array<string>")
+        values = F.map_filter(F.from_json("attrs_json", "map<string,string>"), lambda k, v: ~k.startswith("_"))
+        provenance = F.transform_values(values, lambda k, v: F.from_json(v, "array<struct<value:string,source_doc_id:string>>"))
+        drawn = ents.select("id", "type", *[F.get_json_object("attrs_json", f"$.{f}[0].value").alias(f) for f in D.NAME_FIELDS], docs.alias("docs"), provenance.alias("provenance"))
+        nodes, edges, members = V.vis_nodes(drawn), V.vis_edges(drawn, links), drawn.select("id", F.explode("docs").alias("doc"))
+        html = {"page": V.html_page(nodes, edges, "Project graph", page_limit)}
+        legend = V.comparison_legend(members)
+        if len(legend) > 2:
+            by_document = nodes.drop("color", "size").join(V.comparison_nodes(drawn, members), "id")
+            html["comparison"] = V.html_page(by_document, edges, "Documents of the project", page_limit, legend)
+        for name, body in html.items():
+            result[name] = spark.createDataFrame([(body,)], "value string")
+            result[name].coalesce(1).write.mode("overwrite").text(f"{out}/{name}")
     return result
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,7 +22,9 @@ PageReader = Callable[[bytes], list[tuple[str, bytes | None]]]
 
 
 def text_pages(content: bytes) -> list[tuple[str, bytes | None]]:
-    """Pages of plain text, which form feeds part."""
+    """Pages of plain text, which form feeds part.  A PDF isn't text and is refused."""
+    if content[:1024].lstrip().startswith(b"%PDF-"):
+        raise ValueError("this is a PDF: pass a reader of PDF to read_pages")
     return [(p, None) for p in content.decode("utf-8", "replace").split("\f")]
 
 
@@ -38,6 +41,95 @@ def read_pages(files: DataFrame, reader: PageReader = text_pages) -> DataFrame:
     return files.select("doc", "content").mapInArrow(pages, "doc string, page int, text string, image binary")
 
 
+def page_texts(pages: DataFrame) -> DataFrame:
+    """``(doc, texts)``: the texts of a document's pages in a list, in order; it holds one document in a row."""
+    listed = F.array_sort(F.collect_list(F.struct("page", "text")))
+    return pages.groupBy("doc").agg(F.transform(listed, lambda x: x["text"]).alias("texts"))
+
+
+#: (content, dpi) -> [(PNG, width, height)]; renderers are plugged in as readers are.
+PageRenderer = Callable[[bytes, int], list[tuple[bytes, int, int]]]
+#: content -> the content of a file for each page.
+PageSplitter = Callable[[bytes], list[bytes]]
+
+
+def render_pages(files: DataFrame, renderer: PageRenderer, dpi: int = 300) -> DataFrame:
+    """``(doc, page, image, width, height)`` of ``(doc, path, content)``, pages from 1; a batch for each file."""
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                got = renderer(content.as_py() or b"", dpi)
+                n = len(got)
+                cols = [pa.array([doc] * n, pa.string()), pa.array(range(1, n + 1), pa.int32()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "page", "image", "width", "height"])
+
+    return files.select("doc", "content").mapInArrow(render, "doc string, page int, image binary, width int, height int")
+
+
+def page_image(docs: DataFrame, images: DataFrame, page: int) -> DataFrame:
+    """``(doc, image)`` for every row of ``docs(doc)``: the page's image in base64, null for a page that isn't there."""
+    one = images.where(F.col("page") == page).select("doc", F.base64("image").alias("image"))
+    return docs.select("doc").join(one, "doc", "left")
+
+
+def first_images(images: DataFrame, n: int = 4) -> DataFrame:
+    """``(doc, images)``: the images of a document's first n pages, in order."""
+    listed = F.array_sort(F.collect_list(F.struct("page", "image")))
+    return images.where((F.col("page") <= n) & F.col("image").isNotNull()).groupBy("doc").agg(F.transform(listed, lambda x: x["image"]).alias("images"))
+
+
+def split_files(files: DataFrame, splitter: PageSplitter, suffix: str = ".pdf") -> DataFrame:
+    """``(folder, name, body)``: a file for each page, to be written by ``write_records``."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                got = splitter(content.as_py() or b"")
+                cols = [pa.array([doc] * len(got), pa.string()), pa.array([f"page_{i}{suffix}" for i in range(1, len(got) + 1)], pa.string()), pa.array(got, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["folder", "name", "body"])
+
+    return files.select("doc", "content").mapInArrow(split, "folder string, name string, body binary")
+
+
+def dump_graphs(graphs: DataFrame, path: str, unit: str = "page") -> None:
+    """The graph of each page, or of each chunk by the name ``unit``, as text below folders of documents and units."""
+    rows = graphs.select("doc", F.col("page").alias(unit), F.coalesce("graph_json", F.lit('{"entities":[],"relationships":[]}')).alias("value"))
+    rows.write.mode("overwrite").partitionBy("doc", unit).text(path)
+
+
+def file_base(mode: str, model: str, provider: str, construction: str) -> str:
+    """The start of the names of exported files; slashes and colons of a model's name become ``_``."""
+    return f"{mode}_{model.replace('/', '_').replace(':', '_')}_{provider}_{construction}"
+
+
+def write_json_array(rows: DataFrame, path: str, order: list[str]) -> None:
+    """``rows`` in ``order`` as one JSON array in the file ``path``.  The format is one file, so one task writes it, a batch at a time."""
+    bodies = rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns)).alias("body")).coalesce(1)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+
+        fs, target = pafs.FileSystem.from_uri(path)
+        fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+        n = 0
+        with fs.open_output_stream(target) as out:
+            for b in batches:
+                for body in b.column(0).to_pylist():
+                    out.write((",\n" if n else "[\n").encode() + body.encode())
+                    n += 1
+            out.write(b"\n]\n" if n else b"[]\n")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    if not bodies.mapInArrow(put, "n long").collect():  # no rows may mean no task
+        import pyarrow.fs as pafs
+
+        fs, target = pafs.FileSystem.from_uri(path)
+        fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(target) as out:
+            out.write(b"[]\n")
+
+
 def split_pages(docs: DataFrame, doc: str, text: str, separator: str = "\n") -> DataFrame:
     """``(doc, page, text)`` of texts, pages from 1."""
     return docs.select(F.col(doc).cast("string").alias("doc"), F.posexplode(F.split(text, separator)).alias("page", "text")).withColumn("page", F.col("page") + 1)
@@ -79,6 +171,11 @@ def write_documents(rows: DataFrame, path: str, group: str) -> None:
     rows.select(group, "value").write.partitionBy(group).text(path)
 
 
+def url(path: str) -> str:
+    """A path as Arrow's file systems take it: a path without a scheme is a file's."""
+    return path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
+
+
 def write_records(records: DataFrame, path: str) -> None:
     """``(folder, name, body)`` to files of those names, by tasks and through any file system that Arrow knows."""
 
@@ -91,7 +188,7 @@ def write_records(records: DataFrame, path: str) -> None:
             for folder, name, body in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 fs.create_dir(f"{root}/{folder}", recursive=True)
                 with fs.open_output_stream(f"{root}/{folder}/{name}") as out:
-                    out.write(body.encode())
+                    out.write(body.encode() if isinstance(body, str) else body)
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 

@@ -1,13 +1,20 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from kgloom.__main__ import main, parser
 from kgloom.plans.ontology_demo import ONTOLOGY
-from kgloom.operators.extract import register_client
+from kgloom.functions.text import attribute_text
+from kgloom.operators.clients import Blocked, ChatClient, PartsClient, from_data_url
+from kgloom.operators.export import nodes
+from kgloom.operators.extract import classify, first_pages_text, last_graphs, register_client, toc_text
 from kgloom.operators.match import project_rules
 from kgloom.operators.merge import fold_entities
+from kgloom.operators.ontology import Ontology
 from kgloom.plans.project import Project, document_graphs, page_graphs, project_graph, run
+from kgloom.sources import files
+from kgloom.sources.files import first_images
 
 
 @pytest.mark.parametrize("units", ["pages", "chunks"])
@@ -69,6 +76,104 @@ def test_project_graph_against_one_fold(spark):
 def test_rules_are_checked():
     with pytest.raises(ValueError, match="threshold or strategy"):
         Project(rules="no").page_rules()
+    with pytest.raises(ValueError, match="parallel or iterative"):
+        Project(construction="no")
+
+
+def test_hooks_cascade_and_images(spark, tmp_path):
+    """The category comes from the contents, else the pages, else the images; images go with their pages; report, export and dumps are written."""
+
+    class SeeingClient:
+        """Names the kind that it sees; an image's bytes are a name."""
+
+        def complete(self, prompt, temperature=0.1, images=()):
+            text = prompt.rsplit("TEXT:", 1)[-1]
+            if "Categories:" in prompt:
+                return "contract" if "Terms" in text else "report" if images else "no idea"
+            if "Summarise" in prompt:
+                return '{"summary": "s", "main_entity": "Acme"}'
+            names = [w for w in ("Acme", "Zeta") if w in text] + [i.decode() for i in images]
+            return json.dumps({"entities": [{"id": n, "type": "kg:Company", "name": n, "tags": ["x", "y"]} for n in names], "relationships": []})
+
+    register_client("seeing", SeeingClient)
+    pages = spark.createDataFrame([("d1", 1, "Acme"), ("d1", 2, "Zeta"), ("d2", 1, ""), ("d2", 2, "Acme")], "doc string, page int, text string")
+    contents = spark.createDataFrame([("d1", 1, 1, "Terms", 1)], "doc string, ord int, level int, title string, page int")
+    images = spark.createDataFrame([("d2", 1, bytearray(b"Logo"))], "doc string, page int, image binary")
+    project = Project(client="seeing", diagnostics=True, export=True, dumps=True, model="a/b:c")
+    got = run(spark, pages, str(tmp_path / "o"), project, contents=contents, images=images)
+    names = {json.loads(r.attrs_json)["name"][0]["value"] for r in got["entities"].collect()}
+    assert names == {"Acme", "Zeta", "Logo"}
+    report = {(r.section, r.line) for r in got["report"].collect()}
+    assert ("1 total", "4 -> 3") in report and ("2 types", "company: 4 -> 3") in report
+    base = tmp_path / "o" / "export" / "project_a_b_c_local_parallel"
+    nodes = json.loads((base.parent / f"{base.name}_nodes.json").read_text())
+    assert sorted(n["label"] for n in nodes) == ["Acme", "Logo", "Zeta"] and json.loads((base.parent / f"{base.name}_links.json").read_text()) == []
+    assert len(json.loads((base.parent / f"{base.name}_meta.json").read_text())[0]["actor_references"]) == 3
+    assert (tmp_path / "o" / "units" / "doc=d1" / "page=2").exists()
+    page = got["comparison"].first().value
+    assert "several documents" in page and "d2</li>" in page and "from d1, d2" in got["page"].first().value
+    steps = classify([toc_text(contents), first_pages_text(pages), first_images(images).withColumn("text", F.lit(""))], "seeing", ["contract", "report"])
+    assert {(r.doc, r.category, r.step) for r in steps.collect()} == {("d1", "contract", 0), ("d2", "report", 2)}
+
+
+def test_iterative_construction(spark):
+    """Each prompt holds the graph so far; the last graph is the document's; a failed unit keeps the graph before."""
+
+    class GrowingClient:
+        def complete(self, prompt, temperature=0.1):
+            if "Extract" not in prompt:
+                return None
+            if "broken" in prompt:
+                raise RuntimeError("no")
+            head, text = prompt.rsplit("TEXT:", 1)
+            before = json.loads(head.split("Graph so far: ")[1].split("\n")[0])["entities"] if "Graph so far" in head else []
+            return "```json\n" + json.dumps({"entities": [*before, {"id": text, "type": "kg:Company", "name": text}], "relationships": []}) + "\n```"
+
+    register_client("growing", GrowingClient)
+    pages = spark.createDataFrame([("d1", 10, "Zeta"), ("d1", 2, "Acme"), ("d1", 11, "broken"), ("d2", 1, "Omega")], "doc string, page int, text string")
+    project = Project(client="growing", construction="iterative")
+    graphs = page_graphs(pages, project)
+    assert {(r.doc, r.page, r.n_entities, r.error) for r in graphs.collect()} == {("d1", 2, 1, None), ("d1", 10, 2, None), ("d1", 11, 0, "RuntimeError: no"), ("d2", 1, 1, None)}
+    merged, _ = document_graphs(last_graphs(graphs), project)
+    assert sorted((r.doc, json.loads(r.attrs_json)["name"]) for r in merged.collect()) == [("d1", "Acme"), ("d1", "Zeta"), ("d2", "Omega")]
+
+
+def test_clients_of_services():
+    sent = []
+    chat = ChatClient(lambda m, t: sent.append(m) or "{}", json_mode=True)
+    assert chat.complete("hi", images=[b"png"]) == "{}" and [m["role"] for m in sent[0]] == ["system", "user"]
+    assert chat.chat([{"role": "system", "content": "old"}, {"role": "user", "content": "x"}]) == "{}" and "JSON" in sent[1][0]["content"] and len(sent[1]) == 2
+    parts = PartsClient(lambda p, t, mime: repr((p, mime)), json_mode=True)
+    assert parts.complete("hi", images=[b"png"]) == repr((["hi", ("image/png", b"png")], "application/json"))
+
+    def refuse(*_):
+        raise Blocked
+
+    assert PartsClient(refuse).complete("hi") == ""
+    with pytest.raises(ValueError, match="data URL"):
+        from_data_url("https://example.org/x.png")
+
+
+def test_rendered_pages(spark, tmp_path):
+    with pytest.raises(ValueError, match="PDF"):
+        files.text_pages(b"%PDF-1.7 ...")
+    docs = spark.createDataFrame([("a", "p/a", bytearray(b"x|y")), ("b", "p/b", bytearray(b"z"))], "doc string, path string, content binary")
+    images = files.render_pages(docs, lambda content, dpi: [(p, dpi, 2) for p in content.split(b"|")], 100)
+    assert [tuple(r) for r in images.orderBy("doc", "page").collect()] == [("a", 1, b"x", 100, 2), ("a", 2, b"y", 100, 2), ("b", 1, b"z", 100, 2)]
+    assert {tuple(r) for r in files.page_image(docs, images, 2).collect()} == {("a", "eQ=="), ("b", None)}
+    assert {r.doc: [bytes(i) for i in r.images] for r in files.first_images(images, 2).collect()} == {"a": [b"x", b"y"], "b": [b"z"]}
+    files.write_records(files.split_files(docs, lambda content: content.split(b"|")), files.url(str(tmp_path / "out")))
+    assert (tmp_path / "out" / "a" / "page_2.pdf").read_bytes() == b"y"
+    pages = spark.createDataFrame([("a", 2, "u"), ("a", 1, "t")], "doc string, page int, text string")
+    assert files.page_texts(pages).first().texts == ["t", "u"]
+
+
+def test_attributes_as_text(spark):
+    df = spark.createDataFrame([(["a", "b"], [], {"k": "v"}, [("v1", "d")], 5)], "l array<string>, e array<string>, m map<string,string>, p array<struct<value:string,source_doc_id:string>>, n int")
+    assert tuple(df.select(*[attribute_text(df, c).alias(c) for c in df.columns]).first()) == ("a, b", None, None, "v1", "5")
+    onto = Ontology.from_dict({"entities": [{"kg:Company": {"category": "actor"}}]})
+    ents = spark.createDataFrame([("e1", "kg:Company", "Acme", 1), ("e2", "kg:LegalEntity", "B", 2)], "id string, type string, name string, ord int")
+    assert {r.label: r.category for r in nodes(ents, ("name",), 1, "f", "t", categories=onto.categories).collect()} == {"Acme": "actor", "B": "legal_entity"}
 
 
 def test_command_line(spark, tmp_path):
@@ -78,5 +183,7 @@ def test_command_line(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/out/entities").count() == 3
     main(["query", "onto_attributes", "/root/testdata/sf0.001", str(tmp_path / "q")])
     assert spark.read.parquet(str(tmp_path / "q")).count() == 2
+    main(["export", str(tmp_path / "e")])
+    assert sorted(n["label"] for n in json.loads((tmp_path / "e" / "project_rules_local_parallel_nodes.json").read_text())) == ["Acme", "Ann Lee"]
     with pytest.raises(SystemExit):
         parser().parse_args(["build"])
