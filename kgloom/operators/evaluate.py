@@ -44,16 +44,21 @@ def weak_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _distances(roots: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(root, id, d)``: steps from each of ``roots(id)`` to all it reaches over ``pairs(source, target)``, breadth first, a level at a time."""
-    seen = front = materialize(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("d")), "seen")
+    """``(root, id, d)``: steps from each of ``roots(id)`` to all it reaches over ``pairs(source, target)`` in both directions, a level at a time.
+
+    Neighbours of a level are in it, the one before or the next, so only two levels are looked at.  Levels are small in files and large in
+    memory, so joins are by sort, never by a broadcast that a file's size allows.
+    """
+    seen = front = last = materialize(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("d")), "seen")
     step = 0
     while True:
         step += 1
-        reached = front.join(pairs, front.id == pairs.source).select("root", F.col("target").alias("id")).distinct()
-        front = materialize(reached.join(seen, ["root", "id"], "left_anti").withColumn("d", F.lit(step)), "front")
-        if not front.limit(1).count():
+        reached = front.hint("merge").join(pairs.hint("merge"), front.id == pairs.source).select("root", F.col("target").alias("id")).distinct()
+        known = last.unionByName(front).select("root", "id")
+        new = materialize(reached.hint("merge").join(known.hint("merge"), ["root", "id"], "left_anti").withColumn("d", F.lit(step)), "front")
+        if not new.limit(1).count():
             return seen
-        seen = seen.unionByName(front)
+        seen, last, front = seen.unionByName(new), front, new
 
 
 def diameter(vertices: DataFrame, edges: DataFrame, max_pairs: int = 20_000_000) -> DataFrame:
