@@ -61,13 +61,40 @@ def _distances(roots: DataFrame, pairs: DataFrame) -> DataFrame:
         seen, last, front = seen.unionByName(new), front, new
 
 
+def _strip_trees(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The core of a connected graph: ``(id, h)``, its pairs, and the longest path among what was stripped.
+
+    Leaves are taken off round by round until none is left; ``h`` is the height of the trees that hung at a node.  A leaf of round r has
+    height r - 1, as the round before took its last child, so counts of leaves are all that a node needs, however many hang there.
+    """
+    nodes, low, height = materialize(nodes.select("id", F.lit(0).alias("h")), "nodes"), 0, 0
+    while True:
+        height += 1
+        ends = materialize(pairs.groupBy("source").agg(F.count("*").alias("n"), F.min("target").alias("at")).where("n = 1").select("source", "at"), "leaves")
+        # Of two nodes that are left the lesser stays.
+        mutual = ends.select(F.col("source").alias("at"), F.col("at").alias("source"), F.lit(True).alias("mutual"))
+        leaves = ends.join(mutual, ["source", "at"], "left").where("mutual IS NULL OR source > at").select(F.col("source").alias("id"), "at")
+        leaves = materialize(leaves, "leaves")
+        if not leaves.limit(1).count():
+            return nodes, pairs, low
+        grown = leaves.groupBy(F.col("at").alias("id")).agg(F.count("*").alias("n"))
+        step = nodes.join(leaves.select("id"), "id", "left_anti").join(grown, "id", "left")
+        path = F.when(F.col("n") > 1, 2 * height).when(F.col("n") == 1, F.col("h") + height)
+        step = materialize(step.select("id", F.when(F.col("n").isNull(), F.col("h")).otherwise(height).alias("h"), path.alias("path")), "nodes")
+        low = max(low, step.agg(F.max("path")).first()[0] or 0)
+        nodes = step.select("id", "h")
+        for end in ("source", "target"):
+            pairs = pairs.join(leaves.select(F.col("id").alias(end)), end, "left_anti")
+        pairs = materialize(pairs.select("source", "target"), "pairs")
+
+
 def diameter(vertices: DataFrame, edges: DataFrame, max_pairs: int = 20_000_000) -> DataFrame:
     """``(diameter)`` of the largest weak component (the first by id of equals), exact at any size; 0 for no vertices.
 
-    Of leaves at one node two are kept, as all are equally far from the rest.  Two searches give a lower bound and a node in the middle; twice a
-    level's distance from there bounds all pairs within it, so eccentricities are computed from the outermost level inwards until the bounds
-    meet.  Roots of a level go in batches of at most about ``max_pairs`` (root, node) rows, which bounds memory, not the work: a graph whose
-    bounds meet late costs up to all pairs.
+    Trees that hang at the rest are stripped first and count by their height, so a path is long by its steps in the core and the heights at
+    both ends.  Two searches give a lower bound and a node in the middle; twice a node's distance from there, height included, bounds all
+    paths between nodes no farther out, so paths are computed from the outermost nodes inwards until the bounds meet.  Roots go in batches
+    of at most about ``max_pairs`` (root, node) rows, which bounds memory, not the work: a core whose bounds meet late costs up to all pairs.
     """
     labels = materialize(weak_components(vertices, edges), "components")
     row = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").first()
@@ -76,35 +103,35 @@ def diameter(vertices: DataFrame, edges: DataFrame, max_pairs: int = 20_000_000)
     nodes = labels.where(F.col("component") == row["component"]).select("id")
     pairs = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct()
     pairs = materialize(pairs.join(nodes.withColumnRenamed("id", "source"), "source", "left_semi"), "pairs")
-    leaves = pairs.groupBy("source").agg(F.count("*").alias("degree"), F.min("target").alias("at")).where("degree = 1")
-    first = leaves.groupBy("at").agg(F.min("source").alias("one"))
-    rest = leaves.join(first, "at").where(F.col("source") != F.col("one"))
-    second = rest.groupBy("at").agg(F.min("source").alias("two"))
-    dropped = materialize(rest.join(second, "at").where(F.col("source") != F.col("two")).select(F.col("source").alias("id")), "leaves")
-    nodes = materialize(nodes.join(dropped, "id", "left_anti"), "nodes")
-    for end in ("source", "target"):
-        pairs = pairs.join(dropped.withColumnRenamed("id", end), end, "left_anti")
-    pairs = materialize(pairs.select("source", "target"), "pairs")
+    nodes, pairs, low = _strip_trees(nodes, pairs)
     count = nodes.count()
-
-    def farthest(d: DataFrame) -> tuple[str, int]:
-        far = d.agg(F.min_by(F.struct("id", "d"), F.struct(-F.col("d"), "id")).alias("x")).first()["x"]
-        return far["id"], far["d"]
-
-    a, _ = farthest(_distances(nodes.orderBy("id").limit(1), pairs))
-    from_a = _distances(nodes.where(F.col("id") == a), pairs)
-    b, low = farthest(from_a)
-    from_b = _distances(nodes.where(F.col("id") == b), pairs)
-    middle = from_a.where(F.col("d") == low // 2).join(from_b.where(F.col("d") == low - low // 2), "id").select("id").orderBy("id").limit(1)
-    levels = materialize(_distances(materialize(middle, "middle"), pairs).select("id", "d"), "levels")
-    level = levels.agg(F.max("d")).first()[0]
-    while 2 * level > low:
-        roots = levels.where(F.col("d") == level)
-        batches = -(-roots.count() * count // max_pairs)
-        for i in range(batches):
-            part = roots.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i)
-            low = max(low, _distances(part, pairs).agg(F.max("d")).first()[0] or 0)
-        level -= 1
+    root_heights = nodes.select(F.col("id").alias("root"), F.col("h").alias("root_h"))
+
+    def paths(roots: DataFrame) -> DataFrame:
+        """``(root, id, d, length)`` of what the roots reach but themselves."""
+        d = _distances(roots, pairs).where("root <> id")
+        return d.join(nodes, "id").join(root_heights, "root").select("root", "id", "d", "root_h", (F.col("root_h") + F.col("d") + F.col("h")).alias("length"))
+
+    def farthest(roots: DataFrame):
+        return paths(roots).agg(F.min_by(F.struct("root", "id", "d", "root_h", "length"), F.struct(-F.col("length"), "id")).alias("x")).first()["x"]
+
+    start = farthest(nodes.orderBy("id").limit(1))
+    if start is not None:
+        end = farthest(nodes.where(F.col("id") == start["id"]))
+        low = max(low, end["length"])
+        at = min(max(end["length"] // 2 - end["root_h"], 0), end["d"])
+        from_a = _distances(nodes.where(F.col("id") == end["root"]), pairs).where(F.col("d") == at)
+        from_b = _distances(nodes.where(F.col("id") == end["id"]), pairs).where(F.col("d") == end["d"] - at)
+        middle = from_a.select("id").join(from_b.select("id"), "id").orderBy("id").limit(1)
+        levels = _distances(materialize(middle, "middle"), pairs).join(nodes, "id").select("id", (F.col("d") + F.col("h")).alias("out"))
+        levels = materialize(levels, "levels")
+        sizes = {r["out"]: r["n"] for r in levels.groupBy("out").agg(F.count("*").alias("n")).collect()}
+        for out in sorted(sizes, reverse=True):
+            batches = -(-sizes[out] * count // max_pairs)
+            for i in range(batches):
+                if 2 * out > low:
+                    part = levels.where((F.col("out") == out) & (F.pmod(F.xxhash64("id"), F.lit(batches)) == i))
+                    low = max(low, paths(part).agg(F.max("length")).first()[0] or 0)
     return vertices.sparkSession.createDataFrame([(low,)], "diameter int")
 
 

@@ -66,6 +66,31 @@ def test_star_metrics(spark):
         E.evaluate(e.where("false"), r, att, ONTOLOGY.frames(spark))
 
 
+def test_diameter_against_all_pairs(spark):
+    """A tree, whose core is one node, and a ring with trees, whose longest path may lie in a tree or between two."""
+    rng = random.Random(7)
+    tree = [(rng.randrange(i), i) for i in range(1, 12)]
+    ring = [(i, (i + 1) % 7) for i in range(7)] + [(rng.randrange(i), i) for i in range(7, 20)]
+    for edges in (tree, ring):
+        near = {}
+        for x, y in edges:
+            if x != y:
+                near.setdefault(x, set()).add(y)
+                near.setdefault(y, set()).add(x)
+        worst, sizes = {}, {}
+        for x in near:
+            d, level = {x: 0}, [x]
+            while level:
+                level = [z for y in level for z in near[y] if z not in d and d.setdefault(z, d[y] + 1)]
+            worst[x], sizes[x] = max(d.values()), len(d)
+        best = max(sizes.values())
+        names = sorted({f"n{x:02}" for e in edges for x in e})
+        v = spark.createDataFrame([(n,) for n in names], "id string")
+        ed = spark.createDataFrame([(f"n{x:02}", f"n{y:02}") for x, y in edges], "source string, target string")
+        assert best > len(names) / 2  # so the largest component is the only one of its size
+        assert E.diameter(v, ed).first()[0] == max(w for x, w in worst.items() if sizes[x] == best)
+
+
 def test_last_edge_wins(spark):
     e = spark.createDataFrame([("a", "p:A", 1)], "id string, type string, ord long")
     r = spark.createDataFrame([("a", "b", "p:x", 1), ("a", "b", "p:y", 2)], "source string, target string, type string, ord long")
