@@ -107,22 +107,21 @@ def diameter(vertices: DataFrame, edges: DataFrame, max_pairs: int = 20_000_000)
     count = nodes.count()
     root_heights = nodes.select(F.col("id").alias("root"), F.col("h").alias("root_h"))
 
-    def paths(roots: DataFrame) -> DataFrame:
-        """``(root, id, d, length)`` of what the roots reach but themselves."""
-        d = _distances(roots, pairs).where("root <> id")
-        return d.join(nodes, "id").join(root_heights, "root").select("root", "id", "d", "root_h", (F.col("root_h") + F.col("d") + F.col("h")).alias("length"))
+    def paths(d: DataFrame) -> DataFrame:
+        """Distances from roots to all but themselves, with both heights counted as ``length``."""
+        return d.where("root <> id").join(nodes, "id").join(root_heights, "root").select("root", "id", "d", "root_h", (F.col("root_h") + F.col("d") + F.col("h")).alias("length"))
 
-    def farthest(roots: DataFrame):
-        return paths(roots).agg(F.min_by(F.struct("root", "id", "d", "root_h", "length"), F.struct(-F.col("length"), "id")).alias("x")).first()["x"]
+    def farthest(d: DataFrame):
+        return paths(d).agg(F.min_by(F.struct("root", "id", "d", "root_h", "length"), F.struct(-F.col("length"), "id")).alias("x")).first()["x"]
 
-    start = farthest(nodes.orderBy("id").limit(1))
+    start = farthest(_distances(nodes.orderBy("id").limit(1), pairs))
     if start is not None:
-        end = farthest(nodes.where(F.col("id") == start["id"]))
+        from_a = _distances(nodes.where(F.col("id") == start["id"]), pairs)
+        end = farthest(from_a)
         low = max(low, end["length"])
         at = min(max(end["length"] // 2 - end["root_h"], 0), end["d"])
-        from_a = _distances(nodes.where(F.col("id") == end["root"]), pairs).where(F.col("d") == at)
-        from_b = _distances(nodes.where(F.col("id") == end["id"]), pairs).where(F.col("d") == end["d"] - at)
-        middle = from_a.select("id").join(from_b.select("id"), "id").orderBy("id").limit(1)
+        from_b = _distances(nodes.where(F.col("id") == end["id"]), pairs)
+        middle = from_a.where(F.col("d") == at).select("id").join(from_b.where(F.col("d") == end["d"] - at).select("id"), "id").orderBy("id").limit(1)
         levels = _distances(materialize(middle, "middle"), pairs).join(nodes, "id").select("id", (F.col("d") + F.col("h")).alias("out"))
         levels = materialize(levels, "levels")
         sizes = {r["out"]: r["n"] for r in levels.groupBy("out").agg(F.count("*").alias("n")).collect()}
@@ -131,7 +130,7 @@ def diameter(vertices: DataFrame, edges: DataFrame, max_pairs: int = 20_000_000)
             for i in range(batches):
                 if 2 * out > low:
                     part = levels.where((F.col("out") == out) & (F.pmod(F.xxhash64("id"), F.lit(batches)) == i))
-                    low = max(low, paths(part).agg(F.max("length")).first()[0] or 0)
+                    low = max(low, paths(_distances(part, pairs)).agg(F.max("length")).first()[0] or 0)
     return vertices.sparkSession.createDataFrame([(low,)], "diameter int")
 
 

@@ -327,10 +327,14 @@ def extract_graphs(spark, sf):
     return got.select("doc", "page", "id", "type", F.get_json_object("attrs_json", "$.name").alias("name"))
 
 
+#: Frequent words of the documents' languages stand for categories, as no text names a kind of report.
+CATEGORIES = ["the", "und", "les", "los"]
+
+
 def classify_cascade(spark, sf):
-    """Documents by the category that their first lines name, or else the whole text."""
+    """Documents by the category that their first lines name, or else the text as far as a prompt takes it."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
-    return EX.classify([docs.select("doc", F.substring_index("text", "\n", 1).alias("text")), docs], "keywords", ["company", "report"])
+    return EX.classify([docs.select("doc", F.substring_index("text", "\n", 1).alias("text")), docs], "keywords", CATEGORIES)
 
 
 def graph_json(spark, sf):
