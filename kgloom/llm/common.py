@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.sources.scratch import materialize, scratch_path, shared_root
 from kgloom.sources.tables import table as read_table
 
-__all__ = ["held_out", "materialize", "md5_fraction", "read_table", "scratch_path", "shared_root", "small_batches", "spare_name", "write_bytes"]
+__all__ = ["bind", "held_out", "materialize", "md5_fraction", "read_table", "scratch_path", "shared_root", "small_batches", "spare_name", "write_bytes"]
 
 
 #: Rows and bytes of an Arrow batch at most, for batches of whole texts.
@@ -35,6 +37,11 @@ def spare_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(x)`` with ``value`` computed once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Write one small file through Hadoop's file system API (any scheme Spark knows)."""
     jvm = spark.sparkContext._jvm
