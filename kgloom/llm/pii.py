@@ -8,6 +8,8 @@ a keyed digest of the other half modulo the base.  Numbers are permuted as bare
 into their separators, so all spellings of a number share a pseudonym.  Check digits are computed anew; dates are numbered and walk the
 cycle until they fall into the calendar.
 
+A phone number has the digits that its country's numbers have and ends at the end of a group, so it takes nothing from the value after it.
+
 All patterns are bounded, and what may be long starts only where its run does, so the time goes with the length of a text
 and no match recurses over it.  A text without a digit, ``@``, ``=``, ``:`` or the head of an access key is passed on untouched after one quick scan; there is no shuffle.
 """
@@ -48,15 +50,38 @@ def _iban_of(length: int, countries: str) -> str:
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: The calling codes of one and two digits; all others have three.
+CALLING_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+#: The least and most digits of a national number by calling code, and of those not listed.
+PHONE_DIGITS = {
+    (8, 8): "45|47|53|65", (8, 9): "32|36|51|66", (8, 10): "20|57|60|63|64|82", (9, 9): "27|31|33|34|40|41|48|56|61|93|94", (9, 10): "44|81|84|92",
+    (10, 10): "1|7|30|52|58|90|91|98", (10, 11): "54|55|86", (7, 10): "46|95", (6, 11): "39|49", (6, 12): "43|62",
+}
+OTHER_DIGITS = (6, 12)
+_GAP = r"(?:\)[ .-]?|[ .-]\(?|\()"
+_DAY = lambda first, last: rf"\d{{{first}}}(?:-\d{{1,2}}-|/\d{{1,2}}/|\.\d{{1,2}}\.)\d{{{last}}}(?![\d/-]|\.\d)"
+#: Digits that begin a value of another kind (or another phone number) and so don't go on with a phone number that could end before them.
+_ANOTHER = "|".join((
+    r"\d{3}-\d{2}-\d{4}(?![\d-])", _DAY("4", "1,2"), _DAY("1,2", "4"), rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)", r"\d{13,19}(?!\d)", r"\d{4}[ -]\d{6}[ -]\d{5}(?!\d)",
+    r"\d{4} \d{4} \d{4} \d{1,7}(?![ -]?\d)", r"\d{4}-\d{4}-\d{4}-\d{1,7}(?![ -]?\d)", r"\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?!\d)", r"\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)",
+))
+
+
+def _digits(least: int, most: int) -> str:
+    """As many digits, in any groups; beyond the least, no group that begins another value."""
+    return rf"(?:{_GAP}?\d){{{least}}}" + (rf"(?:\d|{_GAP}(?!{_ANOTHER})\d){{0,{most - least}}}" if most > least else "")
+
+
 #: What each kind looks like.  The first that fits a place is taken.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,126}\.[A-Za-z]{2,63}",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\"?\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'<>]{6,}+",
+    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\"?\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'<>]{5,}[^\s\"'<>,;.)]",
     "aws": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b(?=[A-Z]{2}\d{2})(?:" + "|".join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items()) + r"|[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b)",
     "ipv4": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-]|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}([-.])\d{3}\3\d{4})(?!\d)",
+    "phone": rf"(?<![\w+])(?:\+(?:{'|'.join(f'(?:{codes})' + _digits(*lengths) for lengths, codes in PHONE_DIGITS.items())}|(?!{CALLING_CODES})\d{{3}}{_digits(*OTHER_DIGITS)})"
+    rf"|\(\d{{3}}\) ?\d{{3}}[-. ]\d{{4}}|\d{{3}}([-.])\d{{3}}\3\d{{4}})(?!\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "card": r"(?<![\dA-Za-z])(?:\d{4}([ -])\d{4}\4\d{4}\4\d{1,7}|\d{4}([ -])\d{6}\5\d{5}|\d{13,19})(?![\dA-Za-z])",
 }
@@ -166,10 +191,6 @@ def _ssn(value: str, key: str) -> str:
     return _bind(moved, lambda x: f"format_string('%03d-%02d-%04d', {x}[0] + if({x}[0] < 665, 1, 2), {x}[1] + 1, {x}[2] + 1)")
 
 
-#: The calling codes of one and two digits; all others have three.
-CALLING_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
-
-
 def _phone(value: str, key: str) -> str:
     """The calling code after a plus stays; a number without one is permuted as it would be after +1."""
 
@@ -271,6 +292,10 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str | None = None
     logs and the UI.  A null text stays null with 0; a candidate that fails its validation stays as it is; a ``count_col`` that exists is
     replaced.  Rows are independent of each other, so repeated rows agree.  Texts of any length are read whole; an e-mail's local part has 64
     characters at most and its labels 63, and a secret of more than ``PIECE`` characters is permuted piece by piece.
+
+    Not found: IBANs in small letters, phone numbers with a zero in brackets (``(0)``) or without a plus outside North America, dates without separators or with
+    written months, and e-mail addresses with letters beyond ASCII (of one with such a local part, the ASCII letters next to the ``@`` are replaced).  Where a
+    country's numbers differ in length, digits after a blank that would still fit are taken as part of the number unless they begin another value.
     """
     key = key or session_key(docs.sparkSession)
     text = F.col(text_col).cast("string")
