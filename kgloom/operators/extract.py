@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.operators.match import Rules, page_rules
+from kgloom.operators.merge import Accumulated
 from kgloom.sources.scratch import materialize
 
 UNKNOWN_TYPE = "unknown_document_type"
@@ -186,6 +188,8 @@ def extraction_prompt(
 
 
 GRAPH = "struct<entities:array<map<string,string>>,relationships:array<map<string,string>>>"
+#: A place in a document is its page times this and the place in the page.
+PAGE_STEP = 1_000_000
 #: Stands in a prompt where the graph of the units before goes.
 PREVIOUS = "\0graph\0"
 
@@ -215,31 +219,59 @@ def extract_graphs(units: DataFrame, name: str, prompt: Column, image: str | Non
     return counted(got.select("doc", "page", unfence(F.col("reply")).alias("graph_json"), "error"))
 
 
-def iterative_graphs(units: DataFrame, name: str, prompt: Column, temperature: float = 0.1) -> DataFrame:
-    """The rows of ``extract_graphs``, where ``PREVIOUS`` in a prompt becomes the graph after the document's units before.
+def unit_graph(reply: str | None) -> dict:
+    """The graph in a reply without its fence; an empty one where it holds none."""
+    try:
+        found = json.loads(reply) if reply else {}
+    except ValueError:
+        return {}
+    found = found if isinstance(found, dict) else {}
+    return {k: v for k in ("entities", "relationships") if isinstance(v := found.get(k), list)}
+
+
+def with_previous(prompt: str, graph: str) -> str:
+    """A prompt with ``graph`` where ``PREVIOUS`` stands, or without that line where there is none."""
+    line = f"Graph so far: {PREVIOUS}\n"
+    return prompt.replace(line, line.replace(PREVIOUS, graph) if graph else "", 1)
+
+
+def iterative_graphs(units: DataFrame, name: str, prompt: Column, rules: Rules | None = None, image: str | None = None, image_prompt: Column | None = None, temperature: float = 0.1) -> DataFrame:
+    """The rows of ``extract_graphs``, where ``PREVIOUS`` in a prompt becomes the graph that the document's units before have made.
+
+    Each reply is merged into that graph by ``rules`` (those of the page merge by default), so a reply need not repeat it; it may name ids of that graph as
+    ends of relations.  The graphs of all units, merged in order, are the document's, as in ``extract_graphs``.  A failed call and a reply without a graph change nothing.  Of
+    rows with one (doc, page) the first by its prompt is taken.
 
-    Each reply is the whole graph so far, so a document's last row with a graph is its graph (``last_graphs``); a reply without entities is
-    recorded and doesn't replace the graph.  Units of a document wait for each other by nature; documents run side by side.
+    Units of a document wait for each other by nature; documents run side by side.  Rows stream through a task in the order of their document and page, so a task
+    holds one document's graph and one batch of units, however many pages or images a document has.
     """
-    make = maker(name)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, graph, out = make(), "", []
-        for doc, page, text in pdf.sort_values("page")[["doc", "page", "prompt"]].itertuples(index=False):
-            line = f"Graph so far: {PREVIOUS}\n"
-            reply, error = _reply(model, text.replace(line, line.replace(PREVIOUS, graph) if graph else "", 1), temperature, None)
-            try:
+    make, rules = maker(name), rules or page_rules()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, doc, page, graph = make(), None, None, Accumulated(rules)
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                if row.doc != doc:
+                    doc, page, graph = row.doc, None, Accumulated(rules)
+                elif row.page == page:
+                    continue
+                page = row.page
+                reply, error = _reply(model, with_previous(row.prompt, graph.shown()), temperature, [row.image] if image else None)
                 reply = _bare_reply(reply)
-                found = json.loads(reply) if reply else {}
-                if isinstance(found, dict) and found.get("entities"):
-                    graph = json.dumps(found, ensure_ascii=False)
-            except ValueError:
-                pass  # no JSON: an empty graph
-            out.append((doc, page, reply, error))
-        return pd.DataFrame(out, columns=["doc", "page", "graph_json", "error"])
+                found = unit_graph(reply)
+                graph.add(page, found.get("entities", []), found.get("relationships", []))
+                out.append((doc, page, reply, error))
+            yield pd.DataFrame(out, columns=["doc", "page", "graph_json", "error"])
 
-    rows = units.where(F.length(F.trim("text")) > 0).select("doc", "page", prompt.alias("prompt"))
-    return counted(rows.groupBy("doc").applyInPandas(run, "doc string, page int, graph_json string, error string"))
+    filled = F.length(F.trim("text")) > 0
+    if image is None:
+        rows = units.where(filled).select("doc", "page", prompt.alias("prompt"))
+    else:
+        seen = F.col(image).isNotNull()
+        rows = units.where(filled | seen).select("doc", "page", F.when(seen, prompt if image_prompt is None else image_prompt).otherwise(prompt).alias("prompt"), F.col(image).alias("image"))
+    ordered = rows.repartition("doc").sortWithinPartitions("doc", "page", "prompt")
+    return counted(ordered.mapInPandas(run, "doc string, page int, graph_json string, error string"))
 
 
 def _bare_reply(reply: str | None) -> str | None:
@@ -249,22 +281,16 @@ def _bare_reply(reply: str | None) -> str | None:
     return reply and re.sub(r"\s*```$", "", re.sub(r"^```(?:json|JSON)?\s*", "", reply.strip())).strip()
 
 
-def last_graphs(graphs: DataFrame) -> DataFrame:
-    """The last graph with entities of each document, for iterative extraction."""
-    cols = [c for c in graphs.columns if c != "doc"]
-    return graphs.where("n_entities > 0").groupBy("doc").agg(F.max_by(F.struct(*cols), "page").alias("g")).select("doc", *[f"g.{c}" for c in cols])
-
-
 def graph_entities(graphs: DataFrame) -> DataFrame:
     """``(doc, page, ord, id, type, attrs_json)`` of graphs; attributes keep their JSON types."""
     raw = F.from_json("graph_json", "struct<entities:array<string>>")["entities"]
     rows = graphs.select("doc", "page", F.posexplode(raw).alias("i", "attrs_json"))
     one = F.from_json("attrs_json", "struct<id:string,type:string>")
-    return rows.select("doc", "page", (F.col("page").cast("long") * 1_000_000 + F.col("i")).alias("ord"), one["id"].alias("id"), one["type"].alias("type"), "attrs_json").where("id is not null and type is not null")
+    return rows.select("doc", "page", (F.col("page").cast("long") * PAGE_STEP + F.col("i")).alias("ord"), one["id"].alias("id"), one["type"].alias("type"), "attrs_json").where("id is not null and type is not null")
 
 
 def graph_relations(graphs: DataFrame) -> DataFrame:
     """``(doc, page, ord, source, target, type)`` of graphs; incomplete ones are left out."""
     raw = F.from_json("graph_json", "struct<relationships:array<struct<source:string,target:string,type:string>>>")["relationships"]
     rows = graphs.select("doc", "page", F.posexplode(raw).alias("i", "r"))
-    return rows.select("doc", "page", (F.col("page").cast("long") * 1_000_000 + F.col("i")).alias("ord"), "r.source", "r.target", "r.type").where("source is not null and target is not null and type is not null")
+    return rows.select("doc", "page", (F.col("page").cast("long") * PAGE_STEP + F.col("i")).alias("ord"), "r.source", "r.target", "r.type").where("source is not null and target is not null and type is not null")

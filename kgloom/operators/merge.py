@@ -156,7 +156,40 @@ def fold_entities(rows: list[dict], rules: Rules, provenance_of: Callable[[dict]
     return kept, ids
 
 
-#: A fold's rows: merged entities, whose ``old_id`` is null, and (at, old_id) -> id of each row that went in, whose ``ord`` is null.
+class Accumulated:
+    """A document's graph as it grows: the graph of one unit after the other is merged into it, by the rules of the page merge.
+
+    ``entities``: as ``fold_entities`` keeps them.  ``relations``: (source, target, type) by their ends in the merged graph, in order.
+    """
+
+    def __init__(self, rules: Rules, entities: list[dict] | None = None, relations: list[tuple] | None = None):
+        self.rules, self.entities, self.relations = rules, list(entities or []), dict.fromkeys(map(tuple, relations or []))
+
+    def add(self, page: Any, entities: list, relations: list) -> tuple[list[dict], list[tuple]]:
+        """The entities that the unit's graph has touched and the relations that it has added.
+
+        What isn't an object with its required keys is left out.  An end is an id of the unit, or else of the graph so far; relations without both ends are left out.
+        """
+        rows = [{**e, "id": str(e["id"]), "type": str(e["type"]), "_at": page} for e in entities if isinstance(e, dict) and e.get("id") is not None and e.get("type")]
+        self.entities, ids = fold_entities(rows, self.rules, start=self.entities)
+        known = {e["id"] for e in self.entities}
+        end = lambda x: ids.get((page, str(x)), str(x))
+        found = [r for r in relations if isinstance(r, dict) and all(r.get(k) is not None for k in ("source", "target", "type"))]
+        new = [t for r in found if {(t := (end(r["source"]), end(r["target"]), str(r["type"])))[0], t[1]} <= known and t not in self.relations]
+        self.relations.update(dict.fromkeys(new))
+        touched = set(ids.values())
+        return [e for e in self.entities if e["id"] in touched], list(dict.fromkeys(new))
+
+    def shown(self) -> str:
+        """The graph as JSON, as prompts show it; empty for none."""
+        if not self.entities:
+            return ""
+        entities = [{k: v for k, v in e.items() if not k.startswith("_")} for e in self.entities]
+        return json.dumps({"entities": entities, "relationships": [dict(zip(("source", "target", "type"), r, strict=True)) for r in self.relations]}, ensure_ascii=False)
+
+
+#: A fold's rows: merged entities, whose ``old_id`` is null, and (at, old_id) -> id of each row that went in, whose ``ord`` is null.  Where ids are renumbered,
+#: a null ``at`` beside an ``old_id`` has the id before, and the first row's place.
 FOLDED = "ord long, id string, type string, n long, attrs_json string, at string, old_id string, first_at string, first_ord long"
 
 
@@ -180,6 +213,8 @@ def folded(entities: DataFrame, group: str, rules: Rules, at: str, attrs: str =
             i, t, count = e.pop("id"), e.pop("type"), e.pop("_n")
             out.append((n, new[i], t, count, json.dumps(e, ensure_ascii=False, sort_keys=True), None, None, *first.get(i, (None, None))))
         out += [(None, new[i], None, None, None, str(p), old, None, None) for (p, old), i in ids.items()]
+        if renumber:
+            out += [(None, n, None, None, None, None, i, *first.get(i, (None, None))) for i, n in new.items()]
         frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in FOLDED.split(", ")])
         for c in ("ord", "n", "first_ord"):
             frame[c] = frame[c].astype("Int64")

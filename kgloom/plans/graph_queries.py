@@ -18,10 +18,11 @@ from kgloom.operators import viz as V
 from kgloom.plans import star
 from kgloom.plans.ontology_demo import ONTOLOGY
 from kgloom.plans.ontology_demo import SQL as ONTO_SQL
+from kgloom.plans.project import Project, document_graphs
 from kgloom.sources.files import graph_documents, split_pages
 from kgloom.sources.scratch import scratch_path
 from kgloom.sources.tables import table
-from kgloom.streaming.fold import fold_stream
+from kgloom.streaming.fold import fold_stream, use_map_states
 
 ATTRS = star.ATTRIBUTES
 
@@ -221,14 +222,33 @@ def merge_project_fold(spark, sf):
     return ME.merge_documents_fold(p, "project", M.project_rules())
 
 
+def _unit_graphs(spark, sf) -> DataFrame:
+    """``(doc, page, body)``: the parts of each brand and size as the graph of a page."""
+    one = F.to_json(F.struct(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("kg:ProductOrService").alias("type"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_size").alias("amount")))
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("doc"), F.col("p_size").cast("int").alias("page"), F.col("p_partkey").alias("ord"), one.alias("one"))
+    return p.groupBy("doc", "page").agg(F.concat(F.lit('{"entities": ['), EX.ordered_text("ord", "one", ","), F.lit("]}")).alias("body"))
+
+
 def stream_fold(spark, sf):
-    """The same parts as a stream of page graphs: the last version of each document."""
-    rows = _json_parts(spark, sf).withColumn("page", F.col("page").cast("string"))
+    """The same parts as a stream of page graphs: the graph of each document in the end."""
+    rows = _unit_graphs(spark, sf)
     source, sink, state = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
     rows.write.parquet(source)
+    use_map_states(spark)
     pages = spark.readStream.schema(rows.schema).parquet(source)
     fold_stream(pages).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return G.last_by(spark.read.parquet(sink), ["doc"], "version").select("doc", "version", "n")
+    return G.last_by(spark.read.parquet(sink).where("place is not null"), ["doc", "place"], "version").select("doc", "place", "id", "n", "attrs_json")
+
+
+def iterative_construction(spark, sf):
+    """Graphs of all documents, each line's prompt holding the graph of the lines before: merged entities, and how many relations each is the source of."""
+    pages = split_pages(table(spark, sf, "documents"), "doc_id", "text")
+    none = F.lit("")
+    prompt = EX.extraction_prompt(F.col("text"), none, none, none, F.lit(EX.PREVIOUS))
+    ents, rels = document_graphs(EX.iterative_graphs(pages, "rules", prompt), Project(construction="iterative"))
+    degree = rels.groupBy("doc", F.col("source").alias("id")).agg(F.count("*").alias("relations"))
+    name = F.get_json_object("attrs_json", "$.name").alias("name")
+    return ents.join(degree, ["doc", "id"], "left").select("doc", "id", name, "n", F.coalesce("relations", F.lit(0)).alias("relations"))
 
 
 def _before_after(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -349,7 +369,7 @@ QUERIES = {
         kg_clean, kg_renumber, kg_renumber_entities, kg_type_distribution, unique_ids, onto_invalid_entities, onto_invalid_relations, onto_missing_types, onto_constraints, onto_attributes,
         graph_basic_metrics, graph_wcc, graph_diameter, graph_node_types, relation_distribution, compliance, domain_range_violations, attribute_completeness, company_metrics,
         entity_coverage, overall_score, merge_exact_parts, merge_relations, merge_statistics, match_strategies, provenance_attributes, provenance_relations, metric_company_lookup,
-        match_person_tokens, fuzzy_match_first, merge_fuzzy_fold, merge_strategy_fold, merge_project_fold, stream_fold, diag_summary, diag_by_type, diag_patterns, diag_unexpected, diag_lost,
+        match_person_tokens, fuzzy_match_first, merge_fuzzy_fold, merge_strategy_fold, merge_project_fold, stream_fold, iterative_construction, diag_summary, diag_by_type, diag_patterns, diag_unexpected, diag_lost,
         diag_recommendations, diag_key_details, export_nodes, export_links, export_meta, export_files, vis_nodes, vis_edges, vis_comparison, two_hop, property_filter, select_nodes,
         extract_graphs, classify_cascade, graph_json, diag_report,
     )

@@ -24,7 +24,7 @@ from kgloom.sources.scratch import materialize
 @dataclass
 class Project:
     """``units``: pages or chunks.  ``rules``: ``threshold`` or ``strategy`` for the page merge.  ``construction``: ``parallel``, or ``iterative``,
-    where each unit's prompt holds the graph of the units before and the last graph is the document's.  ``diagnostics``, ``export`` and ``dumps``
+    where each unit's prompt holds the graph that the units before have made.  ``diagnostics``, ``export`` and ``dumps``
     add the merge report, the export files and the graph of each unit to what ``run`` writes.
     """
 
@@ -78,12 +78,12 @@ def page_graphs(pages: DataFrame, project: Project, contents: DataFrame | None =
             F.col("text"), F.coalesce("ontology", F.lit("")), F.col("category"), F.col("main_entity"), None if previous is None else F.lit(previous), F.col("section"), F.col("before"), F.col("position"), image
         )
 
-    if project.construction == "iterative":
-        return X.iterative_graphs(rows, project.client, prompt(X.PREVIOUS))
-    if images is not None and project.units == "pages":
+    seen = images is not None and project.units == "pages"
+    if seen:
         rows = rows.join(images.select("doc", "page", "image"), ["doc", "page"], "left")
-        return X.extract_graphs(rows, project.client, prompt(), "image", prompt(image=True))
-    return X.extract_graphs(rows, project.client, prompt())
+    if project.construction == "iterative":
+        return X.iterative_graphs(rows, project.client, prompt(X.PREVIOUS), project.page_rules(), *(("image", prompt(X.PREVIOUS, image=True)) if seen else ()))
+    return X.extract_graphs(rows, project.client, prompt(), *(("image", prompt(image=True)) if seen else ()))
 
 
 def unit_entities(graphs: DataFrame) -> DataFrame:
@@ -117,15 +117,21 @@ def export_files(ents: DataFrame, links: DataFrame, out: str, project: Project,
 def document_graphs(graphs: DataFrame, project: Project) -> tuple[DataFrame, DataFrame]:
     """Merged entities ``(doc, ord, id, type, n, attrs_json)`` of each document, and its relations, cleaned and renumbered.
 
-    The fold says where each id of each page went, and relations follow it; those without both ends, and repeated ones, are left out.
+    The fold says where each id of each page went, and relations follow it.  An end that the page doesn't have is an id of the merged graph of the pages up to it, as prompts
+    show it in iterative construction; relations without both ends, and repeated ones, are left out.
     """
     found = X.graph_entities(graphs).withColumn("page", F.col("page").cast("string"))
     rows = materialize(ME.folded(found, "doc", project.page_rules(), "page", renumber=True), "documents")
-    ids = rows.where("old_id is not null").select("doc", F.col("at").alias("page"), "old_id", "id")
+    ids = rows.where("old_id is not null and at is not null").select("doc", F.col("at").alias("page"), "old_id", "id")
+    whole = rows.where("old_id is not null and at is null").select("doc", "old_id", "id", "first_ord")
     rels = X.graph_relations(graphs).withColumn("page", F.col("page").cast("string"))
     for end in ("source", "target"):
-        rels = rels.join(ids.withColumnsRenamed({"old_id": end, "id": f"new_{end}"}), ["doc", "page", end])
-    rels = rels.select("doc", "ord", F.col("new_source").alias("source"), F.col("new_target").alias("target"), "type")
+        rels = rels.join(ids.withColumnsRenamed({"old_id": end, "id": f"new_{end}"}), ["doc", "page", end], "left")
+        # The merged graph is asked for ends that the page doesn't have only.
+        rels = rels.join(whole.withColumnsRenamed({"old_id": end, "id": f"whole_{end}", "first_ord": f"first_{end}"}), ["doc", end], "left")
+        earlier = F.when(F.expr(f"first_{end} div {X.PAGE_STEP} <= ord div {X.PAGE_STEP}"), F.col(f"whole_{end}"))
+        rels = rels.withColumn(f"new_{end}", F.coalesce(f"new_{end}", earlier))
+    rels = rels.where("new_source is not null and new_target is not null").select("doc", "ord", F.col("new_source").alias("source"), F.col("new_target").alias("target"), "type")
     return rows.where("old_id is null").select("doc", "ord", "id", "type", "n", "attrs_json"), G.first_by(rels, ["doc", "source", "target", "type"])
 
 
@@ -159,7 +165,7 @@ def run(spark: SparkSession, pages: DataFrame, out: str, project: Project | None
     graphs = page_graphs(pages, project, contents, images)
     if project.dumps:
         files.dump_graphs(graphs, f"{out}/units", "chunk" if project.units == "chunks" else "page")
-    merged, rels = document_graphs(X.last_graphs(graphs) if project.construction == "iterative" else graphs, project)
+    merged, rels = document_graphs(graphs, project)
     ents, links = project_graph(merged, rels)
     ents.write.mode("overwrite").json(f"{out}/entities")
     links.write.mode("overwrite").json(f"{out}/relations")

@@ -8,7 +8,7 @@ from kgloom.plans.ontology_demo import ONTOLOGY
 from kgloom.functions.text import attribute_text
 from kgloom.operators.clients import Blocked, ChatClient, PartsClient, from_data_url
 from kgloom.operators.export import nodes
-from kgloom.operators.extract import classify, first_pages_text, last_graphs, register_client, toc_text
+from kgloom.operators.extract import classify, first_pages_text, register_client, toc_text
 from kgloom.operators.match import project_rules
 from kgloom.operators.merge import fold_entities
 from kgloom.operators.ontology import Ontology
@@ -117,25 +117,72 @@ def test_hooks_cascade_and_images(spark, tmp_path):
 
 
 def test_iterative_construction(spark):
-    """Each prompt holds the graph so far; the last graph is the document's; a failed unit keeps the graph before."""
+    """A client that answers for its own page: prompts hold the graph so far, nothing of earlier pages is lost, and a failed page changes nothing."""
 
-    class GrowingClient:
-        def complete(self, prompt, temperature=0.1):
+    class OwnPageClient:
+        def complete(self, prompt, temperature=0.1, images=()):
             if "Extract" not in prompt:
                 return None
             if "broken" in prompt:
                 raise RuntimeError("no")
             head, text = prompt.rsplit("TEXT:", 1)
             before = json.loads(head.split("Graph so far: ")[1].split("\n")[0])["entities"] if "Graph so far" in head else []
-            return "```json\n" + json.dumps({"entities": [*before, {"id": text, "type": "kg:Company", "name": text}], "relationships": []}) + "\n```"
-
-    register_client("growing", GrowingClient)
-    pages = spark.createDataFrame([("d1", 10, "Zeta"), ("d1", 2, "Acme"), ("d1", 11, "broken"), ("d2", 1, "Omega")], "doc string, page int, text string")
-    project = Project(client="growing", construction="iterative")
-    graphs = page_graphs(pages, project)
-    assert {(r.doc, r.page, r.n_entities, r.error) for r in graphs.collect()} == {("d1", 2, 1, None), ("d1", 10, 2, None), ("d1", 11, 0, "RuntimeError: no"), ("d2", 1, 1, None)}
-    merged, _ = document_graphs(last_graphs(graphs), project)
-    assert sorted((r.doc, json.loads(r.attrs_json)["name"]) for r in merged.collect()) == [("d1", "Acme"), ("d1", "Zeta"), ("d2", "Omega")]
+            seen = ",".join(f"{e['id']}={e['name']}" for e in before)
+            own = {"id": f"i{text}", "type": "kg:Company", "name": text.strip() or "pictured", "seen": seen, "images": len(images)}
+            # The page's entity is tied to the first of the graph so far, which the reply doesn't repeat.
+            rels = [{"source": own["id"], "target": before[0]["id"], "type": "kg:after"}] if before else []
+            return "```json\n" + json.dumps({"entities": [own, "no object", {"id": "y"}], "relationships": [*rels, {"source": own["id"], "target": "nobody", "type": "kg:after"}]}) + "\n```"
+
+    register_client("own page", OwnPageClient)
+    rows = [("d1", 10, "Gamma"), ("d1", 2, "Alpha"), ("d1", 3, "Beta"), ("d1", 11, "broken"), ("d1", 12, " "), ("d1", 3, "Beta again"), ("d2", 1, "Omega"), ("d3", 1, "Alpha"), ("d3", 2, "alpha")]
+    pages = spark.createDataFrame(rows, "doc string, page int, text string")
+    images = spark.createDataFrame([("d1", 3, b"png"), ("d1", 12, b"png")], "doc string, page int, image binary")
+    project = Project(client="own page", construction="iterative")
+    for given, pictured in ((None, []), (images, [("d1", "pictured", "iAlpha=Alpha,iBeta=Beta,iGamma=Gamma", 1)])):
+        graphs = page_graphs(pages, project, images=given)
+        got = {(r.doc, r.page, r.error) for r in graphs.collect()}
+        assert got - {("d1", 12, None)} == {("d1", 2, None), ("d1", 3, None), ("d1", 10, None), ("d1", 11, "RuntimeError: no"), ("d2", 1, None), ("d3", 1, None), ("d3", 2, None)} and len(got) == 7 + len(pictured)
+        merged, rels = document_graphs(graphs, project)
+        found = [(r.doc, r.id, json.loads(r.attrs_json)) for r in merged.collect()]
+        assert sorted((d, e["name"], e["seen"], e["images"]) for d, _, e in found) == sorted(
+            [("d1", "Alpha", "", 0), ("d1", "Beta", "iAlpha=Alpha", int(given is not None)), ("d1", "Gamma", "iAlpha=Alpha,iBeta=Beta", 0), ("d2", "Omega", "", 0), ("d3", "Alpha", "iAlpha=Alpha", 0), *pictured]
+        )
+        name = {(d, i): e["name"] for d, i, e in found}
+        assert sorted((name[r.doc, r.source], name[r.doc, r.target]) for r in rels.collect()) == sorted([("Beta", "Alpha"), ("Gamma", "Alpha"), ("Alpha", "Alpha"), *((n, "Alpha") for _, n, *_ in pictured)])
+
+
+def test_relations_to_later_pages_are_left_out(spark):
+    """An end that its page doesn't have is an id of the pages up to it, in parallel construction as well."""
+    rows = [("d", p, json.dumps({"entities": [{"id": f"i{p}", "type": "kg:Company", "name": "abc"[p - 1] * 9}], "relationships": [{"source": f"i{p}", "target": f"i{q}", "type": "t"} for q in (1, 2, 3)]})) for p in (1, 2, 3)]
+    merged, rels = document_graphs(spark.createDataFrame(rows, "doc string, page int, graph_json string"), Project())
+    assert merged.count() == 3 and sorted((r.source, r.target) for r in rels.collect()) == [("e1", "e1"), ("e2", "e1"), ("e2", "e2"), ("e3", "e1"), ("e3", "e2"), ("e3", "e3")]
+
+
+def test_stream_of_pages(spark, tmp_path):
+    """Late and repeated pages, state between batches, and a client's prompts with the graph so far."""
+    from kgloom.operators.extract import PREVIOUS
+    from kgloom.streaming.fold import fold_stream, use_map_states
+
+    class Echo:
+        def complete(self, prompt, temperature=0.1):
+            before, text = prompt.split("TEXT:")
+            return json.dumps({"entities": [{"id": "x", "type": "kg:Company", "name": text, "before": before.count('"id"')}]})
+
+    register_client("echo", Echo)
+    use_map_states(spark)
+    source = tmp_path / "in"
+    batches = [[("d1", 1, "Alpha"), ("d1", 3, "Gamma"), ("d2", 1, "Omega")], [("d1", 2, "Beta"), ("d1", 3, "Gamma changed")], [("d1", 4, "Alpha"), ("d2", 2, "")]]
+    for batch in batches:
+        rows = [(d, p, f"Graph so far: {PREVIOUS}\nTEXT:{t}" if t else "") for d, p, t in batch]
+        spark.createDataFrame(rows, "doc string, page int, body string").coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("doc string, page int, body string").parquet(str(source))
+        fold_stream(stream, client="echo").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    shown = sorted((r.doc, r.version, r.page, r.late, r.place, r.id, r.n, r.attrs_json and json.loads(r.attrs_json)["name"], r.attrs_json and json.loads(r.attrs_json)["before"]) for r in got)
+    assert shown == [
+        ("d1", 1, 1, False, 0, "x", 1, "Alpha", 0), ("d1", 2, 3, False, 1, "x_company_1", 1, "Gamma", 1), ("d1", 3, 2, True, 2, "x_company_2", 1, "Beta", 2), ("d1", 4, 4, False, 0, "x", 2, "Alpha", 0),
+        ("d2", 1, 1, False, 0, "x", 1, "Omega", 0), ("d2", 2, 2, False, None, None, None, None, None),
+    ]
 
 
 def test_clients_of_services():

@@ -12,11 +12,10 @@ import pytest
 
 import __spark_entry__ as entry
 from kgloom.functions.text import ratio
-from kgloom.operators import match as M
 from kgloom.operators.extract import CLASSIFY_CHARS, UNKNOWN_TYPE
-from kgloom.operators.merge import fold_entities
 from kgloom.plans import graph_queries as Q
 from kgloom.plans import registry, star
+from tests.plain import PERIODS, both_same, close, first_value, page_match, plain_fold, tidy
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent
@@ -41,16 +40,30 @@ def _first_matches(con):
         yield tuple(plain(v) for v in (i, j, round(ratio(x, y), 6)))
 
 
-def _folded(con, group, at, rules, documents=False):
+def _by_page(new, old):
+    return page_match(new, old, {"productorservice": 0.80}, 0.75)
+
+
+def _by_project(new, old):
+    return page_match(new, old, {}, 0.8)
+
+
+def _by_strategy(new, old):
+    return close(tidy(new["name"]), tidy(first_value(old["name"])), 0.80) and both_same(new, old, PERIODS, tidy)
+
+
+def _parts(con, order="p_partkey"):
+    for key, name, kind, size, brand in con.sql(f"SELECT p_partkey, p_name, p_type, p_size, p_brand FROM part ORDER BY {order}").fetchall():
+        yield brand, size, {"name": name, "kind": kind, "amount": size, "id": f"p{key}", "type": "kg:ProductOrService"}
+
+
+def _folded(con, group, at, match, documents=False):
     """One sequential fold for each group, in order: (columns of the query, sorted by name)."""
-    rows = con.sql("SELECT p_partkey, p_name, p_type, p_size, p_brand FROM part ORDER BY p_partkey").fetchall()
     groups = {}
-    for key, name, kind, size, brand in rows:
-        row = {"name": name, "kind": kind, "amount": size, "id": f"p{key}", "type": "kg:ProductOrService", "_at": {"page": size, "doc": brand}[at]}
-        groups.setdefault({"doc": brand, "project": str(size)}[group], []).append(row)
+    for brand, size, row in _parts(con):
+        groups.setdefault({"doc": brand, "project": str(size)}[group], []).append(row | {"_at": {"page": size, "doc": brand}[at]})
     for g, own in groups.items():
-        kept, _ = fold_entities(own, rules, (lambda row: row["_at"]) if documents else None)
-        for n, e in enumerate(kept):
+        for n, e in enumerate(plain_fold(own, match, documents)[0]):
             i, t, count = e.pop("id"), e.pop("type"), e.pop("_n")
             out = {group: g, "ord": n, "id": i, "type": t, "n": count, "attrs_json": json.dumps(e, ensure_ascii=False, sort_keys=True)}
             yield tuple(plain(out[c]) for c in sorted(out))
@@ -72,9 +85,29 @@ def _classified(con):
 
 
 def _streamed(con):
-    """All arrive in one batch, so a document's only version has as many entities as its fold."""
-    sizes = Counter(row[1] for row in _folded(con, "doc", "page", M.page_rules()))
-    yield from (tuple(plain(v) for v in (doc, n, 1)) for doc, n in sizes.items())
+    """Pages of a document in their order."""
+    groups = {}
+    for brand, size, row in _parts(con, "p_size, p_partkey"):
+        groups.setdefault(brand, []).append(row | {"_at": size})
+    for doc, own in groups.items():
+        for place, e in enumerate(plain_fold(own, _by_page)[0]):
+            i, n, _ = e.pop("id"), e.pop("_n"), e.pop("type")
+            yield tuple(plain(v) for v in (json.dumps(e, ensure_ascii=False, sort_keys=True), doc, i, n, place))
+
+
+def _constructed(con):
+    """Each line's names as a chain, lines merged in order."""
+    for doc, text in con.sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall():
+        rows, chains = [], []
+        for page, line in enumerate(text.split("\n"), 1):
+            names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", line)))
+            rows += [{"id": f"e{i}", "type": "kg:Company", "name": n, "_at": page} for i, n in enumerate(names, 1)]
+            chains += [((page, f"e{i}"), (page, f"e{i + 1}")) for i in range(1, len(names))]
+        kept, where = plain_fold(rows, _by_page)
+        links = {(where[a], where[b]) for a, b in chains}
+        degree = Counter(a for a, _ in links)
+        for n, e in enumerate(kept, 1):
+            yield tuple(plain(v) for v in (str(doc), f"e{n}", e["_n"], e["name"], degree[e["id"]]))
 
 
 def _graph_sizes(con):
@@ -95,12 +128,13 @@ def _graph_sizes(con):
 #: Brute force where SQL can't express a query: folds in one loop, similarities of all pairs.
 BRUTE = {
     "fuzzy_match_first": _first_matches,
-    "merge_fuzzy_fold": lambda con: _folded(con, "doc", "page", M.page_rules()),
-    "merge_strategy_fold": lambda con: _folded(con, "doc", "page", M.strategy_rules()),
-    "merge_project_fold": lambda con: _folded(con, "project", "doc", M.project_rules(), documents=True),
+    "merge_fuzzy_fold": lambda con: _folded(con, "doc", "page", _by_page),
+    "merge_strategy_fold": lambda con: _folded(con, "doc", "page", _by_strategy),
+    "merge_project_fold": lambda con: _folded(con, "project", "doc", _by_project, documents=True),
     "extract_graphs": _extracted,
     "classify_cascade": _classified,
     "stream_fold": _streamed,
+    "iterative_construction": _constructed,
     "graph_json": _graph_sizes,
 }
 
