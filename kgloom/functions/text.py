@@ -138,16 +138,29 @@ def length_bound(a: Column, b: Column) -> Column:
     return F.when((la > 0) & (lb > 0), 2.0 * F.least(la, lb) / (la + lb)).otherwise(0.0)
 
 
+def numbered(parts: Column) -> Column:
+    """The texts of an array, each with its number among its equals, so that intersections of sets are those of multisets; in their order."""
+    of = lambda found: F.transform(found, lambda c, i: F.concat(c, (i - F.array_position(found, c) + 1).cast("string")))
+    return F.element_at(F.transform(F.array(F.sort_array(parts)), of), 1)
+
+
 def multiset_bound(a: Column, b: Column) -> Column:
     """The highest similarity that the characters allow, in any order and case."""
     a, b = F.lower(a), F.lower(b)
-    # Characters are numbered within their kind, so that the intersection of sets is one of multisets.
-    def numbered(x: Column) -> Column:
-        chars = F.array_sort(F.split(x, ""))
-        return F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c)).cast("string")))
-
     la, lb = F.length(a), F.length(b)
-    return F.when((la > 0) & (lb > 0), 2.0 * F.size(F.array_intersect(numbered(a), numbered(b))) / (la + lb)).otherwise(0.0)
+    return F.when((la > 0) & (lb > 0), 2.0 * F.size(F.array_intersect(numbered(F.split(a, "")), numbered(F.split(b, "")))) / (la + lb)).otherwise(0.0)
+
+
+def runs_bound(a: Column, b: Column) -> Column:
+    """The highest similarity that shared pairs of neighbouring characters allow, in any order and case.
+
+    Matched runs are parted by an unmatched character at least, so M matched characters of L in all lie in L - 2M + 1 runs at most, and each run holds a pair less than characters:
+    3M - L - 1 pairs are shared.
+    """
+    a, b = F.lower(a), F.lower(b)
+    twos = lambda x: F.when(F.length(x) > 1, F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    whole = F.length(a) + F.length(b)
+    return 2.0 * (F.size(F.array_intersect(numbered(twos(a)), numbered(twos(b)))) + whole + 1) / (3.0 * whole)
 
 
 def ratio(a: str | None, b: str | None) -> float:

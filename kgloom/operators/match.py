@@ -10,7 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.functions.text import NAME_FIELD, alike, length_bound, multiset_bound, similarity
+from kgloom.functions.text import NAME_FIELD, alike, similarity
+from kgloom.operators.overlap import similar_pairs
 
 
 @dataclass(frozen=True)
@@ -167,18 +168,12 @@ def find_match(new: dict, candidates: list[dict], rules: Rules) -> dict | None:
 def fuzzy_first_match(new: DataFrame, candidates: DataFrame, threshold: float, block: list[str] | None = None) -> DataFrame:
     """``(id, match_id, score)``: for each of ``new(id, name, ord)`` the first of ``candidates(id, name, ord)`` at least ``threshold`` alike.
 
-    Names meet by length class (similar names have similar lengths) and the given block columns; bounds by length and by
-    characters, which as the similarity don't tell cases apart, drop pairs on the JVM's side before the similarity is computed.  Each distinct pair of names
-    is compared once.
+    Names meet in the lists of an overlap join (``similar_pairs``) and in the given block columns; its bounds, which as the similarity don't tell cases apart, drop pairs on the JVM's side
+    before the similarity is computed.  Each distinct pair of names is compared once.
     """
     block = block or []
-    step = F.lit(2.0 / threshold - 1.0)  # lengths of similar names differ by at most this factor
-    band = lambda c: F.floor(F.log(F.greatest(F.length(F.lower(c)), F.lit(1)).cast("double")) / F.log(step + 1e-9)).cast("int")
-    a = new.select(*block, F.col("name").alias("a")).where("a <> ''").distinct().withColumn("band", F.explode(F.array(*[band("a") + i for i in (-1, 0, 1)])))
-    b = candidates.select(*block, F.col("name").alias("b")).where("b <> ''").distinct().withColumn("band", band("b"))
-    pairs = a.join(b, [*block, "band"]).where(length_bound(F.col("a"), F.col("b")) >= threshold)
-    pairs = pairs.where((F.lower("a") == F.lower("b")) | (multiset_bound(F.col("a"), F.col("b")) >= threshold))
-    pairs = pairs.withColumn("score", similarity("a", "b")).where(F.col("score") >= threshold - 1e-12).drop("band")
+    pairs = similar_pairs(new.select(*block, F.col("name").alias("a")), candidates.select(*block, F.col("name").alias("b")), threshold, block)
+    pairs = pairs.withColumn("score", similarity("a", "b")).where(F.col("score") >= threshold - 1e-12)
     first = candidates.groupBy(*block, F.col("name").alias("b")).agg(F.min_by("id", "ord").alias("match_id"), F.min("ord").alias("match_ord"))
     best = pairs.join(first, [*block, "b"]).groupBy(*block, F.col("a").alias("name")).agg(F.min_by(F.struct("match_id", "score"), "match_ord").alias("m"))
     return new.join(best, [*block, "name"]).select("id", "m.match_id", "m.score")

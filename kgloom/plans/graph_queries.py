@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.functions.text import display_name, normalize_text
+from kgloom.functions.text import display_name, normalize_text, similarity
 from kgloom.operators import diagnose as D
 from kgloom.operators import evaluate as E
 from kgloom.operators import export as X
@@ -15,6 +15,8 @@ from kgloom.operators import match as M
 from kgloom.operators import merge as ME
 from kgloom.operators import ontology as O
 from kgloom.operators import viz as V
+from kgloom.operators.overlap import similar_pairs
+from kgloom.operators.settle import merged_across
 from kgloom.plans import star
 from kgloom.plans.ontology_demo import ONTOLOGY
 from kgloom.plans.ontology_demo import SQL as ONTO_SQL
@@ -202,6 +204,20 @@ def fuzzy_match_first(spark, sf):
     return M.fuzzy_first_match(p, p, 0.8).select("id", "match_id", F.round("score", 6).alias("score"))
 
 
+def similar_names(spark, sf):
+    """Pairs of similar names of customers, suppliers and parts."""
+    names = table(spark, sf, "customer").select(F.col("c_name").alias("a")).union(table(spark, sf, "supplier").select("s_name")).union(table(spark, sf, "part").select("p_name"))
+    pairs = similar_pairs(names, names.withColumnRenamed("a", "b"), 0.9).where("a < b")
+    return pairs.withColumn("score", similarity("a", "b")).where("score >= 0.9").select("a", "b", F.round("score", 6).alias("score"))
+
+
+def merge_star_project(spark, sf):
+    """The whole star graph as one project, whose three parts are its documents: merged entities with provenance."""
+    rows = _ent(spark, sf).select(F.lit("star").alias("project"), "ord", "doc", "id", "type", F.to_json(F.struct(*ATTRS)).alias("attrs_json"))
+    kept, _ = merged_across(rows, "project", M.project_rules(), "doc", documents=True)
+    return kept.select("ord", "id", "type", "n", "attrs_json")
+
+
 def _json_parts(spark, sf) -> DataFrame:
     p = table(spark, sf, "part")
     body = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_size").alias("amount")))
@@ -369,7 +385,7 @@ QUERIES = {
         kg_clean, kg_renumber, kg_renumber_entities, kg_type_distribution, unique_ids, onto_invalid_entities, onto_invalid_relations, onto_missing_types, onto_constraints, onto_attributes,
         graph_basic_metrics, graph_wcc, graph_diameter, graph_node_types, relation_distribution, compliance, domain_range_violations, attribute_completeness, company_metrics,
         entity_coverage, overall_score, merge_exact_parts, merge_relations, merge_statistics, match_strategies, provenance_attributes, provenance_relations, metric_company_lookup,
-        match_person_tokens, fuzzy_match_first, merge_fuzzy_fold, merge_strategy_fold, merge_project_fold, stream_fold, iterative_construction, diag_summary, diag_by_type, diag_patterns, diag_unexpected, diag_lost,
+        match_person_tokens, fuzzy_match_first, similar_names, merge_star_project, merge_fuzzy_fold, merge_strategy_fold, merge_project_fold, stream_fold, iterative_construction, diag_summary, diag_by_type, diag_patterns, diag_unexpected, diag_lost,
         diag_recommendations, diag_key_details, export_nodes, export_links, export_meta, export_files, vis_nodes, vis_edges, vis_comparison, two_hop, property_filter, select_nodes,
         extract_graphs, classify_cascade, graph_json, diag_report,
     )

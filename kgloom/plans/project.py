@@ -17,6 +17,7 @@ from kgloom.operators import merge as ME
 from kgloom.operators import viz as V
 from kgloom.operators.match import Rules, page_rules, project_rules, strategy_rules
 from kgloom.operators.ontology import Ontology, bare_type
+from kgloom.operators.settle import merged_across
 from kgloom.sources import files
 from kgloom.sources.scratch import materialize
 
@@ -138,21 +139,21 @@ def document_graphs(graphs: DataFrame, project: Project) -> tuple[DataFrame, Dat
 def project_graph(merged: DataFrame, rels: DataFrame, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
     """One graph with provenance from all documents, in the order of their names: entities and relations, cleaned and renumbered.
 
-    Where types must match, as they do by default, entities of different types never meet, so each type is folded in a task of its own.  A type
-    with most of all entities is one task's work: the fold is ordered and its matches can't be known before it.
+    Where types must match, as they do by default, the merge is settled across tasks (``merged_across``), so no task holds a type.  Where they need not, it is one ordered fold in a task.
     """
     rules = rules or project_rules()
-    kind = F.lower(F.substring_index("type", ":", -1)) if rules.same_type else F.lit("all")
-    rows = materialize(ME.folded(merged.withColumn("kind", kind), "kind", rules, "doc", documents=True, order=("doc", "ord")), "project")
-    kept = rows.where("old_id is null").drop("at", "old_id", "ord")
-    numbered = G.ordered_index(kept, ["first_at", "first_ord", "kind"], "_i").withColumns({"new_id": F.concat(F.lit("e"), F.col("_i").cast("string")), "ord": F.col("_i") - 1})
-    numbered = materialize(numbered, "numbered")
-    ids = rows.where("old_id is not null").select("kind", F.col("at").alias("doc"), "old_id", "id")
-    ids = ids.join(numbered.select("kind", "id", "new_id"), ["kind", "id"]).select("doc", "old_id", "new_id")
+    rows = merged.withColumn("project", F.lit("project"))
+    if rules.same_type:
+        kept, went = merged_across(rows, "project", rules, "doc", order=("doc", "ord"), documents=True)
+        kept, ids = kept.select("project", "ord", "id", "type", "n", "attrs_json"), went.select(F.col("at").alias("doc"), "old_id", F.col("id").alias("new_id"))
+    else:
+        found = materialize(ME.folded(rows, "project", rules, "doc", documents=True, order=("doc", "ord"), renumber=True), "project")
+        kept = found.where("old_id is null").select("project", "ord", "id", "type", "n", "attrs_json")
+        ids = found.where("old_id is not null and at is not null").select(F.col("at").alias("doc"), "old_id", F.col("id").alias("new_id"))
     for end in ("source", "target"):
         rels = rels.join(ids.withColumnsRenamed({"old_id": end, "new_id": f"new_{end}"}), ["doc", end])
     moved = rels.select(F.col("new_source").alias("source"), F.col("new_target").alias("target"), "type", "doc", F.struct("doc", "ord").alias("ord"))
-    return numbered.select(F.lit("project").alias("project"), "ord", F.col("new_id").alias("id"), "type", "n", "attrs_json"), ME.relation_documents(moved)
+    return kept, ME.relation_documents(moved)
 
 
 def run(spark: SparkSession, pages: DataFrame, out: str, project: Project | None = None, page_limit: int = 5000, contents: DataFrame | None = None, images: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -3,6 +3,8 @@
 import difflib
 import re
 
+from kgloom.operators import match as M
+
 PERIODS = ("DateOrPeriod", "kpiDateOrPeriod", "dateOrYear")
 FIGURES = ("metricValue", "percentageValue", "headcountValue", "amount")
 TITLES = {"person": "fullName", "financialmetric": "metricName", "operationalkpi": "kpiName", "headcount": "headcountName", "transactioncontext": "contextName", "historicalevent": "eventName", "location": "locationName", "marketcontext": "segmentName", "position": "titleName"}
@@ -120,3 +122,15 @@ def plain_fold(rows, match, documents=False):
         target["_n"] += 1
         where[at, str(row["id"])] = target["id"]
     return kept, where
+
+
+def _rule_sets():
+    thresholds = {k: t for k, (_, t) in M.STRATEGIES.items()}
+    return {
+        "pages": (M.page_rules(), lambda new, old: page_match(new, old, thresholds, 0.75), False),
+        "project": (M.project_rules(), lambda new, old: page_match(new, old, {}, 0.8), True),
+    }
+
+
+#: The library's rules, the plain match that they stand for, and whether values are lists by document.
+BOTH_RULES = _rule_sets()
