@@ -7,18 +7,21 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kgloom.functions.text import NAME_FIELD, alike, similarity
+from kgloom.functions.text import NAME_FIELD, alike, normalize_text, similarity, unprefixed
 from kgloom.operators.overlap import similar_pairs
+from kgloom.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
 class Rule:
     """Names at least ``threshold`` alike; ``same`` attributes equal, ``same_text`` equal after normalising, ``alike`` similar, wherever both have one.
 
-    ``aliases``: any name or alias may match; ``ends``: equal first and last words of two-word names match as well.
+    ``aliases``: any name or alias may match, and with ``named`` only where both have a name; ``ends``: equal first and last words of two-word names match as well.
+    ``keys`` must be equal after normalising, or missing in both.  ``names``: the first of these attributes that isn't empty is the name, in place of the type's own.
     """
 
     threshold: float
@@ -28,6 +31,8 @@ class Rule:
     aliases: bool = False
     ends: bool = False
     keys: tuple[str, ...] = ()
+    names: tuple[str, ...] = ()
+    named: bool = False
 
 
 #: How alike entities of a type must be.
@@ -61,20 +66,49 @@ STRATEGIES = {
     "shareholder": ("moderate", 0.85),
     "historicalevent": ("moderate", 0.85),
 }
-_TEMPORAL = ("DateOrPeriod", "kpiDateOrPeriod", "dateOrYear", "fiscalPeriod")
-_NUMERIC = ("metricValue", "percentageValue", "headcountValue", "amount")
-#: The stricter rule set, in which a type's strategy decides what else must agree.
-BY_STRATEGY = {
-    kind: {
-        "preserve": Rule(thr, keys=("status", "typeSought")),
-        "strict": Rule(thr, same_text=(*_TEMPORAL, "scope", *_NUMERIC)),
-        "liberal": Rule(thr, aliases=True),
-        "moderate": Rule(thr, same=("eventType",), same_text=_TEMPORAL),
-    }[how]
-    for kind, (how, thr) in STRATEGIES.items()
+#: The attributes that hold periods and figures, and the names that metrics may go by.
+PERIODS = ("DateOrPeriod", "kpiDateOrPeriod", "dateOrYear")
+FIGURES = ("metricValue", "percentageValue", "headcountValue", "amount")
+METRIC_NAMES = ("metricName", "kpiName", "headcountName", "name")
+#: Strategy, threshold and telling attributes of each type in the stricter rule set.
+KEYED = {
+    "transactioncontext": ("preserve_distinct", 0.95, ("contextName", "typeSought", "status")),
+    "financialmetric": ("strict_temporal_match", 0.95, ("metricName", "DateOrPeriod", "scope")),
+    "operationalkpi": ("strict_temporal_match", 0.90, ("kpiName", "kpiDateOrPeriod")),
+    "headcount": ("strict_temporal_match", 0.90, ("headcountName", "dateOrYear")),
+    "company": ("liberal_merge", 0.70, ("name", "alias")),
+    "person": ("liberal_merge", 0.75, ("fullName",)),
+    "advisor": ("moderate_merge", 0.80, ("name", "type", "roleInContext")),
+    "shareholder": ("moderate_merge", 0.85, ("name", "type")),
+    "productorservice": ("moderate_merge", 0.80, ("name", "category")),
+    "technology": ("liberal_merge", 0.75, ("name",)),
+    "historicalevent": ("preserve_with_temporal_context", 0.90, ("eventName", "eventType", "dateOrYear")),
+    "marketcontext": ("moderate_merge", 0.80, ("segmentName", "geography")),
+    "location": ("liberal_merge", 0.75, ("locationName", "locationType")),
+    "usecaseorindustry": ("liberal_merge", 0.75, ("name",)),
+    "position": ("strict_merge", 0.90, ("titleName", "department")),
+    "governmentbody": ("liberal_merge", 0.80, ("name", "type")),
 }
 
 
+def keyed_rule(kind: str) -> Rule:
+    """What a type's strategy asks for."""
+    how, least, keys = KEYED[kind]
+    own = tuple(dict.fromkeys((NAME_FIELD.get(kind, "name"), *METRIC_NAMES)))
+    return {
+        "preserve_distinct": Rule(least, keys=keys, same_text=(*PERIODS, *FIGURES)),
+        "strict_temporal_match": Rule(least, names=METRIC_NAMES, same_text=(*PERIODS, "scope")),
+        "liberal_merge": Rule(least, names=keys[:1], aliases=True, named=True),
+        "moderate_merge": Rule(least, names=own, same_text=PERIODS),
+        "strict_merge": Rule(least, names=own, same_text=(*PERIODS, *FIGURES)),
+        "preserve_with_temporal_context": Rule(least, names=("eventName",), same=("eventType",), same_text=("dateOrYear",)),
+    }[how]
+
+
+#: The stricter rule set, in which a type's strategy decides what else must agree.
+BY_STRATEGY = {kind: keyed_rule(kind) for kind in KEYED}
+
+
 @dataclass
 class Rules:
     """``by_type`` and a rule for other types (``thresholds`` by type, or ``default``).
@@ -120,7 +154,9 @@ def normal(value: Any) -> str:
     return _normal(str(value)) if value not in (None, "") else ""
 
 
-def entity_name(entity: dict, kind: str) -> str:
+def entity_name(entity: dict, kind: str, rule: Rule | None = None) -> str:
+    if rule and rule.names:
+        return normal(next((v for f in rule.names if (v := plain(entity.get(f)))), None))
     return normal(plain(entity.get(NAME_FIELD.get(kind, "name"))))
 
 
@@ -129,12 +165,21 @@ def _aliases(entity: dict) -> list[str]:
     return [n for n in map(normal, got if isinstance(got, list) else [got]) if n]
 
 
+def entity_names(entity: dict, kind: str, rule: Rule) -> list[str]:
+    """All names that an entity may be matched by."""
+    name = entity_name(entity, kind, rule)
+    if rule.named and not name:
+        return []
+    return [n for n in dict.fromkeys([name, *(_aliases(entity) if rule.aliases else [])]) if n]
+
+
 def matches(new: dict, old: dict, rules: Rules) -> bool:
     """Whether a new entity is the old one; similarities take the new one's name first."""
     kind = rules.kind(new)
     if rules.same_type and kind != rules.kind(old):
         return False
-    rule, a, b = rules.rule(kind), entity_name(new, kind), entity_name(old, kind)
+    rule = rules.rule(kind)
+    a, b = entity_name(new, kind, rule), entity_name(old, kind, rule)
     for k in rule.same:
         x, y = plain(new.get(k)), plain(old.get(k))
         if x and y and x != y:
@@ -148,10 +193,10 @@ def matches(new: dict, old: dict, rules: Rules) -> bool:
         if x and y and not alike(str(x), str(y), least):
             return False
     for k in rule.keys:
-        if normal(plain(new.get(k))) != normal(plain(old.get(k))):
+        if normal(plain(new.get(k)) or None) != normal(plain(old.get(k)) or None):
             return False
     if rule.aliases:
-        return any(alike(x, y, rule.threshold) for x in [a, *_aliases(new)] if x for y in [b, *_aliases(old)] if y)
+        return any(alike(x, y, rule.threshold) for x in entity_names(new, kind, rule) for y in entity_names(old, kind, rule))
     if not a or not b:
         return False
     p, q = a.split(), b.split()
@@ -179,6 +224,89 @@ def fuzzy_first_match(new: DataFrame, candidates: DataFrame, threshold: float, b
     return new.join(best, [*block, "name"]).select("id", "m.match_id", "m.score")
 
 
+# ---- rules as columns -------------------------------------------------------------------------------------------
+
+
+def _present(rows: DataFrame, name: str) -> Column:
+    """An attribute as text, null where it is missing, empty or 0."""
+    if name not in rows.columns:
+        return F.lit(None).cast("string")
+    col = F.col(f"`{name}`")
+    empty = (col == 0) if isinstance(rows.schema[name].dataType, T.NumericType) else (col.cast("string") == "")
+    return F.when(~empty, col.cast("string"))
+
+
+def rule_features(rows: DataFrame, rules: Rules, kinds: list[str]) -> DataFrame:
+    """``rows(id, type, ord, attributes...)`` as ``(id, ord, kind, f)``: what the rule of each of ``kinds`` reads, as columns; other kinds are left out.
+
+    ``f``: the names to match by, the first and last word of the name, and lists of the attributes to be equal, equal after normalising, equal or both missing, and similar.
+    """
+    kind = unprefixed(F.col("type"))
+    normal_text = lambda c: F.when(c.isNotNull(), normalize_text(c))
+    array = lambda cols: F.array(*cols).cast("array<string>")
+
+    def features(k: str) -> Column:
+        rule = rules.rule(k)
+        own = F.coalesce(*[_present(rows, n) for n in rule.names or (NAME_FIELD.get(k, "name"),)])
+        name = F.nullif(normalize_text(own), F.lit(""))
+        more = F.array().cast("array<string>")
+        if rule.aliases and "alias" in rows.columns:
+            more = F.coalesce(F.transform(F.col("alias").cast("array<string>"), normalize_text), more)
+        names = F.array_distinct(F.filter(F.concat(F.array(name), more), lambda x: F.coalesce(x != "", F.lit(False))))
+        words = F.split(name, " ")
+        return F.struct(
+            (F.when(name.isNotNull(), names).otherwise(F.array().cast("array<string>")) if rule.named else names).alias("names"),
+            (F.when(F.size(words) > 1, F.array(words[0], F.element_at(words, -1))) if rule.ends else F.lit(None).cast("array<string>")).alias("ends"),
+            array([_present(rows, a) for a in rule.same]).alias("same"),
+            array([normal_text(_present(rows, a)) for a in rule.same_text]).alias("text"),
+            array([F.coalesce(normal_text(_present(rows, a)), F.lit("")) for a in rule.keys]).alias("keys"),
+            array([_present(rows, a) for a, _ in rule.alike]).alias("near"),
+        )
+
+    chosen = F.lit(None)
+    for k in kinds:
+        chosen = F.when(kind == k, features(k)).otherwise(chosen)
+    return rows.where(kind.isin(kinds)).select("id", "ord", kind.alias("kind"), chosen.alias("f"))
+
+
+def features_agree(new: Column, old: Column) -> Column:
+    """Whether two rows of ``rule_features`` agree in all but the names and what must be similar."""
+    both = lambda k: F.forall(F.zip_with(new[k], old[k], lambda x, y: x.isNull() | y.isNull() | (x == y)), lambda z: z)
+    return both("same") & both("text") & (new["keys"] == old["keys"])
+
+
+def first_rule_match(new: DataFrame, old: DataFrame, rules: Rules, kinds: list[str]) -> DataFrame:
+    """``(id, match_id)``: for each of ``new(id, type, ord, attributes...)`` the first of ``old`` by ``ord`` that its type's rule matches.
+
+    Attributes are columns, ``alias`` an array of texts.  Rows with the same features are decided once.  Names meet by an overlap join, or by their ends; all else is
+    compared on the JVM's side, and Python computes similarities only.
+    """
+    a, b = rule_features(new, rules, kinds), rule_features(old, rules, kinds)
+    key = F.md5(F.to_json(F.struct("kind", "f"))).alias("k")
+    a = materialize(a.select("id", "kind", "f", key), "features")
+    seen = materialize(b.select("id", "ord", "kind", "f", key).groupBy("k").agg(F.first("kind").alias("kind"), F.first("f").alias("f"), F.min_by("id", "ord").alias("match_id"), F.min("ord").alias("match_ord")), "features")
+    asked = materialize(a.groupBy("k").agg(F.first("kind").alias("kind"), F.first("f").alias("f")), "features")
+    least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(rules.rule(k).threshold)) for k in kinds])
+    names = lambda df, k, n: df.select(F.col("k").alias(k), "kind", F.explode("f.names").alias(n))
+    p, q = names(asked, "p", "a"), names(seen, "q", "b")
+    pairs = similar_pairs(p.select("kind", "a"), q.select("kind", "b"), least, ["kind"])
+    pairs = pairs.where((F.col("a") == F.col("b")) | (similarity("a", "b") >= least))
+    met = p.join(pairs, ["kind", "a"]).join(q, ["kind", "b"]).select("p", "q")
+    ended = [k for k in kinds if rules.rule(k).ends]
+    if ended:
+        ends = lambda df, k: df.where(F.col("kind").isin(ended)).where("f.ends is not null").select(F.col("k").alias(k), "kind", F.col("f.ends").alias("ends"))
+        met = met.unionByName(ends(asked, "p").join(ends(seen, "q"), ["kind", "ends"]).select("p", "q"))
+    left, right = asked.select(F.col("k").alias("p"), "kind", F.col("f").alias("x")), seen.select(F.col("k").alias("q"), F.col("f").alias("y"), "match_id", "match_ord")
+    fits = met.distinct().join(left, "p").join(right, "q").where(features_agree(F.col("x"), F.col("y")))
+    for k in kinds:
+        for i, (_, thr) in enumerate(rules.rule(k).alike):
+            u, v = F.col("x.near")[i], F.col("y.near")[i]
+            score = similarity(F.when((F.col("kind") == k) & v.isNotNull(), u), F.when(F.col("kind") == k, v))
+            fits = fits.withColumn("_s", score).where((F.col("kind") != k) | u.isNull() | v.isNull() | (F.col("_s") >= thr)).drop("_s")
+    best = fits.groupBy("p").agg(F.min_by("match_id", "match_ord").alias("match_id"))
+    return a.select("id", F.col("k").alias("p")).join(best, "p").select("id", "match_id")
+
+
 def metric_company(relations: DataFrame, entities: DataFrame, types: tuple[str, ...] = ("reportsMetric", "reportsHeadcount", "reportsOperationalKPI", "reportsFinancialMetric")) -> DataFrame:
     """``(metric_id, company_id)``: the source of the first reporting relation of each metric that is a company."""
     kind = F.substring_index("type", ":", -1)

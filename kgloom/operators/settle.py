@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from kgloom.functions.text import NAME_FIELD, ratio
 from kgloom.operators.components import connected_components
 from kgloom.operators.graph import ordered_index
-from kgloom.operators.match import Rules, _aliases, entity_name, matches
+from kgloom.operators.match import Rules, entity_names, matches
 from kgloom.operators.merge import merged_value
 from kgloom.operators.overlap import similar_pairs
 from kgloom.sources.scratch import materialize
@@ -39,7 +39,7 @@ LOOK_AHEAD = 64
 def read_by(rules: Rules, kind: str) -> set[str]:
     """The attributes that the rule of a type reads, and ``type``."""
     rule = rules.rule(kind)
-    fields = {NAME_FIELD.get(kind, "name"), *rule.same, *rule.same_text, *rule.keys, *(k for k, _ in rule.alike)} - {"type"}
+    fields = {*(rule.names or (NAME_FIELD.get(kind, "name"),)), *rule.same, *rule.same_text, *rule.keys, *(k for k, _ in rule.alike)} - {"type"}
     return fields | ({"alias"} if rule.aliases else set())
 
 
@@ -47,8 +47,7 @@ def signature(entity: dict, rules: Rules) -> tuple[str, list[str]]:
     """What decides an entity's matches, as JSON, and the names that it can be matched by."""
     kind = rules.kind(entity)
     own = {k: entity[k] for k in read_by(rules, kind) if k in entity} | {"type": entity["type"]}
-    names = [entity_name(entity, kind), *(_aliases(entity) if rules.rule(kind).aliases else [])]
-    return json.dumps(own, ensure_ascii=False, sort_keys=True), list(dict.fromkeys(n for n in names if n))
+    return json.dumps(own, ensure_ascii=False, sort_keys=True), entity_names(entity, kind, rules.rule(kind))
 
 
 class Settling:
@@ -84,7 +83,7 @@ class Settling:
 
     def _names(self, body: dict) -> list[str]:
         kind = self.rules.kind(body)
-        return [n for n in [entity_name(body, kind), *(_aliases(body) if self.rules.rule(kind).aliases else [])] if n]
+        return entity_names(body, kind, self.rules.rule(kind))
 
     def _ends(self, body: dict, names: list[str]) -> tuple | None:
         words = names[0].split() if names and self.rules.rule(self.rules.kind(body)).ends else []

@@ -75,6 +75,30 @@ def page_match(new, old, thresholds, default):
     return close(a, b, thresholds.get(kind, default))
 
 
+def strategy_match(new, old):
+    """The stricter rule set."""
+    kind = kind_of(new)
+    if kind != kind_of(old):
+        return False
+    value = lambda e, f: first_value(e.get(f)) or None
+    first = lambda e, fields: tidy(next((v for f in fields if (v := value(e, f))), None))
+    metrics = ("metricName", "kpiName", "headcountName", "name")
+    title = TITLES.get(kind, "name")
+    if kind == "transactioncontext":
+        keys = [(tidy(value(new, f)), tidy(value(old, f))) for f in ("contextName", "typeSought", "status")]
+        return all(x == y for x, y in keys) and close(tidy(value(new, title)), tidy(value(old, title)), 0.95) and both_same(new, old, PERIODS + FIGURES, tidy)
+    if kind in ("financialmetric", "operationalkpi", "headcount"):
+        return close(first(new, metrics), first(old, metrics), 0.95 if kind == "financialmetric" else 0.90) and both_same(new, old, (*PERIODS, "scope"), tidy)
+    if kind in ("company", "person", "technology", "location", "usecaseorindustry", "governmentbody"):
+        least = {"company": 0.70, "governmentbody": 0.80}.get(kind, 0.75)
+        a, b = tidy(value(new, title)), tidy(value(old, title))
+        return bool(a and b) and any(close(x, y, least) for x in all_names(new, a) for y in all_names(old, b))
+    if kind == "historicalevent":
+        return close(tidy(value(new, title)), tidy(value(old, title)), 0.90) and both_same(new, old, ("eventType",)) and both_same(new, old, ("dateOrYear",), tidy)
+    least = {"shareholder": 0.85, "position": 0.90}.get(kind, 0.80)
+    return close(first(new, (title, *metrics)), first(old, (title, *metrics)), least) and both_same(new, old, PERIODS + (FIGURES if kind == "position" else ()), tidy)
+
+
 def joined(key, old, new):
     nothing = lambda x: x is None or (isinstance(x, str) and x.strip() == "")
     if nothing(new) or old == new:
@@ -128,6 +152,7 @@ def _rule_sets():
     thresholds = {k: t for k, (_, t) in M.STRATEGIES.items()}
     return {
         "pages": (M.page_rules(), lambda new, old: page_match(new, old, thresholds, 0.75), False),
+        "strategies": (M.strategy_rules(), strategy_match, False),
         "project": (M.project_rules(), lambda new, old: page_match(new, old, {}, 0.8), True),
     }
 
