@@ -112,14 +112,23 @@ def comparison_legend(members: DataFrame) -> list[tuple[str, str]]:
     return [*((d, PALETTE[i % len(PALETTE)]) for i, d in enumerate(docs)), ("several documents", SHARED_COLOR)]
 
 
+#: Edges of a page for each of its nodes' limit.
+EDGES = 10
+
+
+def drawable(nodes: DataFrame, edges: DataFrame, limit: int = 5000) -> bool:
+    """Whether a page takes the graph: ``limit`` nodes and EDGES times as many edges at most."""
+    return nodes.limit(limit + 1).count() <= limit and edges.limit(EDGES * limit + 1).count() <= EDGES * limit
+
+
 def html_page(nodes: DataFrame, edges: DataFrame, title: str, limit: int = 5000, legend: list[tuple[str, str]] | None = None) -> str:
     """A page that draws the graph on a canvas without other files.  A page is for people: more than ``limit`` nodes, or ten times as many edges, are refused."""
     rows = nodes.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"a page of over {limit} nodes can't be drawn")
-    lines = edges.limit(10 * limit + 1).collect()
-    if len(lines) > 10 * limit:
-        raise ValueError(f"a page of over {10 * limit} edges can't be drawn")
+    lines = edges.limit(EDGES * limit + 1).collect()
+    if len(lines) > EDGES * limit:
+        raise ValueError(f"a page of over {EDGES * limit} edges can't be drawn")
     data = json.dumps({"nodes": [r.asDict() for r in rows], "edges": [r.asDict() for r in lines]}, ensure_ascii=False).replace("</", "<\\/")
     draw = """
 const c=document.querySelector('canvas'),x=c.getContext('2d'),p={};c.width=innerWidth;c.height=innerHeight;

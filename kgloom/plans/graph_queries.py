@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.functions.text import display_name, normalize_text, similarity
+from kgloom.functions.text import display_name, normalize_text, similarity, unprefixed
 from kgloom.operators import diagnose as D
 from kgloom.operators import evaluate as E
 from kgloom.operators import export as X
@@ -80,13 +80,21 @@ def onto_missing_types(spark, sf):
 
 
 def onto_constraints(spark, sf):
+    """The declared ends of every relation type that the graph uses, empty for undeclared ones, and how many relations have it."""
     f = ONTOLOGY.frames(spark)
     lists = [f[side].groupBy("relation").agg(F.array_join(F.array_sort(F.collect_list("type")), "|").alias(side)) for side in ("domain", "range")]
-    return f["relation"].select(F.col("name").alias("relation")).join(lists[0], "relation", "left").join(lists[1], "relation", "left")
+    used = _rel(spark, sf).groupBy(O.bare_type("type").alias("relation")).agg(F.count("*").alias("n"))
+    rows = used.join(F.broadcast(lists[0]), "relation", "left").join(F.broadcast(lists[1]), "relation", "left")
+    return rows.select("relation", F.coalesce("domain", F.lit("")).alias("domain"), F.coalesce("range", F.lit("")).alias("range"), "n")
 
 
 def onto_attributes(spark, sf):
-    return ONTOLOGY.frames(spark)["attribute"].where("entity = 'Company'").select("attr", "type")
+    """Every declared attribute of the graph's entity types, and how many entities have it."""
+    declared = ONTOLOGY.frames(spark)["attribute"].select(F.col("entity").alias("type"), "attr", F.col("type").alias("value_type"))
+    ents = _ent(spark, sf)
+    found = attributes(ents).groupBy("type", F.col("key").alias("attr")).agg(F.countDistinct("id").alias("n"))
+    used = ents.select(O.bare_type("type").alias("type")).distinct()
+    return used.join(F.broadcast(declared), "type").join(found, ["type", "attr"], "left").select("type", "attr", "value_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _graph(spark, sf):
@@ -175,7 +183,10 @@ def merge_statistics(spark, sf):
 
 
 def match_strategies(spark, sf):
-    return spark.createDataFrame([(k, s, t) for k, (s, t) in M.STRATEGIES.items()], "type string, strategy string, threshold double")
+    """The strategy and threshold that each type of the graph is merged by, and how many entities it has."""
+    known = spark.createDataFrame([(k, s, t) for k, (s, t) in M.STRATEGIES.items()], "type string, strategy string, threshold double")
+    kinds = _ent(spark, sf).groupBy(unprefixed(F.col("type")).alias("type")).agg(F.count("*").alias("n"))
+    return kinds.join(F.broadcast(known), "type", "left").select("type", F.coalesce("strategy", F.lit("moderate")).alias("strategy"), F.coalesce("threshold", F.lit(0.75)).alias("threshold"), "n")
 
 
 def provenance_attributes(spark, sf):
@@ -441,8 +452,8 @@ ORACLES = {
     "onto_invalid_entities": f"{_S}{ONTO_SQL} SELECT id, {_BARE} AS type FROM ent WHERE {_BARE} NOT IN (SELECT name FROM oe)",
     "onto_invalid_relations": f"{_S}{ONTO_SQL} SELECT source, target, {_BARE} AS type FROM rel WHERE {_BARE} NOT IN (SELECT name FROM orl)",
     "onto_missing_types": f"{_S}{ONTO_SQL} SELECT 'entity' AS kind, name FROM oe WHERE name NOT IN (SELECT {_BARE} FROM ent) UNION ALL SELECT 'relation', name FROM orl WHERE name NOT IN (SELECT {_BARE} FROM rel)",
-    "onto_constraints": f"{_S}{ONTO_SQL} SELECT name AS relation, (SELECT string_agg(type, '|' ORDER BY type) FROM od WHERE relation = name) AS domain, (SELECT string_agg(type, '|' ORDER BY type) FROM og WHERE relation = name) AS range FROM orl",
-    "onto_attributes": "SELECT * FROM (VALUES ('name', 'string'), ('segment', 'string')) AS t(attr, type)",
+    "onto_constraints": f"{_S}{ONTO_SQL}, u AS (SELECT {_BARE} AS relation, count(*) AS n FROM rel GROUP BY ALL) SELECT relation, coalesce((SELECT string_agg(type, '|' ORDER BY type) FROM od WHERE od.relation = u.relation), '') AS domain, coalesce((SELECT string_agg(type, '|' ORDER BY type) FROM og WHERE og.relation = u.relation), '') AS range, n FROM u",
+    "onto_attributes": f"{_S}{ONTO_SQL}{_ATT}, w AS (SELECT type, key AS attr, count(DISTINCT id) AS n FROM att GROUP BY ALL) SELECT oa.entity AS type, oa.attr, CASE WHEN oa.attr = 'metricValue' THEN 'float' ELSE 'string' END AS value_type, coalesce(n, 0) AS n FROM oa LEFT JOIN w ON w.type = oa.entity AND w.attr = oa.attr WHERE oa.entity IN (SELECT {_BARE} FROM ent)",
     "graph_basic_metrics": f"{_S}{_GR}{_BASIC} SELECT nodes, edges, round(edges / (nodes::DOUBLE * (nodes - 1)), 9) AS density, round(2.0::DOUBLE * edges / nodes, 6) AS avg_degree, round(iso / nodes, 6) AS isolated_ratio FROM bs",
     "graph_wcc": f"{_S}{_GR}{_WCC} SELECT id, min(other) AS component FROM reach GROUP BY id",
     "graph_node_types": f"{_S}{_GR} SELECT coalesce(type, 'unknown') AS type, count(*) AS n FROM vx GROUP BY ALL",
@@ -461,7 +472,7 @@ SELECT round(overall_compliance, 6) AS overall_compliance, round(quality, 6) AS
     "merge_exact_parts": f"{_PARTS} SELECT id, first_ord, n, 'kg:ProductOrService' AS type, name, kind, amount FROM mg",
     "merge_relations": f"{_S}, pk AS (SELECT 'p' || p_partkey AS id, p_partkey AS o, {_NORM} AS k FROM part), pm AS (SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY o) AS new_id FROM pk) SELECT DISTINCT source, coalesce(new_id, target) AS target, type FROM rel LEFT JOIN pm ON pm.id = target WHERE type = 'kg:offersProduct'",
     "merge_statistics": f"{_PARTS}, t AS (SELECT sum(n)::BIGINT AS total, count(*) AS kept FROM mg) SELECT 'productorservice' AS type, 'moderate' AS strategy, total, kept, total - kept AS merged, round(100.0::DOUBLE * (total - kept) / total, 1) AS rate FROM t",
-    "match_strategies": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', {t}::DOUBLE)" for k, (s, t) in M.STRATEGIES.items()) + ") AS t(type, strategy, threshold)",
+    "match_strategies": f"{_S}, k AS (SELECT lower({_BARE}) AS type, count(*) AS n FROM ent GROUP BY ALL) SELECT type, CASE type WHEN 'transactioncontext' THEN 'preserve' WHEN 'financialmetric' THEN 'strict' WHEN 'company' THEN 'liberal' WHEN 'location' THEN 'liberal' ELSE 'moderate' END AS strategy, CASE type WHEN 'transactioncontext' THEN 0.98 WHEN 'financialmetric' THEN 0.95 WHEN 'company' THEN 0.70 WHEN 'location' THEN 0.75 WHEN 'productorservice' THEN 0.80 ELSE 0.75 END::DOUBLE AS threshold, n FROM k",
     "provenance_attributes": f"{_PARTS}, l AS (SELECT k, page, ord, 'kind' AS key, kind AS value FROM pt UNION ALL SELECT k, page, ord, 'fiscalPeriod', fp FROM pt), d AS (SELECT k, key, value, page, min(ord) AS ord FROM l GROUP BY ALL) SELECT k AS entity, key, string_agg(value || '@' || page, ';' ORDER BY ord) AS value_list FROM d GROUP BY k, key",
     "provenance_relations": f"{_S}, d AS (SELECT source, target, type, doc, min(ord) AS ord FROM rel GROUP BY ALL) SELECT source, target, type, string_agg(doc, ',' ORDER BY ord) AS docs FROM d GROUP BY source, target, type",
     "metric_company_lookup": f"{_S} SELECT target AS metric_id, min_by(source, ord) AS company_id FROM rel WHERE type = 'kg:reportsMetric' AND source IN (SELECT id FROM ent WHERE type = 'kg:Company') GROUP BY target",

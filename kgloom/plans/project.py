@@ -157,9 +157,9 @@ def project_graph(merged: DataFrame, rels: DataFrame, rules: Rules | None = None
 
 
 def run(spark: SparkSession, pages: DataFrame, out: str, project: Project | None = None, page_limit: int = 5000, contents: DataFrame | None = None, images: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Everything for ``pages(doc, page, text)``: frames by name, and files below ``out``.
+    """Everything for ``pages(doc, page, text)``: frames by name, and files below ``out``; the graph of each document is a file below ``out/documents``.
 
-    Drawn pages are HTML files for people, made by the driver: above ``page_limit`` entities none is written, and ``page`` and ``comparison`` are
+    Drawn pages are HTML files for people, made by the driver: above ``page_limit`` entities, or ten times as many relations, none is written, and ``page`` and ``comparison`` are
     missing among the frames.  ``comparison``, of several documents only, colours nodes by document.
     """
     project = project or Project()
@@ -171,6 +171,7 @@ def run(spark: SparkSession, pages: DataFrame, out: str, project: Project | None
     ents.write.mode("overwrite").json(f"{out}/entities")
     links.write.mode("overwrite").json(f"{out}/relations")
     result = {"graphs": graphs, "documents": merged, "entities": ents, "relations": links}
+    files.write_document_graphs(merged, rels, f"{out}/documents")
     if project.ontology and ents.limit(1).count():
         onto = project.ontology.frames(spark)
         keys = ents.select("id", bare_type("type").alias("type"), F.explode(F.from_json("attrs_json", "map<string,string>")).alias("key", "value")).where(~F.col("key").startswith("_"))
@@ -183,7 +184,7 @@ def run(spark: SparkSession, pages: DataFrame, out: str, project: Project | None
         D.print_report(result["report"])
     if project.export:
         export_files(ents, links, files.url(f"{out}/export"), project)
-    if ents.count() <= page_limit:
+    if V.drawable(ents, links, page_limit):
         docs = F.from_json(F.get_json_object("attrs_json", "$._source_document_ids"), "array<string>")
         values = F.map_filter(F.from_json("attrs_json", "map<string,string>"), lambda k, v: ~k.startswith("_"))
         provenance = F.transform_values(values, lambda k, v: F.from_json(v, "array<struct<value:string,source_doc_id:string>>"))

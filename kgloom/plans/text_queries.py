@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from kgloom.functions import text as T
 from kgloom.operators import chunk as C
 from kgloom.operators import extract as X
-from kgloom.operators.ontology import parse_relation, parse_relations
+from kgloom.operators.ontology import parse_relations
 from kgloom.plans import star
-from kgloom.plans.ontology_demo import RAW
 from kgloom.sources.files import split_pages
 from kgloom.sources.tables import table
 
@@ -128,7 +127,7 @@ def type_strings(spark, sf_dir):
 
 def composite_ids(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", T.composite_id(F.col("page_id").cast("string"), F.substring("url", 1, 40)).alias("composite_id"), T.safe_filename(F.col("url")).alias("file_name"), T.shorten(F.col("url"), 30).alias("short"), F.base64(F.col("url").cast("binary")).alias("b64"))
+    return p.select("page_id", T.composite_id(F.col("page_id").cast("string"), F.col("url")).alias("composite_id"), T.safe_filename(F.col("url")).alias("file_name"), T.shorten(F.col("url"), 30).alias("short"), F.base64(F.col("url").cast("binary")).alias("b64"))
 
 
 def similarity_bounds(spark, sf_dir):
@@ -138,7 +137,12 @@ def similarity_bounds(spark, sf_dir):
 
 
 def ontology_relation_parse(spark, sf_dir):
-    lines = spark.createDataFrame([(r,) for r in RAW["relations"]], "line string")
+    """The lines that declare the relations that the graph has, by the types of their ends, and what is read back from them."""
+    kinds = star.entities(spark, sf_dir).select("id", "type")
+    rels = star.relations(spark, sf_dir).join(kinds.toDF("source", "s"), "source").join(kinds.toDF("target", "t"), "target")
+    ends = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")  # noqa: E731  a few types
+    arrow = F.when(F.length("type") % 2 == 0, " -> ").otherwise(" → ")
+    lines = rels.groupBy("type").agg(ends("s").alias("s"), ends("t").alias("t")).select(F.concat("type", F.lit(" ("), "s", arrow, "t", F.lit(")")).alias("line"))
     return parse_relations(lines)
 
 
@@ -158,7 +162,6 @@ _CUT = "CASE WHEN length(m) > 200 THEN substr(m, 1, 197) || '...' ELSE m END"
 _LINK = r"CASE WHEN contains(type, ':') THEN lower(regexp_replace(regexp_replace(split_part(type, ':', -1), '(.)([A-Z][a-z]+)', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')) ELSE 'unknown link type' END"
 _HEAD = "Choose the one category that fits this document best. Categories: report, contract. Answer with the category alone.\nTaken from: text\nTEXT:"
 _CATS = ["the", "und", "les", "ciónra"]
-_REL = [(n, s, t) for line in RAW["relations"] for n, (d, g) in [parse_relation(line)] for s, ts in (("domain", d), ("range", g)) for t in ts]
 
 ORACLES = {
     "text_normalize": f"SELECT doc_id, {_NORM.format('text')} AS normalized FROM documents",
@@ -210,12 +213,12 @@ SELECT count(*) AS total_chunks, round(avg(length(text)), 6) AS avg_chunk_size,
     "type_strings": rf"""{star.SQL}, t AS (SELECT type FROM ent UNION SELECT type FROM rel), s AS (SELECT type, split_part(type, ':', -1) AS b FROM t)
 SELECT type, {_LINK} AS link_type, CASE WHEN contains(type, ':') THEN lower(b[1] || regexp_replace(b[2:], '([A-Z])', '_\1', 'g')) ELSE 'unknown' END AS category, lower(b) AS unprefixed,
   CASE WHEN starts_with(type, 'kg:') THEN type[4:] ELSE type END AS bare FROM s""",
-    "composite_ids": r"""WITH u AS (SELECT page_id, url, regexp_replace(regexp_replace(substr(url, 1, 40), '\s+', '_', 'g'), '[^\p{L}\p{N}_-]', '', 'g') AS l FROM pages)
+    "composite_ids": r"""WITH u AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '\s+', '_', 'g'), '[^\p{L}\p{N}_-]', '', 'g') AS l FROM pages)
 SELECT page_id, page_id || '_' || CASE WHEN l = '' THEN 'nolabel' ELSE l END AS composite_id, regexp_replace(url, '[<>:"/\\|?*]', '_', 'g') AS file_name,
   CASE WHEN length(url) > 30 THEN substr(url, 1, 27) || '...' ELSE url END AS short, base64(encode(url)) AS b64 FROM u""",
     "similarity_bounds": """WITH n AS (SELECT DISTINCT p_name AS x FROM part), p AS (SELECT a.x AS a, b.x AS b FROM n a, n b WHERE a.x < b.x),
 c AS (SELECT DISTINCT x, unnest(string_split(x, '')) AS ch FROM n), k AS (SELECT x, ch, length(x) - length(replace(x, ch, '')) AS n FROM c),
 m AS (SELECT p.a, p.b, sum(least(q.n, r.n)) AS common FROM p JOIN k q ON q.x = p.a JOIN k r ON r.x = p.b AND r.ch = q.ch GROUP BY p.a, p.b)
 SELECT a, b, round(2.0::DOUBLE * least(length(a), length(b)) / (length(a) + length(b)), 6) AS length_bound, round(2.0::DOUBLE * coalesce(common, 0)::DOUBLE / (length(a) + length(b)), 6) AS multiset_bound FROM p LEFT JOIN m USING (a, b)""",
-    "ontology_relation_parse": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{s}', '{t}')" for n, s, t in _REL) + ") AS t(name, side, type)",
+    "ontology_relation_parse": f"{star.SQL}, r AS (SELECT split_part(rel.type, ':', -1) AS name, split_part(a.type, ':', -1) AS s, split_part(b.type, ':', -1) AS t FROM rel JOIN ent a ON a.id = source JOIN ent b ON b.id = target) SELECT DISTINCT name, 'domain' AS side, s AS type FROM r UNION SELECT DISTINCT name, 'range', t FROM r",
 }

@@ -166,6 +166,20 @@ def graph_documents(entities: DataFrame, relations: DataFrame, group: str, attri
     return both.select(group, text.alias("value"))
 
 
+def write_document_graphs(entities: DataFrame, relations: DataFrame, path: str) -> None:
+    """The graph of each document as JSON lines below a folder for it: ``entities(doc, ord, id, type, attrs_json)``, then ``relations(doc, ord, source, target, type)``.
+
+    A line holds one entity or relation, so a document of any size is written by as many tasks as hold its rows, and none gathers it.
+    """
+    ends = F.to_json(F.struct("id", "type"))
+    shut = F.regexp_replace("attrs_json", r"^\{\s*", "")
+    body = F.concat(F.substr(ends, F.lit(1), F.length(ends) - 1), F.when(shut == "}", F.lit("")).otherwise(F.lit(",")), shut)
+    lines = entities.select("doc", F.lit(0).alias("part"), "ord", F.concat(F.lit('{"entity":'), body, F.lit("}")).alias("value"))
+    rels = relations.select("doc", F.lit(1).alias("part"), "ord", F.concat(F.lit('{"relationship":'), F.to_json(F.struct("source", "target", "type")), F.lit("}")).alias("value"))
+    rows = lines.unionByName(rels).repartitionByRange("doc", "part", "ord").sortWithinPartitions("doc", "part", "ord")
+    rows.select("doc", "value").write.mode("overwrite").partitionBy("doc").text(path)
+
+
 def write_documents(rows: DataFrame, path: str, group: str) -> None:
     """One text file (or a few) below a folder for each group."""
     rows.select(group, "value").write.partitionBy(group).text(path)

@@ -151,6 +151,27 @@ def test_iterative_construction(spark):
         assert sorted((name[r.doc, r.source], name[r.doc, r.target]) for r in rels.collect()) == sorted([("Beta", "Alpha"), ("Gamma", "Alpha"), ("Alpha", "Alpha"), *((n, "Alpha") for _, n, *_ in pictured)])
 
 
+def test_dense_graphs_and_document_files(spark, tmp_path):
+    """A graph with too many relations to draw fails nothing, and each document's graph is written."""
+
+    class DenseClient:
+        def complete(self, prompt, temperature=0.1):
+            names = ["Alpha}", "Beta", "Gamma"]
+            ents = [{"id": f"{n}", "type": "kg:Company", "name": n, "n": [i]} for i, n in enumerate(names)]
+            return json.dumps({"entities": ents, "relationships": [{"source": a, "target": b, "type": f"kg:t{i}"} for a in names for b in names for i in range(4)]}) if "Extract" in prompt else None
+
+    register_client("dense", DenseClient)
+    pages = spark.createDataFrame([("d1", 1, "x"), ("d2", 1, "y")], "doc string, page int, text string")
+    got = run(spark, pages, str(tmp_path / "out"), Project(client="dense"), page_limit=3)
+    assert got["relations"].count() == 36 and "page" not in got and not (tmp_path / "out" / "page").exists()
+    for doc in ("d1", "d2"):
+        lines = [json.loads(x) for f in sorted((tmp_path / "out" / "documents" / f"doc={doc}").glob("*.txt")) for x in f.read_text().splitlines()]
+        assert sum("relationship" in x for x in lines) == 36
+        ents = [x["entity"] for x in lines if "entity" in x]
+        assert [(e["id"], e["name"], e["n"]) for e in ents] == [("e1", "Alpha}", [0]), ("e2", "Beta", [1]), ("e3", "Gamma", [2])]
+    assert "page" in run(spark, pages, str(tmp_path / "again"), Project(client="dense"), page_limit=4)
+
+
 def test_relations_to_later_pages_are_left_out(spark):
     """An end that its page doesn't have is an id of the pages up to it, in parallel construction as well."""
     rows = [("d", p, json.dumps({"entities": [{"id": f"i{p}", "type": "kg:Company", "name": "abc"[p - 1] * 9}], "relationships": [{"source": f"i{p}", "target": f"i{q}", "type": "t"} for q in (1, 2, 3)]})) for p in (1, 2, 3)]
@@ -229,7 +250,7 @@ def test_command_line(spark, tmp_path):
     main(["build", str(tmp_path / "in"), str(tmp_path / "out")])
     assert spark.read.json(f"{tmp_path}/out/entities").count() == 3
     main(["query", "onto_attributes", "/root/testdata/sf0.001", str(tmp_path / "q")])
-    assert spark.read.parquet(str(tmp_path / "q")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 9
     main(["export", str(tmp_path / "e")])
     assert sorted(n["label"] for n in json.loads((tmp_path / "e" / "project_rules_local_parallel_nodes.json").read_text())) == ["Acme", "Ann Lee"]
     with pytest.raises(SystemExit):
