@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgloom.llm.common import held_out, md5_fraction, small_batches
+from kgloom.llm.common import held_out, md5_fraction, small_batches, spare_name
 from kgloom.llm.textbytes import SLICE_BYTES, slices, utf8
 
 TABLE_BITS = 16
@@ -232,5 +232,5 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, text_col: s
             cols = [b.column(k) for k in range(width)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], [*names, *new])
 
-    asked = kept.select("*", F.col(text_col).cast("string").alias("_text"), letter.alias("_letter"))
+    asked = kept.select("*", F.col(text_col).cast("string").alias(spare_name(kept, "text")), letter.alias(spare_name(kept, "letter")))
     return asked.mapInArrow(predict, T.StructType(fields))

@@ -113,9 +113,9 @@ def label_model(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of class 1 for each row of the votes ``v`` (rows, voters; 0/1) of weight ``weight``, and each voter's voice.
 
-    The share of class 1 and each voter's rates of firing on both classes are estimated by EM on the votes alone; ``prior``,
+    The share of class 1 and each voter's rates of firing on both classes are estimated by EM on the votes and on what is ``told``; ``prior``,
     ``expected1`` and ``expected0`` are where it starts, and the rates also count as ``strength`` rows.  ``told`` are the log-odds that a row's label, a voter of
-known accuracy that most rows lack, adds.  A voter's voice is divided
+    known accuracy that most rows lack, adds.  A voter's voice is divided
     by the sum of its correlations, given the class, above 0.6.
     """
     weight = weight * (len(v) / weight.sum())
@@ -126,7 +126,7 @@ known accuracy that most rows lack, adds.  A voter's voice is divided
         odds = v @ (voice * (fires - rests)) + (voice * rests).sum() + np.log(share / (1 - share)) + told
         toxic = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         mass = float((weight * toxic).sum())
-        share = float(np.clip((mass + strength * prior) / (n + strength), 1e-4, 0.5))
+        share = float(np.clip((mass + strength * prior) / (n + strength), 1e-4, 1 - 1e-4))
         r1 = (v.T @ (weight * toxic) + strength * expected1) / (mass + strength)
         r0 = (v.T @ (weight * (1 - toxic)) + strength * expected0) / (n - mass + strength)
         if step in (0, 5, 15, 25):
@@ -227,7 +227,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAM
     labelled = np.where(truth == 1, real / max(1, (truth == 1).sum()), (1 - real) / max(1, (truth == 0).sum()))
     blank = np.isnan(truth)
     weight = np.where(blank, 1 / max(1, len(truth)), labelled * (~blank).sum() / max(1, len(truth)))
-    posterior, _ = label_model(v, weight, float(np.clip(real, 0.001, 0.5)), expected1, expected0, told=np.where(blank, 0, (2 * np.nan_to_num(truth) - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))))
+    posterior, _ = label_model(v, weight, float(np.clip(real, 0.001, 0.999)), expected1, expected0, told=np.where(blank, 0, (2 * np.nan_to_num(truth) - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))))
     w = _logistic(v, posterior, weight)
     return ToxicityModel(model.entries, w[:-1], float(w[-1]))
 

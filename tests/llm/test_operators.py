@@ -336,6 +336,15 @@ def test_label_model_learns_rates_and_copies():
     assert np.abs((v * got[:, None]).sum(axis=0)[:5] / got.sum() - r1).max() < 0.06
 
 
+def test_label_model_with_a_majority_of_class_1():
+    """Nothing holds the share of class 1 down."""
+    rng = np.random.default_rng(5)
+    truth = rng.random(4000) < 0.8
+    v = np.column_stack([np.where(truth, rng.random(4000) < 0.7, rng.random(4000) < 0.1) for _ in range(6)]).astype(float)
+    posterior, _ = label_model(v, np.ones(4000), 0.7, np.full(6, 0.6), np.full(6, 0.2))
+    assert abs(posterior.mean() - truth.mean()) < 0.03 and ((posterior > 0.5) == truth).mean() > 0.95
+
+
 def test_toxicity_learns_planted_words(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -384,6 +393,12 @@ def test_language_awkward(spark, awkward):
     assert {r.lang_pred for r in identify_languages(awkward, None).collect()} == {"und"}
 
 
+def test_language_keeps_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80).withColumns({"_text": F.lit(1), "_letter": F.lit("l"), "__text": F.lit(2)})
+    got = identify_languages(docs, fit_languages(docs))
+    assert got.columns == [*docs.columns, "lang_pred", "score", "languages"] and got.where("_text = 1 and _letter = 'l' and __text = 2 and lang_pred <> 'und'").count() > 60
+
+
 def test_language_with_little_text_draws_no_strangers(spark):
     """Grams that no language holds speak for none, however little text one of them was learned from."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
