@@ -87,18 +87,37 @@ def unexpected_merges(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.where(differences != "").select(F.col("label").alias("name"), F.col("kind").alias("type"), "original", "final", differences.alias("differences"))
 
 
+def _grams(x: Column, n: int) -> Column:
+    return F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def contained_names(short: DataFrame, long: DataFrame, block: str = "type") -> DataFrame:
+    """``(block, name, other)``: every pair of ``short(block, name)`` and ``long(block, other)`` where the name lies in the other, within words too.
+
+    Each name is listed under one of its runs of three characters, the one that the fewest others have (a shorter name under itself), so a word that most names share is no
+    one's list but its own; the others are looked up by all their runs, and what meets is verified.  The empty name lies in all.
+    """
+    short, long = short.select(block, "name").distinct(), long.select(block, "other").distinct()
+    other = F.col("other")
+    runs = long.select(block, "other", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), _grams(other, 1), _grams(other, 2), _grams(other, 3)))).alias("run"))
+    counts = runs.groupBy(block, "run").agg(F.count("*").alias("n"))
+    own = short.select(block, "name", F.explode(F.when(F.length("name") < 3, F.array("name")).otherwise(F.array_distinct(_grams(F.col("name"), 3)))).alias("run"))
+    picked = own.join(counts, [block, "run"]).groupBy(block, "name").agg(F.min_by("run", F.struct("n", "run")).alias("run"))
+    return picked.join(runs, [block, "run"]).where(other.contains(F.col("name"))).select(block, "name", "other")
+
+
 def lost_entities(before: DataFrame, after: DataFrame) -> DataFrame:
     """``(id, name, type, page, reason)`` of entities whose name and type are gone.
 
-    A name that holds another, or is held by it, gives the reason; names meet by their shared words, as containment
-    within words only is rare and would need all pairs.
+    A name that holds another, or is held by it, gives the reason (``contained_names``).
     """
     a = before.select("id", entity_name(before).alias("name"), entity_type().alias("type"), "page", "ord")
     b = after.select(entity_name(after).alias("name"), entity_type().alias("type")).distinct()
     gone = a.join(b, ["name", "type"], "left_anti")
-    words = lambda df, name: df.select("*", F.explode(F.array_distinct(F.split(name, " "))).alias("word"))
-    near = words(gone.select("name", "type").distinct(), "name").join(words(b.withColumnRenamed("name", "other"), "other"), ["type", "word"])
-    near = near.where(F.col("other").contains(F.col("name")) | F.col("name").contains(F.col("other"))).select("name", "type").distinct().withColumn("near", F.lit(True))
+    names = gone.select("name", "type").distinct()
+    held = contained_names(names, b.withColumnRenamed("name", "other")).select("name", "type")
+    holds = contained_names(b, names.withColumnRenamed("name", "other")).select(F.col("other").alias("name"), "type")
+    near = held.unionByName(holds).distinct().withColumn("near", F.lit(True))
     # The texts of reasons.
     reason = (
         F.when(F.col("near"), "Merged with similar name entity")
