@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.sources import sinks
+
 
 def discover(spark: SparkSession, path: str, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
     """``(doc, path, content)`` of files; contents are only read by plans that use them."""
@@ -104,30 +106,8 @@ def file_base(mode: str, model: str, provider: str, construction: str) -> str:
 
 
 def write_json_array(rows: DataFrame, path: str, order: list[str]) -> None:
-    """``rows`` in ``order`` as one JSON array in the file ``path``.  The format is one file, so one task writes it, a batch at a time."""
-    bodies = rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns)).alias("body")).coalesce(1)
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs as pafs
-
-        fs, target = pafs.FileSystem.from_uri(path)
-        fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-        n = 0
-        with fs.open_output_stream(target) as out:
-            for b in batches:
-                for body in b.column(0).to_pylist():
-                    out.write((",\n" if n else "[\n").encode() + body.encode())
-                    n += 1
-            out.write(b"\n]\n" if n else b"[]\n")
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    if not bodies.mapInArrow(put, "n long").collect():  # no rows may mean no task
-        import pyarrow.fs as pafs
-
-        fs, target = pafs.FileSystem.from_uri(path)
-        fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-        with fs.open_output_stream(target) as out:
-            out.write(b"[]\n")
+    """``rows`` in ``order`` as one JSON array in the file ``path``.  The format is one file, so one task writes it, a row at a time."""
+    sinks.write_json_array(rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns)).alias("body")), path)
 
 
 def split_pages(docs: DataFrame, doc: str, text: str, separator: str = "\n") -> DataFrame:
@@ -190,20 +170,4 @@ def url(path: str) -> str:
     return path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """``(folder, name, body)`` to files of those names, by tasks and through any file system that Arrow knows."""
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs as pafs
-
-        fs, root = pafs.FileSystem.from_uri(path)
-        n = 0
-        for b in batches:
-            for folder, name, body in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                fs.create_dir(f"{root}/{folder}", recursive=True)
-                with fs.open_output_stream(f"{root}/{folder}/{name}") as out:
-                    out.write(body.encode() if isinstance(body, str) else body)
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    records.select("folder", "name", "body").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+write_records = sinks.write_records
