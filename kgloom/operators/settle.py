@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from kgloom.functions.text import NAME_FIELD, ratio
 from kgloom.operators.components import connected_components
 from kgloom.operators.graph import ordered_index
-from kgloom.operators.match import Rules, entity_names, matches
+from kgloom.operators.match import Rules, entity_names, matches, plain
 from kgloom.operators.merge import merged_value
 from kgloom.operators.overlap import similar_pairs
 from kgloom.sources.scratch import materialize
@@ -274,21 +274,30 @@ def _round(sigs: DataFrame, ahead: DataFrame, pairs: DataFrame, state: DataFrame
     return left.groupBy("component").cogroup(right.groupBy("component")).applyInPandas(run, "component long, sid long, start long, founder long, state string, position long")
 
 
-def settled(rows: DataFrame, rules: Rules, documents: bool = False, look_ahead: int = LOOK_AHEAD) -> DataFrame:
-    """``rows`` (of ``_signed``) with the founding row of the entity that each is merged into, as ``founder``."""
+def settled(rows: DataFrame, rules: Rules, documents: bool = False, look_ahead: int = LOOK_AHEAD, base: DataFrame | None = None) -> DataFrame:
+    """``rows`` (of ``_signed``) with the founding row of the entity that each is merged into, as ``founder``.
+
+    ``base(sid, grp, kind, sig, names)``: entities that are there already, what their rules read as JSON, numbered before all rows.
+    """
     if not rules.same_type:
         raise ValueError("entities of different types meet: use folded")
     bare = rows.where(F.size("names") == 0).withColumn("founder", F.col("pos"))  # without a name nothing matches
     rows = rows.where(F.size("names") > 0)
     sigs = rows.groupBy("grp", "kind", "sig").agg(F.min("pos").alias("sid"), F.first("names").alias("names"))
     sigs = materialize(sigs, "signatures")
-    links, pairs = linked_signatures(sigs, rules)
+    known = sigs if base is None else sigs.unionByName(base.where(F.size("names") > 0).select(*sigs.columns))
+    links, pairs = linked_signatures(known, rules)
     parts = connected_components(links)
     rows = materialize(rows.join(sigs.select("grp", "kind", "sig", "sid"), ["grp", "kind", "sig"]), "rows")
     open_ = materialize(sigs.select("sid", "sig").join(parts.withColumnRenamed("node", "sid"), "sid"), "open")
     pairs = materialize(pairs.join(parts.withColumnRenamed("node", "least"), "least").select("component", "a", "b"), "pairs")
     spark = rows.sparkSession
     state = spark.createDataFrame([], "component long, state string, position long")
+    if base is not None:
+        there = base.select("sid", "sig").join(parts.withColumnRenamed("node", "sid"), "sid").join(open_.select("component").distinct(), "component", "left_semi")
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("sid", "sig"))), lambda x: F.concat(F.lit("["), x["sid"].cast("string"), F.lit(","), x["sig"], F.lit("]")))
+        state = there.groupBy("component").agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("state"), F.max("sid").alias("position"))
+        state = materialize(state, "state")
     decided = None
     narrow = rows.select("sid", "pos")
     while True:
@@ -310,6 +319,10 @@ def settled(rows: DataFrame, rules: Rules, documents: bool = False, look_ahead:
     return alone.unionByName(among).drop("sid").unionByName(bare)
 
 
+#: Places of values within one row.
+STEP = 1 << 20
+
+
 def _values(documents: bool):
     """``(founder, key, value, pos, at)`` of rows: each attribute as JSON; ``type`` and the row's own document come under keys that no attribute has."""
 
@@ -318,6 +331,7 @@ def _values(documents: bool):
             out = []
             for founder, pos, at, kind, attrs in f[["founder", "pos", "at", "type", "attrs_json"]].itertuples(index=False):
                 own = {k: v for k, v in json.loads(attrs or "{}").items() if k not in ("id", "type") and not (documents and k == "_source_document_ids")}
+                founder, pos = founder * STEP, pos * STEP
                 out += [(founder, k, json.dumps(v, ensure_ascii=False, sort_keys=True), pos, at if documents else None) for k, v in own.items()]
                 out.append((founder, "\0type", json.dumps(kind, ensure_ascii=False), pos, None))
                 out.append((founder, "\0at", json.dumps(at, ensure_ascii=False), pos, None))
@@ -368,6 +382,85 @@ def _objects(documents: bool):
     return build
 
 
+def _stored_values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same of entities with provenance: a value for each item of their lists; values without provenance get the entity's only document, or ``aggregated``."""
+    for f in frames:
+        out = []
+        for founder, kind, attrs in f[["founder", "type", "attrs_json"]].itertuples(index=False):
+            body = json.loads(attrs or "{}")
+            docs = body.pop("_source_document_ids", None) or []
+            sole, pos = docs[0] if len(docs) == 1 else "aggregated", founder * STEP
+            for key, value in body.items():
+                listed = isinstance(value, list) and all(isinstance(x, dict) and "value" in x for x in value)
+                for i, x in enumerate(value if listed else [{"value": value}]):
+                    out.append((pos, key, json.dumps(x["value"], ensure_ascii=False, sort_keys=True), pos + i, x.get("source_doc_id", sole)))
+            out.append((pos, "\0type", json.dumps(kind, ensure_ascii=False), pos, None))
+            out += [(pos, "\0at", json.dumps(d, ensure_ascii=False), pos + i, None) for i, d in enumerate(docs)]
+        yield pd.DataFrame(out, columns=["founder", "key", "value", "pos", "at"])
+
+
+def _stored_signatures(rules: Rules):
+    """What rules read of entities with provenance: of each attribute its first value."""
+
+    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for sid, grp, kind, type_, attrs in f[["sid", "grp", "kind", "type", "attrs_json"]].itertuples(index=False):
+                body = json.loads(attrs or "{}") | {"type": type_}
+                _, names = signature(body, rules)
+                read = {k: [{"value": plain(body[k])}] for k in read_by(rules, kind) if k in body}
+                out.append((sid, grp, kind, json.dumps(read | {"type": type_}, ensure_ascii=False, sort_keys=True), names))
+            yield pd.DataFrame(out, columns=["sid", "grp", "kind", "sig", "names"])
+
+    return sign
+
+
+def merged_into(base: DataFrame, entities: DataFrame, group: str, rules: Rules, at: str, order: tuple[str, ...] = ("ord",), look_ahead: int = LOOK_AHEAD) -> tuple[DataFrame, DataFrame]:
+    """New documents merged into a graph with provenance: what ``merged_across`` gives for all at once, the base's documents first.
+
+    ``base(group, ord, id, type, n, attrs_json)`` is such a graph, with ids e1, e2, ... in its order; entities keep their ids and new ones go on from there.  Of the base only the types that the new
+    entities have take part in the matching, and only entities that a new one joins are made anew (``touched`` is true); all others pass as they are.  Returns
+    ``(group, ord, id, type, n, attrs_json, touched)`` and ``(group, at, old_id, id)`` of the new rows.  Values of the base without provenance get its entity's only document, or ``aggregated``.
+    """
+    kind = F.lower(F.substring_index("type", ":", -1))
+    old = ordered_index(base.select(F.col(group).cast("string").alias("grp"), F.col("ord").alias("_o"), "id", "type", "n", "attrs_json", kind.alias("kind")), ["grp", "_o"], "sid")
+    old = materialize(old, "base")
+    shift = old.count()
+    rows = entities.where("type <> ''").select(F.col(group).cast("string").alias("grp"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(at).cast("string").alias("at"), F.col("id").cast("string").alias("id"), "type", "attrs_json", kind.alias("kind"))
+    numbered = ordered_index(rows, ["grp", *(f"_o{i}" for i in range(len(order)))], "pos").withColumn("pos", F.col("pos") + shift)
+    signed = materialize(_signed(numbered, rules), "signed")
+    used = old.join(signed.select("grp", "kind").distinct(), ["grp", "kind"], "left_semi")
+    known = materialize(used.mapInPandas(_stored_signatures(rules), "sid long, grp string, kind string, sig string, names array<string>"), "known")
+    rows = materialize(settled(signed, rules, True, look_ahead, known), "founders")
+    joined = rows.groupBy("founder").agg(F.count("*").alias("more"), F.min("grp").alias("grp"))
+    touched = materialize(old.join(joined.select(F.col("founder").alias("sid"), "more"), "sid"), "touched")
+    values = rows.select("founder", "pos", "at", "type", "attrs_json").mapInPandas(_values(True), _VALUE)
+    values = values.unionByName(touched.select(F.col("sid").alias("founder"), "type", "attrs_json").mapInPandas(_stored_values, _VALUE))
+    bodies = _bodies(values, True)
+    again = touched.join(bodies.withColumnsRenamed({"founder": "sid", "type": "t", "attrs_json": "a"}), "sid").select("grp", F.col("_o").alias("ord"), "id", F.col("t").alias("type"), (F.col("n") + F.col("more")).alias("n"), F.col("a").alias("attrs_json"), F.lit(True).alias("touched"))
+    same = old.join(touched.select("sid"), "sid", "left_anti").select("grp", F.col("_o").alias("ord"), "id", "type", "n", "attrs_json", F.lit(False).alias("touched"))
+    fresh = ordered_index(joined.where(F.col("founder") > shift).join(bodies, "founder"), ["grp", "founder"], "_i")
+    first = fresh.groupBy("grp").agg((F.min("_i") - 1).alias("_before")).join(old.groupBy("grp").agg(F.count("*").alias("_base")), "grp", "left")
+    fresh = fresh.join(first, "grp").withColumn("ord", F.col("_i") - F.col("_before") - 1 + F.coalesce("_base", F.lit(0)))
+    fresh = materialize(fresh.select("grp", "ord", F.concat(F.lit("e"), (F.col("ord") + 1).cast("string")).alias("id"), "type", F.col("more").alias("n"), "attrs_json", "founder"), "fresh")
+    ids = fresh.select("founder", F.col("id").alias("new_id")).unionByName(touched.select(F.col("sid").alias("founder"), F.col("id").alias("new_id")))
+    went = rows.groupBy("grp", "at", F.col("id").alias("old_id")).agg(F.max_by("founder", "pos").alias("founder")).join(ids, "founder")
+    kept = again.unionByName(same).unionByName(fresh.drop("founder").withColumn("touched", F.lit(True)))
+    return kept.withColumnRenamed("grp", group), went.select(F.col("grp").alias(group), "at", "old_id", F.col("new_id").alias("id"))
+
+
+_VALUE = "founder long, key string, value string, pos long, at string"
+
+
+def _bodies(values: DataFrame, documents: bool) -> DataFrame:
+    """``(founder, type, attrs_json)`` of all values: distinct ones first, then one value for each attribute, then the entity."""
+    distinct = values.groupBy("founder", "key", "value", "at").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    found = distinct.groupBy("founder", "key").agg(F.collect_list(F.struct("first", "last", "value", "at")).alias("found"))
+    merged = found.mapInPandas(_merge_values(documents), "founder long, key string, value string")
+    parts = merged.groupBy("founder").agg(F.collect_list(F.struct("key", "value")).alias("parts"))
+    return parts.mapInPandas(_objects(documents), "founder long, type string, attrs_json string").withColumn("founder", F.expr(f"founder div {STEP}"))
+
+
 def merged_across(entities: DataFrame, group: str, rules: Rules, at: str, order: tuple[str, ...] = ("ord",), documents: bool = False, look_ahead: int = LOOK_AHEAD) -> tuple[DataFrame, DataFrame]:
     """What ``folded`` gives with ``renumber``, for groups of any size: merged entities and where each id went.
 
@@ -379,12 +472,7 @@ def merged_across(entities: DataFrame, group: str, rules: Rules, at: str, order:
     rows = entities.where("type <> ''").select(F.col(group).cast("string").alias("grp"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(at).cast("string").alias("at"), F.col("id").cast("string").alias("id"), "type", "attrs_json", kind.alias("kind"))
     numbered = ordered_index(rows, ["grp", *(f"_o{i}" for i in range(len(order)))], "pos")
     rows = materialize(settled(materialize(_signed(numbered, rules), "signed"), rules, documents, look_ahead), "founders")
-    values = rows.select("founder", "pos", "at", "type", "attrs_json").mapInPandas(_values(documents), "founder long, key string, value string, pos long, at string")
-    distinct = values.groupBy("founder", "key", "value", "at").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    found = distinct.groupBy("founder", "key").agg(F.collect_list(F.struct("first", "last", "value", "at")).alias("found"))
-    merged = found.mapInPandas(_merge_values(documents), "founder long, key string, value string")
-    parts = merged.groupBy("founder").agg(F.collect_list(F.struct("key", "value")).alias("parts"))
-    bodies = parts.mapInPandas(_objects(documents), "founder long, type string, attrs_json string")
+    bodies = _bodies(rows.select("founder", "pos", "at", "type", "attrs_json").mapInPandas(_values(documents), _VALUE), documents)
     heads = rows.groupBy("founder").agg(F.count("*").alias("n"), F.min("grp").alias(group), F.min_by("at", "pos").alias("first_at"))
     kept = ordered_index(heads.join(bodies, "founder"), [group, "founder"], "_i")
     before = kept.groupBy(group).agg((F.min("_i") - 1).alias("_before"))
