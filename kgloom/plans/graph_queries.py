@@ -16,7 +16,7 @@ from kgloom.operators import merge as ME
 from kgloom.operators import ontology as O
 from kgloom.operators import viz as V
 from kgloom.operators.overlap import similar_pairs
-from kgloom.operators.settle import merged_across
+from kgloom.operators.settle import merged_across, merged_into
 from kgloom.plans import star
 from kgloom.plans.ontology_demo import ONTOLOGY
 from kgloom.plans.ontology_demo import SQL as ONTO_SQL
@@ -229,6 +229,14 @@ def merge_star_project(spark, sf):
     return kept.select("ord", "id", "type", "n", "attrs_json")
 
 
+def merge_sales_later(spark, sf):
+    """The star graph's other documents as a stored project graph, into which its sales are merged later: merged entities, and whether the sales touched them."""
+    rows = _ent(spark, sf).select(F.lit("star").alias("project"), "ord", "doc", "id", "type", F.to_json(F.struct(*ATTRS)).alias("attrs_json"))
+    base, _ = merged_across(rows.where("doc <> 'sales'"), "project", M.project_rules(), "doc", documents=True)
+    kept, _ = merged_into(base, rows.where("doc = 'sales'"), "project", M.project_rules(), "doc")
+    return kept.select("ord", "id", "type", "n", "attrs_json", "touched")
+
+
 def _json_parts(spark, sf) -> DataFrame:
     p = table(spark, sf, "part")
     body = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_size").alias("amount")))
@@ -396,7 +404,7 @@ QUERIES = {
         kg_clean, kg_renumber, kg_renumber_entities, kg_type_distribution, unique_ids, onto_invalid_entities, onto_invalid_relations, onto_missing_types, onto_constraints, onto_attributes,
         graph_basic_metrics, graph_wcc, graph_diameter, graph_node_types, relation_distribution, compliance, domain_range_violations, attribute_completeness, company_metrics,
         entity_coverage, overall_score, merge_exact_parts, merge_relations, merge_statistics, match_strategies, provenance_attributes, provenance_relations, metric_company_lookup,
-        match_person_tokens, fuzzy_match_first, similar_names, merge_star_project, merge_fuzzy_fold, merge_strategy_fold, merge_project_fold, stream_fold, iterative_construction, diag_summary, diag_by_type, diag_patterns, diag_unexpected, diag_lost,
+        match_person_tokens, fuzzy_match_first, similar_names, merge_star_project, merge_sales_later, merge_fuzzy_fold, merge_strategy_fold, merge_project_fold, stream_fold, iterative_construction, diag_summary, diag_by_type, diag_patterns, diag_unexpected, diag_lost,
         diag_recommendations, diag_key_details, export_nodes, export_links, export_meta, export_files, vis_nodes, vis_edges, vis_comparison, two_hop, property_filter, select_nodes,
         extract_graphs, classify_cascade, graph_json, diag_report,
     )

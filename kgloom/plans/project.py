@@ -17,7 +17,7 @@ from kgloom.operators import merge as ME
 from kgloom.operators import viz as V
 from kgloom.operators.match import Rules, page_rules, project_rules, strategy_rules
 from kgloom.operators.ontology import Ontology, bare_type
-from kgloom.operators.settle import merged_across
+from kgloom.operators.settle import merged_across, merged_into
 from kgloom.sources import files
 from kgloom.sources.scratch import materialize
 
@@ -136,14 +136,21 @@ def document_graphs(graphs: DataFrame, project: Project) -> tuple[DataFrame, Dat
     return rows.where("old_id is null").select("doc", "ord", "id", "type", "n", "attrs_json"), G.first_by(rels, ["doc", "source", "target", "type"])
 
 
-def project_graph(merged: DataFrame, rels: DataFrame, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
+def project_graph(merged: DataFrame, rels: DataFrame, rules: Rules | None = None, base: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """One graph with provenance from all documents, in the order of their names: entities and relations, cleaned and renumbered.
 
+    ``base``: a project graph that this function has returned before, into which the documents are merged; its entities keep their ids.
+
     Where types must match, as they do by default, the merge is settled across tasks (``merged_across``), so no task holds a type.  Where they need not, it is one ordered fold in a task.
     """
     rules = rules or project_rules()
     rows = merged.withColumn("project", F.lit("project"))
-    if rules.same_type:
+    if base is not None and not rules.same_type:
+        raise ValueError("a stored graph takes new documents where types must match")
+    if base is not None:
+        kept, went = merged_into(base[0], rows, "project", rules, "doc", order=("doc", "ord"))
+        kept, ids = kept.select("project", "ord", "id", "type", "n", "attrs_json"), went.select(F.col("at").alias("doc"), "old_id", F.col("id").alias("new_id"))
+    elif rules.same_type:
         kept, went = merged_across(rows, "project", rules, "doc", order=("doc", "ord"), documents=True)
         kept, ids = kept.select("project", "ord", "id", "type", "n", "attrs_json"), went.select(F.col("at").alias("doc"), "old_id", F.col("id").alias("new_id"))
     else:
@@ -153,21 +160,24 @@ def project_graph(merged: DataFrame, rels: DataFrame, rules: Rules | None = None
     for end in ("source", "target"):
         rels = rels.join(ids.withColumnsRenamed({"old_id": end, "new_id": f"new_{end}"}), ["doc", end])
     moved = rels.select(F.col("new_source").alias("source"), F.col("new_target").alias("target"), "type", "doc", F.struct("doc", "ord").alias("ord"))
+    if base is not None:  # the base's documents come first
+        before = base[1].select("source", "target", "type", F.posexplode("docs").alias("ord", "doc"))
+        moved = before.select("source", "target", "type", "doc", F.struct(F.lit("").alias("doc"), F.col("ord").cast("long").alias("ord")).alias("ord")).unionByName(moved)
     return kept, ME.relation_documents(moved)
 
 
-def run(spark: SparkSession, pages: DataFrame, out: str, project: Project | None = None, page_limit: int = 5000, contents: DataFrame | None = None, images: DataFrame | None = None) -> dict[str, DataFrame]:
+def run(spark: SparkSession, pages: DataFrame, out: str, project: Project | None = None, page_limit: int = 5000, contents: DataFrame | None = None, images: DataFrame | None = None, base: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Everything for ``pages(doc, page, text)``: frames by name, and files below ``out``; the graph of each document is a file below ``out/documents``.
 
     Drawn pages are HTML files for people, made by the driver: above ``page_limit`` entities, or ten times as many relations, none is written, and ``page`` and ``comparison`` are
-    missing among the frames.  ``comparison``, of several documents only, colours nodes by document.
+    missing among the frames.  ``base``: entities and relations of a project graph, as read from its files, which the documents are added to; ``out`` is another folder.  ``comparison``, of several documents only, colours nodes by document.
     """
     project = project or Project()
     graphs = page_graphs(pages, project, contents, images)
     if project.dumps:
         files.dump_graphs(graphs, f"{out}/units", "chunk" if project.units == "chunks" else "page")
     merged, rels = document_graphs(graphs, project)
-    ents, links = project_graph(merged, rels)
+    ents, links = project_graph(merged, rels, base=base)
     ents.write.mode("overwrite").json(f"{out}/entities")
     links.write.mode("overwrite").json(f"{out}/relations")
     result = {"graphs": graphs, "documents": merged, "entities": ents, "relations": links}

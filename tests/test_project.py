@@ -73,6 +73,19 @@ def test_project_graph_against_one_fold(spark):
     assert got == want and len(want) > 4
 
 
+def test_documents_added_to_a_stored_project(spark, tmp_path):
+    """Documents added later give what all at once gives: entities, values, and relations with their documents."""
+    pages = [(f"d{i}", 1, t) for i, t in enumerate(["Acme buys Zeta.", "Zeta pays Omega.", "Acme sells Zeta.", "Omega buys Alpha."])]
+    frame = lambda rows: spark.createDataFrame(rows, "doc string, page int, text string")
+    whole = run(spark, frame(pages), str(tmp_path / "all"))
+    first = run(spark, frame(pages[:2]), str(tmp_path / "first"))
+    schema = {k: first[k].schema for k in ("entities", "relations")}
+    base = tuple(spark.read.schema(schema[k]).json(f"{tmp_path}/first/{k}") for k in ("entities", "relations"))
+    got = run(spark, frame(pages[2:]), str(tmp_path / "more"), base=base)
+    for k in ("entities", "relations"):
+        assert sorted(map(str, got[k].collect())) == sorted(map(str, whole[k].select(*got[k].columns).collect())) and got[k].count() >= 3
+
+
 def test_rules_are_checked():
     with pytest.raises(ValueError, match="threshold or strategy"):
         Project(rules="no").page_rules()
