@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import length_bound, multiset_bound, numbered, runs_bound
+from kgloom.sources.scratch import materialize
 
 #: Numbered characters with a rank by their frequency; all others count as rarer.
 RANKED = 256
@@ -75,8 +76,9 @@ def similar_pairs(new: DataFrame, old: DataFrame, threshold: float | Column, blo
     right = listed(b, "b", least, ranks).withColumnRenamed("_len", "_lb")
     near = 2.0 * F.least("_la", "_lb") >= (least - _EPS) * (F.col("_la") + F.col("_lb"))
     met = left.join(right, [*block, "_key"]).where(near).select(*block, "a", "b").distinct()
-    # Pairs are few bytes and much work, so they keep their partitions.
-    met = met.repartition(int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    # Pairs are few bytes and much work, so they keep their partitions; and they are written, as the optimizer would move the bounds below ``distinct``, into the join, to be
+    # computed once for each list that a pair is in.
+    met = materialize(met.repartition(int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b"), "met")
     a, b = F.col("a"), F.col("b")
     bounds = [length_bound(a, b), multiset_bound(a, b), runs_bound(a, b)]
     return met.where((F.lower(a) == F.lower(b)) | ((bounds[0] >= least - _EPS) & (bounds[1] >= least - _EPS) & (bounds[2] >= least - _EPS)))
