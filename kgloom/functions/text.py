@@ -107,6 +107,11 @@ def safe_filename(x: Column) -> Column:
     return F.regexp_replace(x, '[<>:"/\\\\|?*]', "_")
 
 
+def base64_line(x: Column) -> Column:
+    """A text's UTF-8 as base64 without line breaks, which Spark puts after every 76 characters."""
+    return F.translate(F.base64(x.cast("binary")), "\r\n", "")
+
+
 def sentences(x: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(x, F.lit("[^.!?]+[.!?]*"), F.lit(0)), strip), lambda s: F.length(s) > 0)
 

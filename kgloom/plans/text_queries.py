@@ -127,7 +127,7 @@ def type_strings(spark, sf_dir):
 
 def composite_ids(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", T.composite_id(F.col("page_id").cast("string"), F.col("url")).alias("composite_id"), T.safe_filename(F.col("url")).alias("file_name"), T.shorten(F.col("url"), 30).alias("short"), F.base64(F.col("url").cast("binary")).alias("b64"))
+    return p.select("page_id", T.composite_id(F.col("page_id").cast("string"), F.col("url")).alias("composite_id"), T.safe_filename(F.col("url")).alias("file_name"), T.shorten(F.col("url"), 30).alias("short"), T.base64_line(F.col("url")).alias("b64"))
 
 
 def similarity_bounds(spark, sf_dir):

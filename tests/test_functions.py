@@ -53,6 +53,14 @@ def test_composite_id(spark, i, label, out):
     assert one(spark, T.composite_id(F.col("i"), F.col("label")), i=i, label=label) == out
 
 
+def test_base64_has_no_line_breaks(spark):
+    import base64
+
+    texts = ["", "a", "é" * 28, "x" * 57, "y" * 58, "https://example.org/" + "z" * 300]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.base64_line(F.col("t")).alias("b")).collect()
+    assert {r.t: r.b for r in rows} == {t: base64.b64encode(t.encode()).decode() for t in texts}
+
+
 def test_summary(spark):
     for text, out in (("", ""), ("One.", "One."), ("One. Two.", "One. Two."), ("One. Two. Three.", "One. ... Three.")):
         assert one(spark, T.summary(T.sentences(F.col("x"))), x=text) == out
