@@ -3,8 +3,9 @@
 The index is fitted on a bounded sample: coarse centroids, and a codebook of residuals for each group of
 components.  Every vector is then put into the list of its nearest centroid with the codes of its residual.
 A query goes to its nearest lists; in each cell (a part of a list) it makes its table of
-asymmetric distances, sums table entries by code, and the cell's best by that estimate are reranked by their exact
-distances on the original vectors.
+asymmetric distances and sums table entries by code.  An estimate is off by no more than the length of the row's coding error, which is
+stored with it, so the rows that could be among the cell's nearest are known and reranked by their exact distances on the original vectors: a visited cell loses none,
+however alike its rows.  How many lists a query visits is measured on a bounded number of the queries themselves against every row.
 """
 
 from __future__ import annotations
@@ -29,21 +30,26 @@ PART = 4
 CELL_ROWS = 2048
 QUERY_ROWS = 16_384
 RERANK = 64
+#: Queries whose true neighbours are looked up among all rows, to set the number of lists to visit.
+TRIED = 512
 
 
 @dataclass
 class PQIndex:
     centroids: np.ndarray  # (lists, dim)
     books: np.ndarray  # (parts, codes, PART)
-    probes: int = 1
+    center: np.ndarray  # (dim,): vectors far from the origin would lose their differences in squares
 
     def nearest_lists(self, v: np.ndarray, n: int) -> np.ndarray:
-        d = (self.centroids**2).sum(axis=1) - 2 * v @ self.centroids.T
+        c = self.centroids - self.center
+        d = (c**2).sum(axis=1) - 2 * (v - self.center) @ c.T
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
-    def encode(self, residuals: np.ndarray) -> np.ndarray:
+    def encode(self, residuals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of residuals, and the length of what the codes leave out."""
         cut = _parts(residuals)
-        return np.stack([((b**2).sum(axis=1) - 2 * cut[:, i] @ b.T).argmin(axis=1) for i, b in enumerate(self.books)], axis=1).astype(np.uint8)
+        codes = np.stack([((b**2).sum(axis=1) - 2 * cut[:, i] @ b.T).argmin(axis=1) for i, b in enumerate(self.books)], axis=1).astype(np.uint8)
+        return codes, np.sqrt(((cut - self.books[np.arange(len(self.books)), codes]) ** 2).sum(axis=(1, 2)))
 
     def estimates(self, residual: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Squared distances of one query's residual to coded residuals, by its table."""
@@ -75,41 +81,66 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     return c
 
 
-def probes_for(index: PQIndex, sample: np.ndarray, recall: float, k: int = 10, queries: int = 256) -> int:
-    """The fewest lists that hold ``recall`` of the true k neighbours, within the sample, of some of its rows.
-
-    More rows than the sample's bring neighbours nearer, so the whole table's recall is no lower as a rule.
-    """
-    step = max(1, len(sample) // queries)
-    asked = sample[::step]
-    lists = index.nearest_lists(sample, 1)[:, 0]
-    order = index.nearest_lists(asked, len(index.centroids))
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(order.shape[1])[None], axis=1)
-    d = (sample**2).sum(axis=1) - 2 * asked @ sample.T
-    d[np.arange(len(asked)), np.arange(len(asked)) * step] = np.inf
-    k = min(k, len(sample) - 1)
-    if k < 1:
-        return len(index.centroids)
-    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    need = np.sort(np.take_along_axis(place, lists[near], axis=1).reshape(-1)) + 1
-    return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)])
-
-
-def fit_index(sample: np.ndarray, rows: int, recall: float = 0.95, seed: int = 5) -> PQIndex:
-    """Centroids, about the root of the number of ``rows`` to index, residual codebooks, and the lists to visit."""
+def fit_index(sample: np.ndarray, rows: int, seed: int = 5) -> PQIndex:
+    """Centroids, about the root of the number of ``rows`` to index, and residual codebooks."""
     rng = np.random.default_rng(seed)
-    centroids = kmeans(sample, max(1, min(MAX_LISTS, int(rows**0.5), len(sample))), rng)
-    lists = ((centroids**2).sum(axis=1) - 2 * sample @ centroids.T).argmin(axis=1)
+    center = sample.mean(axis=0)
+    centroids = center + kmeans(sample - center, max(1, min(MAX_LISTS, int(rows**0.5), len(sample))), rng)
+    lists = PQIndex(centroids, np.empty(0), center).nearest_lists(sample, 1)[:, 0]
     cut = _parts(sample - centroids[lists])
     books = [kmeans(cut[:, i], CODES, rng, rounds=8) for i in range(cut.shape[1])]
-    index = PQIndex(centroids, np.stack([np.pad(b, ((0, CODES - len(b)), (0, 0)), mode="edge") for b in books]))
-    index.probes = probes_for(index, sample, recall)
-    return index
+    return PQIndex(centroids, np.stack([np.pad(b, ((0, CODES - len(b)), (0, 0)), mode="edge") for b in books]), center)
+
+
+def nearest_in(residuals: np.ndarray, squares: np.ndarray, x: np.ndarray, rough: np.ndarray, errors: np.ndarray, k: int) -> np.ndarray:
+    """Places, in order, of rows that hold the ``k`` nearest of ``x``: those whose least distance is no more than the k-th most one."""
+    if len(rough) <= k:
+        return np.arange(len(rough))
+    slack = 1e-9 * (rough + np.abs(x).max(initial=0.0))  # for rounding; what isn't a number stays
+    pick = np.flatnonzero(~(rough - errors - slack > np.partition(rough + errors + slack, k - 1)[k - 1]))
+    if len(pick) > RERANK:
+        own = (x**2).sum()
+        d = squares[pick] - 2 * (residuals[pick] if len(pick) < len(rough) else residuals) @ x + own
+        off = 1e-12 * (squares[pick] + own)
+        pick = pick[~(d - off > np.partition(d + off, k - 1)[k - 1])]
+    return pick
+
+
+def probes_for(index: PQIndex, tried: np.ndarray, ids: np.ndarray, stored: DataFrame, recall: float, k: int) -> int:
+    """The fewest lists that hold ``recall`` of the true ``k`` neighbours, among all ``stored`` rows, of the queries ``tried``."""
+    shared = stored.sparkSession.sparkContext.broadcast((tried - index.center, ids, index.center))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, own, center = shared.value
+        best = [np.empty((len(asked), 0)), np.empty((len(asked), 0), np.int64), np.empty((len(asked), 0), np.int32)]
+        for b in batches:
+            v = matrix(b.column("v")).reshape(b.num_rows, -1) - center
+            for at in range(0, len(v), 2048):
+                part, n = v[at : at + 2048], b.column("vec_id").to_numpy()[at : at + 2048]
+                d = (part**2).sum(axis=1) - 2 * asked @ part.T
+                d[own[:, None] == n[None]] = np.inf
+                lists = b.column("list").to_numpy()[at : at + 2048]
+                best = [np.concatenate([o, np.broadcast_to(x, d.shape)], axis=1) for o, x in zip(best, (d, n, lists), strict=True)]
+                if best[0].shape[1] > k:
+                    keep = np.argpartition(best[0], k - 1, axis=1)[:, :k]
+                    best = [np.take_along_axis(o, keep, axis=1) for o in best]
+        q = np.repeat(np.arange(len(asked)), best[0].shape[1])
+        real = np.isfinite(best[0].reshape(-1))
+        yield pa.RecordBatch.from_arrays([pa.array(x[real]) for x in (q, *(o.reshape(-1) for o in best))], ["query_id", "score", "vec_id", "list"])
+
+    found = stored.select("vec_id", "v", "list").mapInArrow(nearest, "query_id long, score double, vec_id long, list int")
+    true = ranked(found, F.asc("score"), k).select("query_id", "list").collect()  # k rows a query tried
+    if not true:
+        return len(index.centroids)
+    order = index.nearest_lists(tried, len(index.centroids))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None], axis=1)
+    need = np.sort([place[r["query_id"], r["list"]] for r in true]) + 1
+    return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)])
 
 
 def nearest_neighbours(
-    vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.95, min_probes: int = 16, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.97, min_probes: int = 16, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each id divisible by ``every``, the ``k`` nearest found of all others.
 
@@ -117,7 +148,7 @@ def nearest_neighbours(
     is indexed but those whose id or vector is null, or whose vector is zero, or has a null or
     non-finite component, or another length than most vectors of the sample; they take no part.  A row
     doesn't answer queries with its own id, of repeated query rows one asks.  A query visits as many lists as hold
-    ``recall`` of true neighbours in the sample, but at least ``min_probes``; if there are fewer lists, all.  A list of any size is split into cells, so equal
+    ``recall`` of the true neighbours of queries that were tried, but at least ``min_probes``; if there are fewer lists, all.  A list of any size is split into cells, so equal
     vectors never meet in one task.
     """
     rows = usable_vectors(vectors, id_col, vector_col, nonzero=True)
@@ -127,7 +158,7 @@ def nearest_neighbours(
     lengths = np.array([len(v) for v in head])
     dim = int(np.bincount(lengths).argmax())
     rows = rows.where(F.size("v") == dim)
-    index = fit_index(np.array([v for v in head if len(v) == dim]), rows.count(), recall)
+    index = fit_index(np.array([v for v in head if len(v) == dim]), rows.count())
     n_lists = len(index.centroids)
     shared = vectors.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_LISTS and CODES
 
@@ -135,10 +166,17 @@ def nearest_neighbours(
         for b in batches:
             v = matrix(b.column(1)).reshape(b.num_rows, dim)
             lists = shared.value.nearest_lists(v, 1)[:, 0]
-            codes = shared.value.encode(v - shared.value.centroids[lists])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "list", "codes"])
-
-    probes = min(n_lists, max(min_probes, index.probes))
+            codes, errors = shared.value.encode(v - shared.value.centroids[lists])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors)], ["vec_id", "v", "list", "codes", "error"]
+            )
+
+    stored = materialize(rows.mapInArrow(assign, "vec_id long, v array<double>, list int, codes binary, error double"), "ivf")
+    queries = rows.where(F.col("vec_id") % every == 0)
+    tried = queries.orderBy(F.xxhash64("vec_id", F.lit("tried")), "vec_id").limit(TRIED).toPandas()
+    if not len(tried):
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
+    probes = min(n_lists, max(min_probes, probes_for(index, np.array(list(tried["v"])), tried["vec_id"].to_numpy(), stored, recall, k)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,15 +184,14 @@ def nearest_neighbours(
             ends = pa.array(np.arange(0, lists.size + 1, probes), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(lists.reshape(-1).astype(np.int32)))], ["vec_id", "v", "lists"])
 
-    stored = materialize(rows.mapInArrow(assign, "vec_id long, v array<double>, list int, codes binary"), "ivf")
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(route, "vec_id long, v array<double>, lists array<int>")
-    n_queries = rows.where(F.col("vec_id") % every == 0).count()
+    asked = queries.dropDuplicates(["vec_id"]).mapInArrow(route, "vec_id long, v array<double>, lists array<int>")
+    n_queries = queries.count()
     n_blocks = max(1, -(-n_queries // QUERY_ROWS))
     counts = {r["list"]: -(-r["count"] // CELL_ROWS) for r in stored.groupBy("list").count().collect()}  # a row for each list
     cells = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
     numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     stored = stored.withColumn("cell", F.pmod(F.xxhash64("vec_id", F.lit("cell")), F.element_at(cells, F.col("list"))).cast("int"))
-    stored = stored.select(numbers(F.lit(n_blocks)).alias("block"), "list", "cell", "vec_id", "v", "codes")
+    stored = stored.select(numbers(F.lit(n_blocks)).alias("block"), "list", "cell", "vec_id", "v", "codes", "error")
     asked = asked.select(block_of(F.col("vec_id"), QUERY_ROWS, n_queries, "ann").alias("block"), F.explode("lists").alias("list"), "vec_id", "v")
     asked = asked.withColumn("n", F.element_at(cells, F.col("list"))).where("n is not null").select("block", "list", numbers(F.col("n")).alias("cell"), "vec_id", "v")
 
@@ -165,11 +202,16 @@ def nearest_neighbours(
             order = np.argsort(ids, kind="stable")  # then a stable sort by distance puts ties in the order of ids
             ids, v = ids[order], v[order]
             codes = np.frombuffer(b"".join(held["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            asked_v = matrix(queries["v"])
-            for q, x in zip(queries["vec_id"].to_pylist(), asked_v, strict=True):
-                rough = shared.value.estimates(x - shared.value.centroids[at], codes)
-                pick = np.sort(np.argsort(rough, kind="stable")[: RERANK + 1])
-                pick = pick[ids[pick] != q]
+            errors, residuals = held["error"].to_numpy()[order], v - shared.value.centroids[at]
+            squares = (residuals**2).sum(axis=1)
+            for q, x in zip(queries["vec_id"].to_pylist(), matrix(queries["v"]), strict=True):
+                moved = x - shared.value.centroids[at]
+                rough, other = np.sqrt(shared.value.estimates(moved, codes)), ids != q
+                if other.all():
+                    pick = nearest_in(residuals, squares, moved, rough, errors, k)
+                else:
+                    places = np.flatnonzero(other)
+                    pick = places[nearest_in(residuals[places], squares[places], moved, rough[places], errors[places], k)]
                 exact = np.sqrt(((v[pick] - x) ** 2).sum(axis=1))
                 best = np.argsort(exact, kind="stable")[:k]
                 out[0] += [q] * len(best)

@@ -240,6 +240,26 @@ def test_ann_recall_on_table(spark):
     assert np.mean(share) >= 0.9
 
 
+def test_ann_recall_where_half_the_rows_are_tight_clusters(spark, tmp_path):
+    """Rows of a tight cluster share their codes, so estimates can't tell which are the nearest."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng, n, dim = np.random.default_rng(0), 30_000, 32
+    tight = rng.normal(size=(20, dim))[rng.integers(0, 20, n)] + 1e-3 * rng.normal(size=(n, dim))
+    x = np.where(rng.random(n)[:, None] < 0.5, tight, rng.normal(size=(n, dim)))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}), f"{tmp_path}/v.parquet")
+    found = defaultdict(set)
+    for r in nearest_neighbours(spark.read.parquet(f"{tmp_path}/v.parquet")).collect():
+        found[r.query_id].add(r.vec_id)
+    share = []
+    for q in range(0, n, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        share.append(len(found[q] & set(np.argsort(d)[:10].tolist())) / 10)
+    assert np.mean(share) >= 0.95
+
+
 # ---- urls -------------------------------------------------------------------------------------------------------
 
 
