@@ -52,6 +52,25 @@ def test_components(spark):
     assert got == {x: root(x) for e in edges for x in e if e[0] != e[1]}
 
 
+def test_components_write_less_each_round(spark, monkeypatch):
+    """Edges within a tree are dropped, so later rounds hold only the edges between the trees of the rounds before."""
+    from kgloom.operators import components
+
+    kept, write = [], components.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "edges":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "materialize", counted)
+    edges = [(f"c{i // 10}", f"o{i}") for i in range(400)] + [(f"c{i}", f"n{i % 4}") for i in range(40)] + [(f"n{i}", "r") for i in range(4)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert set(got.values()) == {"c0"} and len(got) == 445
+    assert kept[0] == 444 and kept[1] <= 44 and kept[-1] == 0
+
+
 def test_star_metrics(spark):
     e = spark.createDataFrame([(f"e{i}", "p:Company" if i == 1 else "p:Product", i) for i in range(1, 62)], "id string, type string, ord long")
     r = spark.createDataFrame([("e1", f"e{i}", "p:x", i) for i in range(2, 62)], "source string, target string, type string, ord long")
