@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import category_from_type, clean_link_type, composite_id, format_attribute, safe_filename, strip_prefix
+from kgloom.operators.graph import ordered_index
 
 #: Attributes that may label an entity of a type, in order; other types use name, then id.
 LABELS = {
@@ -86,13 +87,30 @@ def links(entities: DataFrame, relations: DataFrame, attributes: tuple[str, ...]
 
 
 def meta(node_rows: DataFrame, link_rows: DataFrame, request_id: int, file_id: str, title: str, path: str) -> DataFrame:
-    """One row for a graph.  The record holds a reference to each node and link by its format: use it for graphs that are one file."""
+    """One row for a graph.  The record holds a reference to each node and link by its format: use it for graphs that are one file, and ``meta_parts`` for others."""
     a = node_rows.agg(F.array_sort(F.collect_list(F.struct("label", "id"))).alias("actor_references"))
     b = link_rows.agg(F.array_sort(F.collect_list(F.struct(F.col("type").alias("label"), "key"))).alias("link_references"))
     head = [F.lit(request_id).alias("request_id"), F.lit(title).alias("title"), F.lit(file_id).alias("id"), F.lit(path).alias("file_local_path")]
     return a.crossJoin(b).select(*head, "actor_references", "link_references")
 
 
+def meta_parts(node_rows: DataFrame, link_rows: DataFrame, request_id: int, file_id: str, title: str, path: str, part_rows: int = 10_000) -> DataFrame:
+    """``meta`` of a graph of any size in parts: ``(request_id, title, id, file_local_path, part, actor_references, link_references)``.
+
+    Parts are numbered from 1 and hold at most ``part_rows`` references, of nodes by label and id, then of links by type and key; joined in their order they are the
+    record's lists.  So no task holds more than a few parts.  A graph without any has one part.
+    """
+    a = node_rows.select(F.lit(0).alias("side"), "label", F.col("id").alias("ref"))
+    b = link_rows.select(F.lit(1).alias("side"), F.col("type").alias("label"), F.col("key").alias("ref"))
+    rows = ordered_index(a.unionByName(b), ["side", "label", "ref"], "n").withColumn("part", F.floor((F.col("n") - 1) / part_rows) + 1)
+    # The part that is always there, so a graph without references has its record.
+    rows = rows.select("part", "side", "label", "ref", "n").unionByName(node_rows.sparkSession.sql("SELECT 1L AS part, -1 AS side, '' AS label, '' AS ref, 0L AS n"))
+    listed = lambda side, key: F.transform(F.filter(F.col("refs"), lambda x: x["side"] == side), lambda x: F.struct(x["label"].alias("label"), x["ref"].alias(key)))
+    parts = rows.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("n", "side", "label", "ref"))).alias("refs"))
+    head = [F.lit(request_id).alias("request_id"), F.lit(title).alias("title"), F.lit(file_id).alias("id"), F.lit(path).alias("file_local_path")]
+    return parts.select(*head, "part", listed(0, "id").alias("actor_references"), listed(1, "key").alias("link_references"))
+
+
 def file_records(node_rows: DataFrame, link_rows: DataFrame) -> DataFrame:
     """``(folder, name, body)``: one file for each node and link; records without an id are skipped."""
     n = node_rows.where(F.length("id") > 0).select(F.lit("index2").alias("folder"), F.concat(F.lit("actor-"), safe_filename(F.col("id")), F.lit(".node.json")).alias("name"), F.to_json(F.struct("*")).alias("body"))

@@ -338,8 +338,9 @@ def export_links(spark, sf):
 
 def export_meta(spark, sf):
     e, r = _ent(spark, sf), _rel(spark, sf)
-    m = X.meta(X.nodes(e, ATTRS, 1, "meta1", "Star"), X.links(e, r, ATTRS, 1, "meta1", "Star"), 1, "meta1", "Star", "star.json")
-    return m.select("request_id", "title", "id", "file_local_path", F.size("actor_references").cast("long").alias("actors"), F.size("link_references").cast("long").alias("links"))
+    m = X.meta_parts(X.nodes(e, ATTRS, 1, "meta1", "Star"), X.links(e, r, ATTRS, 1, "meta1", "Star"), 1, "meta1", "Star", "star.json")
+    sizes = [F.sum(F.size(f"{x}_references").cast("long")).alias(f"{x}s") for x in ("actor", "link")]
+    return m.groupBy("request_id", "title", "id", "file_local_path").agg(*sizes)
 
 
 def export_files(spark, sf):

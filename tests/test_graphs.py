@@ -256,6 +256,20 @@ def test_files(spark, tmp_path):
     assert files.first_of(spark, f"{tmp_path}/out/index2", ".json").first()["value"] == "{}"
 
 
+def test_meta_parts_are_the_whole_record(spark):
+    from kgloom.operators import export
+
+    nodes = spark.createDataFrame([(f"l{i % 3}", f"n{i}") for i in range(8)], "label string, id string")
+    links = spark.createDataFrame([(f"t{i % 2}", f"k{i}") for i in range(5)], "type string, key string")
+    head = (1, "m", "T", "p.json")
+    whole = export.meta(nodes, links, *head).first()
+    parts = sorted(export.meta_parts(nodes, links, *head, part_rows=4).collect(), key=lambda x: x.part)
+    assert [x.part for x in parts] == [1, 2, 3, 4] and all(len(x.actor_references) + len(x.link_references) <= 4 for x in parts)
+    assert [y for x in parts for y in x.actor_references] == whole.actor_references and [y for x in parts for y in x.link_references] == whole.link_references
+    empty = export.meta_parts(nodes.where("false"), links.where("false"), *head).collect()
+    assert [(x.part, x.actor_references, x.link_references) for x in empty] == [(1, [], [])]
+
+
 def test_page(spark):
     e = spark.createDataFrame([("a", "p:Company", "</script>Acme", 1)], "id string, type string, name string, ord long")
     page = V.html_page(V.vis_nodes(e), V.vis_edges(e, spark.createDataFrame([], "source string, target string, type string, ord long")), "t")
