@@ -21,7 +21,7 @@ from kgloom.plans import star
 from kgloom.plans.ontology_demo import ONTOLOGY
 from kgloom.plans.ontology_demo import SQL as ONTO_SQL
 from kgloom.plans.project import Project, document_graphs
-from kgloom.sources.files import graph_documents, split_pages
+from kgloom.sources.files import graph_document_parts, split_pages
 from kgloom.sources.scratch import scratch_path
 from kgloom.sources.tables import table
 from kgloom.streaming.fold import fold_stream, use_map_states
@@ -395,8 +395,8 @@ def classify_cascade(spark, sf):
 
 def graph_json(spark, sf):
     e, r = _ent(spark, sf), _rel(spark, sf)
-    out = graph_documents(e, G.clean_relations(e, r), "doc", ("name", "locationName"))
-    return out.select("doc", F.length("value").alias("size"))
+    out = graph_document_parts(e, G.clean_relations(e, r), "doc", ("name", "locationName"))
+    return out.groupBy("doc").agg(F.sum(F.length("value").cast("long")).alias("size"))
 
 
 QUERIES = {

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.operators.graph import ordered_index
 from kgloom.sources import sinks
 
 
@@ -146,6 +147,31 @@ def graph_documents(entities: DataFrame, relations: DataFrame, group: str, attri
     return both.select(group, text.alias("value"))
 
 
+def graph_document_parts(entities: DataFrame, relations: DataFrame, group: str, attributes: tuple[str, ...], part_rows: int = 10_000) -> DataFrame:
+    """``(group, part, value)``: the JSON of ``graph_documents`` cut into parts of at most ``part_rows`` records; a group's values joined in the order of parts are its text.
+
+    Records are numbered over all groups without one task that holds a group, and each part brings the commas and brackets between its records.
+    """
+    body = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "true"}).alias("body")
+    ents = entities.select(group, F.lit(0).alias("side"), "ord", body(["id", "type", *attributes]))
+    rels = relations.select(group, F.lit(1).alias("side"), "ord", body(["source", "target", "type"]))
+    rows = ordered_index(ents.unionByName(rels), [group, "side", "ord", "body"], "n")
+    ends = rows.groupBy(F.col(group).alias("_g")).agg(F.min("n").alias("first"), F.max("n").alias("last"), F.min(F.when(F.col("side") == 1, F.col("n"))).alias("turn"))
+    rows = rows.join(ends, F.col(group).eqNullSafe(F.col("_g")))
+    middle = F.lit('],"relationships":[')
+    before = (
+        F.when((F.col("n") == F.col("first")) & (F.col("side") == 0), F.lit('{"entities":['))
+        .when(F.col("n") == F.col("first"), F.concat(F.lit('{"entities":['), middle))
+        .when(F.col("n") == F.col("turn"), middle)
+        .otherwise(F.lit(","))
+    )
+    after = F.when(F.col("n") == F.col("last"), F.when(F.col("turn").isNull(), F.concat(middle, F.lit("]}"))).otherwise(F.lit("]}"))).otherwise(F.lit(""))
+    part = F.floor((F.col("n") - F.col("first")) / part_rows) + 1
+    rows = rows.select(group, part.alias("part"), "n", F.concat(before, "body", after).alias("value"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"])
+    return rows.groupBy(group, "part").agg(F.array_join(texts, "").alias("value"))
+
+
 def write_document_graphs(entities: DataFrame, relations: DataFrame, path: str) -> None:
     """The graph of each document as JSON lines below a folder for it: ``entities(doc, ord, id, type, attrs_json)``, then ``relations(doc, ord, source, target, type)``.
 

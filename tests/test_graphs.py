@@ -256,6 +256,16 @@ def test_files(spark, tmp_path):
     assert files.first_of(spark, f"{tmp_path}/out/index2", ".json").first()["value"] == "{}"
 
 
+def test_document_parts_are_the_whole_text(spark):
+    e = spark.createDataFrame([("a", i, f"e{i}", "t", f"n{i}") for i in range(7)] + [("b", 0, "x", "t", None)], "doc string, ord long, id string, type string, name string")
+    r = spark.createDataFrame([("a", i, f"e{i}", "e0", "r") for i in range(4)] + [("c", 0, "x", "e0", "r")], "doc string, ord long, source string, target string, type string")
+    whole = {x.doc: x.value for x in files.graph_documents(e, r, "doc", ("name",)).collect()}
+    parts = files.graph_document_parts(e, r, "doc", ("name",), part_rows=3).collect()
+    assert {d: "".join(x.value for x in sorted((x for x in parts if x.doc == d), key=lambda x: x.part)) for d in whole} == whole
+    assert sorted((x.doc, x.part) for x in parts) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 1), ("c", 1)]
+    assert all(json.loads(x) for x in whole.values())
+
+
 def test_meta_parts_are_the_whole_record(spark):
     from kgloom.operators import export
 
