@@ -22,7 +22,7 @@ from kgloom.plans.ontology_demo import ONTOLOGY
 from kgloom.plans.ontology_demo import SQL as ONTO_SQL
 from kgloom.plans.project import Project, document_graphs
 from kgloom.sources.files import graph_document_parts, split_pages
-from kgloom.sources.scratch import scratch_path
+from kgloom.sources.scratch import materialize, scratch_path
 from kgloom.sources.tables import table
 from kgloom.streaming.fold import fold_stream, use_map_states
 
@@ -124,7 +124,7 @@ def relation_distribution(spark, sf):
 
 
 def compliance(spark, sf):
-    v, e = _graph(spark, sf)
+    v, e = (materialize(x, "graph") for x in _graph(spark, sf))  # each is read several times
     c = E.compliance(v, e, attributes(_ent(spark, sf)), ONTOLOGY.frames(spark))
     return c.select(*[F.round(x, 6).alias(x) for x in c.columns])
 
