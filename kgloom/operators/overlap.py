@@ -3,7 +3,8 @@
 A similarity of t leaves at most d = (1 - t) * (la + lb) characters of two names unmatched, and its matched characters are in order, so one name
 becomes the other by at most d insertions and deletions, and the names share at least (la + lb - d) / 2 characters, counted with their multiplicity.
 
-* Where at most one character may be left over, the names are equal or one is the other without a character: names meet by what is left when one is deleted.
+* Of two names the longer has e characters more and floor((d - e) / 2) of the shorter are left over at most. Where that is one at most and the longer has two at most, names meet by what is left
+  when just so many are deleted from each. Keys hold both lengths and which side is the shorter, so only names that are to meet do.
 * Elsewhere names meet by pairs of rare characters.  A character is numbered within its name (the first ``a`` is ``a0``, the next ``a1``), and all are put into one order, rarest
   first.  Names that share n of them share two among the first l - n + 2, so each name is listed under the pairs of its first ones only.
 
@@ -34,10 +35,15 @@ def frequent(names: DataFrame, column: str, most: int = RANKED) -> list[str]:
     return [r["c"] for r in counts.orderBy(F.desc("n"), "c").limit(most).collect()]
 
 
-def _deleted(x: Column, length: Column) -> Column:
-    """The name, and what is left of it without each of its characters."""
-    without = F.transform(F.sequence(F.lit(1), length), lambda i: F.concat(F.lit("d"), F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, length)))
-    return F.array_distinct(F.array_append(without, F.concat(F.lit("d"), x)))
+def _without(x: Column, length: Column, i: Column) -> Column:
+    return F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, length))
+
+
+def _deleted(x: Column, length: Column, n: Column) -> Column:
+    """What is left of the name without ``n`` of its characters, 0, 1 or 2, wherever they are."""
+    one = F.transform(F.sequence(F.lit(1), length), lambda i: _without(x, length, i))
+    two = F.flatten(F.transform(F.sequence(F.lit(1), length - 1), lambda i: F.transform(F.sequence(i, length - 1), lambda k: _without(_without(x, length, i), length, k))))
+    return F.when(n == 0, F.array(x)).when(n == 1, F.array_distinct(one)).when(length > 1, F.array_distinct(two)).otherwise(F.array(F.lit("")))
 
 
 def _pairs_of_rare(x: Column, length: Column, threshold: Column, ranks: list[str]) -> Column:
@@ -52,14 +58,36 @@ def _pairs_of_rare(x: Column, length: Column, threshold: Column, ranks: list[str
     return pairs
 
 
-def listed(names: DataFrame, column: str, threshold: Column, ranks: list[str]) -> DataFrame:
-    """``names`` with a row for each ``_key`` that it is listed under, and its ``_len``."""
+def _spared(threshold: Column, short: Column, long: Column) -> Column:
+    """Characters of the shorter of two names that may be left over; below 0 the names can't be similar."""
+    return F.floor((_left_over(threshold, short + long) - (long - short)) / 2)
+
+
+def _by_deleting(threshold: Column, short: Column, long: Column) -> Column:
+    """Whether names of these lengths meet by what is left of them."""
+    spared = _spared(threshold, short, long)
+    return (spared <= 1) & (spared + long - short <= 2)
+
+
+def listed(names: DataFrame, column: str, threshold: Column, ranks: list[str], lengths: list[int], left: bool) -> DataFrame:
+    """``names`` with a row for each ``_key`` that it is listed under among names of the given lengths, and its ``_len``."""
     x, rows = F.lower(F.col(column)), names.withColumn("_len", F.length(F.lower(F.col(column))))
     n = F.col("_len")
-    longest = F.floor(n * (2 - threshold) / threshold + _EPS)
-    few = F.when(_left_over(threshold, 2 * n + 1) < 1, F.array(F.concat(F.lit("d"), x))).when(_left_over(threshold, 2 * n - 1) <= 1, _deleted(x, n)).otherwise(F.array().cast("array<string>"))
-    many = F.when(_left_over(threshold, n + longest) >= 2, _pairs_of_rare(x, n, threshold, ranks)).otherwise(F.array().cast("array<string>"))
-    return rows.where(n > 0).withColumn("_key", F.explode(F.concat(few, many)))
+    none = F.array().cast("array<string>")
+    rare = _pairs_of_rare(x, n, threshold, ranks)
+
+    def met(m: Column) -> Column:
+        """Keys for names of m letters; those whose own length meets by deleting must not meet each other in the lists of rare pairs, which are many."""
+        short, long = F.least(n, m), F.greatest(n, m)
+        spared, role = _spared(threshold, short, long), F.when(n == m, "=").when((n < m) == F.lit(left), "<").otherwise(">")
+        head = F.concat_ws(":", short.cast("string"), long.cast("string"), role, F.lit(""))
+        gone = F.when(n <= m, spared).otherwise(spared + long - short)
+        keys = F.when(_by_deleting(threshold, short, long), F.transform(_deleted(x, n, gone), lambda k: F.concat(F.lit("d"), head, k)))
+        return keys.when(_by_deleting(threshold, short, short), F.transform(rare, lambda k: F.concat(head, k))).otherwise(none)
+
+    partners = F.filter(F.lit(lengths).cast("array<int>"), lambda m: _spared(threshold, F.least(n, m), F.greatest(n, m)) >= 0)
+    plain = F.exists(partners, lambda m: ~_by_deleting(threshold, F.least(n, m), F.greatest(n, m)) & ~_by_deleting(threshold, F.least(n, m), F.least(n, m)))
+    return rows.where(n > 0).withColumn("_key", F.explode(F.array_distinct(F.concat(F.flatten(F.transform(partners, met)), F.when(plain, rare).otherwise(none)))))
 
 
 def similar_pairs(new: DataFrame, old: DataFrame, threshold: float | Column, block: list[str] | None = None) -> DataFrame:
@@ -72,8 +100,9 @@ def similar_pairs(new: DataFrame, old: DataFrame, threshold: float | Column, blo
     least = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     a, b = new.select(*block, "a").where("a <> ''").distinct(), old.select(*block, "b").where("b <> ''").distinct()
     ranks = frequent(b.select("b"), "b")
-    left = listed(a, "a", least, ranks).withColumnRenamed("_len", "_la")
-    right = listed(b, "b", least, ranks).withColumnRenamed("_len", "_lb")
+    lengths = lambda names, c: [r["n"] for r in names.select(F.length(F.lower(F.col(c))).alias("n")).distinct().collect()]  # noqa: E731  a row for each length
+    left = listed(a, "a", least, ranks, lengths(b, "b"), True).withColumnRenamed("_len", "_la")
+    right = listed(b, "b", least, ranks, lengths(a, "a"), False).withColumnRenamed("_len", "_lb")
     near = 2.0 * F.least("_la", "_lb") >= (least - _EPS) * (F.col("_la") + F.col("_lb"))
     met = left.join(right, [*block, "_key"]).where(near).select(*block, "a", "b").distinct()
     # Pairs are few bytes and much work, so they keep their partitions; and they are written, as the optimizer would move the bounds below ``distinct``, into the join, to be
