@@ -210,6 +210,89 @@ def find_match(new: dict, candidates: list[dict], rules: Rules) -> dict | None:
     return next((c for c in candidates if matches(new, c, rules)), None)
 
 
+class MatchIndex:
+    """Entities of one kind in order, by the names that they have now: finds what ``find_match`` finds among them all.
+
+    Only entities whose names or ends could match are looked at, and a name is compared once with each other name that is long enough to be similar, however many entities have it.
+    """
+
+    #: Similar names that are kept at most, to be looked up again; they are found anew beyond.
+    KEPT = 1 << 20
+
+    def __init__(self, kind: str, rules: Rules):
+        self.kind, self.rules, self.rule = kind, rules, rules.rule(kind)
+        self.entities: list[dict] = []
+        self.names: list[list[str]] = []
+        self.ends: list[tuple | None] = []
+        self.at_name: dict[str, set[int]] = {}
+        self.at_ends: dict[tuple, set[int]] = {}
+        self.by_length: dict[int, list[str]] = {}
+        #: Name -> length -> how many names of that length it was compared with, and the similar ones.
+        self.near: dict[str, dict[int, tuple[int, list[str]]]] = {}
+        self.kept = 0
+
+    def _read(self, entity: dict) -> tuple[list[str], tuple | None]:
+        names = entity_names(entity, self.kind, self.rule)
+        words = names[0].split() if names and self.rule.ends else []
+        return [n.lower() for n in names], (words[0], words[-1]) if len(words) > 1 else None
+
+    def _enter(self, at: int) -> None:
+        for n in self.names[at]:
+            if n not in self.at_name:
+                self.at_name[n] = set()
+                self.by_length.setdefault(len(n), []).append(n)
+            self.at_name[n].add(at)
+        if self.ends[at]:
+            self.at_ends.setdefault(self.ends[at], set()).add(at)
+
+    def add(self, entity: dict) -> int:
+        """The place of a new last entity."""
+        names, ends = self._read(entity)
+        self.entities.append(entity)
+        self.names.append(names)
+        self.ends.append(ends)
+        self._enter(len(self.entities) - 1)
+        return len(self.entities) - 1
+
+    def changed(self, at: int) -> None:
+        """The entity at a place may have other names now."""
+        names, ends = self._read(self.entities[at])
+        if (names, ends) != (self.names[at], self.ends[at]):
+            for n in self.names[at]:
+                self.at_name[n].discard(at)
+            if self.ends[at]:
+                self.at_ends[self.ends[at]].discard(at)
+            self.names[at], self.ends[at] = names, ends
+            self._enter(at)
+
+    def _similar(self, name: str) -> list[str]:
+        own, least, found = len(name), self.rule.threshold, [name]
+        for length, others in self.by_length.items():
+            # Other names of the same length lack a character each, at least.
+            if (1 - 1 / own if length == own else 2.0 * min(own, length) / (own + length)) < least - 1e-9:
+                continue
+            seen, near = self.near.setdefault(name, {}).get(length, (0, []))
+            if seen < len(others):
+                new = [n for n in others[seen:] if n != name and alike(name, n, least)]
+                self.kept += len(new) + 1
+                near = near + new
+                self.near[name][length] = len(others), near
+            found += near
+        if self.kept > self.KEPT:
+            self.near, self.kept = {}, 0
+        return found
+
+    def find(self, new: dict) -> int | None:
+        """The place of the first entity that a new one matches."""
+        if self.rule.threshold <= 0:
+            places = range(len(self.entities))
+        else:
+            names, ends = self._read(new)
+            places = {at for n in names for m in self._similar(n) for at in self.at_name.get(m, ())}
+            places = sorted(places | self.at_ends.get(ends, set()))
+        return next((at for at in places if matches(new, self.entities[at], self.rules)), None)
+
+
 def fuzzy_first_match(new: DataFrame, candidates: DataFrame, threshold: float, block: list[str] | None = None) -> DataFrame:
     """``(id, match_id, score)``: for each of ``new(id, name, ord)`` the first of ``candidates(id, name, ord)`` at least ``threshold`` alike.
 

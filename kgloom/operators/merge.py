@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import normalize_text
 from kgloom.operators.graph import first_by
-from kgloom.operators.match import Rules, find_match
+from kgloom.operators.match import MatchIndex, Rules, find_match
 
 #: Names, of which the longer one wins, and numbers, which only replace nothing or zero.
 NAMES = ("name", "metricName", "kpiName", "productName", "fullName", "shareholderName", "contextName", "eventName", "locationName")
@@ -108,42 +109,64 @@ def merged_value(key: str, old: Any, new: Any) -> Any:
     return new if isinstance(old, str) and isinstance(new, str) and len(new) > len(old) else old
 
 
-def fold_entities(rows: list[dict], rules: Rules, provenance_of: Callable[[dict], str] | None = None, start: list[dict] | None = None) -> tuple[list[dict], dict[tuple, str]]:
-    """Merge entities in order, each into the first earlier one that it matches; and (document or page, old id) -> new id.
+class Fold:
+    """Entities merged in order, each into the first earlier one that it matches.
 
     ``start``: entities merged before.  With ``provenance_of`` values become lists of {value, source_doc_id}, and ids of newcomers get ``_projdup``.
     """
-    kept = list(start or [])
-    # Where types must match, only entities of the type are looked at; a merged entity keeps its kind.
-    kind = rules.kind if rules.same_type else lambda e: ""
-    by_kind: dict[str, list[dict]] = {}
-    for e in kept:
-        by_kind.setdefault(kind(e), []).append(e)
-    taken = {e["id"] for e in kept}
-    ids: dict[tuple, str] = {}
-    for row in rows:
+
+    def __init__(self, rules: Rules, provenance_of: Callable[[dict], str] | None = None, start: list[dict] | None = None):
+        self.rules, self.provenance_of = rules, provenance_of
+        self.entities: list[dict] = []
+        #: Id -> place.
+        self.place: dict[str, int] = {}
+        # Where types must match, only entities of the type are looked at; a merged entity keeps its kind.
+        self.by_kind: dict[str, MatchIndex] = {}
+        self.at: dict[str, int] = {}
+        for e in start or []:
+            self._found(e)
+
+    def _index(self, entity: dict) -> MatchIndex:
+        kind = self.rules.kind(entity)
+        if kind not in self.by_kind:
+            self.by_kind[kind] = MatchIndex(kind, self.rules)
+        return self.by_kind[kind]
+
+    def _found(self, entity: dict) -> None:
+        self.place[entity["id"]] = len(self.entities)
+        self.entities.append(entity)
+        if self.rules.same_type:
+            self.at[entity["id"]] = self._index(entity).add(entity)
+
+    def _match(self, row: dict) -> dict | None:
+        if not self.rules.same_type:
+            return find_match(row, self.entities, self.rules)
+        index = self._index(row)
+        at = index.find(row)
+        return None if at is None else index.entities[at]
+
+    def put(self, row: dict) -> dict:
+        """The entity that a row has founded or joined."""
         where = row.pop("_at", None)
-        old = str(row["id"])
-        match = find_match(row, by_kind.get(kind(row), []), rules)
-        if match is None:
-            new, n = old, 0
-            while new in taken:
+        match = self._match(row)
+        founds = match is None
+        if founds:
+            old = new = str(row["id"])
+            n = 0
+            while new in self.place:
                 n += 1
-                new = f"{old}_projdup{n}" if provenance_of else f"{old}_{rules.kind(row)}_{n}"
-            taken.add(new)
+                new = f"{old}_projdup{n}" if self.provenance_of else f"{old}_{self.rules.kind(row)}_{n}"
             match = {"id": new, "type": row["type"], "_n": 0}
-            if not provenance_of:
+            if not self.provenance_of:
                 match |= {k: v for k, v in row.items() if k not in ("id", "type")}
                 if where is not None:
                     match["_source_page"] = str(where)
-            kept.append(match)
-            by_kind.setdefault(kind(match), []).append(match)
-        elif not provenance_of:
+        elif not self.provenance_of:
             match |= {k: merged_value(k, match.get(k), v) for k, v in row.items() if k != "id"}
         elif len(row["type"]) > len(match["type"]):
             match["type"] = row["type"]
-        if provenance_of:
-            doc = provenance_of(row | {"_at": where})
+        if self.provenance_of:
+            doc = self.provenance_of(row | {"_at": where})
             for k, v in row.items():
                 if k not in ("id", "type", "_source_document_ids"):
                     pair = {"value": v, "source_doc_id": doc}
@@ -152,8 +175,21 @@ def fold_entities(rows: list[dict], rules: Rules, provenance_of: Callable[[dict]
             if doc not in match.setdefault("_source_document_ids", []):
                 match["_source_document_ids"].append(doc)
         match["_n"] += 1
-        ids[(where, old)] = match["id"]
-    return kept, ids
+        if founds:
+            self._found(match)
+        elif self.rules.same_type:
+            self._index(match).changed(self.at[match["id"]])
+        return match
+
+
+def fold_entities(rows: list[dict], rules: Rules, provenance_of: Callable[[dict], str] | None = None, start: list[dict] | None = None) -> tuple[list[dict], dict[tuple, str]]:
+    """The entities of a ``Fold`` of all rows, and (document or page, old id) -> new id."""
+    fold = Fold(rules, provenance_of, start)
+    ids: dict[tuple, str] = {}
+    for row in rows:
+        where = row.get("_at")
+        ids[(where, str(row["id"]))] = fold.put(row)["id"]
+    return fold.entities, ids
 
 
 class Accumulated:
@@ -163,7 +199,14 @@ class Accumulated:
     """
 
     def __init__(self, rules: Rules, entities: list[dict] | None = None, relations: list[tuple] | None = None):
-        self.rules, self.entities, self.relations = rules, list(entities or []), dict.fromkeys(map(tuple, relations or []))
+        self.fold, self.relations = Fold(rules, start=entities), dict.fromkeys(map(tuple, relations or []))
+        #: The graph's parts as JSON, those of entities that were touched since being None.
+        self._entities: list[str | None] = [None] * len(self.entities)
+        self._relations: list[str] = []
+
+    @property
+    def entities(self) -> list[dict]:
+        return self.fold.entities
 
     def add(self, page: Any, entities: list, relations: list) -> tuple[list[dict], list[tuple]]:
         """The entities that the unit's graph has touched and the relations that it has added.
@@ -171,21 +214,28 @@ class Accumulated:
         What isn't an object with its required keys is left out.  An end is an id of the unit, or else of the graph so far; relations without both ends are left out.
         """
         rows = [{**e, "id": str(e["id"]), "type": str(e["type"]), "_at": page} for e in entities if isinstance(e, dict) and e.get("id") is not None and e.get("type")]
-        self.entities, ids = fold_entities(rows, self.rules, start=self.entities)
-        known = {e["id"] for e in self.entities}
-        end = lambda x: ids.get((page, str(x)), str(x))
+        ids = {row["id"]: self.fold.put(row)["id"] for row in rows}
+        known = self.fold.place
+        end = lambda x: ids.get(str(x), str(x))
         found = [r for r in relations if isinstance(r, dict) and all(r.get(k) is not None for k in ("source", "target", "type"))]
-        new = [t for r in found if {(t := (end(r["source"]), end(r["target"]), str(r["type"])))[0], t[1]} <= known and t not in self.relations]
+        new = [t for r in found if (t := (end(r["source"]), end(r["target"]), str(r["type"])))[0] in known and t[1] in known and t not in self.relations]
         self.relations.update(dict.fromkeys(new))
-        touched = set(ids.values())
-        return [e for e in self.entities if e["id"] in touched], list(dict.fromkeys(new))
+        touched = sorted({known[i] for i in ids.values()})
+        self._entities += [None] * (len(self.entities) - len(self._entities))
+        for at in touched:
+            self._entities[at] = None
+        return [self.entities[at] for at in touched], list(dict.fromkeys(new))
 
     def shown(self) -> str:
         """The graph as JSON, as prompts show it; empty for none."""
         if not self.entities:
             return ""
-        entities = [{k: v for k, v in e.items() if not k.startswith("_")} for e in self.entities]
-        return json.dumps({"entities": entities, "relationships": [dict(zip(("source", "target", "type"), r, strict=True)) for r in self.relations]}, ensure_ascii=False)
+        for at, part in enumerate(self._entities):
+            if part is None:
+                self._entities[at] = json.dumps({k: v for k, v in self.entities[at].items() if not k.startswith("_")}, ensure_ascii=False)
+        for r in islice(self.relations, len(self._relations), None):
+            self._relations.append(json.dumps(dict(zip(("source", "target", "type"), r, strict=True)), ensure_ascii=False))
+        return f'{{"entities": [{", ".join(self._entities)}], "relationships": [{", ".join(self._relations)}]}}'
 
 
 #: A fold's rows: merged entities, whose ``old_id`` is null, and (at, old_id) -> id of each row that went in, whose ``ord`` is null.  Where ids are renumbered,
@@ -200,29 +250,48 @@ def folded(entities: DataFrame, group: str, rules: Rules, at: str, attrs: str =
     ``first_ord`` are those of an entity's first row.  Rows without a type are left out.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["type"].fillna("") != ""].sort_values(list(order))
-        rows = [{**json.loads(a or "{}"), "id": i, "type": t, "_at": p} for i, t, p, a in zip(pdf["id"], pdf["type"], pdf[at], pdf[attrs], strict=True)]
+    columns = list(dict.fromkeys([group, *order, "ord", at, "id", "type", attrs]))
+    fields = [group, *(c.split(" ")[0] for c in FOLDED.split(", "))]
+
+    def fold(key: str, found: list[dict]) -> list[tuple]:
+        rows = [{**json.loads(r[attrs] or "{}"), "id": r["id"], "type": r["type"], "_at": r[at]} for r in found]
         kept, ids = fold_entities(rows, rules, (lambda row: row["_at"]) if documents else None)
         new = {e["id"]: f"e{n}" if renumber else e["id"] for n, e in enumerate(kept, 1)}
         first: dict[str, tuple] = {}
-        for p, i, o in zip(pdf[at], pdf["id"], pdf["ord"], strict=True):
-            first.setdefault(ids[(p, str(i))], (str(p), int(o)))
+        for r in found:
+            first.setdefault(ids[(r[at], str(r["id"]))], (str(r[at]), int(r["ord"])))
         out = []
         for n, e in enumerate(kept):
             i, t, count = e.pop("id"), e.pop("type"), e.pop("_n")
-            out.append((n, new[i], t, count, json.dumps(e, ensure_ascii=False, sort_keys=True), None, None, *first.get(i, (None, None))))
-        out += [(None, new[i], None, None, None, str(p), old, None, None) for (p, old), i in ids.items()]
+            out.append((key, n, new[i], t, count, json.dumps(e, ensure_ascii=False, sort_keys=True), None, None, *first.get(i, (None, None))))
+        out += [(key, None, new[i], None, None, None, str(p), old, None, None) for (p, old), i in ids.items()]
         if renumber:
-            out += [(None, n, None, None, None, None, i, *first.get(i, (None, None))) for i, n in new.items()]
-        frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in FOLDED.split(", ")])
-        for c in ("ord", "n", "first_ord"):
-            frame[c] = frame[c].astype("Int64")
-        frame.insert(0, group, pdf[group].iloc[0])
-        return frame
-
-    columns = list(dict.fromkeys([group, *order, "ord", at, "id", "type", attrs]))
-    return entities.select(*columns).where("type <> ''").groupBy(group).applyInPandas(fold, f"{group} string, {FOLDED}")
+            out += [(key, None, n, None, None, None, None, i, *first.get(i, (None, None))) for i, n in new.items()]
+        return out
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(fields, r, strict=True)) for r in out], schema)
+
+    types = {"long": pa.int64(), "string": pa.string()}
+    schema = pa.schema([(group, pa.string()), *((c.split(" ")[0], types[c.split(" ")[1]]) for c in FOLDED.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Groups come one after the other: a call for each would cost more than most folds.
+        held: list[dict] = []
+        for b in batches:
+            out: list[tuple] = []
+            for row in b.to_pylist():
+                if held and row[group] != held[0][group]:
+                    out += fold(held[0][group], held)
+                    held = []
+                held.append(row)
+            yield batch(out)
+        if held:
+            yield batch(fold(held[0][group], held))
+
+    rows = entities.select(*columns).where("type <> ''").withColumn(group, F.col(group).cast("string"))
+    ordered = rows.repartition(group).sortWithinPartitions(group, *(F.col(o).asc_nulls_last() for o in order))
+    return ordered.mapInArrow(run, f"{group} string, {FOLDED}")
 
 
 def merge_fold(entities: DataFrame, group: str, rules: Rules, at: str = "page", attrs: str = "attrs_json") -> DataFrame:
