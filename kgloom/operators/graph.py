@@ -72,13 +72,19 @@ def type_distribution(entities: DataFrame) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
-    """``(id, hop)``: nodes at most ``hops`` undirected steps from ``starts(id)``, with the least number of steps."""
-    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    """``(id, hop)``: nodes at most ``hops`` undirected steps from ``starts(id)``, with the least number of steps.
+
+    Edges are written once and not made distinct: a step reads them as they lie and makes distinct only what it has reached.
+    """
+    edges = materialize(edges.select("source", "target"), "edges")
     seen = starts.select("id").distinct().withColumn("hop", F.lit(0))
-    front = seen
+    front = seen.select("id")
     for hop in range(1, hops + 1):
-        front = front.join(both, front.id == both.source).select(F.col("target").alias("id")).distinct().withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(front)
+        front = materialize(front, "front")
+        there = edges.join(front, edges.source == front.id, "left_semi").select(F.col("target").alias("id"))
+        back = edges.join(front, edges.target == front.id, "left_semi").select(F.col("source").alias("id"))
+        front = there.unionByName(back).distinct()
+        seen = seen.unionByName(front.withColumn("hop", F.lit(hop)))
     return seen.groupBy("id").agg(F.min("hop").alias("hop"))
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.sources.tables import table
+from kgloom.sources.tables import bound_tasks, table
 
 ATTRIBUTES = ("name", "locationName", "contextName", "metricName", "metricValue", "DateOrPeriod", "brand", "status", "segment")
 
@@ -40,6 +40,7 @@ _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
 
 
 def _frames(spark: SparkSession, sf_dir: str, parts: dict[str, str]) -> DataFrame:
+    bound_tasks(spark, sf_dir, _TABLES)
     views = {t: table(spark, sf_dir, t) for t in _TABLES}
     frames = []
     for sql in parts.values():
