@@ -47,16 +47,23 @@ def header_titles(text: Column, headers: tuple[str, ...] = HEADERS) -> Column:
     return F.transform(F.array_sort(F.concat(*found)), lambda h: F.struct(h["level"].alias("level"), h["title"].alias("title")))
 
 
-def last_header(text: Column, headers: tuple[str, ...] = HEADERS) -> Column:
-    """The last of ``header_titles``, or null."""
+def _last_placed(text: Column, headers: tuple[str, ...]) -> Column:
     last = []
     for level, pattern in enumerate(headers, 1):
         whole, gaps = F.regexp_extract_all(text, F.lit(f"(?md){pattern}"), F.lit(0)), F.split(text, f"(?md){pattern}", -1)
         match = F.element_at(whole, -1)
         at = F.length(text) - F.length(F.element_at(gaps, -1)) - F.length(match)
         last.append(F.when(F.size(whole) > 0, F.struct(at.alias("at"), F.lit(level).alias("level"), strip(match).alias("title"))))
-    best = F.array_max(F.array(*last))
-    return F.when(best.isNotNull(), F.struct(best["level"].alias("level"), best["title"].alias("title")))
+    return F.array_max(F.array(*last))
+
+
+def _header(placed: Column) -> Column:
+    return F.when(placed.isNotNull(), F.struct(placed["level"].alias("level"), placed["title"].alias("title")))
+
+
+def last_header(text: Column, headers: tuple[str, ...] = HEADERS) -> Column:
+    """The last of ``header_titles``, or null."""
+    return _header(_last_placed(text, headers))
 
 
 def sections(pages: DataFrame, config: ChunkConfig = ChunkConfig(), lossless: bool = False, header: Column | None = None) -> DataFrame:
@@ -67,7 +74,7 @@ def sections(pages: DataFrame, config: ChunkConfig = ChunkConfig(), lossless: bo
     (level, title), or null, instead of the patterns.
     """
     if header is None:
-        header = last_header(F.col("text"), config.headers)
+        pages, header = pages.withColumn("_placed", _last_placed(F.col("text"), config.headers)), _header(F.col("_placed"))
     order = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     rows = pages.withColumn("header", header).withColumn("section", F.sum(F.col("header").isNotNull().cast("int")).over(order))
     rows = rows.withColumn("last", F.max("section").over(Window.partitionBy("doc"))).where((F.col("section") > 0) | (F.col("last") == 0) | F.lit(lossless))
@@ -115,37 +122,48 @@ def topic_boundaries(text: Column, indicators: tuple[str, ...] = INDICATORS) ->
     def step(s: Column, x: Column) -> Column:
         hit = F.lit(False)
         for i in indicators:
-            hit = hit | F.lower(x).contains(i)
-        return F.struct((s["at"] + F.length(x) + 1).alias("at"), F.when(hit & (s["at"] > 0), F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"))
+            hit = hit | x["low"].contains(i)
+        return F.struct((s["at"] + x["n"] + 1).alias("at"), F.when(hit & (s["at"] > 0), F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(sentences(text), start, step, lambda s: s["out"])
+    lowered = F.transform(sentences(text), lambda x: F.struct(F.length(x).alias("n"), F.lower(x).alias("low")))
+    return F.aggregate(lowered, start, step, lambda s: s["out"])
 
 
-def split_at_boundaries(text: Column, boundaries: Column, least: int, keep_short: bool = False) -> Column:
-    """Pieces between boundaries of at least ``least`` characters; a short last one joins the piece before, other short ones are dropped."""
+def _between(text: Column, boundaries: Column) -> Column:
+    """The pieces between boundaries."""
     ends = F.concat(boundaries, F.array(F.length(text)))
     starts = F.concat(F.array(F.lit(0)), boundaries)
-    pieces = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: strip(F.substring(text, x["s"] + 1, x["e"] - x["s"])))
+    return F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: strip(F.substring(text, x["s"] + 1, x["e"] - x["s"])))
+
+
+def _long_enough(text: Column, pieces: Column, least: int, keep_short: bool = False) -> Column:
     long_ = F.filter(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: (F.length(p) >= least) | F.lit(keep_short))
     tail = F.element_at(pieces, -1)
     joined = F.concat(F.slice(long_, 1, F.size(long_) - 1), F.array(F.concat(F.element_at(long_, -1), F.lit(" "), tail)))
     with_tail = F.when(F.length(tail) >= least, F.concat(long_, F.array(tail))).when(F.length(tail) == 0, long_).when(F.size(long_) > 0, joined).otherwise(F.array(text))
-    return F.when((F.size(boundaries) == 0) | (F.size(with_tail) == 0), F.array(text)).otherwise(with_tail)
+    return F.when((F.size(pieces) == 1) | (F.size(with_tail) == 0), F.array(text)).otherwise(with_tail)
+
+
+def split_at_boundaries(text: Column, boundaries: Column, least: int, keep_short: bool = False) -> Column:
+    """Pieces between boundaries of at least ``least`` characters; a short last one joins the piece before, other short ones are dropped."""
+    return _long_enough(text, _between(text, boundaries), least, keep_short)
 
 
 def add_context(chunks: DataFrame, overlap: int = 200) -> DataFrame:
     """``chunks(doc, ord, text, title)`` with ids, overlap from the chunk before, its summary, the position and counts."""
     order = Window.partitionBy("doc").orderBy("ord")
     rows = chunks.withColumns({"before": F.lag("text").over(order), "n": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy("doc"))})
-    tail = F.slice(sentences(F.expr(f"right(before, {overlap})")), -2, 2)
-    last = F.when(F.size(sentences(F.expr(f"right(before, {overlap})"))) < 2, sentences(F.expr(f"right(before, {overlap})"))).otherwise(tail)
-    lead = F.when(F.col("before").isNotNull() & (F.lit(overlap) > 0), F.array_join(last, " "))
-    text = F.when(F.length(lead) > 0, F.concat(lead, F.lit("\n\n"), F.col("text"))).otherwise(F.col("text"))
+    # Sentences are found once for each text: what is used more than once is a column.
+    rows = rows.withColumns({"_tail": sentences(F.expr(f"right(before, {overlap})")), "_before": sentences(F.col("before"))})
+    last = F.when(F.size("_tail") < 2, F.col("_tail")).otherwise(F.slice("_tail", -2, 2))
+    rows = rows.withColumn("_lead", F.when(F.col("before").isNotNull() & (F.lit(overlap) > 0), F.array_join(last, " ")))
+    rows = rows.withColumn("_text", F.when(F.length("_lead") > 0, F.concat("_lead", F.lit("\n\n"), F.col("text"))).otherwise(F.col("text")))
+    text = F.col("_text")
     return rows.select(
         *[c for c in chunks.columns if c not in ("text", "ord")],
         F.concat(F.lit("chunk_"), F.when(F.length(F.col("n").cast("string")) < 3, F.lpad(F.col("n").cast("string"), 3, "0")).otherwise(F.col("n").cast("string"))).alias("id"),
         text.alias("text"),
-        F.coalesce(summary(sentences(F.col("before"))), F.lit("")).alias("previous_chunk_summary"),
+        F.coalesce(summary(F.col("_before")), F.lit("")).alias("previous_chunk_summary"),
         F.when(F.col("all") == 1, 0.0).otherwise((F.col("n") - 1) / F.col("all")).alias("document_position"),
         F.size(sentences(text)).alias("sentence_count"),
         F.size(words(text)).alias("word_count"),
@@ -156,8 +174,10 @@ def chunk_documents(pages: DataFrame, config: ChunkConfig = ChunkConfig()) -> Da
     """The whole chunker over ``pages(doc, page, text)``."""
     pieces = structure_chunks(sections(pages, config), config)
     if config.topic_shifts:
-        cut = split_at_boundaries(F.col("text"), topic_boundaries(F.col("text"), config.indicators), config.min_size)
-        long_ = F.when(F.length("text") > config.min_size * 2, cut).otherwise(F.array("text"))
+        many = F.length("text") > config.min_size * 2
+        pieces = pieces.withColumn("_cuts", F.when(many, topic_boundaries(F.col("text"), config.indicators)))
+        pieces = pieces.withColumn("_between", F.when(many, _between(F.col("text"), F.col("_cuts"))))
+        long_ = F.when(many, _long_enough(F.col("text"), F.col("_between"), config.min_size)).otherwise(F.array("text"))
         pieces = pieces.select("doc", "section", "title", "start_page", "end_page", "piece", F.posexplode(long_).alias("part", "text"))
     else:
         pieces = pieces.withColumn("part", F.lit(0))
