@@ -25,13 +25,17 @@ def valid_entities(entities: DataFrame) -> DataFrame:
     return entities.where(F.col("id").isNotNull() & F.col("type").isNotNull())
 
 
+def once(relations: DataFrame) -> DataFrame:
+    """Each (source, target, type) once, the first; a null type counts as empty."""
+    return first_by(relations.withColumn("type", F.coalesce("type", F.lit(""))), ["source", "target", "type"])
+
+
 def clean_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Relations whose ends exist, each (source, target, type) once, the first; a null type counts as empty."""
     ids = valid_entities(entities).select("id")
-    rels = relations.withColumn("type", F.coalesce("type", F.lit("")))
     # Repeats go before the joins: the rows to shuffle get fewer first.
-    once = first_by(rels, ["source", "target", "type"])
-    kept = once.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    once_ = once(relations)
+    kept = once_.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     return kept.select(*relations.columns)
 
 

@@ -49,8 +49,9 @@ def kg_clean(spark, sf):
 
 
 def kg_renumber(spark, sf):
-    e, r = _ent(spark, sf), _rel(spark, sf)
-    return G.renumber(e, G.clean_relations(e, r))[1].select("source", "target", "type")
+    e, r = _ent(spark, sf).select("id", "type", "ord"), _rel(spark, sf).select("source", "target", "type", "ord")
+    # Relations without both ends are dropped where ends get their new ids.
+    return G.renumber(e, G.once(r))[1].select("source", "target", "type")
 
 
 def kg_renumber_entities(spark, sf):
