@@ -90,6 +90,15 @@ def listed(names: DataFrame, column: str, threshold: Column, ranks: list[str], l
     return rows.where(n > 0).withColumn("_key", F.explode(F.array_distinct(F.concat(F.flatten(F.transform(partners, met)), F.when(plain, rare).otherwise(none)))))
 
 
+def with_partners(names: DataFrame, column: str, threshold: Column, block: list[str]) -> DataFrame:
+    """Those of distinct lower-case ``names`` that another one in the block could be similar to, as far as the lengths of all names tell; ``threshold`` is as in ``similar_pairs``."""
+    names = names.withColumn("_n", F.length(F.lower(column)))
+    sizes = names.groupBy(*block, "_n").agg(F.count("*").alias("_c"))
+    spared = _spared(threshold, F.least("_n", "_m"), F.greatest("_n", "_m"))
+    met = sizes.join(sizes.select(*block, F.col("_n").alias("_m")), block).where((spared >= F.when(F.col("_n") == F.col("_m"), 1).otherwise(0)) & ((F.col("_n") != F.col("_m")) | (F.col("_c") > 1)))
+    return names.join(F.broadcast(met.select(*block, "_n").distinct()), [*block, "_n"], "left_semi").drop("_n")
+
+
 def similar_pairs(new: DataFrame, old: DataFrame, threshold: float | Column, block: list[str] | None = None) -> DataFrame:
     """``(block..., a, b)``: the distinct pairs of ``new(block..., a)`` and ``old(block..., b)`` whose bounds allow ``threshold`` (above 0).
 

@@ -21,19 +21,23 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgloom.functions.text import NAME_FIELD, ratio
 from kgloom.operators.components import connected_components
 from kgloom.operators.graph import ordered_index
 from kgloom.operators.match import Rules, entity_names, matches, plain
 from kgloom.operators.merge import merged_value
-from kgloom.operators.overlap import similar_pairs
+from kgloom.operators.overlap import similar_pairs, with_partners
 from kgloom.sources.scratch import materialize
 
 #: Rows of each signature that a round looks ahead.
 LOOK_AHEAD = 64
+#: JSON as ``attrs_json`` and signatures have it.
+_text = json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
 
 
 def read_by(rules: Rules, kind: str) -> set[str]:
@@ -43,11 +47,13 @@ def read_by(rules: Rules, kind: str) -> set[str]:
     return fields | ({"alias"} if rule.aliases else set())
 
 
-def signature(entity: dict, rules: Rules) -> tuple[str, list[str]]:
-    """What decides an entity's matches, as JSON, and the names that it can be matched by."""
-    kind = rules.kind(entity)
-    own = {k: entity[k] for k in read_by(rules, kind) if k in entity} | {"type": entity["type"]}
-    return json.dumps(own, ensure_ascii=False, sort_keys=True), entity_names(entity, kind, rules.rule(kind))
+def signature(entity: dict, rules: Rules, read: dict[str, set[str]] | None = None) -> tuple[str, list[str]]:
+    """What decides an entity's matches, as JSON, and the names that it can be matched by.  ``read`` keeps ``read_by`` from entity to entity."""
+    kind, read = rules.kind(entity), {} if read is None else read
+    if kind not in read:
+        read[kind] = read_by(rules, kind)
+    own = {k: entity[k] for k in read[kind] if k in entity} | {"type": entity["type"]}
+    return _text(own), entity_names(entity, kind, rules.rule(kind))
 
 
 class Settling:
@@ -200,14 +206,17 @@ def settle(process: Settling, ahead: dict[int, list[int]], whole: dict[int, bool
 
 
 def _signed(entities: DataFrame, rules: Rules) -> DataFrame:
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [signature({**json.loads(a or "{}"), "id": i, "type": t}, rules) for i, t, a in zip(f["id"], f["type"], f["attrs_json"], strict=True)]
-            yield f.assign(sig=[s for s, _ in found], names=[n for _, n in found])
+    """``entities(..., id, type, attrs_json)`` with their signatures ``sig`` and ``names``."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: dict[str, set[str]] = {}
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("id", "type", "attrs_json")), strict=True)
+            found = [signature({**json.loads(a or "{}"), "id": i, "type": t}, rules, read) for i, t, a in rows]
+            more = [pa.array([s for s, _ in found], pa.string()), pa.array([n for _, n in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "sig", "names"])
 
-    schema = "pos long, grp string, at string, id string, type string, attrs_json string, kind string"
-    columns = [c.split(" ")[0] for c in schema.split(", ")]
-    return entities.select(*columns).mapInPandas(sign, f"{schema}, sig string, names array<string>")
+    return entities.mapInArrow(sign, T.StructType([*entities.schema.fields, T.StructField("sig", T.StringType()), T.StructField("names", T.ArrayType(T.StringType()))]))
 
 
 def _threshold(rules: Rules, kinds: list[str]):
@@ -225,14 +234,16 @@ def linked_signatures(signatures: DataFrame, rules: Rules) -> tuple[DataFrame, D
     """
     kinds = sorted({*rules.by_type, *rules.thresholds})
     named = signatures.select("sid", "grp", "kind", F.explode("names").alias("name"))
-    least = materialize(named.groupBy("grp", "kind", "name").agg(F.min("sid").alias("least")), "names")
-    own = named.join(least, ["grp", "kind", "name"]).select(F.col("sid").alias("a"), F.col("least").alias("b"))
+    least = materialize(named.groupBy("grp", "kind", "name").agg(F.min("sid").alias("least"), F.count("*").alias("n")), "names")
+    own = named.join(least.where("n > 1"), ["grp", "kind", "name"]).select(F.col("sid").alias("a"), F.col("least").alias("b"))
 
     @F.pandas_udf("double")
     def either_way(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([max(ratio(x, y), ratio(y, x)) for x, y in zip(a, b, strict=True)])
 
     block = ["grp", "kind"]
+    # Most names are numbers and the like, which only equal ones are similar to: those meet above.
+    least = materialize(with_partners(least, "name", _threshold(rules, kinds), ["kind"]), "partners")
     pairs = similar_pairs(least.select(*block, F.col("name").alias("a")), least.select(*block, F.col("name").alias("b")), _threshold(rules, kinds), block).where("a < b")
     pairs = materialize(pairs.where(either_way("a", "b") >= _threshold(rules, kinds) - 1e-12), "pairs")
     ids = lambda c: least.select(*block, F.col("name").alias(c), F.col("least").alias(f"{c}_id"))
@@ -275,22 +286,24 @@ def _round(sigs: DataFrame, ahead: DataFrame, pairs: DataFrame, state: DataFrame
 
 
 def settled(rows: DataFrame, rules: Rules, documents: bool = False, look_ahead: int = LOOK_AHEAD, base: DataFrame | None = None) -> DataFrame:
-    """``rows`` (of ``_signed``) with the founding row of the entity that each is merged into, as ``founder``.
+    """``rows`` (of ``_signed``, with ``pos``) with the founding row of the entity that each is merged into, as ``founder``; ``single``: the row is known to be its entity's only one.
 
     ``base(sid, grp, kind, sig, names)``: entities that are there already, what their rules read as JSON, numbered before all rows.
     """
     if not rules.same_type:
         raise ValueError("entities of different types meet: use folded")
-    bare = rows.where(F.size("names") == 0).withColumn("founder", F.col("pos"))  # without a name nothing matches
+    key = ["grp", "kind", "sig"]
+    bare = rows.where(F.size("names") == 0).withColumns({"founder": F.col("pos"), "single": F.lit(True)})  # without a name nothing matches
     rows = rows.where(F.size("names") > 0)
-    sigs = rows.groupBy("grp", "kind", "sig").agg(F.min("pos").alias("sid"), F.first("names").alias("names"))
-    sigs = materialize(sigs, "signatures")
-    known = sigs if base is None else sigs.unionByName(base.where(F.size("names") > 0).select(*sigs.columns))
+    sigs = materialize(rows.groupBy(*key, "names").agg(F.min("pos").alias("sid"), F.count("*").alias("times")), "signatures")
+    known = sigs.drop("times")
+    known = known if base is None else known.unionByName(base.where(F.size("names") > 0).select(*known.columns))
     links, pairs = linked_signatures(known, rules)
     parts = connected_components(links)
-    rows = materialize(rows.join(sigs.select("grp", "kind", "sig", "sid"), ["grp", "kind", "sig"]), "rows")
-    open_ = materialize(sigs.select("sid", "sig").join(parts.withColumnRenamed("node", "sid"), "sid"), "open")
+    open_ = materialize(sigs.select(*key, "sid").join(parts.withColumnRenamed("node", "sid"), "sid"), "open")
     pairs = materialize(pairs.join(parts.withColumnRenamed("node", "least"), "least").select("component", "a", "b"), "pairs")
+    # Rows of other signatures need no decision.
+    narrow = materialize(rows.select(*key, "pos").join(open_, key).select("sid", "pos"), "rows")
     spark = rows.sparkSession
     state = spark.createDataFrame([], "component long, state string, position long")
     if base is not None:
@@ -299,7 +312,6 @@ def settled(rows: DataFrame, rules: Rules, documents: bool = False, look_ahead:
         state = there.groupBy("component").agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("state"), F.max("sid").alias("position"))
         state = materialize(state, "state")
     decided = None
-    narrow = rows.select("sid", "pos")
     while True:
         after = narrow.join(open_.select("sid", "component"), "sid").join(state.select("component", "position"), "component", "left").where(F.col("pos") > F.coalesce("position", F.lit(-1)))
         next_ = Window.partitionBy("sid").orderBy("pos")
@@ -312,74 +324,125 @@ def settled(rows: DataFrame, rules: Rules, documents: bool = False, look_ahead:
         if state.isEmpty():
             break
         open_, pairs = (materialize(x.join(state.select("component"), "component", "left_semi"), "open") for x in (open_, pairs))
-    until = F.lead("start").over(Window.partitionBy("sid").orderBy("start", "founder"))
-    spans = materialize(decided.groupBy("sid", "start").agg(F.max("founder").alias("founder")).withColumn("end", until), "spans")
-    alone = rows.join(spans.select("sid").distinct(), "sid", "left_anti").withColumn("founder", F.col("sid"))
-    among = rows.join(spans, "sid").where("pos >= start and (end is null or pos < end)").drop("start", "end")
-    return alone.unionByName(among).drop("sid").unionByName(bare)
+    spans = decided.groupBy("sid", "start").agg(F.max("founder").alias("founder")).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("start", "founder"))).alias("spans"))
+    spans = materialize(spans, "spans")
+    found = rows.drop("names").join(sigs.select(*key, "sid", "times"), key).join(spans, "sid", "left")
+    founder = F.element_at(F.filter("spans", lambda x: x["start"] <= F.col("pos")), -1)["founder"]
+    found = found.withColumn("founder", F.when(F.col("spans").isNull(), F.col("sid")).otherwise(founder)).withColumn("single", F.col("spans").isNull() & (F.col("times") == 1))
+    return found.drop("sid", "times", "spans", "sig").unionByName(bare.drop("names", "sig"))
 
 
 #: Places of values within one row.
 STEP = 1 << 20
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    for b in batches:
+        yield list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _own(attrs: str | None, documents: bool) -> dict[str, str]:
+    """A row's attributes, each as JSON."""
+    return {k: _text(v) for k, v in json.loads(attrs or "{}").items() if k not in ("id", "type") and not (documents and k == "_source_document_ids")}
+
+
 def _values(documents: bool):
-    """``(founder, key, value, pos, at)`` of rows: each attribute as JSON; ``type`` and the row's own document come under keys that no attribute has."""
+    """``(founder, key, value, first, last, at)`` of rows: each attribute as JSON; ``type`` and the row's own document come under keys that no attribute has.
 
-    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for founder, pos, at, kind, attrs in f[["founder", "pos", "at", "type", "attrs_json"]].itertuples(index=False):
-                own = {k: v for k, v in json.loads(attrs or "{}").items() if k not in ("id", "type") and not (documents and k == "_source_document_ids")}
-                founder, pos = founder * STEP, pos * STEP
-                out += [(founder, k, json.dumps(v, ensure_ascii=False, sort_keys=True), pos, at if documents else None) for k, v in own.items()]
-                out.append((founder, "\0type", json.dumps(kind, ensure_ascii=False), pos, None))
-                out.append((founder, "\0at", json.dumps(at, ensure_ascii=False), pos, None))
-            yield pd.DataFrame(out, columns=["founder", "key", "value", "pos", "at"])
+    What repeats within a batch comes once, with its first and last place.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _rows(batches):
+            seen: dict[tuple, list[int]] = {}
+            for founder, pos, at, kind, attrs in rows:
+                pos *= STEP
+                for key, value in [*_own(attrs, documents).items(), ("\0type", _text(kind)), ("\0at", _text(at))]:
+                    place = seen.setdefault((founder * STEP, key, value, at if documents and key[:1] != "\0" else None), [pos, pos])
+                    place[0], place[1] = min(place[0], pos), max(place[1], pos)
+            yield _batch([(f, k, v, first, last, at) for (f, k, v, at), (first, last) in seen.items()], _VALUES)
 
     return explode
 
 
-def _merge_values(documents: bool):
-    """One value for each (founder, key) of its distinct values with their first and last rows."""
+def _object(kind: str, parts: dict[str, str]) -> tuple[str, str]:
+    return kind, "{" + ", ".join(f"{_text(k)}: {parts[k]}" for k in sorted(parts)) + "}"
 
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+
+def _with_document(value: str, at: str | None) -> str:
+    return f'{{"source_doc_id": {_text(at)}, "value": {value}}}'
+
+
+def _sole(documents: bool):
+    """The entities ``_BODY`` that have one row."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _rows(batches):
             out = []
-            for founder, key, found in f[["founder", "key", "found"]].itertuples(index=False):
-                rows = sorted((r["first"], r["value"], r["at"]) for r in found)
-                values = [json.loads(v) for _, v, _ in rows]
-                if key == "\0at":
-                    merged = list(dict.fromkeys(values)) if documents else str(values[0])
-                elif key == "\0type" and documents:
-                    merged = max(values, key=len)
-                elif documents:
-                    merged = [{"value": v, "source_doc_id": at} for v, (_, _, at) in zip(values, rows, strict=True)]
+            for founder, at, kind, attrs in rows:
+                parts = _own(attrs, documents)
+                if documents:
+                    parts = {k: f"[{_with_document(v, at)}]" for k, v in parts.items()} | {"_source_document_ids": f"[{_text(at)}]"}
                 else:
-                    # Each distinct value where it comes first and where it comes last: those between change nothing that the last doesn't.
-                    steps = sorted({(p, r["value"]) for r in found for p in (r["first"], r["last"])})
-                    name = key.removeprefix("\0")
-                    merged = json.loads(steps[0][1]) if steps[0][0] == founder else merged_value(name, None, json.loads(steps[0][1]))
-                    for _, v in steps[1:]:
-                        merged = merged_value(name, merged, json.loads(v))
-                out.append((founder, key, json.dumps(merged, ensure_ascii=False, sort_keys=True)))
-            yield pd.DataFrame(out, columns=["founder", "key", "value"])
+                    parts["_source_page"] = _text(str(at))
+                out.append((founder, *_object(kind, parts)))
+            yield _batch(out, _BODIES)
 
-    return merge
+    return build
 
 
-def _objects(documents: bool):
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+def _merged(founder: int, found: dict[str, dict[tuple, list[int]]], documents: bool) -> tuple[str, str]:
+    """Type and attributes of an entity, of the distinct (value, document) of each key with their first and last places."""
+    parts: dict[str, str] = {}
+    kind = ""
+    for key, places in found.items():
+        rows = sorted((first, *x) for x, (first, _) in places.items())
+        if key == "\0at":
+            docs = list(dict.fromkeys(v for _, v, _ in rows))
+            parts["_source_document_ids" if documents else "_source_page"] = f"[{', '.join(docs)}]" if documents else _text(str(json.loads(docs[0])))
+        elif key == "\0type" and documents:
+            kind = max((json.loads(v) for _, v, _ in rows), key=len)
+        elif documents:
+            parts[key] = f"[{', '.join(_with_document(v, at) for _, v, at in rows)}]"
+        else:
+            # Each distinct value where it comes first and where it comes last: those between change nothing that the last doesn't.
+            steps = sorted({(p, v) for (v, _), ends in places.items() for p in ends})
+            name = key.removeprefix("\0")
+            merged = json.loads(steps[0][1]) if steps[0][0] == founder else merged_value(name, None, json.loads(steps[0][1]))
+            for _, v in steps[1:]:
+                merged = merged_value(name, merged, json.loads(v))
+            if key == "\0type":
+                kind = merged
+            else:
+                parts[key] = _text(merged)
+    return _object(kind, parts)
+
+
+def _merge_values(documents: bool):
+    """``_BODY`` of values that come founder by founder; one entity's distinct values are held at a time."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[tuple, list[int]]] = defaultdict(dict)
+        whose = None
+        for rows in _rows(batches):
             out = []
-            for founder, parts in f[["founder", "parts"]].itertuples(index=False):
-                body = {r["key"]: json.loads(r["value"]) for r in parts}
-                kind, at = body.pop("\0type"), body.pop("\0at")
-                body["_source_document_ids" if documents else "_source_page"] = at
-                out.append((founder, kind, json.dumps(body, ensure_ascii=False, sort_keys=True)))
-            yield pd.DataFrame(out, columns=["founder", "type", "attrs_json"])
+            for founder, key, value, first, last, at in rows:
+                if founder != whose:
+                    if held:
+                        out.append((whose // STEP, *_merged(whose, held, documents)))
+                    held, whose = defaultdict(dict), founder
+                place = held[key].setdefault((value, at), [first, last])
+                place[0], place[1] = min(place[0], first), max(place[1], last)
+            yield _batch(out, _BODIES)
+        if held:
+            yield _batch([(whose // STEP, *_merged(whose, held, documents))], _BODIES)
 
-    return build
+    return merge
 
 
 def _stored_values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -396,7 +459,7 @@ def _stored_values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out.append((pos, key, json.dumps(x["value"], ensure_ascii=False, sort_keys=True), pos + i, x.get("source_doc_id", sole)))
             out.append((pos, "\0type", json.dumps(kind, ensure_ascii=False), pos, None))
             out += [(pos, "\0at", json.dumps(d, ensure_ascii=False), pos + i, None) for i, d in enumerate(docs)]
-        yield pd.DataFrame(out, columns=["founder", "key", "value", "pos", "at"])
+        yield pd.DataFrame([(f, k, v, p, p, at) for f, k, v, p, at in out], columns=["founder", "key", "value", "first", "last", "at"])
 
 
 def _stored_signatures(rules: Rules):
@@ -424,41 +487,51 @@ def merged_into(base: DataFrame, entities: DataFrame, group: str, rules: Rules,
     """
     kind = F.lower(F.substring_index("type", ":", -1))
     old = ordered_index(base.select(F.col(group).cast("string").alias("grp"), F.col("ord").alias("_o"), "id", "type", "n", "attrs_json", kind.alias("kind")), ["grp", "_o"], "sid")
-    old = materialize(old, "base")
     shift = old.count()
     rows = entities.where("type <> ''").select(F.col(group).cast("string").alias("grp"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(at).cast("string").alias("at"), F.col("id").cast("string").alias("id"), "type", "attrs_json", kind.alias("kind"))
-    numbered = ordered_index(rows, ["grp", *(f"_o{i}" for i in range(len(order)))], "pos").withColumn("pos", F.col("pos") + shift)
-    signed = materialize(_signed(numbered, rules), "signed")
+    signed = _numbered(rows, rules, len(order)).withColumn("pos", F.col("pos") + shift)
     used = old.join(signed.select("grp", "kind").distinct(), ["grp", "kind"], "left_semi")
     known = materialize(used.mapInPandas(_stored_signatures(rules), "sid long, grp string, kind string, sig string, names array<string>"), "known")
     rows = materialize(settled(signed, rules, True, look_ahead, known), "founders")
-    joined = rows.groupBy("founder").agg(F.count("*").alias("more"), F.min("grp").alias("grp"))
+    joined = materialize(_heads(rows).withColumnRenamed("n", "more"), "joined")
     touched = materialize(old.join(joined.select(F.col("founder").alias("sid"), "more"), "sid"), "touched")
-    values = rows.select("founder", "pos", "at", "type", "attrs_json").mapInPandas(_values(True), _VALUE)
-    values = values.unionByName(touched.select(F.col("sid").alias("founder"), "type", "attrs_json").mapInPandas(_stored_values, _VALUE))
-    bodies = _bodies(values, True)
+    stored = touched.select(F.col("sid").alias("founder"), "type", "attrs_json").mapInPandas(_stored_values, _VALUE)
+    bodies = materialize(_bodies(rows, True, stored), "bodies")
     again = touched.join(bodies.withColumnsRenamed({"founder": "sid", "type": "t", "attrs_json": "a"}), "sid").select("grp", F.col("_o").alias("ord"), "id", F.col("t").alias("type"), (F.col("n") + F.col("more")).alias("n"), F.col("a").alias("attrs_json"), F.lit(True).alias("touched"))
     same = old.join(touched.select("sid"), "sid", "left_anti").select("grp", F.col("_o").alias("ord"), "id", "type", "n", "attrs_json", F.lit(False).alias("touched"))
-    fresh = ordered_index(joined.where(F.col("founder") > shift).join(bodies, "founder"), ["grp", "founder"], "_i")
+    fresh = ordered_index(joined.where(F.col("founder") > shift), ["grp", "founder"], "_i")
     first = fresh.groupBy("grp").agg((F.min("_i") - 1).alias("_before")).join(old.groupBy("grp").agg(F.count("*").alias("_base")), "grp", "left")
     fresh = fresh.join(first, "grp").withColumn("ord", F.col("_i") - F.col("_before") - 1 + F.coalesce("_base", F.lit(0)))
-    fresh = materialize(fresh.select("grp", "ord", F.concat(F.lit("e"), (F.col("ord") + 1).cast("string")).alias("id"), "type", F.col("more").alias("n"), "attrs_json", "founder"), "fresh")
+    fresh = materialize(fresh.join(bodies, "founder").select("grp", "ord", F.concat(F.lit("e"), (F.col("ord") + 1).cast("string")).alias("id"), "type", F.col("more").alias("n"), "attrs_json", "founder"), "fresh")
     ids = fresh.select("founder", F.col("id").alias("new_id")).unionByName(touched.select(F.col("sid").alias("founder"), F.col("id").alias("new_id")))
     went = rows.groupBy("grp", "at", F.col("id").alias("old_id")).agg(F.max_by("founder", "pos").alias("founder")).join(ids, "founder")
     kept = again.unionByName(same).unionByName(fresh.drop("founder").withColumn("touched", F.lit(True)))
     return kept.withColumnRenamed("grp", group), went.select(F.col("grp").alias(group), "at", "old_id", F.col("new_id").alias("id"))
 
 
-_VALUE = "founder long, key string, value string, pos long, at string"
+_VALUE = "founder long, key string, value string, first long, last long, at string"
+_VALUES = pa.schema([("founder", pa.int64()), ("key", pa.string()), ("value", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("at", pa.string())])
+_BODY = "founder long, type string, attrs_json string"
+_BODIES = pa.schema([("founder", pa.int64()), ("type", pa.string()), ("attrs_json", pa.string())])
+
+
+def _numbered(rows: DataFrame, rules: Rules, orders: int) -> DataFrame:
+    """Signed rows, ``pos`` being their place in the order of ``grp`` and ``_o0``, ``_o1``, ...  They are signed first: dealing by ranges reads its rows twice."""
+    return ordered_index(materialize(_signed(rows, rules), "signed"), ["grp", *(f"_o{i}" for i in range(orders))], "pos").drop(*(f"_o{i}" for i in range(orders)))
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """``(founder, n, grp, first_at)`` of the entities of ``settled`` rows."""
+    alone = rows.where("single").select("founder", F.lit(1).cast("long").alias("n"), "grp", F.col("at").alias("first_at"))
+    return alone.unionByName(rows.where("not single").groupBy("founder").agg(F.count("*").alias("n"), F.min("grp").alias("grp"), F.min_by("at", "pos").alias("first_at")))
 
 
-def _bodies(values: DataFrame, documents: bool) -> DataFrame:
-    """``(founder, type, attrs_json)`` of all values: distinct ones first, then one value for each attribute, then the entity."""
-    distinct = values.groupBy("founder", "key", "value", "at").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    found = distinct.groupBy("founder", "key").agg(F.collect_list(F.struct("first", "last", "value", "at")).alias("found"))
-    merged = found.mapInPandas(_merge_values(documents), "founder long, key string, value string")
-    parts = merged.groupBy("founder").agg(F.collect_list(F.struct("key", "value")).alias("parts"))
-    return parts.mapInPandas(_objects(documents), "founder long, type string, attrs_json string").withColumn("founder", F.expr(f"founder div {STEP}"))
+def _bodies(rows: DataFrame, documents: bool, more: DataFrame | None = None) -> DataFrame:
+    """``_BODY`` of ``settled`` rows and of ``more`` values (``_VALUE``): an entity's only row is made into it where it lies, and only values of other rows are brought together."""
+    values = rows.where("not single").select("founder", "pos", "at", "type", "attrs_json").mapInArrow(_values(documents), _VALUE)
+    values = values if more is None else values.unionByName(more)
+    merged = values.repartition("founder").sortWithinPartitions("founder").mapInArrow(_merge_values(documents), _BODY)
+    return rows.where("single").select("founder", "at", "type", "attrs_json").mapInArrow(_sole(documents), _BODY).unionByName(merged)
 
 
 def merged_across(entities: DataFrame, group: str, rules: Rules, at: str, order: tuple[str, ...] = ("ord",), documents: bool = False, look_ahead: int = LOOK_AHEAD) -> tuple[DataFrame, DataFrame]:
@@ -466,18 +539,15 @@ def merged_across(entities: DataFrame, group: str, rules: Rules, at: str, order:
 
     ``entities(group, order..., at, id, type, attrs_json)`` to ``(group, ord, id, type, n, attrs_json, first_at)``, ids being e1, e2, ... within the group in the order of the founding rows, and to
     ``(group, at, old_id, id)``.  ``order`` is an order of all rows of a group; of rows that tie the order is fixed once.  Rows without a type are left out; those without a name merge with none.
-    Where one ``at`` has an id twice, it went where its last row went.  A task holds the signatures of a component of similar names, and the distinct values of one attribute of one entity.
+    Where one ``at`` has an id twice, it went where its last row went.  A task holds the signatures of a component of similar names, and the distinct values of one entity.
     """
     kind = F.lower(F.substring_index("type", ":", -1))
     rows = entities.where("type <> ''").select(F.col(group).cast("string").alias("grp"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(at).cast("string").alias("at"), F.col("id").cast("string").alias("id"), "type", "attrs_json", kind.alias("kind"))
-    numbered = ordered_index(rows, ["grp", *(f"_o{i}" for i in range(len(order)))], "pos")
-    rows = materialize(settled(materialize(_signed(numbered, rules), "signed"), rules, documents, look_ahead), "founders")
-    bodies = _bodies(rows.select("founder", "pos", "at", "type", "attrs_json").mapInPandas(_values(documents), _VALUE), documents)
-    heads = rows.groupBy("founder").agg(F.count("*").alias("n"), F.min("grp").alias(group), F.min_by("at", "pos").alias("first_at"))
-    kept = ordered_index(heads.join(bodies, "founder"), [group, "founder"], "_i")
-    before = kept.groupBy(group).agg((F.min("_i") - 1).alias("_before"))
-    kept = kept.join(before, group).withColumn("ord", F.col("_i") - F.col("_before") - 1)
-    kept = materialize(kept.select(group, "ord", F.concat(F.lit("e"), (F.col("ord") + 1).cast("string")).alias("id"), "type", "n", "attrs_json", "first_at", "founder"), "merged")
+    rows = materialize(settled(_numbered(rows, rules, len(order)), rules, documents, look_ahead), "founders")
+    heads = ordered_index(_heads(rows).withColumnRenamed("grp", group), [group, "founder"], "_i")
+    before = heads.groupBy(group).agg((F.min("_i") - 1).alias("_before"))
+    heads = heads.join(before, group).withColumn("ord", F.col("_i") - F.col("_before") - 1).withColumn("id", F.concat(F.lit("e"), (F.col("ord") + 1).cast("string")))
+    kept = materialize(heads.join(_bodies(rows, documents), "founder").select(group, "ord", "id", "type", "n", "attrs_json", "first_at"), "merged")
     went = rows.groupBy("grp", "at", F.col("id").alias("old_id")).agg(F.max_by("founder", "pos").alias("founder"))
-    went = went.join(kept.select("founder", "id"), "founder").select(F.col("grp").alias(group), "at", "old_id", "id")
-    return kept.drop("founder"), went
+    went = went.join(heads.select("founder", F.col("id").alias("new_id")), "founder").select(F.col("grp").alias(group), "at", "old_id", F.col("new_id").alias("id"))
+    return kept, went
