@@ -43,95 +43,150 @@ def weak_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _distances(roots: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(root, id, d)``: steps from each of ``roots(id)`` to all it reaches over ``pairs(source, target)`` in both directions, a level at a time.
+#: Roots that are searched from side by side, a bit each; neighbours in one list.
+ROOTS, LIST = 512, 4096
 
-    Neighbours of a level are in it, the one before or the next, so only two levels are looked at.  Levels are small in files and large in
-    memory, so joins are by sort, never by a broadcast that a file's size allows.
-    """
-    seen = front = last = materialize(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("d")), "seen")
-    step = 0
-    while True:
-        step += 1
-        reached = front.hint("merge").join(pairs.hint("merge"), front.id == pairs.source).select("root", F.col("target").alias("id")).distinct()
-        known = last.unionByName(front).select("root", "id")
-        new = materialize(reached.hint("merge").join(known.hint("merge"), ["root", "id"], "left_anti").withColumn("d", F.lit(step)), "front")
-        if not new.limit(1).count():
-            return seen
-        seen, last, front = seen.unionByName(new), front, new
+
+def _hashed(edges: DataFrame) -> DataFrame:
+    """``(a, b)``: each pair of joined nodes once, by a number for each id that no other id has (a hash, under another seed should two ids share one)."""
+    edges = edges.select("source", "target").where("source <> target")
+    ids = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    for seed in range(64):
+        number = lambda c: F.xxhash64(F.lit(seed), F.col(c))  # noqa: B023, E731
+        if not ids.groupBy(number("id").alias("n")).count().where("count > 1").limit(1).count():
+            ends = number("source"), number("target")
+            return materialize(edges.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct(), "pairs")
+    raise RuntimeError("ids share hashes under 64 seeds")
 
 
-def _strip_trees(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The core of a connected graph: ``(id, h)``, its pairs, and the longest path among what was stripped.
+def _strip_trees(pairs: DataFrame) -> DataFrame:
+    """``(id, n, h, low, size)`` of the nodes that are left when trees are taken off: neighbours left, and of the trees that hung there the height, the longest path and the nodes.
 
-    Leaves are taken off round by round until none is left; ``h`` is the height of the trees that hung at a node.  A leaf of round r has
-    height r - 1, as the round before took its last child, so counts of leaves are all that a node needs, however many hang there.
+    Leaves are taken off round by round until none is left.  A node keeps the number of its neighbours and their exclusive or, which is a leaf's only neighbour, so rounds
+    don't read the pairs.  A leaf of round r has height r - 1, as the round before took its last child.  Of two nodes that are left the lesser stays.
     """
-    nodes, low, height = materialize(nodes.select("id", F.lit(0).alias("h")), "nodes"), 0, 0
-    while True:
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
+    nodes = both.groupBy(F.col("p.a").alias("id")).agg(F.count("*").alias("n"), F.bit_xor("p.b").alias("x"))
+    nodes = materialize(nodes.withColumns({"h": F.lit(0), "low": F.lit(0), "size": F.lit(1).cast("long")}), "nodes")
+    height = 0
+    while nodes.where("n = 1").limit(1).count():
         height += 1
-        ends = materialize(pairs.groupBy("source").agg(F.count("*").alias("n"), F.min("target").alias("at")).where("n = 1").select("source", "at"), "leaves")
-        # Of two nodes that are left the lesser stays.
-        mutual = ends.select(F.col("source").alias("at"), F.col("at").alias("source"), F.lit(True).alias("mutual"))
-        leaves = ends.join(mutual, ["source", "at"], "left").where("mutual IS NULL OR source > at").select(F.col("source").alias("id"), "at")
-        leaves = materialize(leaves, "leaves")
-        if not leaves.limit(1).count():
-            return nodes, pairs, low
-        grown = leaves.groupBy(F.col("at").alias("id")).agg(F.count("*").alias("n"))
-        step = nodes.join(leaves.select("id"), "id", "left_anti").join(grown, "id", "left")
-        path = F.when(F.col("n") > 1, 2 * height).when(F.col("n") == 1, F.col("h") + height)
-        step = materialize(step.select("id", F.when(F.col("n").isNull(), F.col("h")).otherwise(height).alias("h"), path.alias("path")), "nodes")
-        low = max(low, step.agg(F.max("path")).first()[0] or 0)
-        nodes = step.select("id", "h")
-        for end in ("source", "target"):
-            pairs = pairs.join(leaves.select(F.col("id").alias(end)), end, "left_anti")
-        pairs = materialize(pairs.select("source", "target"), "pairs")
-
-
-def diameter(vertices: DataFrame, edges: DataFrame, max_pairs: int = 20_000_000) -> DataFrame:
+        leaves = nodes.where("n = 1").select(F.col("x").alias("at"), F.col("id").alias("leaf"), F.col("low").alias("under"), F.col("size").alias("more"))
+        grown = leaves.groupBy(F.col("at").alias("id")).agg(F.count("*").alias("k"), F.bit_xor("leaf").alias("gone"), F.max("under").alias("under"), F.sum("more").alias("more"))
+        step = nodes.join(grown, "id", "left").where("n <> 1 OR (k IS NOT NULL AND id < x)")
+        path = F.when(F.col("k") > 1, 2 * height).when(F.col("k") == 1, F.col("h") + height)
+        none = F.lit(0).cast("long")
+        step = step.select(
+            "id",
+            (F.col("n") - F.coalesce("k", none)).alias("n"),
+            F.col("x").bitwiseXOR(F.coalesce("gone", none)).alias("x"),
+            F.when(F.col("k").isNull(), F.col("h")).otherwise(height).alias("h"),
+            F.greatest("low", "under", path).alias("low"),
+            (F.col("size") + F.coalesce("more", none)).alias("size"),
+        )
+        nodes = materialize(step, "nodes")
+    return nodes.drop("x")
+
+
+def _neighbours(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(id, near)``: the neighbours of each of ``nodes(id, n)`` that are left, in lists of about ``LIST``, so a hub has many."""
+    left = nodes.where("n > 1").select("id", "n")
+    for end in ("a", "b"):
+        pairs = pairs.join(left.toDF(end, f"n{end}").hint("shuffle_hash"), end)
+    ways = [F.struct(F.col(x).alias("id"), F.col(f"n{x}").alias("n"), F.col(y).alias("to")) for x, y in ("ab", "ba")]
+    rows = pairs.select(F.explode(F.array(*ways)).alias("p")).select("p.*")
+    part = F.pmod(F.col("to"), F.ceil(F.col("n") / LIST))
+    return materialize(rows.groupBy("id", part.alias("part")).agg(F.collect_list("to").alias("near")).drop("part"), "near")
+
+
+def _search(roots: list, lists: DataFrame, heights: DataFrame) -> tuple[list[int], DataFrame]:
+    """From all ``roots(id, h)`` at once, a level at a time: the longest path from each, heights at both ends included, and ``(id, h, d)`` of what is reached.
+
+    A node holds a bit for each root, and an edge passes them on together.  Neighbours of a level are in it, the one before or the next, so only two levels are looked at.
+    """
+    spark = lists.sparkSession
+    bits = [f"w{i}" for i in range(-(-len(roots) // 64))]
+    word = lambda j, i: (1 << j % 64) - (1 << 64 if j % 64 == 63 else 0) if j // 64 == i else 0
+    rows = [(r["id"], r["h"], *(word(j, i) for i in range(len(bits)))) for j, r in enumerate(roots)]
+    front = spark.createDataFrame(rows, "id long, h int, " + ", ".join(f"{w} long" for w in bits))
+    seen, known, size = front.select("id", "h", F.lit(0).alias("d")), front, len(rows)
+    heights = heights.select("id", "h", F.lit(True).alias("old"), *(F.lit(0).cast("long").alias(w) for w in bits))
+    longest, step = [r["h"] for r in roots], 0
+    while size:
+        step += 1
+        # Built from few rows only, whatever their files' size.
+        by = F.broadcast(front) if size * len(bits) <= 50_000 else front.hint("shuffle_hash")
+        sent = lists.join(by, "id").select(F.explode("near").alias("id"), F.lit(None).cast("int").alias("h"), F.lit(False).alias("old"), *bits)
+        rows = sent.unionByName(known.select("id", "h", F.lit(True).alias("old"), *bits)).unionByName(heights)
+        of = lambda w, old: F.coalesce(F.bit_or(F.when(F.col("old") == old, F.col(w))), F.lit(0).cast("long"))
+        new = rows.groupBy("id").agg(F.coalesce(F.max("h"), F.lit(0)).alias("h"), *(of(w, False).bitwiseAND(F.bitwise_not(of(w, True))).alias(w) for w in bits))
+        new = materialize(new.where(" OR ".join(f"{w} <> 0" for w in bits)), "front")
+        found = new.groupBy("h").agg(F.count("*").alias("n"), *(F.bit_or(w).alias(w) for w in bits)).collect()
+        for row in found:
+            for j, r in enumerate(roots):
+                if row[f"w{j // 64}"] >> j % 64 & 1:
+                    longest[j] = max(longest[j], r["h"] + step + row["h"])
+        seen, known, front, size = seen.unionByName(new.select("id", "h", F.lit(step).alias("d"))), front.unionByName(new), new, sum(r["n"] for r in found)
+    return longest, seen
+
+
+def _longest(pairs: DataFrame, roots: int) -> int | None:
+    """The diameter of the component that holds more than half of all nodes; None if there is no such component."""
+    nodes = _strip_trees(pairs)
+    row = nodes.agg(F.sum("size").alias("all"), F.max_by(F.struct("id", "h"), F.struct("size", "id")).alias("at")).first()
+    if row["all"] is None:
+        return 0
+    lists, heights = _neighbours(nodes, pairs), materialize(nodes.where("h > 0").select("id", "h"), "heights")
+
+    def levels(root) -> DataFrame:
+        seen = _search([root], lists, heights)[1]
+        return materialize(seen.select("id", "h", "d", (F.col("d") + F.col("h")).alias("out")), "levels")
+
+    def narrow(around: DataFrame, low: int, at_once: int, batches: int | None = None) -> tuple[int, bool]:
+        """The bound after searches from the outermost nodes inwards, and whether no node is left that could raise it."""
+        rest = around
+        while True:
+            batch = rest.where(F.col("out") * 2 > low).orderBy(F.desc("out"), "id").limit(at_once).collect()
+            if not batch or batches == 0:
+                return low, not batch
+            low = max(low, *_search(batch, lists, heights)[0])
+            last, batches = batch[-1], None if batches is None else batches - 1
+            rest = around.where((F.col("out") < last["out"]) | ((F.col("out") == last["out"]) & (F.col("id") > last["id"])))
+
+    farthest = lambda around: around.orderBy(F.desc("out"), "id").first()
+    around = levels(row["at"])
+    within = nodes.join(around.select("id"), "id", "left_semi").agg(F.sum("size").alias("n"), F.max("low").alias("low")).first()
+    if 2 * within["n"] <= row["all"]:
+        return None
+    if not within["n"] or around.limit(2).count() == 1:
+        return within["low"]
+    low, met = narrow(around, within["low"], min(roots, 64), 1)
+    if met:
+        return low
+    start = farthest(around)
+    from_a = levels(start)
+    end = farthest(from_a.where(F.col("id") != start["id"]))
+    low = max(low, start["h"] + end["out"])
+    at = min(max((start["h"] + end["out"]) // 2 - start["h"], 0), end["d"])
+    middle = from_a.where(F.col("d") == at).select("id", "h").join(levels(end).where(F.col("d") == end["d"] - at).select("id"), "id").orderBy("id").first()
+    return narrow(levels(middle), low, roots)[0]
+
+
+def diameter(vertices: DataFrame, edges: DataFrame, roots: int = ROOTS) -> DataFrame:
     """``(diameter)`` of the largest weak component (the first by id of equals), exact at any size; 0 for no vertices.
 
     Trees that hang at the rest are stripped first and count by their height, so a path is long by its steps in the core and the heights at
-    both ends.  Two searches give a lower bound and a node in the middle; twice a node's distance from there, height included, bounds all
-    paths between nodes no farther out, so paths are computed from the outermost nodes inwards until the bounds meet.  Roots go in batches
-    of at most about ``max_pairs`` (root, node) rows, which bounds memory, not the work: a core whose bounds meet late costs up to all pairs.
+    both ends.  Twice a node's distance from another, height included, bounds all paths between nodes no farther out, so searches go
+    from the outermost nodes inwards until the bounds meet: at first around the node that the largest trees hang at, and if one batch isn't enough, around a node in the middle
+    of a long path.  ``roots`` are searched from at once, which bounds memory, not the work: a core whose bounds meet late costs up to all pairs.
     """
-    labels = materialize(weak_components(vertices, edges), "components")
-    row = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").first()
-    if row is None:
-        return vertices.sparkSession.createDataFrame([(0,)], "diameter int")
-    nodes = labels.where(F.col("component") == row["component"]).select("id")
-    pairs = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct()
-    pairs = materialize(pairs.join(nodes.withColumnRenamed("id", "source"), "source", "left_semi"), "pairs")
-    nodes, pairs, low = _strip_trees(nodes, pairs)
-    count = nodes.count()
-    root_heights = nodes.select(F.col("id").alias("root"), F.col("h").alias("root_h"))
-
-    def paths(d: DataFrame) -> DataFrame:
-        """Distances from roots to all but themselves, with both heights counted as ``length``."""
-        return d.where("root <> id").join(nodes, "id").join(root_heights, "root").select("root", "id", "d", "root_h", (F.col("root_h") + F.col("d") + F.col("h")).alias("length"))
-
-    def farthest(d: DataFrame):
-        return paths(d).agg(F.min_by(F.struct("root", "id", "d", "root_h", "length"), F.struct(-F.col("length"), "id")).alias("x")).first()["x"]
-
-    start = farthest(_distances(nodes.orderBy("id").limit(1), pairs))
-    if start is not None:
-        from_a = _distances(nodes.where(F.col("id") == start["id"]), pairs)
-        end = farthest(from_a)
-        low = max(low, end["length"])
-        at = min(max(end["length"] // 2 - end["root_h"], 0), end["d"])
-        from_b = _distances(nodes.where(F.col("id") == end["id"]), pairs)
-        middle = from_a.where(F.col("d") == at).select("id").join(from_b.where(F.col("d") == end["d"] - at).select("id"), "id").orderBy("id").limit(1)
-        levels = _distances(materialize(middle, "middle"), pairs).join(nodes, "id").select("id", (F.col("d") + F.col("h")).alias("out"))
-        levels = materialize(levels, "levels")
-        sizes = {r["out"]: r["n"] for r in levels.groupBy("out").agg(F.count("*").alias("n")).collect()}
-        for out in sorted(sizes, reverse=True):
-            batches = -(-sizes[out] * count // max_pairs)
-            for i in range(batches):
-                if 2 * out > low:
-                    part = levels.where((F.col("out") == out) & (F.pmod(F.xxhash64("id"), F.lit(batches)) == i))
-                    low = max(low, paths(_distances(part, pairs)).agg(F.max("length")).first()[0] or 0)
-    return vertices.sparkSession.createDataFrame([(low,)], "diameter int")
+    found = _longest(_hashed(edges), roots)
+    if found is None:
+        labels = materialize(weak_components(vertices, edges), "components")
+        row = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").first()
+        inside = labels.where(F.col("component") == row["component"]).select(F.col("id").alias("source"))
+        found = _longest(_hashed(edges.join(inside, "source", "left_semi")), roots)
+    return vertices.sparkSession.createDataFrame([(found,)], "diameter int")
 
 
 def compliance_parts(vertices: DataFrame, edges: DataFrame, attributes: DataFrame, onto: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -110,6 +110,50 @@ def test_diameter_against_all_pairs(spark):
         assert E.diameter(v, ed).first()[0] == max(w for x, w in worst.items() if sizes[x] == best)
 
 
+def _all_pairs(edges):
+    """The diameter of the largest component, the first by id of equals."""
+    near = {}
+    for x, y in edges:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    found = []
+    for x in sorted(near):
+        d, level = {x: 0}, [x]
+        while level:
+            level = [z for y in level for z in near[y] if z not in d and d.setdefault(z, d[y] + 1)]
+        found.append((-len(d), min(d), max(d.values())))
+    best = min(f[:2] for f in found)
+    return max(f[2] for f in found if f[:2] == best)
+
+
+@pytest.mark.parametrize("kind", ["ring", "grid", "equal", "many"])
+def test_diameter_by_bits(spark, monkeypatch, kind):
+    """Roots are bits of a row, not rows: a ring is searched from all of its nodes in batches of 70, and no front has more rows than nodes; components may be equal, or none hold half of the nodes."""
+    rng = random.Random(5)
+    ring = lambda k, n: [(f"{k}{i:03}", f"{k}{(i + 1) % n:03}") for i in range(n)]
+    tree = lambda k, n: [(f"{k}{i:03}", f"{k}{rng.randrange(i):03}") for i in range(1, n)]
+    edges = {
+        "ring": ring("a", 91),
+        "grid": [(f"{i}-{k}", f"{i + x}-{k + 1 - x}") for i in range(5) for k in range(5) for x in (0, 1)] + [(f"{i}-{i}", f"t{i}") for i in range(6)],
+        "equal": ring("c", 8) + ring("b", 8)[:-1] + tree("d", 5),
+        "many": tree("e", 6) + ring("f", 7) + tree("g", 7) + [("g000", "h0"), ("h0", "h1")],
+    }[kind]
+    fronts, write = [], E.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "front":
+            fronts.append(out.count())
+        return out
+
+    monkeypatch.setattr(E, "materialize", counted)
+    names = sorted({x for e in edges for x in e} | {"alone"})
+    v = spark.createDataFrame([(n,) for n in names], "id string")
+    ed = spark.createDataFrame([*edges, *((y, x) for x, y in edges[::2]), ("alone", "alone"), (None, "x")], "source string, target string")
+    assert E.diameter(v, ed, roots=70).first()[0] == _all_pairs(edges)
+    assert max(fronts, default=0) <= len(names)
+
+
 def test_last_edge_wins(spark):
     e = spark.createDataFrame([("a", "p:A", 1)], "id string, type string, ord long")
     r = spark.createDataFrame([("a", "b", "p:x", 1), ("a", "b", "p:y", 2)], "source string, target string, type string, ord long")
