@@ -6,6 +6,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -194,13 +195,69 @@ def alike(a: str | None, b: str | None, least: float) -> bool:
     return SequenceMatcher(None, a, b).ratio() >= least
 
 
+#: Letters of the longest names that are compared many at once; pairs in a block of them.
+SHORT, BLOCK = 64, 4096
+
+
+def _codes(texts: list[str], sizes: np.ndarray) -> np.ndarray:
+    """Code points, a column for each text."""
+    width = int(sizes.max())
+    return np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width).T
+
+
+def _windows(codes: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, none: int) -> np.ndarray:
+    """The letters from ``low`` to ``high`` of the texts ``rows``, and ``none`` beyond."""
+    at = np.arange(int((high - low).max()))[:, None] + low
+    return np.where(at < high, codes[np.minimum(at, codes.shape[0] - 1), rows], np.uint32(none))
+
+
+def _matched(a: list[str], b: list[str]) -> np.ndarray:
+    """Matched letters of pairs of at most ``SHORT`` letters, as SequenceMatcher counts them: the longest block, the first of equals in ``a`` and then in ``b``, then those left and right of it."""
+    la, lb = (np.array([len(x) for x in side]) for side in (a, b))
+    ca, cb, out = _codes(a, la), _codes(b, lb), np.zeros(len(a), dtype=np.int64)
+    rows, a0, a1, b0, b1 = np.arange(len(a)), np.zeros_like(la), la, np.zeros_like(lb), lb
+    while rows.size:
+        x, y = _windows(ca, rows, a0, a1, 0xFFFFFFFF), _windows(cb, rows, b0, b1, 0xFFFFFFFE)
+        # A run's length counts 256 and its end in b, from the back, 1, so the greatest is the longest and first.
+        back = np.arange(255, 255 - len(y), -1, dtype=np.uint16)[:, None]
+        run, best, end = np.zeros((len(y) + 1, rows.size), dtype=np.uint16), np.zeros(rows.size, dtype=np.uint16), np.zeros_like(rows)
+        for i in range(len(x)):
+            run[1:] = (run[:-1] + np.uint16(256)) * (y == x[i])
+            top = (run[1:] + back).max(axis=0)
+            more = (top >> 8) > (best >> 8)
+            best, end = np.where(more, top, best), np.where(more, i, end)
+        size = (best >> 8).astype(np.int64)
+        np.add.at(out, rows, size)
+        i, k = a0 + end + 1 - size, b0 + 255 - (best & 255).astype(np.int64) + 1 - size
+        left, right = (size > 0) & (i > a0) & (k > b0), (size > 0) & (i + size < a1) & (k + size < b1)
+        parts = ((rows[left], a0[left], i[left], b0[left], k[left]), (rows[right], (i + size)[right], a1[right], (k + size)[right], b1[right]))
+        rows, a0, a1, b0, b1 = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return out
+
+
+def ratios(a: list[str | None], b: list[str | None]) -> np.ndarray:
+    """``ratio`` of many pairs: short ones together, of others each distinct pair once."""
+    low = [(x.lower(), y.lower()) if x and y else None for x, y in zip(a, b, strict=True)]
+    out, seen = np.zeros(len(low)), {}
+    short: dict[int, list[int]] = {}
+    for i, pair in enumerate(low):
+        if pair and all(pair):
+            most = max(len(pair[0]), len(pair[1]))
+            if most <= SHORT:
+                short.setdefault(most // 16, []).append(i)
+            else:
+                if pair not in seen:
+                    seen[pair] = ratio(*pair)
+                out[i] = seen[pair]
+    for rows in short.values():
+        for at in range(0, len(rows), BLOCK):
+            part = rows[at : at + BLOCK]
+            x, y = [low[i][0] for i in part], [low[i][1] for i in part]
+            out[part] = 2.0 * _matched(x, y) / np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)])
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """``ratio`` of (new, candidate), by batches; each distinct pair of a batch is compared once."""
-    seen: dict[tuple, float] = {}
-    out = []
-    for pair in zip(a, b, strict=True):
-        if pair not in seen:
-            seen[pair] = ratio(*pair)
-        out.append(seen[pair])
-    return pd.Series(out)
+    """``ratio`` of (new, candidate), by batches."""
+    return pd.Series(ratios(list(a), list(b)))

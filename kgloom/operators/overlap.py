@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.functions.text import length_bound, multiset_bound, numbered, runs_bound
+from kgloom.functions.text import SHORT, length_bound, multiset_bound, numbered, runs_bound, similarity
 from kgloom.sources.scratch import materialize
 
 #: Numbered characters with a rank by their frequency; all others count as rarer.
 RANKED = 256
+#: Names whose pairs share a partition.
+PART_NAMES = 8192
 _EPS = 1e-9
 
 
@@ -99,24 +101,47 @@ def with_partners(names: DataFrame, column: str, threshold: Column, block: list[
     return names.join(F.broadcast(met.select(*block, "_n").distinct()), [*block, "_n"], "left_semi").drop("_n")
 
 
+def met_pairs(new: DataFrame, old: DataFrame, threshold: float | Column, block: list[str] | None = None, only: Column | None = None) -> DataFrame:
+    """``(block..., a, b)``: the distinct pairs of ``similar_pairs`` before its bounds; of ``only`` those that it holds for, which leaves the others out where they meet."""
+    block = block or []
+    least = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    a, b = new.select(*block, "a").where("a <> ''").distinct(), old.select(*block, "b").where("b <> ''").distinct()
+    ranks = frequent(b.select("b"), "b")
+    sizes = lambda names, c: {r["n"]: r["count"] for r in names.groupBy(F.length(F.lower(F.col(c))).alias("n")).count().collect()}  # noqa: E731  a row for each length
+    in_a, in_b = sizes(a, "a"), sizes(b, "b")
+    parts = max(int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(in_a.values()) // PART_NAMES))
+    # Names are few bytes and their lists many, so they keep their partitions too, and lists are never broadcast by the names' size.
+    left = listed(a.repartition(parts, "a"), "a", least, ranks, list(in_b), True).withColumnRenamed("_len", "_la")
+    right = listed(b.repartition(parts, "b"), "b", least, ranks, list(in_a), False).withColumnRenamed("_len", "_lb").hint("merge")
+    near = 2.0 * F.least("_la", "_lb") >= (least - _EPS) * (F.col("_la") + F.col("_lb"))
+    met = left.join(right, [*block, "_key"]).where(near if only is None else near & only).select(*block, "a", "b")
+    # Pairs are few bytes and much work, so they keep their partitions, which make them distinct as well and are more for more names.
+    return met.repartition(parts, "a", "b").distinct()
+
+
 def similar_pairs(new: DataFrame, old: DataFrame, threshold: float | Column, block: list[str] | None = None) -> DataFrame:
     """``(block..., a, b)``: the distinct pairs of ``new(block..., a)`` and ``old(block..., b)`` whose bounds allow ``threshold`` (above 0).
 
     ``threshold`` may be an expression of the block's columns.  Cases don't count.  A list's pairs are joined where it lies and may be split by adaptive execution; each
     pair is checked once, however many lists it is in.
     """
-    block = block or []
     least = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    a, b = new.select(*block, "a").where("a <> ''").distinct(), old.select(*block, "b").where("b <> ''").distinct()
-    ranks = frequent(b.select("b"), "b")
-    lengths = lambda names, c: [r["n"] for r in names.select(F.length(F.lower(F.col(c))).alias("n")).distinct().collect()]  # noqa: E731  a row for each length
-    left = listed(a, "a", least, ranks, lengths(b, "b"), True).withColumnRenamed("_len", "_la")
-    right = listed(b, "b", least, ranks, lengths(a, "a"), False).withColumnRenamed("_len", "_lb")
-    near = 2.0 * F.least("_la", "_lb") >= (least - _EPS) * (F.col("_la") + F.col("_lb"))
-    met = left.join(right, [*block, "_key"]).where(near).select(*block, "a", "b").distinct()
-    # Pairs are few bytes and much work, so they keep their partitions; and they are written, as the optimizer would move the bounds below ``distinct``, into the join, to be
-    # computed once for each list that a pair is in.
-    met = materialize(met.repartition(int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b"), "met")
+    # They are written, as the optimizer would move the bounds below ``distinct``, into the join, to be computed once for each list that a pair is in.
+    met = materialize(met_pairs(new, old, threshold, block), "met")
     a, b = F.col("a"), F.col("b")
     bounds = [length_bound(a, b), multiset_bound(a, b), runs_bound(a, b)]
     return met.where((F.lower(a) == F.lower(b)) | ((bounds[0] >= least - _EPS) & (bounds[1] >= least - _EPS) & (bounds[2] >= least - _EPS)))
+
+
+def scored_pairs(names: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, score)``: the pairs ``a < b`` of ``names(a)`` whose similarity is ``threshold`` at least.
+
+    Short names' similarity costs less than its bounds, so pairs are compared as they meet, and aren't written.
+    """
+    met = met_pairs(names, names.withColumnRenamed("a", "b"), threshold, only=F.col("a") < F.col("b"))
+    a, b, least = F.col("a"), F.col("b"), threshold - _EPS
+    long = F.greatest(F.length(F.lower(a)), F.length(F.lower(b))) > SHORT
+    bounds = [length_bound(a, b) >= least, multiset_bound(a, b) >= least, runs_bound(a, b) >= least]
+    # Not deterministic to the optimizer, so that it doesn't compare below ``distinct``, once for each list.
+    score = F.pandas_udf(similarity.func, "double").asNondeterministic()
+    return met.withColumn("_may", F.when(long & (F.lower(a) != F.lower(b)), bounds[0] & bounds[1] & bounds[2]).otherwise(True)).where("_may").select("a", "b", score("a", "b").alias("score")).where(F.col("score") >= threshold)

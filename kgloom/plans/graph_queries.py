@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.functions.text import display_name, normalize_text, similarity, unprefixed
+from kgloom.functions.text import display_name, normalize_text, unprefixed
 from kgloom.operators import diagnose as D
 from kgloom.operators import evaluate as E
 from kgloom.operators import export as X
@@ -15,7 +15,7 @@ from kgloom.operators import match as M
 from kgloom.operators import merge as ME
 from kgloom.operators import ontology as O
 from kgloom.operators import viz as V
-from kgloom.operators.overlap import similar_pairs
+from kgloom.operators.overlap import scored_pairs
 from kgloom.operators.settle import merged_across, merged_into
 from kgloom.plans import star
 from kgloom.plans.ontology_demo import ONTOLOGY
@@ -219,8 +219,7 @@ def fuzzy_match_first(spark, sf):
 def similar_names(spark, sf):
     """Pairs of similar names of customers, suppliers and parts."""
     names = table(spark, sf, "customer").select(F.col("c_name").alias("a")).union(table(spark, sf, "supplier").select("s_name")).union(table(spark, sf, "part").select("p_name"))
-    pairs = similar_pairs(names, names.withColumnRenamed("a", "b"), 0.9).where("a < b")
-    return pairs.withColumn("score", similarity("a", "b")).where("score >= 0.9").select("a", "b", F.round("score", 6).alias("score"))
+    return scored_pairs(names, 0.9).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def merge_star_project(spark, sf):

@@ -6,10 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.functions.text import multiset_bound, ratio, runs_bound
+from kgloom.functions.text import multiset_bound, ratio, ratios, runs_bound
 from kgloom.operators import overlap
 from kgloom.operators.match import fuzzy_first_match
-from kgloom.operators.overlap import similar_pairs
+from kgloom.operators.overlap import scored_pairs, similar_pairs
 
 
 def variants(rng, n):
@@ -59,3 +59,26 @@ def test_first_match_with_blocks_and_ties(spark):
     df = spark.createDataFrame(rows, "id long, part string, name string, ord long")
     got = {(r.id, r.match_id) for r in fuzzy_first_match(df, df, 0.8, ["part"]).collect()}
     assert got == {(1, 2), (2, 2), (3, 3), (4, 4), (7, 2)}
+
+
+def test_ratios_of_many_pairs():
+    """Pairs compared at once have the similarity of one pair's own comparison, ties of blocks, long names and letters of any size included."""
+    rng = random.Random(3)
+    a = ["", None, "x" * 63 + "y", "ab" * 40, "İx", "a\0", *(rng.choice(variants(rng, 40)) * rng.randint(1, 3) for _ in range(50))] * 40
+    b = [None if x is None else "".join(c for c in x if rng.random() < 0.9) + rng.choice(["", "ab", "0\0", "\U0001f600"]) for x in a]
+    a += ["".join(rng.choice("01") for _ in range(18)) for _ in range(6000)]
+    b += ["".join(rng.choice("01") for _ in range(18)) for _ in range(6000)]
+    assert ratios(a, b).tolist() == [ratio(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_pairs_are_scored_once_and_in_many_tasks(spark):
+    """Of 3000 numbered names, all pairs that are similar come with their similarity; neither side's lists are broadcast, nor pairs written."""
+    names = [f"Customer#{i:09d}" for i in range(0, 9000, 3)] + ["y" * 70, "y" * 71, "Bolt", "bolt", "bolts"]
+    got = scored_pairs(spark.createDataFrame([(n,) for n in names], "a string"), 0.9)
+    rows = {(r.a, r.b): r.score for r in got.collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "Scan parquet" not in plan
+    some = [n for i, n in enumerate(names) if i % 50 == 0 or i >= 3000]
+    for a in some:
+        assert {(b, rows[a, b]) for b in names if (a, b) in rows} == {(b, ratio(a, b)) for b in names if a < b and ratio(a, b) >= 0.9}
+    assert all(a < b for a, b in rows)
