@@ -47,7 +47,7 @@ def ordered_index(df: DataFrame, order: str | list[str], name: str, parts: int |
     """
     keys = [order] if isinstance(order, str) else order
     dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
-    rows = materialize(dealt.sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()), "ordered")
+    rows = materialize(dealt.sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()), "ordered", "zstd", free=True)
     rows = rows.withColumns({"_b": F.shiftright("_m", 33), "_m": F.col("_m").bitwiseAND((1 << 33) - 1)})
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))

@@ -395,7 +395,8 @@ def classify_cascade(spark, sf):
 
 def graph_json(spark, sf):
     e, r = _ent(spark, sf), _rel(spark, sf)
-    out = graph_document_parts(e, G.clean_relations(e, r), "doc", ("name", "locationName"))
+    kept = materialize(G.clean_relations(e, r), "clean", "zstd", free=True)  # so the joins' shuffle files aren't kept beside those of the sort
+    out = graph_document_parts(e, kept, "doc", ("name", "locationName"))
     return out.groupBy("doc").agg(F.sum(F.length("value").cast("long")).alias("size"))
 
 

@@ -34,8 +34,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/kgloom-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Lets Spark remove a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, compression: str | None = None, free: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    With ``free`` the shuffle files that went into it are removed as soon as it is written; else they stay until the driver's garbage collection.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    before = spark.conf.get(_CLEANUP, None)
+    if free:
+        spark.conf.set(_CLEANUP, "true")
+        df = df.select("*")  # planned under this setting
+    try:
+        (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    finally:
+        if free:
+            spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)

@@ -34,3 +34,22 @@ def test_neighbourhood_makes_only_what_it_reaches_distinct(spark):
         assert {r.id: r.hop for r in got.collect()} == want and got.count() == len(want)
     plan = G.neighbourhood(edges, starts, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and "LocalRelation [source" not in plan  # the edges are read back, not derived for each step
+
+
+def test_shuffle_files_go_when_rows_are_numbered(spark):
+    """The shuffles that went into numbered rows are removed once these are written; the session's setting stays."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from kgloom.operators.graph import ordered_index
+
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = held(), spark.conf.get(setting)
+    rows = ordered_index(spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).distinct(), "k", "n")
+    ends = time.time() + 10
+    while held() > before and time.time() < ends:
+        time.sleep(0.2)
+    assert held() <= before and spark.conf.get(setting) == was
+    assert [r.n for r in rows.orderBy("k").collect()] == list(range(1, 5001))
